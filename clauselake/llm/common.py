@@ -138,3 +138,54 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray, stops: np.ndarray = SPACE
     closes[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+# ------------------------------------------------------------------ skew, graphs
+
+#: A key is heavy if more than 1/HEAVY_KEYS of all rows carry it, so fewer than this many are.
+HEAVY_KEYS = 20000
+
+
+def heavy_light_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``left`` inner join ``right`` on ``key``, without gathering a hot key in one task.
+
+    ``right`` has one row per key, with the number of ``left`` rows that carry it in
+    ``count``; ``total`` is the number of ``left`` rows. Rows of heavy keys meet a
+    broadcast table of fewer than HEAVY_KEYS rows; all others are shuffled, and then no
+    key has more than total / HEAVY_KEYS rows.
+    """
+    heavy = right.where(F.col(count) * F.lit(HEAVY_KEYS) > F.lit(total)).drop(count)
+    light = right.where(F.col(count) * F.lit(HEAVY_KEYS) <= F.lit(total)).drop(count)
+    return left.join(F.broadcast(heavy), key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Labels the nodes of undirected ``edges`` (u, v) with the smallest node they reach.
+
+    Alternates the large-star and small-star steps until edges no longer change; each
+    round is cut by a checkpoint. Returns (node, component), nodes with an edge only.
+    Raises if ``max_rounds`` do not settle it (rounds grow with the logarithm of the
+    number of nodes).
+    """
+
+    def star(pairs: DataFrame, small: bool) -> DataFrame:
+        pairs = cut(pairs)
+        least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("_m"), F.count("*").alias("_n")))
+        joined = heavy_light_join(pairs, least, "u", "_n", pairs.count())
+        if small:
+            moved = joined.select(F.col("v").alias("a"), F.col("_m").alias("b")).union(least.select("u", "_m"))
+        else:
+            moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("_m").alias("b"))
+        return moved.where("a <> b").distinct()
+
+    both = edges.where("u <> v").select("u", "v")
+    current = cut(both.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    mark = None
+    for _ in range(max_rounds):
+        large = star(current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select("b", "a")), small=False)
+        current = cut(star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), small=True))
+        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == mark:
+            return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b"), F.col("b")).distinct())
+        mark = now
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, jaccard_join, mixing, quality, sharding
 from .common import fold_of
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_to_targets(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -40,6 +44,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op7_mix, op8_decontaminate, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
 
 ORACLE_SQL: dict[str, str] = {}
