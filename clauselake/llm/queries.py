@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality, sharding
+from . import decontaminate, jaccard_join, langid, mixing, quality, sharding, topk, warc
 from .common import fold_of
 
 
@@ -13,6 +13,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn_languages(docs, folds=5, held_out_fold=0)
+    return langid.identify_languages(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -44,6 +59,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op4_langid, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
 
 ORACLE_SQL: dict[str, str] = {}
