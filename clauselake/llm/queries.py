@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, mixing, quality, sharding, topk, warc
+from . import decontaminate, jaccard_join, langid, lm_bloom, mixing, quality, sharding, topk, warc
 from .common import fold_of
 
 
@@ -28,6 +28,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm_bloom.learn_model(lm_bloom.training_rows(docs, folds=5, held_out_fold=1))
+    scored = lm_bloom.score_texts(docs, model)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -59,6 +66,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op4_langid, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op4_langid, op5_lm, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
 
 ORACLE_SQL: dict[str, str] = {}
