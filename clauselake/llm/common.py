@@ -159,33 +159,55 @@ def heavy_light_join(left: DataFrame, right: DataFrame, key: str, count: str, to
     return left.join(F.broadcast(heavy), key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces a partition's edges (a, b) by stars that connect the same nodes, each to its smallest."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    ends = np.concatenate([np.concatenate(g) for g in zip(*got, strict=True)])
+    nodes, at = np.unique(ends, return_inverse=True)
+    u, v = np.split(at, 2)
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        for side in (u, v):
+            np.minimum.at(label, before[side], low)
+            np.minimum.at(label, side, low)
+        label = label[label]
+    leaf = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf], pa.int64()), pa.array(nodes[label[leaf]], pa.int64())], names=["a", "b"])
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """One star step: every node's neighbours (the larger ones, or it and the smaller ones) move to the smallest."""
+    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = pairs if small else pairs.union(edges.select("b", "a"))
+    least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("_m"), F.count("*").alias("_n")))
+    total = least.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    joined = heavy_light_join(pairs, least, "u", "_n", total)
+    moved = joined.select(F.col("v").alias("x"), F.col("_m").alias("y")) if small else joined.where("v > u").select(F.col("v").alias("x"), F.col("_m").alias("y"))
+    moved = moved.union(least.select("u", "_m")) if small else moved
+    return cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+
+
+def connected_components(edges: DataFrame, task_edges: int = 1_000_000, max_rounds: int = 60) -> DataFrame:
     """Labels the nodes of undirected ``edges`` (u, v) with the smallest node they reach.
 
-    Alternates the large-star and small-star steps until edges no longer change; each
-    round is cut by a checkpoint. Returns (node, component), nodes with an edge only.
-    Raises if ``max_rounds`` do not settle it (rounds grow with the logarithm of the
-    number of nodes).
+    Each round first contracts the edges within partitions of about ``task_edges``, which
+    bounds a task's memory. If one partition held them all, that is the answer; else a
+    large-star and a small-star step move labels between partitions, until all edges
+    lead from leaves to centres. Rounds are cut by checkpoints. Returns (node,
+    component), nodes with an edge only.
     """
-
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
-        pairs = cut(pairs)
-        least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("_m"), F.count("*").alias("_n")))
-        joined = heavy_light_join(pairs, least, "u", "_n", pairs.count())
-        if small:
-            moved = joined.select(F.col("v").alias("a"), F.col("_m").alias("b")).union(least.select("u", "_m"))
-        else:
-            moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("_m").alias("b"))
-        return moved.where("a <> b").distinct()
-
-    both = edges.where("u <> v").select("u", "v")
-    current = cut(both.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
-    mark = None
+    schema = "a long, b long"
+    current = cut(edges.where("u <> v").select("u", "v").mapInArrow(_contract, schema))
     for _ in range(max_rounds):
-        large = star(current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select("b", "a")), small=False)
-        current = cut(star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), small=True))
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
+        parts = current.count() // task_edges + 1
+        current = cut(current.repartition(parts).mapInArrow(_contract, schema))
+        if parts > 1:
+            current = _star(_star(current, small=False), small=True)
+            loose = current.groupBy("a").count().where("count > 1").select("a").union(current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a"))
+        if parts == 1 or loose.isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b"), F.col("b")).distinct())
-        mark = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -78,8 +78,11 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(margin + np.log(self.cut / (1 - self.cut)), -30, 30)))
 
 
-def fit_ranker(features: np.ndarray, labels: np.ndarray, cut: float, pairs: int = 30000, penalty: float = 1.0, steps: int = 25) -> Ranker:
-    """Newton on the logistic loss of feature differences over ``pairs`` preference pairs."""
+def fit_ranker(features: np.ndarray, labels: np.ndarray, cut: float, pairs: int = 20000, penalty: float = 1.0, steps: int = 25) -> Ranker:
+    """Newton on the logistic loss of feature differences over ``pairs`` preference pairs.
+
+    With fewer possible pairs all are used; every row of either class is in some pair.
+    """
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(good) or not len(bad):
         return Ranker(None, None, 0.0, cut, float(labels.mean()) if len(labels) else 1.0)
@@ -89,12 +92,15 @@ def fit_ranker(features: np.ndarray, labels: np.ndarray, cut: float, pairs: int
     n = max(pairs, len(good), len(bad)) if len(good) * len(bad) > pairs else len(good) * len(bad)
     left = np.resize(draw.permutation(good), n)
     right = np.resize(draw.permutation(bad), n)[draw.permutation(n)]
-    diff = x[left] - x[right]
+    diff = x[left]
+    diff -= x[right]
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
         slope = diff.T @ p - penalty * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff
+        curve = np.zeros((len(w), len(w)))
+        for rows in np.array_split(np.arange(n), n // 2048 + 1):  # keeps the weighted copy small
+            curve += (diff[rows] * (p[rows] * (1 - p[rows]))[:, None].astype(np.float32)).T @ diff[rows]
         curve[np.diag_indices_from(curve)] += penalty
         step = np.linalg.solve(curve, slope)
         w = w + step * min(1.0, 10 / (np.abs(step).max() + 1e-12))
