@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,11 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI (file, hdfs, s3, gs) or local path, and the path in it."""
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds`` (a null id is in fold 0)."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)), F.lit(0))

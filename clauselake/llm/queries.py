@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, lm_bloom, mixing, quality, sharding, topk, warc
+from . import decontaminate, jaccard_join, langid, lm_bloom, mixing, quality, sharding, suffix_dedup, topk, warc
 from .common import fold_of
 
 
@@ -22,6 +22,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), span=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn_languages(docs, folds=5, held_out_fold=0)
@@ -66,6 +72,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op4_langid, op5_lm, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_suffix, op4_langid, op5_lm, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
 
 ORACLE_SQL: dict[str, str] = {}

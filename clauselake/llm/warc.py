@@ -17,22 +17,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, as_table, fresh_path
+from .common import HEAVY_KEYS, as_table, fresh_path, open_fs
 
 PIECE = 1 << 18
 _GZIP = 31  # zlib's window bits for gzip framing
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI (file, hdfs, s3, gs) or local path, and the path in it."""
-    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-
-
 def record_head(page_id: int | None, url: str | None, digest: str, n_bytes: int, refers_to: int | None, revisit: bool) -> bytes:
     """The header of a response record, or a whole revisit record without its closing lines.
 
@@ -86,7 +80,7 @@ def write_monolithic(records: DataFrame, path: str, max_bytes: int = 256 << 20)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open_fs(path)
+        store, base = open_fs(path)
         store.create_dir(base, recursive=True)
         out = None
         for batch in batches:
@@ -169,11 +163,11 @@ def normalise_archives(archives: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, base = _open_fs(path)
+        target, base = open_fs(path)
         target.create_dir(base, recursive=True)
         for batch in batches:
             for source in batch.column("file").to_pylist():
-                store, inner = _open_fs(source)
+                store, inner = open_fs(source)
                 name, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                 with store.open_input_stream(inner, compression=None) as raw, target.open_output_stream(posixpath.join(base, name), compression=None) as out, target.open_output_stream(posixpath.join(base, f"{name}.idx"), compression=None) as index:
                     records = _Inflated(raw)
@@ -228,7 +222,7 @@ def _read_one(opened: dict, file: str, offset: int, length: int) -> dict:
     if file not in opened:
         if len(opened) > 16:
             opened.pop(next(iter(opened))).close()
-        store, inner = _open_fs(file)
+        store, inner = open_fs(file)
         opened[file] = store.open_input_file(inner)
     opened[file].seek(offset)
     record = zlib.decompress(opened[file].read(length), _GZIP)
