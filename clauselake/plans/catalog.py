@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "scan_region"
+from . import relational
 
-
-def _scan_region(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
-
-
-QUERIES = {"scan_region": _scan_region}
-ORACLE_SQL = {"scan_region": "SELECT * FROM region"}
+FLAGSHIP = "stat_category"
+QUERIES = {**relational.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL}
