@@ -126,12 +126,9 @@ def resolve_documents(mentions: DataFrame, versions: DataFrame, aliases: DataFra
     key = ["chunk_id", "span_start"]
     live = versions.where("version_status = 'effective'").select(F.col("version_id").alias("_hit"), F.col("doc_number").alias("_number"), F.col("title").alias("_title"))
     named = mentions.select(*key, "version_id", "doc_number", "title").join(aliases.dropDuplicates(["alias"]), F.col("title") == F.col("alias"), "left")
-    ways = named.select(*key, "version_id", F.posexplode(F.array(
-        F.struct(F.lit("number").alias("by"), F.col("doc_number").alias("value")),
-        F.struct(F.lit("title"), F.col("title")),
-        F.struct(F.lit("number"), F.nullif("canonical_doc_number", F.lit(""))),
-        F.struct(F.lit("title"), F.nullif("canonical_title", F.lit(""))),
-    )).alias("way", "_ask")).select(*key, "version_id", "way", "_ask.by", "_ask.value").where("value IS NOT NULL")
+    way = lambda by, column: F.struct(F.lit(by).alias("by"), F.nullif(F.col(column), F.lit("")).alias("value"))
+    asked = F.array(way("number", "doc_number"), way("title", "title"), way("number", "canonical_doc_number"), way("title", "canonical_title"))
+    ways = named.select(*key, "version_id", F.posexplode(asked).alias("way", "_ask")).select(*key, "version_id", "way", "_ask.by", "_ask.value").where("value IS NOT NULL")
     known = live.select("_hit", F.lit("number").alias("by"), F.col("_number").alias("value")).unionByName(live.select("_hit", F.lit("title").alias("by"), F.col("_title").alias("value"))).where("value IS NOT NULL")
     # Two equal hits decide as much as a thousand: a value's hits are summed up before the join.
     known = known.groupBy("by", "value").agg(F.slice(F.array_sort(F.collect_set("_hit")), 1, 3).alias("_hits"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, retrieval, text
 
 FLAGSHIP = "stat_category"
-QUERIES = {**relational.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **text.QUERIES, **retrieval.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **text.ORACLE_SQL, **retrieval.ORACLE_SQL}

@@ -37,7 +37,7 @@ def _statistics(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
     return statistics.compute(*case_tables(spark, sf_dir), statistics.specification(question))
 
 
-@query(_stat_sql("violation_category", "count(*)", "year(penalty_date) >= 2000") .replace("2000", "2000"))
+@query(_stat_sql("violation_category", "count(*)", "year(penalty_date) >= 2000"))
 def stat_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir, "2000年以来哪些违规事由高发")
 
@@ -121,16 +121,13 @@ decided AS (
   FROM ranked)
 SELECT filename, status, CASE status WHEN 'MISSING' THEN 'no such file' WHEN 'DUPLICATE' THEN 'same content' WHEN 'QUARANTINED' THEN CASE WHEN doc_id % 13 = 0 THEN 'format' WHEN doc_id % 17 = 0 THEN 'no permission tag' ELSE 'suspected duplicate' END END AS reason,
   CASE WHEN status = 'QUARANTINED' AND doc_id % 13 = 0 THEN 'E101' END AS error_code, relation,
-  CASE WHEN status IN ('REGISTERED', 'QUARANTINED') AND relation IN ('revise_replace', 'abolish_only') THEN (SELECT min('v' || lpad(CAST(k.doc_id AS VARCHAR), 9, '0')) FROM known k WHERE 'd' || (k.doc_id - 1) = target) END AS supersedes_version_id,
+  CASE WHEN status IN ('REGISTERED', 'QUARANTINED') AND relation IN ('revise_replace', 'abolish_only') THEN (SELECT min('v' || lpad(CAST(k.doc_id AS VARCHAR), 9, '0')) FROM known k WHERE 'd' || (k.doc_id - 1) = decided.target) END AS supersedes_version_id,
   relation IN ('merge', 'split_replace') AS needs_review, CASE WHEN doc_id % 4 <> 0 THEN DATE '2024-03-01' END AS issue_date
 FROM decided""")
 def registry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.register_batch(*_batch(spark, sf_dir), "b1").select("filename", "status", "reason", "error_code", "relation", "supersedes_version_id", "needs_review", "issue_date")
 
 
-_EVENTS_SQL = None
-
-
 def _edges_sql() -> str:
     pairs = [(a, b) for a, targets in registry.TRANSITIONS.items() for b in targets] + [(a, "REGISTERED") for a in registry.RESET_FROM]
     return "edges(f, t) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ")"
@@ -142,7 +139,7 @@ def _states_sql() -> str:
 
     kinds = ("view", "click", "purchase", "signup", "logout", "add_to_cart", "search", "error", "login", "refund")
     cells = [(k, r, STATES[zlib.crc32(f"{k}|{r}".encode()) % len(STATES)]) for k in kinds for r in range(7)]
-    return "cells(k, r, s) AS (VALUES " + ", ".join(f"('{k}', {r}, '{s}')" for k, r, s in cells) + "), log AS (SELECT event_id AS id, user_id AS version_id, s AS to_state, CASE WHEN s = 'QC_FAILED' THEN 'E301' END AS error_code, ts AS at, event_type, value FROM events JOIN cells ON event_type = k AND event_id % 7 = r)"
+    return "cells(k, r, s) AS (VALUES " + ", ".join(f"('{k}', {r}, '{s}')" for k, r, s in cells) + "), log AS (SELECT event_id AS id, user_id AS version_id, s AS to_state, CASE WHEN s = 'QC_FAILED' THEN 'E301' END AS error_code, ts AS moment, event_type, value FROM events JOIN cells ON event_type = k AND event_id % 7 = r)"
 
 
 EVENTS_SQL = _states_sql()
@@ -200,14 +197,17 @@ def states_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.node_statuses(docs, events, queue).withColumn("last_error_code", F.nullif("last_error_code", F.lit("")))
 
 
-@query("""WITH q AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS version_id, CASE l_linestatus WHEN 'O' THEN 'qc_fix' ELSE 'quarantine' END AS t, CASE WHEN l_quantity > 45 THEN 'closed' ELSE 'open' END AS s,
-  (['fix', 'release', 'approve', 'degrade', 'other'])[1 + l_linenumber % 5] AS d FROM lineitem)
-SELECT id AS queue_id, version_id, d AS disposition, CASE WHEN t = 'qc_fix' THEN CASE d WHEN 'fix' THEN 'QC_PENDING' WHEN 'degrade' THEN 'STRUCTURING' END ELSE CASE d WHEN 'release' THEN 'PARSING' END END AS to_state,
-  CASE WHEN d = 'other' THEN 'unknown disposition' WHEN s <> 'open' THEN 'item is closed' WHEN NOT ((t = 'qc_fix' AND d IN ('fix', 'degrade')) OR (t = 'quarantine' AND d = 'release')) THEN 'not for this queue' END AS refused FROM q""")
+@query("""WITH q AS (SELECT o_orderkey AS id, o_custkey AS version_id, CASE o_orderstatus WHEN 'O' THEN 'qc_fix' WHEN 'F' THEN 'quarantine' ELSE 'meta_confirm' END AS t, CASE WHEN o_orderkey % 7 = 0 THEN 'closed' ELSE 'open' END AS s,
+  (['fix', 'release', 'approve', 'degrade', 'other'])[1 + o_orderkey % 5] AS d FROM orders),
+r AS (SELECT *, CASE t || ' ' || d WHEN 'qc_fix fix' THEN 'QC_PENDING' WHEN 'qc_fix degrade' THEN 'STRUCTURING' WHEN 'quarantine release' THEN 'PARSING' WHEN 'meta_confirm approve' THEN 'EMBEDDING' END AS to_state FROM q)
+SELECT id AS queue_id, version_id, d AS disposition, to_state, CASE WHEN d = 'other' THEN 'unknown disposition' WHEN s <> 'open' THEN 'item is closed' WHEN to_state IS NULL THEN 'not for this queue' END AS refused FROM r""")
 def queue_dispose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("queue_id"), F.col("l_orderkey").alias("version_id"), F.when(F.col("l_linestatus") == "O", "qc_fix").otherwise("quarantine").alias("queue_type"), F.when(F.col("l_quantity") > 45, "closed").otherwise("open").alias("status"), "l_linenumber")
-    wanted = items.select("queue_id", F.get(F.array(*map(F.lit, ("fix", "release", "approve", "degrade", "other"))), F.col("l_linenumber") % 5).alias("disposition"), F.lit("op").alias("operator"))
-    return registry.dispose(items.dropDuplicates(["queue_id"]), wanted.dropDuplicates(["queue_id"])).select("queue_id", "version_id", "disposition", "to_state", "refused")
+    kind = F.when(F.col("o_orderstatus") == "O", "qc_fix").when(F.col("o_orderstatus") == "F", "quarantine").otherwise("meta_confirm")
+    orders = table(spark, sf_dir, "orders")
+    items = orders.select(F.col("o_orderkey").alias("queue_id"), F.col("o_custkey").alias("version_id"), kind.alias("queue_type"), F.when(F.col("o_orderkey") % 7 == 0, "closed").otherwise("open").alias("status"))
+    choice = F.get(F.array(*map(F.lit, ("fix", "release", "approve", "degrade", "other"))), (F.col("o_orderkey") % 5).cast("int"))
+    wanted = orders.select(F.col("o_orderkey").alias("queue_id"), choice.alias("disposition"), F.lit("op").alias("operator"))
+    return registry.dispose(items, wanted).select("queue_id", "version_id", "disposition", "to_state", "refused")
 
 
 # ------------------------------------------------------------------------------- versions
@@ -302,7 +302,7 @@ def verify_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.differing_ids(chunks, kept)
 
 
-@query("""SELECT l_shipmode_or AS by_flag, least, median, greatest FROM (SELECT l_returnflag AS l_shipmode_or, min(l_quantity) AS least, median(l_quantity) AS median, max(l_quantity) AS greatest FROM lineitem GROUP BY 1)""")
+@query("""SELECT l_returnflag AS by_flag, min(l_quantity) AS least, median(l_quantity) AS median, max(l_quantity) AS greatest FROM lineitem GROUP BY 1""")
 def report_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.spread(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "by_flag"), "l_quantity", "by_flag")
 
@@ -396,16 +396,16 @@ def conversation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summaries(conversation_messages(spark, sf_dir))
 
 
-@query("""SELECT * FROM (SELECT conv_id AS conversation_id, turn AS seq, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question, text AS answer FROM conversations) WHERE role = 'assistant'""".replace("SELECT * FROM", "SELECT conversation_id, seq, question, answer FROM", 1))
+@query("""SELECT conversation_id, seq, question, answer FROM (SELECT conv_id AS conversation_id, turn AS seq, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question, text AS answer FROM conversations) WHERE role = 'assistant'""")
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.paired(conversation_messages(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT conv_id AS conversation_id, 'about ' || (conv_id % 5) AS title, max(turn) AS updated_at FROM conversations GROUP BY 1), f AS (SELECT * FROM c WHERE title ILIKE '%ABOUT 3%')
-SELECT *, (SELECT count(*) FROM f) AS total_items, (SELECT CAST(ceil(count(*) / 20) AS BIGINT) FROM f) AS total_pages FROM f ORDER BY updated_at DESC, conversation_id LIMIT 20 OFFSET 20""")
+SELECT *, (SELECT count(*) FROM f) AS total_items, (SELECT CAST(ceil(count(*) / 7) AS BIGINT) FROM f) AS total_pages FROM f ORDER BY updated_at DESC, conversation_id LIMIT 7 OFFSET 7""")
 def conversation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_messages(spark, sf_dir).groupBy("conversation_id").agg(F.max("seq").alias("updated_at")).withColumn("title", F.concat(F.lit("about "), (F.col("conversation_id") % 5).cast("string")))
-    return conversations.page_of(rows, page=2, size=20, title_like="ABOUT 3")
+    return conversations.page_of(rows, page=2, size=7, title_like="ABOUT 3")
 
 
 @query("""WITH last AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1)
@@ -420,7 +420,7 @@ def conversation_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------ event stream
 
 
-@query(f"WITH {EVENTS_SQL} SELECT date_trunc('hour', at) AS start, date_trunc('hour', at) + INTERVAL 1 HOUR AS \"end\", to_state, count(*) AS n FROM log GROUP BY 1, 2, 3")
+@query(f"WITH {EVENTS_SQL} SELECT date_trunc('hour', moment) AS start, date_trunc('hour', moment) + INTERVAL 1 HOUR AS \"end\", to_state, count(*) AS n FROM log GROUP BY 1, 2, 3")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clauselake.streaming.events import windowed_counts
 
@@ -428,8 +428,8 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "to_state", "n")
 
 
-@query(f"""WITH {EVENTS_SQL}, g AS (SELECT version_id, at, sum(CASE WHEN at <= b + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY version_id ORDER BY at, id) AS s FROM (SELECT *, lag(at) OVER (PARTITION BY version_id ORDER BY at, id) AS b FROM log))
-SELECT version_id, min(at) AS start, max(at) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY version_id, s""")
+@query(f"""WITH {EVENTS_SQL}, g AS (SELECT version_id, moment, sum(CASE WHEN moment < b + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY version_id ORDER BY moment, id) AS s FROM (SELECT *, lag(moment) OVER (PARTITION BY version_id ORDER BY moment, id) AS b FROM log))
+SELECT version_id, min(moment) AS start, max(moment) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY version_id, s""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clauselake.streaming.events import sessions
 
