@@ -46,7 +46,8 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """(corpus, postings, queries, how many queries)."""
     vectors = table(spark, sf_dir, "embeddings")
     corpus = vector_corpus(spark, sf_dir)
-    pairs = F.array(F.struct((F.col("vec_id") % 97).alias("token"), (F.lit(1.0) + F.col("vec_id") % 5).alias("weight")), F.struct(F.col("vec_id") % 89 + 1000, F.lit(2.0)))
+    pair = lambda token, weight: F.struct(token.alias("token"), weight.cast("double").alias("weight"))
+    pairs = F.array(pair(F.col("vec_id") % 97, F.col("vec_id") % 5 + 1), pair(F.col("vec_id") % 89 + 1000, F.lit(2)))
     postings = vectors.select(F.col("vec_id").alias("chunk_id"), F.inline(pairs)).join(corpus.select("chunk_id", "corpus_type"), "chunk_id")
     asked = vectors.where(F.col("vec_id") % ASK_EVERY == 0)
     queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("dense"), F.create_map(F.col("vec_id") % 97, F.lit(1.5), F.col("vec_id") % 89 + 1000, F.lit(0.5)).alias("sparse"))

@@ -163,7 +163,7 @@ def tags_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {REGULATION_SQL}, f AS (SELECT version_id, idx, text, regexp_extract(text, '([0-9]+|[〇零一二两三四五六七八九十百千]+)\\s*个?\\s*(工作日|自然日|日|天|月|季|年)') AS s, strpos(text, '半年') AS h FROM blocks)
 SELECT version_id, idx, CASE WHEN h > 0 AND (s = '' OR h < strpos(text, s)) THEN '半年' WHEN s <> '' THEN s ELSE '次年' END AS surface,
-  CASE WHEN h > 0 AND (s = '' OR h < strpos(text, s)) THEN 180 WHEN s = '三十日' THEN 30 WHEN s = '5个工作日' THEN 5 WHEN s = '两个月' THEN 60 END AS days FROM f WHERE s <> '' OR h > 0 OR contains(text, '次年')""")
+  CAST(CASE WHEN h > 0 AND (s = '' OR h < strpos(text, s)) THEN 180 WHEN s = '三十日' THEN 30 WHEN s = '5个工作日' THEN 5 WHEN s = '两个月' THEN 60 END AS BIGINT) AS days FROM f WHERE s <> '' OR h > 0 OR contains(text, '次年')""")
 def tags_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _blocks(spark, sf_dir).select("version_id", "idx", dates.duration(F.col("text")).alias("d")).where("d IS NOT NULL")
     return found.select("version_id", "idx", "d.surface", "d.days")
@@ -218,11 +218,11 @@ def references_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.cross_references(_referring(spark, sf_dir), *_titled(spark, sf_dir)).select("chunk_id", "surface", "target_version_id", "status")
 
 
-@query(f"""WITH {_REFERRING_SQL} SELECT count(*) AS n, count(*) FILTER (n = 2) AS mentions, 0 AS inside FROM (SELECT v, n FROM c WHERE n IN (1, 2, 3) OR n > 3)""".replace("count(*) AS n,", "sum(CASE n WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 1 END) AS n,"))
+@query(f"""WITH {_REFERRING_SQL} SELECT CAST(sum(CASE n WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END) AS BIGINT) AS n, count(*) FILTER (n = 2) AS mentions, CAST(0 AS BIGINT) AS inside FROM c""")
 def references_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of references once those inside a mention are left to it."""
     found = references.all_references(_referring(spark, sf_dir), *_titled(spark, sf_dir))
-    return found.agg(F.count("*").alias("n"), F.count_if(F.col("ref_type") == "R4").alias("mentions"), F.count_if((F.col("ref_type") == "R3") & (F.col("surface") == "第二条之一")).cast("int").alias("inside"))
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("ref_type") == "R4").alias("mentions"), F.count_if((F.col("ref_type") == "R3") & (F.col("surface") == "第二条之一")).alias("inside"))
 
 
 # ------------------------------------------------------------------------------------ cases
@@ -259,7 +259,7 @@ def case_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.case_chunks(lines, docs.select("version_id", F.lit("决定书").alias("title")))
 
 
-@query("""SELECT o_orderkey AS version_id, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['doc_number', 'issue_date'] ELSE ['issue_date'] END) AS field FROM orders WHERE o_orderkey % 3 = 0 OR FALSE
+@query("""SELECT o_orderkey AS version_id, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['doc_number', 'issue_date'] ELSE ['issue_date'] END) AS field FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT o_orderkey, 'doc_number' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0""")
 def metadata_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _decisions(spark, sf_dir)
