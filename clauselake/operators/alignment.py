@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from clauselake.functions import text as X
 
@@ -25,7 +26,7 @@ def _best_window(needle: str, text: str) -> tuple[float, int]:
     return best, at
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(needles: pd.Series, texts: pd.Series) -> pd.Series:
     """How like the needle the best stretch of the text is, in percent."""
     return pd.Series([_best_window(a or "", b or "")[0] for a, b in zip(needles, texts, strict=True)])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
+from .alignment import partial_ratio
+
 
 def rate(part: Column, whole: Column) -> Column:
     """part / whole to 4 digits; null for nothing."""
@@ -69,8 +71,6 @@ def replay(chunks: DataFrame, pages: DataFrame, window: int = 1, threshold: floa
     ``pages``: (version_id, page_no, text). Tables and degraded chunks are exempt. What is
     not found as it is, white space aside, is compared by partial ratio.
     """
-    from clauselake.operators.alignment import partial_ratio
-
     body = F.when((F.col("breadcrumb") != "") & F.col("text").startswith(F.col("breadcrumb")), F.substr("text", F.length("breadcrumb") + 1)).otherwise(F.col("text"))
     first = F.coalesce("page_start", F.lit(1))
     wanted = chunks.where("NOT is_parent").select("chunk_id", "version_id", (F.col("is_table") | F.col("degraded")).alias("exempt"), X.normalise(body).alias("_body"), (first - window).alias("_a"), (F.coalesce("page_end", first) + window).alias("_b"))

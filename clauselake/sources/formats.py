@@ -10,9 +10,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 BLOCK = "idx int, kind string, text string, page int, style string"
-CELL = "array<struct<text:string,row:int,col:int,rowspan:int,colspan:int>>"
+_INT = IntegerType()
+CELL = StructType().add("text", StringType()).add("row", _INT).add("col", _INT).add("rowspan", _INT).add("colspan", _INT)
+_TABLE = StructType().add("n_rows", _INT).add("n_cols", _INT).add("cells", ArrayType(CELL)).add("header_rows", _INT)
 
 
 def files(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
@@ -22,7 +25,7 @@ def files(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFra
     return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content", sniff(F.col("content")).alias("format"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _zip_kind(contents: pd.Series) -> pd.Series:
     def kind(data: bytes) -> str:
         try:
@@ -179,7 +182,7 @@ def _grid(html: str | None) -> dict | None:
     return {"n_rows": len(parser.rows), "n_cols": max((c["col"] + c["colspan"] for c in cells), default=0), "cells": cells, "header_rows": 1}
 
 
-@F.pandas_udf(f"struct<n_rows:int,n_cols:int,cells:{CELL},header_rows:int>")
+@F.pandas_udf(_TABLE)
 def _grids(html: pd.Series) -> pd.DataFrame:
     found = [_grid(h) or {"n_rows": 0, "n_cols": 0, "cells": [], "header_rows": 1} for h in html]
     return pd.DataFrame(found, columns=["n_rows", "n_cols", "cells", "header_rows"])
