@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 
 def page_of(conversations: DataFrame, *, page: int = 1, size: int = 20, title_like: str | None = None) -> DataFrame:
-    """One page, newest first, with ``total_items`` and ``total_pages`` of all pages."""
+    """One page, newest first, with ``total_items`` and ``total_pages`` of all pages (counted at once)."""
     page, size = max(1, page), max(1, size)
     rows = conversations.where(F.lower("title").contains(title_like.lower())) if title_like else conversations
-    counted = rows.withColumn("_n", F.lit(1))
-    total = counted.agg(F.count("*").alias("total_items"), F.ceil(F.count("*") / size).alias("total_pages"))
+    total = rows.count()
     chosen = rows.orderBy(F.desc("updated_at"), "conversation_id").offset((page - 1) * size).limit(size)
-    return chosen.crossJoin(F.broadcast(total))  # one row of totals
+    return chosen.withColumns({"total_items": F.lit(total).cast("long"), "total_pages": F.lit(-(-total // size)).cast("long")})
 
 
 def summaries(messages: DataFrame) -> DataFrame:

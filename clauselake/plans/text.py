@@ -292,3 +292,81 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.next_states(quality.gate(quality.indicators(quality.indicator_values(blocks), profiles)))
 
 
+
+
+# ---------------------------------------------------------------------- pages and verifiers
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 5 lines of the regulation view."""
+    lines = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    return _blocks(spark, sf_dir).groupBy("version_id", F.col("page").alias("page_no")).agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+
+
+@query(f"WITH {REGULATION_SQL} SELECT version_id, idx, CASE WHEN {_SOLID} <> '' THEN page END AS page FROM blocks")
+def pages_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.operators.alignment import align_pages
+
+    blank = _blocks(spark, sf_dir).withColumn("page", F.lit(None).cast("int"))
+    return align_pages(blank, _pages(spark, sf_dir)).select("version_id", "idx", "page")
+
+
+@query(f"""WITH {REGULATION_SQL}, p AS (SELECT version_id, page, sum(length({_SOLID})) AS n FROM blocks GROUP BY 1, 2)
+SELECT version_id, CAST(page AS INT) AS page_no, CAST(sum(n) OVER w - n AS BIGINT) AS start, CAST(sum(n) OVER w AS BIGINT) AS "end" FROM p WINDOW w AS (PARTITION BY version_id ORDER BY page)""")
+def pages_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.operators.alignment import page_offsets
+
+    return page_offsets(_pages(spark, sf_dir))
+
+
+def _line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk a line; every ninth is a table and every eleventh degraded."""
+    rows = _blocks(spark, sf_dir)
+    return rows.select(F.concat_ws("-", "version_id", "idx").alias("chunk_id"), "version_id", "text", F.lit("").alias("breadcrumb"), F.col("page").alias("page_start"), "page_end", F.lit(False).alias("is_parent"), (F.col("idx") % 9 == 8).alias("is_table"), (F.col("idx") % 11 == 10).alias("degraded"), F.col("idx").alias("seq"))
+
+
+@query(f"""WITH {REGULATION_SQL} SELECT count(*) FILTER (NOT (idx % 9 = 8 OR idx % 11 = 10)) AS total, count(*) FILTER (NOT (idx % 9 = 8 OR idx % 11 = 10)) AS matched, count(*) FILTER (idx % 9 = 8 OR idx % 11 = 10) AS exempt, CAST(1 AS DOUBLE) AS pass_rate FROM blocks""")
+def verify_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.operators import report
+
+    return report.replay_summary(report.replay(_line_chunks(spark, sf_dir), _pages(spark, sf_dir)))
+
+
+@query(f"WITH {REGULATION_SQL}, m AS (SELECT {_MARKER_SQL} AS marker FROM blocks) SELECT count(marker) AS obligation_chunks, round(count(marker) / count(*), 4) AS coverage FROM m")
+def report_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.operators import report
+
+    chunks = _line_chunks(spark, sf_dir)
+    return report.obligation_coverage(chunks, obligations.tag_chunks(chunks))
+
+
+@query(f"WITH {REGULATION_SQL} SELECT version_id, trim('t' || version_id || ' ' || left(trim(regexp_replace(arg_min(text, idx), '^\\s+', '')), 30)) AS question FROM blocks GROUP BY 1")
+def questions_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.operators import report
+
+    versions = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("version_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"))
+    return report.synthetic_questions(_line_chunks(spark, sf_dir), versions)
+
+
+@query(f"""WITH {REGULATION_SQL} SELECT version_id || '-' || idx AS chunk_id, CASE WHEN version_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS biz_domain, CASE WHEN version_id % 3 = 0 THEN 3 ELSE 0 END AS issuer_level, 20240301 AS effective_date, page AS page_start FROM blocks""")
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.operators.retrieval import corpus_rows as rows
+
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    i = F.col("doc_id")
+    versions = docs.select(i.alias("version_id"), F.lit("P-INT").alias("corpus_type"), F.lit("s").alias("sub_type"), F.lit("p").alias("perm_tag"), F.lit("effective").alias("version_status"), F.when(i % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("biz_domains"), F.lit("c").alias("biz_domain"), F.lit("2024-03-01").cast("date").alias("effective_date"))
+    issuers = docs.select(F.lit("I1").alias("code"), F.lit("会").alias("name"), F.lit("部级").alias("issuer_level")).distinct()
+    ranks = cases.issuer_rank(docs.select(i.alias("version_id"), F.when(i % 3 == 0, "会").otherwise("x").alias("issuer")), issuers).select("version_id", "issuer_level")
+    chunks = _line_chunks(spark, sf_dir).withColumns({"chunk_type": F.lit("clause"), "clause_path": F.lit("p")})
+    return rows(chunks, versions, ranks).select("chunk_id", "biz_domain", "issuer_level", "effective_date", "page_start")
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey % 100 AS n, l_linenumber AS k FROM lineitem), v AS (SELECT p_partkey % 120 AS n, min(p_partkey) AS version_id FROM part GROUP BY 1)
+SELECT case_id, 'n' || n || '|' || k AS key, version_id || '/' || k AS chunk_id FROM c JOIN v USING (n) WHERE k <= 5""")
+def bridge_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    entry = F.struct(F.concat(F.lit("n"), (F.col("l_partkey") % 100).cast("string")).alias("doc_no"), F.col("l_linenumber").cast("string").alias("clause_path_norm"))
+    cited = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_list(entry).alias("cited_regulations"))
+    versions = parts.select(F.col("p_partkey").alias("version_id"), F.concat(F.lit("n"), (F.col("p_partkey") % 120).cast("string")).alias("doc_number"), F.lit("effective").alias("version_status"))
+    chunks = parts.select(F.col("p_partkey").alias("version_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select("version_id", F.col("k").cast("string").alias("clause_path_norm"), F.concat_ws("/", "version_id", "k").alias("chunk_id"), F.lit(0).alias("seq"), F.lit(False).alias("is_parent"), F.lit(False).alias("degraded"))
+    return references.cited_clauses(cited, versions, chunks)
