@@ -6,18 +6,20 @@ their first ``span`` bytes, and never all at once:
 
 1. The cover sample. Of every ``v`` positions those in a difference cover of v are
    sampled, so two equal strings have sampled positions at one common distance under v
-   from their starts. The sample is sorted bucket by bucket, by the next span - v + 1
-   bytes (which gives the class of a sampled suffix) and then by its whole context, from
-   v - 1 bytes before it to span bytes after (its rank in the class).
+   from their starts. The sample is sorted bucket by bucket: first by the next
+   span - v + 1 bytes, which gives the class of a sampled suffix, and then, in classes of
+   several, by its whole context, from v - 1 bytes before it to span bytes after, which
+   gives its rank.
 2. Long ties. Positions whose rank is shared are equal over the whole context, so all of
    the context goes without sorting a suffix of it. A class of one has no partners.
 3. The suffixes that remain lie within v of a sampled position whose class holds several
    ranks. One position stands for all that share a rank, which bounds what hot passages
-   cost. Their suffixes are sorted in buckets, by 64-bit fingerprints of the first span
-   bytes, and neighbours that are equal mark each other.
+   cost. Their suffixes are sorted in buckets, by fingerprints of the first span bytes,
+   and neighbours that are equal mark each other.
 
 Within a block equal keys are merged before they are sent, so no bucket gets a key more
-than once a block.
+than once a block. Keys travel without their positions: a block deals its keys to the
+buckets in an order that it can find again, and a bucket answers with bits in that order.
 """
 
 from __future__ import annotations
@@ -46,9 +48,13 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-COVERED, SORTED = 1, 2  # what the sample's ranks say of a sampled position
-_SENT = "bucket int, block string, at binary, key binary, more binary, many binary"
-_REPLY = "block string, at binary, code binary"
+#: Keys of a block for a bucket: ``keys`` in dealt order, and bits that mark keys the block has several of.
+_SENT = "bucket int, block string, keys binary, many binary"
+#: The bucket's answer, as bits in the same order: keys held elsewhere too, and those to go on with.
+_REPLY = "bucket int, block string, shared binary, further binary, n_further long"
+CLASSES, RANKS, SUFFIXES = 1, 2, 3  # the three sorts
+#: Bytes of a key in each: 4 of the class; 4 of the class and 6 of the rank; 7 of the suffix.
+KEY_BYTES = {CLASSES: 4, RANKS: 10, SUFFIXES: 7}
 
 
 def cover_for(span: int) -> int:
@@ -118,120 +124,182 @@ def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 # ------------------------------------------------------------------------- buckets
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by ``keys`` (the last leads), and where in it groups of equal keys start."""
+def _order(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by ``keys`` (the last leads), and where in it a new key starts."""
     order = np.lexsort(keys)
     new = np.ones(len(order), dtype=bool)
     if len(order):
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    return order, np.flatnonzero(new)
+    return order, new
 
 
-def _merge(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first place of each distinct key, whether it has others, and all places with others."""
-    order, starts = _groups(*keys)
-    sizes = np.diff(np.append(starts, len(order)))
-    return order[starts], sizes > 1, order[np.repeat(sizes > 1, sizes)]
+class _Merged:
+    """Distinct keys: the first place of each, whether there are others, and the key number of every place."""
 
+    def __init__(self, *keys: np.ndarray):
+        order, new = _order(*keys)
+        self.first = order[new]
+        self.number = np.empty(len(order), dtype=np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.many = np.bincount(self.number, minlength=len(self.first)) > 1
 
-def _send(block: str, n_buckets: int, by: np.ndarray, at: np.ndarray, key: np.ndarray, more: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-    """One row a bucket; ``by`` picks the bucket."""
-    bucket = ((by >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts))]
-    binary = lambda values: pa.array([values[own].tobytes() for _, own in rows], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.string()), binary(at.astype(np.uint32)), binary(key), binary(more), binary(many)], names=["bucket", "block", "at", "key", "more", "many"])
 
+class _Deal:
+    """How a block's keys fall to buckets, by the high bits of a hash."""
 
-def _values(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(column)), dtype=kind)
+    def __init__(self, by: np.ndarray, n_buckets: int):
+        bucket = ((by >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(n_buckets + 1))
 
+    def rows(self, block: str, keys: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        """One row for each bucket that gets keys; ``keys`` has a row of bytes per key."""
+        own = [(b, self.order[self.cuts[b] : self.cuts[b + 1]]) for b in np.flatnonzero(np.diff(self.cuts))]
+        binary = lambda pack: pa.array([pack(places) for _, places in own], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), pa.array([block] * len(own), pa.string()), binary(lambda places: keys[places].tobytes()), binary(lambda places: np.packbits(many[places]).tobytes())], names=["bucket", "block", "keys", "many"])
 
-def _answer(table: pa.Table, code: np.ndarray) -> pa.Table:
-    """Sends codes other than 0 back to the blocks they belong to."""
-    at, ends = _values(table, "at", np.uint32), np.cumsum([len(x.as_py()) // 4 for x in table.column("at")])
-    parts = [(np.flatnonzero(code[a:b]) + a) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return pa.table({"block": table.column("block").cast(pa.string()), "at": pa.array([at[p].tobytes() for p in parts], pa.binary()), "code": pa.array([code[p].tobytes() for p in parts], pa.binary())})
+    def answers(self, replies: pa.Table, column: str) -> np.ndarray:
+        """A bucket's bits, put back at their keys."""
+        out = np.zeros(len(self.order), dtype=bool)
+        for bucket, bits in zip(replies.column("bucket").to_pylist(), replies.column(column).to_pylist(), strict=True):
+            places = self.order[self.cuts[bucket] : self.cuts[bucket + 1]]
+            out[places] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(places)).astype(bool)
+        return out
 
 
-def _send_sample(span: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column("block").to_pylist():
-                at, _, _, kind, rank = Block(block).sample(span)
-                first, many, _ = _merge(rank, kind)
-                # A class key needs no more bits: classes that meet by chance only add work.
-                yield _send(block, n_buckets, kind[first], at[first], kind[first].astype(np.uint32), rank[first].view(np.uint8).reshape(-1, 8)[:, :7], many)
+def _low_bytes(values: np.ndarray, n: int) -> np.ndarray:
+    return values.view(np.uint8).reshape(-1, 8)[:, :n]
 
-    return run
 
+def _number(rows: np.ndarray) -> np.ndarray:
+    """Bytes of each row as one number."""
+    wide = np.zeros((len(rows), 8), dtype=np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(np.uint64).ravel()
 
-def rank_sample(kind: np.ndarray, rank: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """COVERED for a shared rank; SORTED if the class has other ranks and this place stands for its own."""
-    order, starts = _groups(rank, kind)
-    sizes = np.diff(np.append(starts, len(order)))
-    shared = (sizes > 1) | many[order[starts]]
-    _, classes = _groups(kind[order[starts]])  # starts are in order of class already
-    ranks = np.diff(np.append(classes, len(starts)))
-    mixed = np.repeat(ranks > 1, ranks)
-    code = np.zeros(len(order), dtype=np.uint8)
-    code[order[np.repeat(shared, sizes)]] = COVERED
-    code[order[starts[mixed]]] |= SORTED
-    return code
 
+def rank_sample(kind: np.ndarray, rank: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ranks are shared; and which places stand for their rank in a class of several."""
+    order, new = _order(rank, kind)
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number, minlength=int(new.sum())) > 1
+    shared |= np.bincount(number, weights=many[order], minlength=len(shared)) > 0
+    heads = order[new]
+    fresh = np.ones(len(heads), dtype=bool)
+    fresh[1:] = kind[heads][1:] != kind[heads][:-1]
+    mixed = (np.bincount(np.cumsum(fresh) - 1) > 1)[np.cumsum(fresh) - 1] if len(heads) else fresh
+    is_shared, stands = np.zeros(len(kind), dtype=bool), np.zeros(len(kind), dtype=bool)
+    is_shared[order] = shared[number]
+    stands[heads[mixed]] = True
+    return is_shared, stands
 
-def _rank_bucket(table: pa.Table) -> pa.Table:
-    seven = _values(table, "more", np.uint8).reshape(-1, 7)
-    rank = np.zeros((len(seven), 8), dtype=np.uint8)
-    rank[:, :7] = seven
-    return _answer(table, rank_sample(_values(table, "key", np.uint32), rank.view(np.uint64).ravel(), _values(table, "many", bool)))
 
+def _sort_bucket(stage: int):
+    """Sorts one bucket and answers each block."""
 
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    key, many = _values(table, "key", np.uint64), _values(table, "many", bool)
-    order, starts = _groups(key)
-    sizes = np.diff(np.append(starts, len(order)))
-    code = np.zeros(len(order), dtype=np.uint8)
-    code[order[np.repeat((sizes > 1) | many[order[starts]], sizes)]] = COVERED
-    return _answer(table, code)
+    def run(table: pa.Table) -> pa.Table:
+        width = KEY_BYTES[stage]
+        held = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, width) for x in table.column("keys")]
+        many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)) for x, h in zip(table.column("many"), held, strict=True)]).astype(bool)
+        ends = np.cumsum([len(h) for h in held])
+        keys = np.concatenate(held)
+        if stage == RANKS:
+            shared, further = rank_sample(_number(keys[:, :4]), _number(keys[:, 4:]), many)
+        else:
+            merged = _Merged(_number(keys))
+            shared = (merged.many | (np.bincount(merged.number, weights=many) > 0))[merged.number]
+            further = shared if stage == CLASSES else np.zeros(len(keys), dtype=bool)
+        cut = lambda bits: [bits[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        binary = lambda parts: pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())
+        return pa.table({"bucket": table.column("bucket").cast(pa.int32()), "block": table.column("block").cast(pa.string()), "shared": binary(cut(shared)), "further": binary(cut(further)), "n_further": pa.array([int(p.sum()) for p in cut(further)], pa.int64())})
+
+    return run
 
 
 # --------------------------------------------------------------------- block passes
 
 
-def _of_stage(table: pa.Table, stage: int, code: int) -> np.ndarray:
-    own = table.filter(pc.equal(table.column("stage"), stage))
-    at = _values(own, "at", np.uint32).astype(np.int64)
-    return np.sort(at[_values(own, "code", np.uint8) & code > 0])
+class _Run:
+    """A block, and what the buckets have answered so far; each sort builds on the one before."""
+
+    def __init__(self, path: str, span: int, n_buckets: dict[int, int], replies: pa.Table | None = None):
+        self.path, self.span, self.n_buckets, self.replies = path, span, n_buckets, replies
+        self.block = Block(path)
+        self.at, self.left, self.right, self.kind, self.rank = self.block.sample(span)
+
+    def _answers(self, stage: int, deal: _Deal, column: str) -> np.ndarray:
+        return deal.answers(self.replies.filter(pc.equal(self.replies.column("stage"), stage)), column)
+
+    def classes(self) -> tuple[_Merged, _Deal]:
+        merged = _Merged(self.kind)
+        return merged, _Deal(self.kind[merged.first], self.n_buckets[CLASSES])
+
+    def ranks(self) -> tuple[np.ndarray, _Merged, _Deal]:
+        """Sampled places whose class has others, merged by rank."""
+        merged, deal = self.classes()
+        places = np.flatnonzero((self._answers(CLASSES, deal, "shared") | merged.many)[merged.number])
+        merged = _Merged(self.rank[places], self.kind[places])
+        return places, merged, _Deal(self.kind[places[merged.first]], self.n_buckets[RANKS])
+
+    def verdicts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places with a shared rank, and those whose suffixes are to be sorted."""
+        places, merged, deal = self.ranks()
+        shared = (self._answers(RANKS, deal, "shared") | merged.many)[merged.number]
+        return places[shared], places[merged.first[self._answers(RANKS, deal, "further")]]
+
+    def suffixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, _Merged, _Deal]:
+        found, keys = self.block.suffixes(np.sort(self.at[chosen]), self.span)
+        merged = _Merged(keys)
+        return found, keys, merged, _Deal(keys[merged.first], self.n_buckets[SUFFIXES])
+
+    def sent(self, stage: int) -> pa.RecordBatch:
+        if stage == CLASSES:
+            merged, deal = self.classes()
+            keys = _low_bytes(self.kind[merged.first], 4)
+        elif stage == RANKS:
+            places, merged, deal = self.ranks()
+            heads = places[merged.first]
+            keys = np.hstack([_low_bytes(self.kind[heads], 4), _low_bytes(self.rank[heads], 6)])
+        else:
+            _, all_keys, merged, deal = self.suffixes(self.verdicts()[1])
+            keys = _low_bytes(all_keys[merged.first], 7)
+        return deal.rows(self.path, keys, merged.many)
+
+    def gone(self) -> np.ndarray:
+        """Which bytes of the block go."""
+        shared, chosen = self.verdicts()
+        shared = shared[self.left[shared] + self.right[shared] >= self.span]
+        found, _, merged, deal = self.suffixes(chosen)
+        equal = found[(self._answers(SUFFIXES, deal, "shared") | merged.many)[merged.number]]
+        starts, ends = self.at[shared] - self.left[shared], self.at[shared] + self.right[shared]
+        return _covered(np.concatenate((starts, equal)), np.concatenate((ends, equal + self.span)), len(self.block.data))
+
+
+def _send_classes(span: int, n_buckets: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("block").to_pylist():
+                yield _Run(path, span, n_buckets).sent(CLASSES)
 
+    return run
 
-def _send_suffixes(span: int, n_buckets: int):
+
+def _send(stage: int, span: int, n_buckets: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
-        name = table.column("block")[0].as_py()
-        block = Block(name)
-        at, key = block.suffixes(_of_stage(table, 1, SORTED), span)
-        first, many, _ = _merge(key)
-        return pa.Table.from_batches([_send(name, n_buckets, key[first], at[first], key[first], np.zeros((len(first), 0), dtype=np.uint8), many)])
+        return pa.Table.from_batches([_Run(table.column("block")[0].as_py(), span, n_buckets, table).sent(stage)])
 
     return run
 
 
-def _cut_block(span: int):
+def _cut_block(span: int, n_buckets: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
-        block = Block(table.column("block")[0].as_py())
-        n = len(block.data)
-        at, left, right, key, rank = block.sample(span)
-        shared = np.union1d(_merge(rank, key)[2], np.searchsorted(at, _of_stage(table, 1, COVERED)))
-        shared = shared[left[shared] + right[shared] >= span]
-        places, keys = block.suffixes(_of_stage(table, 1, SORTED), span)
-        equal = np.concatenate((places[_merge(keys)[2]], _of_stage(table, 2, COVERED)))
-        gone = _covered(np.concatenate((at[shared] - left[shared], equal)), np.concatenate((at[shared] + right[shared], equal + span)), n)
-        edge = np.zeros(n + 1, dtype=bool)
+        done = _Run(table.column("block")[0].as_py(), span, n_buckets, table)
+        block, gone = done.block, done.gone()
+        edge = np.zeros(len(gone) + 1, dtype=bool)
         edge[block.offsets] = True
         before = np.concatenate(([False], gone[:-1]))
         after = np.concatenate((gone[1:], [False]))
-        start = np.flatnonzero(gone & (~before | edge[:n]))
+        start = np.flatnonzero(gone & (~before | edge[:-1]))
         end = np.flatnonzero(gone & (~after | edge[1:])) + 1
         owner = np.searchsorted(block.offsets, start, side="right") - 1
         bounds = np.searchsorted(owner, np.arange(len(block.ids) + 1))
@@ -249,7 +317,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Returns one row per input row: doc_id, n_bytes, spans (removed byte ranges, maximal,
     as array<struct<start, end>>) and kept (the remaining bytes, concatenated; they need
     not be valid UTF-8). Strings are judged on the input, overlaps count, and no string
-    crosses documents. Equality rests on 56- and 64-bit fingerprints.
+    crosses documents. Equality rests on fingerprints: of contexts 48 bits within a class,
+    of suffixes 56 bits within a bucket.
 
     A null text counts as empty; texts under ``span`` bytes keep all. Repeated rows are
     documents of their own, and so copies of each other. A null id is kept. Columns of
@@ -260,16 +329,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     blocks = as_table(rows.mapInArrow(_write_blocks(fresh_path(docs.sparkSession, "blocks"), block_bytes), "block string, n_bytes long"), "block-list")
     total, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     v = cover_for(span)
+    share = len(COVERS[v]) / v
+    sized = lambda keys, stage: int(keys * KEY_BYTES[stage] / bucket_bytes) + 16
+    further = lambda replies: replies.agg(F.coalesce(F.sum("n_further"), F.lit(0))).first()[0]
+    sort = lambda sent, stage: sent.groupBy("bucket").applyInArrow(_sort_bucket(stage), _REPLY).withColumn("stage", F.lit(stage))
+
+    n_buckets = {CLASSES: sized(total * share, CLASSES)}
     spread = blocks.select("block").repartition(n_blocks or 1, "block")
+    classes = as_table(sort(spread.mapInArrow(_send_classes(span, n_buckets), _SENT), CLASSES).where("n_further > 0"), "classes")
+    # A row of its own keeps blocks to which no bucket has an answer.
+    here = blocks.select(F.lit(0).alias("bucket"), "block", F.lit(b"").alias("shared"), F.lit(b"").alias("further"), F.lit(0).cast("long").alias("n_further"), F.lit(0).alias("stage"))
+    replies = here.unionByName(classes)
 
-    n_buckets = int(total * len(COVERS[v]) / v * 16 / bucket_bytes) + 16
-    ranked = as_table(spread.mapInArrow(_send_sample(span, n_buckets), _SENT).groupBy("bucket").applyInArrow(_rank_bucket, _REPLY).where("length(at) > 0"), "ranks")
-    here = blocks.select("block", F.lit(0).alias("stage"), F.lit(b"").alias("at"), F.lit(b"").alias("code"))
-    replies = here.unionByName(ranked.withColumn("stage", F.lit(1)))
+    n_buckets = n_buckets | {RANKS: sized(further(classes), RANKS)}
+    ranks = as_table(sort(replies.groupBy("block").applyInArrow(_send(RANKS, span, n_buckets), _SENT), RANKS), "ranks")
+    replies = replies.unionByName(ranks)
 
-    n_sorted = ranked.agg(F.coalesce(F.sum(F.length("code")), F.lit(0))).first()[0]
-    n_buckets = int(n_sorted * v / len(COVERS[v]) * 13 / bucket_bytes) + 16
-    sent = replies.groupBy("block").applyInArrow(_send_suffixes(span, n_buckets), _SENT)
-    equal = sent.groupBy("bucket").applyInArrow(_sort_bucket, _REPLY).where("length(at) > 0").withColumn("stage", F.lit(2))
+    n_buckets = n_buckets | {SUFFIXES: sized(further(ranks) / share, SUFFIXES)}
+    suffixes = sort(replies.groupBy("block").applyInArrow(_send(SUFFIXES, span, n_buckets), _SENT), SUFFIXES)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return replies.unionByName(equal).groupBy("block").applyInArrow(_cut_block(span), schema)
+    return replies.unionByName(suffixes).groupBy("block").applyInArrow(_cut_block(span, n_buckets), schema)
