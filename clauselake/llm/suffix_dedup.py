@@ -311,7 +311,7 @@ def _cut_block(span: int, n_buckets: dict[int, int]):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 200, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 200, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, blocks_per_task: int = 4) -> DataFrame:
     """Removes every byte covered by a ``span``-byte string that also starts anywhere else.
 
     Returns one row per input row: doc_id, n_bytes, spans (removed byte ranges, maximal,
@@ -332,7 +332,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     share = len(COVERS[v]) / v
     sized = lambda keys, stage: int(keys * KEY_BYTES[stage] / bucket_bytes) + 16
     further = lambda replies: replies.agg(F.coalesce(F.sum("n_further"), F.lit(0))).first()[0]
-    sort = lambda sent, stage: sent.groupBy("bucket").applyInArrow(_sort_bucket(stage), _REPLY).withColumn("stage", F.lit(stage))
+    # Answers are small beside the work that they start, so partitions are counted by blocks and buckets, not by bytes.
+    sort = lambda sent, stage: sent.repartition(n_buckets[stage], "bucket").groupBy("bucket").applyInArrow(_sort_bucket(stage), _REPLY).withColumn("stage", F.lit(stage))
+    by_block = lambda replies: replies.repartition(-(-n_blocks // blocks_per_task) or 1, "block").groupBy("block")
 
     n_buckets = {CLASSES: sized(total * share, CLASSES)}
     spread = blocks.select("block").repartition(n_blocks or 1, "block")
@@ -342,10 +344,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     replies = here.unionByName(classes)
 
     n_buckets = n_buckets | {RANKS: sized(further(classes), RANKS)}
-    ranks = as_table(sort(replies.groupBy("block").applyInArrow(_send(RANKS, span, n_buckets), _SENT), RANKS), "ranks")
+    ranks = as_table(sort(by_block(replies).applyInArrow(_send(RANKS, span, n_buckets), _SENT), RANKS), "ranks")
     replies = replies.unionByName(ranks)
 
     n_buckets = n_buckets | {SUFFIXES: sized(further(ranks) / share, SUFFIXES)}
-    suffixes = sort(replies.groupBy("block").applyInArrow(_send(SUFFIXES, span, n_buckets), _SENT), SUFFIXES)
+    suffixes = sort(by_block(replies).applyInArrow(_send(SUFFIXES, span, n_buckets), _SENT), SUFFIXES)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return replies.unionByName(suffixes).groupBy("block").applyInArrow(_cut_block(span, n_buckets), schema)
+    return by_block(replies.unionByName(suffixes)).applyInArrow(_cut_block(span, n_buckets), schema)
