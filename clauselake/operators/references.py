@@ -40,9 +40,14 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(F.size(surfaces) > 0, F.aggregate(pairs, start, add)["found"]).otherwise(F.array().cast("array<struct<start:int,end:int,surface:string>>"))
 
 
+def _body_start() -> Column:
+    """Where the text goes on behind the breadcrumb."""
+    return F.when(F.col("breadcrumb") != "", F.length("breadcrumb") + 1).otherwise(0)
+
+
 def _found(chunks: DataFrame, pattern: str) -> DataFrame:
     """Matches behind the breadcrumb of each chunk."""
-    rows = chunks.withColumn("_body", F.when(F.col("breadcrumb") != "", F.length("breadcrumb") + 1).otherwise(0))
+    rows = chunks.withColumn("_body", _body_start())
     return rows.select("chunk_id", "version_id", "clause_path_norm", "_body", F.inline(spans(F.col("text"), pattern))).where("start >= _body").drop("_body")
 
 
@@ -73,29 +78,21 @@ def internal_references(chunks: DataFrame) -> DataFrame:
     paths = clauses.where("clause_path_norm <> ''").groupBy("version_id", "clause_path_norm").agg(F.min("emit_ord").alias("_ord"))
     by_tail = paths.groupBy("version_id", _tail(F.col("clause_path_norm")).alias("_no")).agg(F.min("clause_path_norm").alias("_target"))
     previous = paths.withColumn("_before", F.lag("clause_path_norm").over(Window.partitionBy("version_id").orderBy("_ord"))).drop("_ord")
-    out = None
-    for ref_type, kind, pattern in INTERNAL:
-        found = _found(clauses, pattern)
-        if kind == "clause":
-            found = found.withColumn("_no", _clause_no(F.col("surface"))).where(F.col("_no").isNotNull() & ~F.col("_no").eqNullSafe(_tail(F.col("clause_path_norm"))))
-            found = found.join(by_tail, ["version_id", "_no"], "left")
-            target, resolved = F.col("_target"), F.col("_target").isNotNull()
-        elif kind == "document":
-            target, resolved = F.lit(None).cast("string"), F.lit(True)
-        elif kind == "article":
-            target = F.nullif("clause_path_norm", F.lit(""))
-            resolved = target.isNotNull()
-        elif kind == "chapter":
-            target = F.when(F.col("clause_path_norm").contains("/"), F.split("clause_path_norm", "/")[0])
-            resolved = target.isNotNull()
-        elif kind == "previous":
-            found = found.join(previous, ["version_id", "clause_path_norm"], "left")
-            target, resolved = F.col("_before"), F.col("_before").isNotNull()
-        else:
-            target, resolved = F.lit(None).cast("string"), F.lit(False)
-        rows = found.select("chunk_id", "version_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "surface", F.lit(ref_type).alias("ref_type"), F.col("version_id").alias("target_version_id"), target.alias("target_path"), F.when(resolved, "resolved").otherwise("unresolved").alias("status"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # All patterns in one pass over the text.
+    typed = lambda ref_type, kind, pattern: F.transform(spans(F.col("text"), pattern), lambda m: F.struct(F.lit(ref_type).alias("ref_type"), F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["surface"].alias("surface")))
+    found = clauses.select("chunk_id", "version_id", "clause_path_norm", _body_start().alias("_body"), F.inline(F.concat(*[typed(*p) for p in INTERNAL]))).where("start >= _body")
+    found = found.withColumn("_no", F.when(F.col("kind") == "clause", _clause_no(F.col("surface"))))
+    own = F.col("_no").eqNullSafe(_tail(F.col("clause_path_norm")))
+    joined = found.where((F.col("kind") != "clause") | (F.col("_no").isNotNull() & ~own)).join(by_tail, ["version_id", "_no"], "left").join(previous, ["version_id", "clause_path_norm"], "left")
+    target = (
+        F.when(F.col("kind") == "clause", F.col("_target"))
+        .when(F.col("kind") == "article", F.nullif("clause_path_norm", F.lit("")))
+        .when((F.col("kind") == "chapter") & F.col("clause_path_norm").contains("/"), F.split("clause_path_norm", "/")[0])
+        .when(F.col("kind") == "previous", F.col("_before"))
+    )
+    rows = joined.withColumn("target_path", target)
+    resolved = F.col("target_path").isNotNull() | (F.col("kind") == "document")
+    return rows.select("chunk_id", "version_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "surface", "ref_type", F.col("version_id").alias("target_version_id"), "target_path", F.when(resolved, "resolved").otherwise("unresolved").alias("status"))
 
 
 def cross_mentions(chunks: DataFrame) -> DataFrame:
