@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clauselake-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
