@@ -3,8 +3,10 @@
 N-gram counts are gathered over all training texts in hash buckets. The filter holds a
 count c as the events (n-gram, 1) ... (n-gram, 1 + floor(log2 c)); a count is read back
 by probing level after level until one is missing, so an error can only raise it, and
-each further level at a falling rate. Every bucket builds its own segment, and the
-segments together are broadcast; a size bound decides the smallest count that is stored.
+each further level at a falling rate. Every bucket builds its own segment, of all counts
+from 1, and writes it to a table that grows with the training texts. A size bound decides
+how the segments are read and nothing else: up to it they are broadcast together, beyond
+it each block of texts sends its distinct n-grams to their buckets in a shuffle.
 
 The model is a bigram model over words and one end token per text, smoothed by
 unigrams:  p(w | h) = (c(h w) + strength * p(w)) / (c(h) + strength).
@@ -25,7 +27,8 @@ from .common import Hasher, LOWER, as_table, fold_of, mix64, text_slices, word_r
 
 BITS_PER_EVENT = 10
 PROBES = 4
-MIN_COUNT = 2
+#: Level of a filter that holds none, as its segments stay in a table.
+NO_LEVEL = 64
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 _KEY = np.uint64((1 << 48) - 1)
@@ -115,11 +118,10 @@ def _sum_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     counts = np.zeros(len(keys), dtype=np.int64)
     np.add.at(counts, where, np.concatenate([c for _, c in parts]))
     by_level = np.bincount(_levels(counts), minlength=64)
-    n, total = len(keys), int(counts.sum())
+    n, total, bits = len(keys), int(counts.sum()), build_segment(keys, counts, 1)
     if kind:
-        keep = counts >= MIN_COUNT
-        keys, counts = keys[keep], counts[keep]
-    return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "by_level": pa.array([by_level.tolist()], pa.list_(pa.int64()))})
+        keys, counts = keys[:0], counts[:0]
+    return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "bits": pa.array([bits], pa.binary()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "by_level": pa.array([by_level.tolist()], pa.list_(pa.int64()))})
 
 
 def _event_bits(keys: np.ndarray, level: int, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
@@ -151,8 +153,8 @@ class LogFrequencyFilter:
     n_bits: np.ndarray
     first: int  # the lowest level that is stored
 
-    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts: 0, or the middle of the power-of-two range of the last level found."""
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The last level found of each key, 0 if none is."""
         segment = kind * self.n_buckets + _bucket(keys, self.n_buckets)
         key = keys & _KEY
         level_of = np.zeros(len(keys), dtype=np.int64)
@@ -163,7 +165,15 @@ class LogFrequencyFilter:
                 at = at[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
             level_of[at] = level
             level += 1
-        return np.where(level_of > 0, 1.5 * np.exp2(level_of - 1.0) - 0.5, 0.0)
+        return level_of
+
+    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        return middle_counts(self.levels(keys, kind))
+
+
+def middle_counts(levels: np.ndarray) -> np.ndarray:
+    """Quantised counts: 0, or the middle of the power-of-two range of the last level found."""
+    return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, 0.0)
 
 
 @dataclass
@@ -175,22 +185,13 @@ class LanguageModel:
     head_keys: np.ndarray
     head_counts: np.ndarray
     tail: DataFrame | None = field(default=None)
+    segments: DataFrame | None = field(default=None)  # (kind, bucket, bits), if they are not in ``filter``
 
     @property
     def denominator(self) -> float:
         return self.train_tokens + 0.5 * (self.vocabulary + 1)
 
 
-def _segments(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                keys, counts = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("kind")[k : k + 1], batch.column("bucket")[k : k + 1], pa.array([build_segment(keys, counts, least)], pa.binary())], names=["kind", "bucket", "bits"])
-
-    return run
-
-
 def _vocabulary_part(low: int, high: int, packed: bool):
     """Unigrams with a count in [low, high), as one packed row a bucket or as rows."""
 
@@ -212,23 +213,19 @@ def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 2_
 
     Two bounds hold what is broadcast: ``head_words`` exact unigram counts (those of at
     least the smallest power of two that fits), the rest staying in a table to be joined;
-    and ``filter_bytes``: if the events of n-grams counted MIN_COUNT times need more, the
-    smallest stored count doubles until they fit.
+    and ``filter_bytes``: a larger filter stays in a table whole, to be probed there.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("_text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*")).first()
     n_buckets = max(16, size[0] // bucket_bytes)
     gathered = texts.mapInArrow(_gather(n_buckets), "kind int, bucket int, payload binary")
-    counted = as_table(gathered.groupBy("kind", "bucket").applyInArrow(_sum_bucket, "kind int, bucket int, keys binary, counts binary, n long, total long, by_level array<long>"), "ngrams")
-    levels = {(r.kind, r.level): r.n for r in counted.select("kind", F.posexplode("by_level").alias("level", "n")).groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()}
+    counted = as_table(gathered.groupBy("kind", "bucket").applyInArrow(_sum_bucket, "kind int, bucket int, keys binary, counts binary, bits binary, n long, total long, by_level array<long>"), "ngrams")
+    levels = {r.level: r.n for r in counted.where("kind = 0").select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
     known = counted.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
     head = 1
-    while sum(n for (kind, level), n in levels.items() if kind == 0 and level >= head) > head_words:
+    while sum(n for level, n in levels.items() if level >= head) > head_words:
         head += 1
-    first = int(_levels(np.array([MIN_COUNT]))[0])
-    while sum(n * (level - first + 1) for (_, level), n in levels.items() if level >= first) * BITS_PER_EVENT > filter_bytes * 8:
-        first += 1
     unigrams = counted.where("kind = 0").select("keys", "counts")
     got = unigrams.mapInArrow(_vocabulary_part(1 << (head - 1), 1 << 62, True), "keys binary, counts binary").collect()
     keys = np.frombuffer(b"".join(bytes(r.keys) for r in got), np.uint64)
@@ -236,31 +233,118 @@ def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 2_
     order = np.argsort(keys)
     tail = unigrams.mapInArrow(_vocabulary_part(1, 1 << (head - 1), False), "token long, c long") if head > 1 else None
 
-    parts = sorted(((r.kind * n_buckets + r.bucket, bytes(r.bits)) for r in counted.select("kind", "bucket", "keys", "counts").mapInArrow(_segments(1 << (first - 1)), "kind int, bucket int, bits binary").collect()))
+    segments = counted.select("kind", "bucket", "bits")
+    held = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     n_bits, offsets, at = np.zeros(2 * n_buckets, np.int64), np.zeros(2 * n_buckets, np.int64), 0
+    if held > filter_bytes:
+        bloom = LogFrequencyFilter(n_buckets, np.zeros(1, np.uint8), offsets, n_bits, NO_LEVEL)
+        return LanguageModel(known[1], known[0], size[1], bloom, keys[order], counts[order], tail, segments)
+    parts = sorted((r.kind * n_buckets + r.bucket, bytes(r.bits)) for r in segments.collect())
     for segment, bits in parts:
         n_bits[segment], offsets[segment], at = len(bits) * 8, at, at + len(bits) * 8
-    bloom = LogFrequencyFilter(n_buckets, np.frombuffer(b"".join(b for _, b in parts) or b"\0", np.uint8), offsets, n_bits, first)
+    bloom = LogFrequencyFilter(n_buckets, np.frombuffer(b"".join(b for _, b in parts) or b"\0", np.uint8), offsets, n_bits, 1)
     return LanguageModel(known[1], known[0], size[1], bloom, keys[order], counts[order], tail)
 
 
+def _log_odds(unigram: np.ndarray, pair: np.ndarray, bounds: np.ndarray, n_texts: int, denominator: float, strength: float) -> np.ndarray:
+    """log10 p(token | token before) of every token, from its counts."""
+    context = np.empty(len(unigram))
+    context[1:] = unigram[:-1]
+    context[bounds[:-1]] = n_texts
+    context = np.maximum(context, pair)
+    return np.log10((pair + strength * (unigram + 0.5) / denominator) / (context + strength))
+
+
 def score_tokens(model: LanguageModel, tokens: np.ndarray, bounds: np.ndarray, strength: float) -> np.ndarray:
-    """log10 p(token | token before) of every token."""
+    """log10 p(token | token before) of every token, by the broadcast filter."""
     unigram = model.filter.counts(tokens, 0)
     pair = model.filter.counts(bigrams_of(tokens, bounds), 1)
-    context = np.empty(len(tokens))
-    context[1:] = unigram[:-1]
-    context[bounds[:-1]] = model.n_texts
-    context = np.maximum(context, pair)
-    return np.log10((pair + strength * (unigram + 0.5) / model.denominator) / (context + strength))
+    return _log_odds(unigram, pair, bounds, model.n_texts, model.denominator, strength)
+
+
+def _by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order of their buckets, the bounds of each bucket, the key of each place."""
+    found, of = np.unique(keys, return_inverse=True)
+    bucket = _bucket(found, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1)), rank[of]
+
+
+def _block_tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts of a block, and the first token of each text and the end."""
+    runs = [(tokens, bounds) for _, _, tokens, bounds in tokens_of(column)]
+    starts = np.cumsum([0, *(len(t) for t, _ in runs)])
+    return np.concatenate([t for t, _ in runs]), np.concatenate([*(b[:-1] + s for (_, b), s in zip(runs, starts)), starts[-1:]])
+
+
+def _block_probes(n_buckets: int):
+    """The distinct n-grams of a block, one row (block, kind, bucket, keys) for each bucket; keys keep 48 bits."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tokens, bounds = _block_tokens(table.column("_text"))
+        kinds, buckets, packed = [], [], []
+        for kind, all_keys in ((0, tokens), (1, bigrams_of(tokens, bounds))):
+            keys, cuts, _ = _by_bucket(all_keys, n_buckets)
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                own = keys[cuts[b] : cuts[b + 1]] & _KEY
+                kinds.append(kind)
+                buckets.append(b)
+                packed.append((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (own >> np.uint64(32)).astype(np.uint16).tobytes())
+        return pa.table({"block": pa.array([key[0].as_py()] * len(kinds), pa.int64()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _probe_keys(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.uint32, n).astype(np.uint64) | np.frombuffer(packed, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
 
+def _probe_bucket(probes: pa.Table, segments: pa.Table) -> pa.Table:
+    """The levels that a bucket's segment holds of the keys of each probe."""
+    bits = np.frombuffer(segments.column("bits")[0].as_py(), np.uint8) if segments.num_rows else np.zeros(1, np.uint8)
+    size = len(bits) * 8 if segments.num_rows else 0
+    bloom = LogFrequencyFilter(1, bits, np.zeros(2, np.int64), np.full(2, size, np.int64), 1)
+    levels = [bloom.levels(_probe_keys(k.as_py()), 0).astype(np.uint8).tobytes() for k in probes.column("keys")]
+    return pa.table({"block": probes.column("block"), "kind": probes.column("kind"), "bucket": probes.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
-def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", strength: float = 50.0) -> DataFrame:
+
+def _block_scores(model: LanguageModel, answers: pa.Table, tokens: np.ndarray, bounds: np.ndarray, strength: float) -> np.ndarray:
+    """score_tokens() of a block whose n-grams have been looked up."""
+    answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    kinds = answers.column("kind").to_numpy()
+    counts = []
+    for kind, all_keys in ((0, tokens), (1, bigrams_of(tokens, bounds))):
+        keys, _, of = _by_bucket(all_keys, model.filter.n_buckets)
+        levels = np.frombuffer(b"".join(answers.column("levels")[int(k)].as_py() for k in np.flatnonzero(kinds == kind)), np.uint8)
+        if len(levels) != len(keys):
+            raise ValueError("the texts changed between two reads")
+        counts.append(middle_counts(levels.astype(np.int64))[of])
+    return _log_odds(*counts, bounds, model.n_texts, model.denominator, strength)
+
+
+def _answers(rows: DataFrame, model: LanguageModel, group_blocks: int, n_blocks: int) -> DataFrame:
+    """(block, kind, bucket, levels) for the distinct n-grams of each block, looked up where their segments are.
+
+    The probes of a bucket are dealt over groups of about ``group_blocks`` blocks a bucket.
+    """
+    groups = n_blocks // (group_blocks * model.filter.n_buckets) + 1
+    probes = rows.groupBy("block").applyInArrow(_block_probes(model.filter.n_buckets), "block long, kind int, bucket int, keys binary").withColumn("_group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    segments = model.segments.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    by = ("kind", "bucket", "_group")
+    return probes.groupBy(*by).cogroup(segments.groupBy(*by)).applyInArrow(_probe_bucket, "block long, kind int, bucket int, levels binary")
+
+
+def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", strength: float = 50.0, block_bytes: int = 8 << 20, group_blocks: int = 8) -> DataFrame:
     """Scores every row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is exact: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the words and
     the end token; frequent words are looked up in the broadcast head, the others joined
-    to the tail of the vocabulary. ``score`` is the model's log10 probability.
+    to the tail of the vocabulary. ``score`` is the model's log10 probability; it is the
+    same whether the filter is broadcast or probed in its table. For the latter, texts are
+    dealt by hash into blocks of about ``block_bytes``; equal rows share a block.
 
     A null or empty text has the end token alone. A null id and repeated rows are kept.
     Columns of other names are ignored. A model of no text is allowed (N = V = 0).
@@ -269,32 +353,47 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(LanguageModel(model.train_tokens, model.vocabulary, model.n_texts, model.filter, model.head_keys, model.head_counts))
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), F.col(text_col).cast("string").alias("_text"))
 
+
+    def measured(own: LanguageModel, held: pa.Array, serial: int, tokens: np.ndarray, bounds: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+        n = len(bounds) - 1
+        at = np.minimum(np.searchsorted(own.head_keys, tokens), max(0, len(own.head_keys) - 1))
+        found = own.head_keys[at] == tokens if len(own.head_keys) else np.zeros(len(tokens), dtype=bool)
+        value = np.zeros(len(tokens))
+        value[found] = np.log10(own.head_counts[at[found]] + 0.5) - np.log10(own.denominator)
+        missing = np.concatenate(([0], np.cumsum(~found)))[bounds]
+        return pa.RecordBatch.from_arrays(
+            [
+                held,
+                pa.array(serial + np.arange(n), pa.int64()),
+                pa.array(np.diff(bounds), pa.int64()),
+                pa.array(np.add.reduceat(found.astype(np.int64), bounds[:-1]), pa.int64()),
+                pa.array(np.add.reduceat(value, bounds[:-1]), pa.float64()),
+                pa.array(np.add.reduceat(logs, bounds[:-1]), pa.float64()),
+                pa.ListArray.from_arrays(pa.array(missing, pa.int32()), pa.array(tokens[~found].view(np.int64), pa.int64())),
+            ],
+            names=["_row", "serial", "n_tokens", "n_head", "head_score", "score", "others"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, serial = shared.value, TaskContext.get().partitionId() << 40
-        unit = -np.log10(own.denominator)
         for batch in batches:
             for first, last, tokens, bounds in tokens_of(batch.column("_text")):
-                n = last - first
-                at = np.minimum(np.searchsorted(own.head_keys, tokens), max(0, len(own.head_keys) - 1))
-                found = own.head_keys[at] == tokens if len(own.head_keys) else np.zeros(len(tokens), dtype=bool)
-                value = np.zeros(len(tokens))
-                value[found] = np.log10(own.head_counts[at[found]] + 0.5) + unit
-                missing = np.concatenate(([0], np.cumsum(~found)))[bounds]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_row").slice(first, n),
-                        pa.array(serial + np.arange(n), pa.int64()),
-                        pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(np.add.reduceat(found.astype(np.int64), bounds[:-1]), pa.int64()),
-                        pa.array(np.add.reduceat(value, bounds[:-1]), pa.float64()),
-                        pa.array(np.add.reduceat(score_tokens(own, tokens, bounds, strength), bounds[:-1]), pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(missing, pa.int32()), pa.array(tokens[~found].view(np.int64), pa.int64())),
-                    ],
-                    names=["_row", "serial", "n_tokens", "n_head", "head_score", "score", "others"],
-                )
-                serial += n
-
-    scored = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, serial long, n_tokens long, n_head long, head_score double, score double, others array<long>")
+                yield measured(own, batch.column("_row").slice(first, last - first), serial, tokens, bounds, score_tokens(own, tokens, bounds, strength))
+                serial += last - first
+
+    def run_block(answers: pa.Table, texts: pa.Table) -> pa.Table:
+        own = shared.value
+        tokens, bounds = _block_tokens(texts.column("_text"))
+        logs = _block_scores(own, answers, tokens, bounds, strength)
+        return pa.Table.from_batches([measured(own, texts.column("_row").combine_chunks(), texts.column("block")[0].as_py() << 32, tokens, bounds, logs)])
+
+    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, serial long, n_tokens long, n_head long, head_score double, score double, others array<long>"
+    if model.segments is None:
+        scored = rows.mapInArrow(run, schema)
+    else:
+        n_blocks = (rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // block_bytes + 1
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("_text", "_row"), F.lit(n_blocks)))
+        scored = _answers(rows, model, group_blocks, n_blocks).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, schema)
     unseen = float(np.log10(0.5 / model.denominator))
     if model.tail is None:
         scored = scored.withColumns({"n_tail": F.lit(0), "tail_score": F.lit(0.0)})

@@ -78,3 +78,26 @@ def test_empty_model(spark):
     assert score_texts(empty, model).count() == 0
     row = score_texts(spark.createDataFrame([(None, "a")], "doc_id long, text string"), model).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (2, 0, 0)
+
+
+@pytest.mark.parametrize("filter_bytes", [64 << 20, 64])
+def test_words_seen_once_count(spark, filter_bytes):
+    rows = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(40)], "doc_id long, text string")
+    texts = spark.createDataFrame([(0, "a7 b7 c7"), (1, "a7 c7 b7"), (2, "x y z")], "doc_id long, text string")
+    model = learn_model(rows, filter_bytes=filter_bytes)
+    got = {r.doc_id: r.score for r in score_texts(texts, model).collect()}
+    assert got[0] > got[1] + 1e-3 and got[1] > got[2] + 0.1
+
+
+def test_the_bound_does_not_change_the_model(spark):
+    draw = random.Random(7)
+    lines = [" ".join(f"w{int(draw.expovariate(0.02))}" for _ in range(draw.randint(0, 50))) for _ in range(400)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    whole = learn_model(docs, head_words=20)
+    parted = learn_model(docs, head_words=20, filter_bytes=64)
+    assert whole.segments is None and parted.segments is not None
+    want = {r.doc_id: r for r in score_texts(docs, whole).collect()}
+    got = score_texts(docs, parted, block_bytes=500, group_blocks=1).collect()
+    assert len(got) == len(want) == 402
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-12) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9)
