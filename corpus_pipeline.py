@@ -18,6 +18,8 @@ from clauselake.llm.sharding import shard_documents
 
 #: Marked ids are broadcast up to this number, and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
+#: Keys of texts that share their id are below this; those of null ids are from here to -1.
+OWN_KEYS = -(1 << 62)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +28,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return score_quality(docs, ranker, carry=docs.columns).where("predicted = 1").select("carried.*")
 
 
+def _own_keys(docs: DataFrame) -> DataFrame:
+    """(_id, _hash, _own): a key below OWN_KEYS for each distinct text of the ids that carry several."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    several = texts.groupBy("_id").agg(F.min("_hash").alias("_low"), F.max("_hash").alias("_high")).where("_low <> _high").select("_id")
+    return cut(texts.join(several, "_id", "left_semi").distinct().withColumn("_own", F.lit(OWN_KEYS - 1) - F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of smallest id, of each class of 5-word shingle similarity 0.8.
 
-    Rows with a null id are told apart by their text. Of rows that repeat an id one stays,
-    that of the smallest text hash. Documents without words have no near-duplicates.
+    A document is a distinct pair of id and text, so texts that share an id are decided
+    apart; of those in one class the smallest text hash stays. Rows with a null id are
+    told apart by their text and come before all ids. Of rows that repeat both id and
+    text one stays. Documents without words have no near-duplicates.
     """
-    key = F.coalesce(F.col("doc_id"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
-    classes = similar_components(docs.select(key.alias("doc_id"), "text"), width=5, num=80, den=100)
-    ids = cut(classes.groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")))
-    marked = ids.where("_least < doc_id OR _rows > 1").select(F.col("doc_id").alias("_key"), (F.col("_least") < F.col("doc_id")).alias("_drop"))
+    own = _own_keys(docs)
+    n_own = own.count()
+    small = F.broadcast(own) if n_own <= MOST_BROADCAST else own
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    rows = rows.join(small, ["_id", "_hash"], "left") if n_own else rows.withColumn("_own", F.lit(None).cast("long"))
+    rows = rows.select(F.coalesce("_own", "_id", -1 - F.pmod(F.xxhash64("_row.text"), F.lit(-OWN_KEYS))).alias("_key"), "_row")
+    classes = similar_components(rows.select(F.col("_key").alias("doc_id"), "_row.text"), width=5, num=80, den=100)
+    ids = cut(classes.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")))
+    # Keys of one's own are below all others, so a class that holds one shows it as its least.
+    marked = ids.where(F.col("_least") >= OWN_KEYS).where("_least < _key OR _rows > 1").select("_key", (F.col("_least") < F.col("_key")).alias("_drop"))
+    if n_own:
+        mixed = ids.where(F.col("_least") < OWN_KEYS).join(own.withColumnRenamed("_own", "_key"), "_key", "left")
+        mixed = cut(mixed.select("_key", "_least", "_rows", F.struct(F.coalesce("_id", "_key").alias("_id"), "_hash", "_key").alias("_place")))
+        stay = mixed.groupBy("_least").agg(F.min("_place").alias("_place")).select(F.col("_place._key").alias("_key"), F.lit(False).alias("_drop"))
+        mixed = mixed.join(stay, "_key", "left").select("_key", F.coalesce("_drop", F.lit(True)).alias("_drop"), "_rows")
+        marked = marked.union(mixed.where("_drop OR _rows > 1").select("_key", "_drop"))
     marked = F.broadcast(marked) if marked.count() <= MOST_BROADCAST else marked
-    rows = docs.select(key.alias("_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row")).join(marked, "_key", "left")
+    rows = rows.join(marked, "_key", "left")
     repeated = rows.where("NOT _drop").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
     return rows.where("_drop IS NULL").select("_row.*").union(repeated.select("_row.*"))
 
