@@ -2,12 +2,13 @@
 
 Many questions are answered in one plan: ``queries`` is (query_id, dense, sparse). Scores
 are exact. Visibility filters and the corpus partition are applied before scoring, and
-dense scoring runs against a broadcast of the questions, whose number is checked.
+dense scoring runs against a broadcast of the questions, in blocks of a checked number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,19 @@ def best(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Data
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def dense_best(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, by: tuple[str, ...] = ("query_id",), block: int = MOST_QUERIES) -> DataFrame:
+    """``best`` of ``dense_scores`` for any number of questions, in blocks of about half of ``block`` by query_id.
+
+    ``by`` holds query_id.
+    """
+    if n_queries <= block:
+        return best(dense_scores(corpus, queries, n_queries), k, by)
+    n_blocks = -(-2 * n_queries // block)
+    own = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    parts = [best(dense_scores(corpus, queries.where(own == b), min(n_queries, block)), k, by) for b in range(n_blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists per (query, corpus); (.., score, mode).
 
@@ -97,7 +111,7 @@ def search(corpus: DataFrame, postings: DataFrame, queries: DataFrame, n_queries
     shown = visible(corpus, include_superseded=include_superseded)
     own = postings.join(shown.select("chunk_id"), "chunk_id", "left_semi")
     by = ("query_id", "corpus_type")
-    return fuse(best(dense_scores(shown, queries, n_queries), k, by), best(sparse_scores(own, queries), k, by), k, constant)
+    return fuse(dense_best(shown, queries, n_queries, k, by), best(sparse_scores(own, queries), k, by), k, constant)
 
 
 def retrieve(corpus: DataFrame, postings: DataFrame, queries: DataFrame, n_queries: int, limits: Limits | None = None, **how) -> DataFrame:

@@ -67,7 +67,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CORPUS} SELECT query_id, corpus_type, chunk_id, rank, round(score, 6) AS score FROM dense")
 def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, _, queries, n = _inputs(spark, sf_dir)
-    return R.best(R.dense_scores(R.visible(corpus), queries, n), 25, ("query_id", "corpus_type")).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+    return R.dense_best(R.visible(corpus), queries, n, 25, ("query_id", "corpus_type")).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 @query(f"WITH {_CORPUS} SELECT query_id, corpus_type, chunk_id, CAST(score AS DOUBLE) AS score FROM sscored")

@@ -221,3 +221,13 @@ def test_streams(spark, tmp_path):
     query = events.windowed_counts(events.read(spark, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3  # the last window is still open
+
+
+def test_questions_beyond_one_block(spark):
+    rows = [(k, "P-INT", [float(k % 7), float(k % 5), 1.0]) for k in range(30)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, corpus_type string, dense array<double>")
+    queries = corpus.select(F.col("chunk_id").alias("query_id"), "dense")
+    ranked = lambda found: sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect())
+    want = ranked(retrieval.dense_best(corpus, queries, 30, 3))
+    assert len(want) == 90 and ranked(retrieval.dense_best(corpus, queries, 30, 3, block=15)) == want
+    assert len(ranked(retrieval.dense_best(corpus, queries, 10_001, 3))) == 90
