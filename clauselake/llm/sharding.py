@@ -1,15 +1,17 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-A group (the rows with equal texts) enters one shard whole. Few groups can be large:
-at most ``n_shards * grain`` exceed a 1/(n_shards * grain) share of all bytes, so those
-are packed one by one; all smaller groups are first bundled by hash into a fixed number
-of parcels. The packer therefore sees a number of items that parameters bound, whatever
-the input. A group above a shard's whole share cannot stay whole in shards of
-near-equal size; it alone is cut into pieces.
+A group (the rows with equal texts) enters one shard whole, however large it is. Few
+groups can be large: at most ``n_shards * grain`` exceed a 1/(n_shards * grain) share of
+all bytes, so those are packed one by one; all smaller groups are first bundled by hash
+into a fixed number of parcels, unless there are no more groups than parcels. The packer
+therefore sees a number of items that parameters bound, whatever the input. Items above
+the mean get shards of their own, the others share what is left, and a last pass moves
+items from full shards to emptier ones while that brings the two closer.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -79,10 +81,8 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int, most_bins: int | No
     return bins
 
 
-def pack_into(sizes: Sequence[int], n_bins: int, precision: float = 5e-4) -> list[int]:
+def _fit(sizes: Sequence[int], n_bins: int, precision: float) -> list[int]:
     """Best-fit-decreasing into ``n_bins`` bins of the least capacity that bisection finds."""
-    if not sizes:
-        return []
     low = max(-(-sum(sizes) // n_bins), max(sizes))
     found, high, gap = best_fit_decreasing(sizes, low, n_bins), low, max(1, int(low * precision))
     while found is None:
@@ -95,6 +95,55 @@ def pack_into(sizes: Sequence[int], n_bins: int, precision: float = 5e-4) -> lis
     return found
 
 
+def _level(sizes: Sequence[int], bins: list[int], n_bins: int) -> list[int]:
+    """Moves items from the fullest bin that has a fitting one to the emptiest, until none brings them closer.
+
+    Of a bin's items smaller than the difference the one nearest to its half moves. Every
+    move lowers the sum of squared loads, so the moves end.
+    """
+    held: list[list[tuple[int, int]]] = [[] for _ in range(n_bins)]
+    for k, b in enumerate(bins):
+        held[b].append((sizes[k], k))
+    for items in held:
+        items.sort()
+    loads = [sum(s for s, _ in items) for items in held]
+    while True:
+        low = min(range(n_bins), key=loads.__getitem__)
+        for high in sorted(range(n_bins), key=lambda b: -loads[b]):
+            gap = loads[high] - loads[low]
+            upto = bisect_left(held[high], (gap, -1))
+            if gap > 0 and upto:
+                break
+        else:
+            return bins
+        half = bisect_left(held[high], (gap / 2, -1))
+        at = min((k for k in (half - 1, half) if 0 <= k < upto), key=lambda k: abs(2 * held[high][k][0] - gap))
+        size, item = held[high].pop(at)
+        insort(held[low], (size, item))
+        loads[high], loads[low], bins[item] = loads[high] - size, loads[low] + size, low
+
+
+def pack_into(sizes: Sequence[int], n_bins: int, precision: float = 5e-4) -> list[int]:
+    """The bin of each item, bins as near to equal as indivisible items allow.
+
+    Items above the mean of what is left get bins of their own, largest first; the others
+    go best-fit-decreasing into the remaining bins, and are then levelled. No bin stays
+    empty while another holds two items.
+    """
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    bins, alone, left = [0] * len(sizes), 0, sum(sizes)
+    while alone < min(len(order), n_bins - 1) and sizes[order[alone]] * (n_bins - alone) > left:
+        bins[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest = order[alone:]
+    if rest:
+        own = [sizes[k] for k in rest]
+        for k, b in zip(rest, _level(own, _fit(own, n_bins - alone, precision), n_bins - alone), strict=True):
+            bins[k] = alone + b
+    return bins
+
+
 def _local(spark, rows: Iterable[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
@@ -120,8 +169,8 @@ def shard_documents(
     A null text counts and groups as an empty one. A null id is allowed; rows with the
     same id and text are interchangeable. Other columns are ignored, whatever their
     names. An empty table gives an empty result; with fewer groups than shards some
-    shards stay empty. Groups above a whole shard's share of the bytes are cut by a hash
-    of the id into pieces. Broadcast: at most n_shards * grain groups and their shards.
+    shards stay empty. A group above a shard's share of the bytes has a shard to itself.
+    Broadcast: at most the larger of n_shards * grain and ``parcels`` groups.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -134,24 +183,23 @@ def shard_documents(
     )
     rows = rows if carry else cut(rows)
     groups = cut(rows.groupBy("_h", "text_crc32").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n")))
-    total = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
-    share = -(-total.b // n_shards)
-    large = sorted((r._bytes, r._h, r.text_crc32) for r in groups.where(F.col("_bytes") * F.lit(n_shards * grain) > F.lit(total.b)).collect())
-    named = _local(spark, [(h, crc, parcels + k, b > share) for k, (b, h, crc) in enumerate(large)], "_h long, text_crc32 long, _big long, _cut boolean")
+    total = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count("*").alias("g")).first()
+    named = groups if total.g <= parcels else groups.where(F.col("_bytes") * F.lit(n_shards * grain) > F.lit(total.b))
+    large = sorted((r._h, r.text_crc32) for r in named.select("_h", "text_crc32").collect())
+    named = _local(spark, [(h, crc, parcels + k) for k, (h, crc) in enumerate(large)], "_h long, text_crc32 long, _big long")
     # Ranks are counted within (item, sub), so a hot item is spread over many tasks.
     subs = max(64, total.n // 1_000_000)
     placed = (
         rows.join(named, ["_h", "text_crc32"], "left")
         .withColumn("_item", F.coalesce(F.col("_big"), F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(parcels)).cast("long")))
         .withColumn("_sub", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(subs)))
-        .withColumn("_piece", F.when(F.col("_cut"), F.pmod(F.col("_sub"), F.lit(8 * n_shards))).otherwise(-1))
     )
-    units = cut(placed.groupBy("_item", "_piece", "_sub").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes")))
-    items = sorted((r._item, r._piece, r.b) for r in units.groupBy("_item", "_piece").agg(F.sum("_bytes").alias("b")).collect())
-    bins = pack_into([b for _, _, b in items], n_shards)
-    shards = _local(spark, [(item, piece, shard) for (item, piece, _), shard in zip(items, bins, strict=True)], "_item long, _piece long, shard int")
+    units = cut(placed.groupBy("_item", "_sub").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes")))
+    items = sorted((r._item, r.b) for r in units.groupBy("_item").agg(F.sum("_bytes").alias("b")).collect())
+    bins = pack_into([b for _, b in items], n_shards)
+    shards = _local(spark, [(item, shard) for (item, _), shard in zip(items, bins, strict=True)], "_item long, shard int")
     in_shard = Window.partitionBy("shard").orderBy("_item", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(units.join(shards, ["_item", "_piece"]).withColumn("_before", F.coalesce(F.sum("_n").over(in_shard), F.lit(0))).select("_item", "_sub", "shard", "_before"))
+    offsets = cut(units.join(shards, "_item").withColumn("_before", F.coalesce(F.sum("_n").over(in_shard), F.lit(0))).select("_item", "_sub", "shard", "_before"))
     rank = F.row_number().over(Window.partitionBy("_item", "_sub").orderBy("doc_id", "_h")) - 1
     return placed.join(offsets, ["_item", "_sub"]).select(
         "doc_id",
