@@ -1,37 +1,53 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-N-gram counts are gathered over all training texts in hash buckets. The filter holds a
-count c as the events (n-gram, 1) ... (n-gram, 1 + floor(log2 c)); a count is read back
-by probing level after level until one is missing, so an error can only raise it, and
-each further level at a falling rate. Every bucket builds its own segment, of all counts
-from 1, and writes it to a table that grows with the training texts. A size bound decides
-how the segments are read and nothing else: up to it they are broadcast together, beyond
-it each block of texts sends its distinct n-grams to their buckets in a shuffle.
-
-The model is a bigram model over words and one end token per text, smoothed by
-unigrams:  p(w | h) = (c(h w) + strength * p(w)) / (c(h) + strength).
+N-grams of up to three tokens are counted over all training texts in hash buckets. The
+filter holds a count c as the events (n-gram, 1) ... (n-gram, level of c), levels being
+the ranges of powers of 1.5; a count is read back by probing level after level until one
+is missing, so an error can only raise it, and each further level at a falling rate. Every
+bucket builds its own segment, of all counts from 1, and writes it to a table that grows
+with the training texts. A size bound decides how segments are read and nothing else: up
+to it every worker loads them all from the shared folder (a broadcast that spares the
+driver), beyond it each block of texts sends its distinct n-grams to their buckets.
+
+The model interpolates three orders over words and one end token per text:
+    p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    pk(w | h) = (1 - b) c(h w) / c(h) + b p(k-1)(w | h'),   b by k and the level of c(h).
+The weight b of the lower order is the chance of a new word after contexts of that level,
+by leaving one out: the share of training tokens after such contexts whose n-gram occurs
+just once. Bloom errors are kept down by c(u v w) <= c(u v), c(v w) and c(v w) <= c(v), c(w).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import Hasher, LOWER, as_table, fold_of, mix64, text_slices, word_ranges
+from .common import Hasher, LOWER, as_table, fold_of, fresh_path, mix64, open_fs, text_slices, word_ranges
 
-BITS_PER_EVENT = 10
-PROBES = 4
-#: Level of a filter that holds none, as its segments stay in a table.
-NO_LEVEL = 64
+ORDERS = 3
+BITS_PER_EVENT = 12
+PROBES = 5
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
-_KEY = np.uint64((1 << 48) - 1)
+_LOW = np.uint64(0xFFFFFFFF)
+#: The least count of each level from 1, by powers of 1.5: 1, 2, 3, 4, 6, 8, 12 ...
+LEAST = np.ceil(1.5 ** np.arange(100) - 1e-9)
+#: What a level reads back as: the middle of its range; 0 for level 0.
+VALUES = np.concatenate(([0.0], (LEAST[:-1] + LEAST[1:] - 1) / 2))
+N_LEVELS = len(VALUES)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """The level of each count; 0 for 0."""
+    return np.searchsorted(LEAST, counts, side="right")
 
 
 def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -39,7 +55,7 @@ def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
     Every text, a null one too, ends with the END token.
     """
-    for first, last, data, offsets in text_slices(column):
+    for first, last, data, offsets in text_slices(column, 2 << 20):
         low = LOWER[data]
         start, end, owner = word_ranges(low, offsets)
         words = Hasher(low).ranges(start, end)
@@ -48,95 +64,113 @@ def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield first, last, tokens, bounds + np.arange(last - first + 1)
 
 
-def bigrams_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it, START at the head of a text."""
+def ngrams_of(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Keys of the n-grams of 1, 2 and 3 tokens that end at each token.
+
+    A text starts after START; the first token has no trigram, and its key there is that
+    of its bigram, which is ignored.
+    """
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[bounds[:-1]] = START
-    return mix64(before * np.uint64(0xDA942042E4DD58B5) + tokens)
+    two = mix64(before * np.uint64(0xDA942042E4DD58B5) + tokens)
+    three = np.empty_like(two)
+    three[1:] = mix64((two[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95) + tokens[1:])
+    three[bounds[:-1]] = two[bounds[:-1]]
+    return [tokens, two, three]
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    return (keys >> np.uint64(32)) % np.uint64(n)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray, kind: int, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, bucket, keys and counts) for each bucket; n-grams of kind 1 keep 48 bits of their hash."""
-    bucket = _bucket(keys, n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            k = keys[own] & _KEY if kind else keys[own]
-            yield kind, b, b"".join((np.uint32(len(own)).tobytes(), (k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16 if kind else np.uint32).tobytes(), counts[own].astype(np.uint32).tobytes()))
+def _own_keys(keys: np.ndarray, kind: int) -> np.ndarray:
+    """What a bucket keeps of a key: all of a word's, the low 32 bits of longer n-grams'."""
+    return keys if kind == 0 else keys & _LOW
+
+
+def _pack(keys: np.ndarray, kind: int, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, keys and their counts) for each bucket that gets keys."""
+    if kind == 0:
+        found, counts = np.unique(keys, return_counts=True)
+        bucket = _bucket(found, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        found, counts, bucket = found[order], counts[order], bucket[order]
+    else:
+        found, counts = np.unique(_bucket(keys, n_buckets) << np.uint64(32) | keys & _LOW, return_counts=True)
+        found, bucket = (found & _LOW).astype(np.uint32), found >> np.uint64(32)
+    first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets)))
+    for a, b in zip(first, np.append(first[1:], len(found))):
+        own = counts[a:b]
+        over = np.flatnonzero(own > 255).astype(np.uint32)
+        yield kind, int(bucket[a]), b"".join((np.uint32(b - a).tobytes(), found[a:b].tobytes(), np.minimum(own, 255).astype(np.uint8).tobytes(), over.tobytes(), own[over].astype(np.uint32).tobytes()))
 
 
 def _unpack(payload: bytes, kind: int) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(payload, np.uint32, 1)[0])
-    low = np.frombuffer(payload, np.uint32, n, 4).astype(np.uint64)
-    high = np.frombuffer(payload, np.uint16 if kind else np.uint32, n, 4 + 4 * n).astype(np.uint64)
-    counts = np.frombuffer(payload, np.uint32, n, 4 + 4 * n + (2 if kind else 4) * n).astype(np.int64)
-    return low | high << np.uint64(32), counts
-
+    width = 8 if kind == 0 else 4
+    keys = np.frombuffer(payload, np.uint64 if kind == 0 else np.uint32, n, 4)
+    counts = np.frombuffer(payload, np.uint8, n, 4 + width * n).astype(np.int64)
+    at = 4 + (width + 1) * n
+    n_over = (len(payload) - at) // 8
+    counts[np.frombuffer(payload, np.uint32, n_over, at)] = np.frombuffer(payload, np.uint32, n_over, at + 4 * n_over)
+    return keys, counts
 
-def _gather(n_buckets: int, flush: int = 4_000_000):
-    """Counts of unigrams (kind 0) and bigrams (kind 1), summed over ``flush`` tokens at a time."""
 
-    def summed(parts: list[np.ndarray], kind: int) -> Iterator[tuple[int, int, bytes]]:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        yield from _pack(keys, counts, kind, n_buckets)
+def _gather(n_buckets: int, flush: int = 2_000_000):
+    """Counts of n-grams by order, summed over ``flush`` tokens at a time."""
 
-    def rows(ones: list[np.ndarray], twos: list[np.ndarray]) -> pa.RecordBatch:
-        found = [*summed(ones, 0), *summed(twos, 1)]
+    def rows(held: list[list[np.ndarray]], kind: int) -> pa.RecordBatch:
+        found = list(_pack(np.concatenate(held[kind]), kind, n_buckets))
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=["kind", "bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos, held = [], [], 0
+        held, n = [[] for _ in range(ORDERS)], 0
         for batch in batches:
             for _, _, tokens, bounds in tokens_of(batch.column("_text")):
-                ones.append(tokens)
-                twos.append(bigrams_of(tokens, bounds))
-                held += len(tokens)
-                if held >= flush:
-                    yield rows(ones, twos)
-                    ones, twos, held = [], [], 0
-        if held:
-            yield rows(ones, twos)
+                keys = ngrams_of(tokens, bounds)
+                keys[2] = np.delete(keys[2], bounds[:-1])
+                for own, new in zip(held, keys, strict=True):
+                    own.append(new)
+                n += len(tokens)
+                if n >= flush:
+                    yield from (rows(held, kind) for kind in range(ORDERS))
+                    held, n = [[] for _ in range(ORDERS)], 0
+        if n:
+            yield from (rows(held, kind) for kind in range(ORDERS))
 
     return run
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    return (np.floor(np.log2(counts)) + 1).astype(np.uint8)
-
+def _sum_bucket(bits_per_event: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        parts = [_unpack(p.as_py(), kind) for p in table.column("payload")]
+        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        bits = build_segment(keys.astype(np.uint64), counts, bits_per_event)
+        powers = np.bincount(np.log2(counts).astype(np.int64) + 1, minlength=64)
+        n, total = len(keys), int(counts.sum())
+        if kind:
+            keys, counts = keys[:0], counts[:0]
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "bits": pa.array([bits], pa.binary()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "powers": pa.array([powers.tolist()], pa.list_(pa.int64()))})
 
-def _sum_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    kind, bucket = key[0].as_py(), key[1].as_py()
-    parts = [_unpack(p.as_py(), kind) for p in table.column("payload")]
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    counts = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(counts, where, np.concatenate([c for _, c in parts]))
-    by_level = np.bincount(_levels(counts), minlength=64)
-    n, total, bits = len(keys), int(counts.sum()), build_segment(keys, counts, 1)
-    if kind:
-        keys, counts = keys[:0], counts[:0]
-    return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "bits": pa.array([bits], pa.binary()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "by_level": pa.array([by_level.tolist()], pa.list_(pa.int64()))})
+    return run
 
 
 def _event_bits(keys: np.ndarray, level: int, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
     return mix64(keys * np.uint64(2 * probe + 1) + np.uint64(level * 0x632BE59B + probe * 0x1B873593)) % np.asarray(n_bits, dtype=np.uint64)
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, least: int) -> bytes:
-    """The filter's segment for one bucket: the events of all n-grams counted ``least`` times or more."""
-    keep = counts >= least
-    keys, levels = keys[keep] & _KEY, _levels(counts[keep])
-    first = int(_levels(np.array([least]))[0])
-    events = int((levels.astype(np.int64) - first + 1).sum())
-    n_bits = max(64, -(-events * BITS_PER_EVENT // 64) * 64)
+def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int = BITS_PER_EVENT) -> bytes:
+    """The filter's segment for one bucket: the events of all its n-grams."""
+    levels = levels_of(counts)
+    n_bits = max(64, -(-int(levels.sum()) * bits_per_event // 64) * 64)
     bits = np.zeros(n_bits, dtype=bool)
-    for level in range(first, int(levels.max(initial=0)) + 1):
+    for level in range(1, int(levels.max(initial=0)) + 1):
         own = keys[levels >= level]
         for probe in range(PROBES):
             bits[_event_bits(own, level, probe, n_bits).astype(np.int64)] = True
@@ -151,15 +185,14 @@ class LogFrequencyFilter:
     data: np.ndarray
     offsets: np.ndarray  # of each segment's first bit, by kind * n_buckets + bucket
     n_bits: np.ndarray
-    first: int  # the lowest level that is stored
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """The last level found of each key, 0 if none is."""
-        segment = kind * self.n_buckets + _bucket(keys, self.n_buckets)
-        key = keys & _KEY
+        segment = kind * self.n_buckets + _bucket(keys, self.n_buckets).astype(np.int64)
+        key = _own_keys(keys, kind)
         level_of = np.zeros(len(keys), dtype=np.int64)
-        at, level = np.flatnonzero(self.n_bits[segment] > 0), self.first
-        while len(at) and level < 64:
+        at, level = np.flatnonzero(self.n_bits[segment] > 0), 1
+        while len(at) and level < N_LEVELS:
             for probe in range(PROBES):
                 bit = self.offsets[segment[at]] + _event_bits(key[at], level, probe, self.n_bits[segment[at]]).astype(np.int64)
                 at = at[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
@@ -167,13 +200,28 @@ class LogFrequencyFilter:
             level += 1
         return level_of
 
-    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        return middle_counts(self.levels(keys, kind))
+
+_loaded: dict[str, LogFrequencyFilter] = {}
 
 
-def middle_counts(levels: np.ndarray) -> np.ndarray:
-    """Quantised counts: 0, or the middle of the power-of-two range of the last level found."""
-    return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, 0.0)
+def load_filter(path: str, n_buckets: int, n_bytes: int) -> LogFrequencyFilter:
+    """The whole filter of ``n_bytes`` from its table in the shared folder; a worker loads it once, file by file."""
+    if path not in _loaded:
+        _loaded.clear()
+        store, inner = open_fs(path)
+        data, at = np.zeros(n_bytes, np.uint8), 0
+        n_bits, offsets = np.zeros(ORDERS * n_buckets, np.int64), np.zeros(ORDERS * n_buckets, np.int64)
+        for info in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda f: f.path):
+            if info.base_name.endswith(".parquet"):
+                with store.open_input_file(info.path) as raw:
+                    for batch in pq.ParquetFile(raw).iter_batches(16, columns=["kind", "bucket", "bits"]):
+                        for kind, bucket, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                            segment = kind * n_buckets + bucket
+                            n_bits[segment], offsets[segment] = len(bits) * 8, at * 8
+                            data[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+                            at += len(bits)
+        _loaded[path] = LogFrequencyFilter(n_buckets, data, offsets, n_bits)
+    return _loaded[path]
 
 
 @dataclass
@@ -181,16 +229,104 @@ class LanguageModel:
     train_tokens: int
     vocabulary: int
     n_texts: int
-    filter: LogFrequencyFilter
+    n_buckets: int
+    path: str  # of the table of segments
+    n_bytes: int  # of all segments
+    whole: bool  # whether workers load the filter whole
     head_keys: np.ndarray
     head_counts: np.ndarray
+    back_off: np.ndarray = field(default_factory=lambda: np.ones((ORDERS, N_LEVELS)))  # by order - 1 and level of the context
     tail: DataFrame | None = field(default=None)
-    segments: DataFrame | None = field(default=None)  # (kind, bucket, bits), if they are not in ``filter``
+    segments: DataFrame | None = field(default=None)  # (kind, bucket, bits)
 
     @property
     def denominator(self) -> float:
         return self.train_tokens + 0.5 * (self.vocabulary + 1)
 
+    def sent(self) -> LanguageModel:
+        """The part that tasks need."""
+        return LanguageModel(self.train_tokens, self.vocabulary, self.n_texts, self.n_buckets, self.path, self.n_bytes, self.whole, self.head_keys, self.head_counts, self.back_off)
+
+
+# --------------------------------------------------------------------- reading counts
+
+
+@dataclass
+class Levels:
+    """Levels of the n-grams that end at each token, and of their contexts."""
+
+    grams: list[np.ndarray]
+    contexts: list[np.ndarray]  # of orders 2 and 3 at places 1 and 2
+
+
+def clipped(l1: np.ndarray, l2: np.ndarray, l3: np.ndarray, bounds: np.ndarray, n_texts: int) -> Levels:
+    """Levels lowered to those of the parts of each n-gram; heads of texts have no trigram."""
+    heads = bounds[:-1]
+    before1 = np.concatenate(([0], l1[:-1]))
+    before1[heads] = levels_of(np.array([n_texts]))[0]
+    l2 = np.minimum(l2, np.minimum(l1, before1))
+    before2 = np.concatenate(([0], l2[:-1]))
+    before2[heads] = 0
+    return Levels([l1, l2, np.minimum(l3, np.minimum(l2, before2))], [before1, before1, before2])
+
+
+def log_probabilities(levels: Levels, back_off: np.ndarray, denominator: float) -> np.ndarray:
+    """log10 p(token | two tokens before) of every token."""
+    p = (VALUES[levels.grams[0]] + 0.5) / denominator
+    for k in (1, 2):
+        context = levels.contexts[k]
+        b = np.where(context > 0, back_off[k][context], 1.0)
+        p = (1 - b) * VALUES[levels.grams[k]] / np.maximum(VALUES[context], 1.0) + b * p
+    return np.log10(p)
+
+
+def count_new(levels: Levels) -> np.ndarray:
+    """Tokens by order, level of the context, and whether the n-gram occurs once."""
+    out = np.zeros((ORDERS, N_LEVELS, 2), dtype=np.int64)
+    for k in (1, 2):
+        seen = levels.grams[k] > 0
+        np.add.at(out[k], (levels.contexts[k][seen], (levels.grams[k][seen] == 1).astype(np.int64)), 1)
+    return out
+
+
+def back_off_weights(counts: np.ndarray) -> np.ndarray:
+    """Weights of the lower order, by order and level of the context, from count_new().
+
+    Leaving one out, a context of count n stands among those of n - 1; so the levels of
+    one count each (1 to 3) read the level after their own.
+    """
+    after = np.arange(N_LEVELS)
+    after[1:4] += 1
+    total = counts.sum(axis=2)
+    share = (counts[:, :, 1] + 0.5) / (total + 1.0)
+    return np.clip(share[:, after], 1e-4, 1.0)
+
+
+def _distinct_levels(bloom: LogFrequencyFilter, keys: np.ndarray, kind: int, ask: np.ndarray | None = None) -> np.ndarray:
+    """Levels of ``keys`` (0 where ``ask`` is false), each distinct one probed once."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    at = np.flatnonzero(ask) if ask is not None else slice(None)
+    found, of = np.unique(keys[at], return_inverse=True)
+    out[at] = bloom.levels(found, kind)[of]
+    return out
+
+
+def read_levels(bloom: LogFrequencyFilter, tokens: np.ndarray, bounds: np.ndarray, n_texts: int) -> Levels:
+    """Levels by probing; an n-gram is probed only if its parts are there."""
+    one, two, three = ngrams_of(tokens, bounds)
+    l1 = _distinct_levels(bloom, one, 0)
+    before = np.concatenate(([0], l1[:-1]))
+    before[bounds[:-1]] = n_texts
+    l2 = _distinct_levels(bloom, two, 1, (l1 > 0) & (before > 0))
+    before = np.concatenate(([0], l2[:-1]))
+    before[bounds[:-1]] = 0
+    return clipped(l1, l2, _distinct_levels(bloom, three, 2, (l2 > 0) & (before > 0)), bounds, n_texts)
+
+
+def score_tokens(model: LanguageModel, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """log10 p of every token, by the whole filter."""
+    return log_probabilities(read_levels(load_filter(model.path, model.n_buckets, model.n_bytes), tokens, bounds, model.n_texts), model.back_off, model.denominator)
+
 
 def _vocabulary_part(low: int, high: int, packed: bool):
     """Unigrams with a count in [low, high), as one packed row a bucket or as rows."""
@@ -208,23 +344,27 @@ def _vocabulary_part(low: int, high: int, packed: bool):
     return run
 
 
-def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 2_000_000, filter_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> LanguageModel:
-    """Counts n-grams of all rows of ``docs`` and builds the filter.
+def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 1_000_000, filter_bytes: int = 256 << 20, bucket_bytes: int = 8 << 20, bits_per_event: int = BITS_PER_EVENT) -> LanguageModel:
+    """Counts n-grams of all rows of ``docs``, builds the filter and fits the back-off weights.
 
-    Two bounds hold what is broadcast: ``head_words`` exact unigram counts (those of at
+    Two bounds hold what every worker gets: ``head_words`` exact word counts (those of at
     least the smallest power of two that fits), the rest staying in a table to be joined;
-    and ``filter_bytes``: a larger filter stays in a table whole, to be probed there.
+    and ``filter_bytes``: a larger filter stays in its table, to be probed there. Neither
+    changes what is stored or any result.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("_text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*")).first()
-    n_buckets = max(16, size[0] // bucket_bytes)
+    n_buckets = size[0] // bucket_bytes + 1
+    path = fresh_path(spark, "ngrams")
     gathered = texts.mapInArrow(_gather(n_buckets), "kind int, bucket int, payload binary")
-    counted = as_table(gathered.groupBy("kind", "bucket").applyInArrow(_sum_bucket, "kind int, bucket int, keys binary, counts binary, bits binary, n long, total long, by_level array<long>"), "ngrams")
-    levels = {r.level: r.n for r in counted.where("kind = 0").select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    known = counted.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    gathered.groupBy("kind", "bucket").applyInArrow(_sum_bucket(bits_per_event), "kind int, bucket int, keys binary, counts binary, bits binary, n long, total long, powers array<long>").write.parquet(path)
+    counted = spark.read.schema("kind int, bucket int, keys binary, counts binary, bits binary, n long, total long, powers array<long>").parquet(path)
+    powers = {r.power: r.n for r in counted.where("kind = 0").select(F.posexplode("powers").alias("power", "n")).groupBy("power").agg(F.sum("n").alias("n")).collect()}
+    known = counted.agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.sum(F.when(F.col("kind") == 0, F.col("total"))), F.sum(F.octet_length("bits"))).first()
 
     head = 1
-    while sum(n for level, n in levels.items() if level >= head) > head_words:
+    while sum(n for power, n in powers.items() if power >= head) > head_words:
         head += 1
     unigrams = counted.where("kind = 0").select("keys", "counts")
     got = unigrams.mapInArrow(_vocabulary_part(1 << (head - 1), 1 << 62, True), "keys binary, counts binary").collect()
@@ -232,44 +372,60 @@ def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 2_
     counts = np.frombuffer(b"".join(bytes(r.counts) for r in got), np.int64)
     order = np.argsort(keys)
     tail = unigrams.mapInArrow(_vocabulary_part(1, 1 << (head - 1), False), "token long, c long") if head > 1 else None
+    whole = (known[2] or 0) <= filter_bytes
+    model = LanguageModel(known[1] or 0, known[0] or 0, size[1], n_buckets, path, known[2] or 0, whole, keys[order], counts[order], tail=tail, segments=counted.select("kind", "bucket", "bits"))
+    model.back_off = _fit_back_off(texts, model)
+    return model
 
-    segments = counted.select("kind", "bucket", "bits")
-    held = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-    n_bits, offsets, at = np.zeros(2 * n_buckets, np.int64), np.zeros(2 * n_buckets, np.int64), 0
-    if held > filter_bytes:
-        bloom = LogFrequencyFilter(n_buckets, np.zeros(1, np.uint8), offsets, n_bits, NO_LEVEL)
-        return LanguageModel(known[1], known[0], size[1], bloom, keys[order], counts[order], tail, segments)
-    parts = sorted((r.kind * n_buckets + r.bucket, bytes(r.bits)) for r in segments.collect())
-    for segment, bits in parts:
-        n_bits[segment], offsets[segment], at = len(bits) * 8, at, at + len(bits) * 8
-    bloom = LogFrequencyFilter(n_buckets, np.frombuffer(b"".join(b for _, b in parts) or b"\0", np.uint8), offsets, n_bits, 1)
-    return LanguageModel(known[1], known[0], size[1], bloom, keys[order], counts[order], tail)
 
+def _fit_back_off(texts: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Back-off weights from one pass over all training texts."""
+    sent = model.sent()
+    names = ["cell", "n"]
 
-def _log_odds(unigram: np.ndarray, pair: np.ndarray, bounds: np.ndarray, n_texts: int, denominator: float, strength: float) -> np.ndarray:
-    """log10 p(token | token before) of every token, from its counts."""
-    context = np.empty(len(unigram))
-    context[1:] = unigram[:-1]
-    context[bounds[:-1]] = n_texts
-    context = np.maximum(context, pair)
-    return np.log10((pair + strength * (unigram + 0.5) / denominator) / (context + strength))
+    def cells(total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDERS * N_LEVELS * 2, dtype=np.int64)
+        for batch in batches:
+            for _, _, tokens, bounds in tokens_of(batch.column("_text")):
+                total += count_new(read_levels(load_filter(sent.path, sent.n_buckets, sent.n_bytes), tokens, bounds, sent.n_texts)).ravel()
+        yield cells(total)
+
+    def run_block(answers: pa.Table, block: pa.Table) -> pa.Table:
+        tokens, bounds = _block_tokens(block.column("_text"))
+        return pa.Table.from_batches([cells(count_new(_block_levels(sent, answers, tokens, bounds)).ravel())])
+
+    if model.whole:
+        found = texts.mapInArrow(run, "cell int, n long")
+    else:
+        rows = _dealt(texts, "_text")
+        found = _answers(rows, model).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, "cell int, n long")
+    counts = np.zeros(ORDERS * N_LEVELS * 2, dtype=np.int64)
+    for r in found.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r.cell] = r.n
+    return back_off_weights(counts.reshape(ORDERS, N_LEVELS, 2))
 
 
-def score_tokens(model: LanguageModel, tokens: np.ndarray, bounds: np.ndarray, strength: float) -> np.ndarray:
-    """log10 p(token | token before) of every token, by the broadcast filter."""
-    unigram = model.filter.counts(tokens, 0)
-    pair = model.filter.counts(bigrams_of(tokens, bounds), 1)
-    return _log_odds(unigram, pair, bounds, model.n_texts, model.denominator, strength)
+# ------------------------------------------------- a filter that stays in its table
+
+
+def _dealt(rows: DataFrame, *by: str, block_bytes: int = 8 << 20) -> DataFrame:
+    """Rows with the number of their block, of about ``block_bytes`` of text; equal rows share a block."""
+    n_blocks = (rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // block_bytes + 1
+    return rows.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(n_blocks)))
 
 
 def _by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order of their buckets, the bounds of each bucket, the key of each place."""
+    """Distinct keys in order of their buckets, the bucket of each, the key of each place."""
     found, of = np.unique(keys, return_inverse=True)
-    bucket = _bucket(found, n_buckets)
+    bucket = _bucket(found, n_buckets).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), dtype=np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    return found[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1)), rank[of]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], bucket[order], rank[of]
 
 
 def _block_tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,80 +436,73 @@ def _block_tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_probes(n_buckets: int):
-    """The distinct n-grams of a block, one row (block, kind, bucket, keys) for each bucket; keys keep 48 bits."""
+    """The distinct n-grams of a block: one row (block, kind, bucket, keys) for each bucket they fall to."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tokens, bounds = _block_tokens(table.column("_text"))
         kinds, buckets, packed = [], [], []
-        for kind, all_keys in ((0, tokens), (1, bigrams_of(tokens, bounds))):
-            keys, cuts, _ = _by_bucket(all_keys, n_buckets)
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own = keys[cuts[b] : cuts[b + 1]] & _KEY
+        for kind, all_keys in enumerate(ngrams_of(*_block_tokens(table.column("_text")))):
+            keys, bucket, _ = _by_bucket(all_keys, n_buckets)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(first, np.append(first[1:], len(keys))):
                 kinds.append(kind)
-                buckets.append(b)
-                packed.append((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (own >> np.uint64(32)).astype(np.uint16).tobytes())
+                buckets.append(int(bucket[a]))
+                packed.append(keys[a:b].tobytes() if kind == 0 else (keys[a:b] & _LOW).astype(np.uint32).tobytes())
         return pa.table({"block": pa.array([key[0].as_py()] * len(kinds), pa.int64()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _probe_keys(packed: bytes) -> np.ndarray:
-    n = len(packed) // 6
-    return np.frombuffer(packed, np.uint32, n).astype(np.uint64) | np.frombuffer(packed, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
 def _probe_bucket(probes: pa.Table, segments: pa.Table) -> pa.Table:
     """The levels that a bucket's segment holds of the keys of each probe."""
     bits = np.frombuffer(segments.column("bits")[0].as_py(), np.uint8) if segments.num_rows else np.zeros(1, np.uint8)
     size = len(bits) * 8 if segments.num_rows else 0
-    bloom = LogFrequencyFilter(1, bits, np.zeros(2, np.int64), np.full(2, size, np.int64), 1)
-    levels = [bloom.levels(_probe_keys(k.as_py()), 0).astype(np.uint8).tobytes() for k in probes.column("keys")]
+    bloom = LogFrequencyFilter(1, bits, np.zeros(ORDERS, np.int64), np.full(ORDERS, size, np.int64))
+    levels = []
+    for kind, packed in zip(probes.column("kind").to_pylist(), probes.column("keys"), strict=True):
+        keys = np.frombuffer(packed.as_py(), np.uint64 if kind == 0 else np.uint32).astype(np.uint64)
+        levels.append(bloom.levels(keys, kind).astype(np.uint8).tobytes())
     return pa.table({"block": probes.column("block"), "kind": probes.column("kind"), "bucket": probes.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
 
-def _block_scores(model: LanguageModel, answers: pa.Table, tokens: np.ndarray, bounds: np.ndarray, strength: float) -> np.ndarray:
-    """score_tokens() of a block whose n-grams have been looked up."""
+def _block_levels(model: LanguageModel, answers: pa.Table, tokens: np.ndarray, bounds: np.ndarray) -> Levels:
+    """read_levels() of a block whose n-grams have been looked up."""
     answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
     kinds = answers.column("kind").to_numpy()
-    counts = []
-    for kind, all_keys in ((0, tokens), (1, bigrams_of(tokens, bounds))):
-        keys, _, of = _by_bucket(all_keys, model.filter.n_buckets)
+    found = []
+    for kind, all_keys in enumerate(ngrams_of(tokens, bounds)):
+        keys, _, of = _by_bucket(all_keys, model.n_buckets)
         levels = np.frombuffer(b"".join(answers.column("levels")[int(k)].as_py() for k in np.flatnonzero(kinds == kind)), np.uint8)
         if len(levels) != len(keys):
             raise ValueError("the texts changed between two reads")
-        counts.append(middle_counts(levels.astype(np.int64))[of])
-    return _log_odds(*counts, bounds, model.n_texts, model.denominator, strength)
+        found.append(levels.astype(np.int64)[of])
+    return clipped(*found, bounds, model.n_texts)
 
 
-def _answers(rows: DataFrame, model: LanguageModel, group_blocks: int, n_blocks: int) -> DataFrame:
+def _answers(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """(block, kind, bucket, levels) for the distinct n-grams of each block, looked up where their segments are.
 
-    The probes of a bucket are dealt over groups of about ``group_blocks`` blocks a bucket.
+    A bucket's probes come merged by block, so no n-gram makes a bucket hot.
     """
-    groups = n_blocks // (group_blocks * model.filter.n_buckets) + 1
-    probes = rows.groupBy("block").applyInArrow(_block_probes(model.filter.n_buckets), "block long, kind int, bucket int, keys binary").withColumn("_group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    segments = model.segments.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    by = ("kind", "bucket", "_group")
-    return probes.groupBy(*by).cogroup(segments.groupBy(*by)).applyInArrow(_probe_bucket, "block long, kind int, bucket int, levels binary")
+    probes = rows.groupBy("block").applyInArrow(_block_probes(model.n_buckets), "block long, kind int, bucket int, keys binary")
+    by = ("kind", "bucket")
+    return probes.groupBy(*by).cogroup(model.segments.groupBy(*by)).applyInArrow(_probe_bucket, "block long, kind int, bucket int, levels binary")
 
 
-def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", strength: float = 50.0, block_bytes: int = 8 << 20, group_blocks: int = 8) -> DataFrame:
+def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """Scores every row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is exact: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the words and
-    the end token; frequent words are looked up in the broadcast head, the others joined
-    to the tail of the vocabulary. ``score`` is the model's log10 probability; it is the
-    same whether the filter is broadcast or probed in its table. For the latter, texts are
-    dealt by hash into blocks of about ``block_bytes``; equal rows share a block.
+    the end token; frequent words are looked up in the head, the others joined to the tail
+    of the vocabulary. ``score`` is the model's log10 probability; it is the same whether
+    workers load the filter or probe it in its table. For the latter, texts are dealt by
+    hash into blocks of about ``block_bytes``.
 
     A null or empty text has the end token alone. A null id and repeated rows are kept.
     Columns of other names are ignored. A model of no text is allowed (N = V = 0).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(LanguageModel(model.train_tokens, model.vocabulary, model.n_texts, model.filter, model.head_keys, model.head_counts))
+    shared = docs.sparkSession.sparkContext.broadcast(model.sent())
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), F.col(text_col).cast("string").alias("_text"))
 
-
     def measured(own: LanguageModel, held: pa.Array, serial: int, tokens: np.ndarray, bounds: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
         n = len(bounds) - 1
         at = np.minimum(np.searchsorted(own.head_keys, tokens), max(0, len(own.head_keys) - 1))
@@ -378,22 +527,21 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id"
         own, serial = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, tokens, bounds in tokens_of(batch.column("_text")):
-                yield measured(own, batch.column("_row").slice(first, last - first), serial, tokens, bounds, score_tokens(own, tokens, bounds, strength))
+                yield measured(own, batch.column("_row").slice(first, last - first), serial, tokens, bounds, score_tokens(own, tokens, bounds))
                 serial += last - first
 
     def run_block(answers: pa.Table, texts: pa.Table) -> pa.Table:
         own = shared.value
         tokens, bounds = _block_tokens(texts.column("_text"))
-        logs = _block_scores(own, answers, tokens, bounds, strength)
+        logs = log_probabilities(_block_levels(own, answers, tokens, bounds), own.back_off, own.denominator)
         return pa.Table.from_batches([measured(own, texts.column("_row").combine_chunks(), texts.column("block")[0].as_py() << 32, tokens, bounds, logs)])
 
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, serial long, n_tokens long, n_head long, head_score double, score double, others array<long>"
-    if model.segments is None:
+    if model.whole:
         scored = rows.mapInArrow(run, schema)
     else:
-        n_blocks = (rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // block_bytes + 1
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("_text", "_row"), F.lit(n_blocks)))
-        scored = _answers(rows, model, group_blocks, n_blocks).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, schema)
+        rows = _dealt(rows, "_text", "_row", block_bytes=block_bytes)
+        scored = _answers(rows, model).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, schema)
     unseen = float(np.log10(0.5 / model.denominator))
     if model.tail is None:
         scored = scored.withColumns({"n_tail": F.lit(0), "tail_score": F.lit(0.0)})
@@ -413,4 +561,5 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id"
 
 
 def training_rows(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 5, held_out_fold: int = 1) -> DataFrame:
+    """The rows of ``docs`` that are not in ``held_out_fold`` of crc32(id as text) modulo ``folds``; null ids are in fold 0."""
     return docs.where(fold_of(F.col(id_col), folds) != held_out_fold)
