@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +54,7 @@ def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
     Every text, a null one too, ends with the END token.
     """
-    for first, last, data, offsets in text_slices(column, 2 << 20):
+    for first, last, data, offsets in text_slices(column):
         low = LOWER[data]
         start, end, owner = word_ranges(low, offsets)
         words = Hasher(low).ranges(start, end)
@@ -161,8 +160,15 @@ def _sum_bucket(bits_per_event: int):
     return run
 
 
-def _event_bits(keys: np.ndarray, level: int, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
-    return mix64(keys * np.uint64(2 * probe + 1) + np.uint64(level * 0x632BE59B + probe * 0x1B873593)) % np.asarray(n_bits, dtype=np.uint64)
+def _event_hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the event (key, level); probe k reads the bit of the first plus k times the second."""
+    first = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    return first, first * np.uint64(0xD1342543DE82EF95) | np.uint64(1)
+
+
+def _place(hashes: np.ndarray, n_bits: np.ndarray | np.uint64) -> np.ndarray:
+    """A bit number under ``n_bits`` (which 32 bits must hold)."""
+    return (hashes >> np.uint64(32)) * n_bits >> np.uint64(32)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int = BITS_PER_EVENT) -> bytes:
@@ -171,9 +177,10 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int = BI
     n_bits = max(64, -(-int(levels.sum()) * bits_per_event // 64) * 64)
     bits = np.zeros(n_bits, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= level]
-        for probe in range(PROBES):
-            bits[_event_bits(own, level, probe, n_bits).astype(np.int64)] = True
+        hashes, step = _event_hashes(keys[levels >= level], level)
+        for _ in range(PROBES):
+            bits[_place(hashes, np.uint64(n_bits)).astype(np.int64)] = True
+            hashes = hashes + step
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -189,39 +196,53 @@ class LogFrequencyFilter:
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """The last level found of each key, 0 if none is."""
         segment = kind * self.n_buckets + _bucket(keys, self.n_buckets).astype(np.int64)
-        key = _own_keys(keys, kind)
         level_of = np.zeros(len(keys), dtype=np.int64)
-        at, level = np.flatnonzero(self.n_bits[segment] > 0), 1
+        at = np.flatnonzero(self.n_bits[segment] > 0)
+        key, size, base, level = _own_keys(keys, kind)[at], self.n_bits[segment[at]].astype(np.uint64), self.offsets[segment[at]], 1
         while len(at) and level < N_LEVELS:
-            for probe in range(PROBES):
-                bit = self.offsets[segment[at]] + _event_bits(key[at], level, probe, self.n_bits[segment[at]]).astype(np.int64)
-                at = at[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            hashes, step = _event_hashes(key, level)
+            for _ in range(PROBES):
+                bit = base + _place(hashes, size).astype(np.int64)
+                found = np.flatnonzero((self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                if len(found) < len(at):
+                    at, key, size, base, hashes, step = at[found], key[found], size[found], base[found], hashes[found], step[found]
+                hashes = hashes + step
             level_of[at] = level
             level += 1
         return level_of
 
 
-_loaded: dict[str, LogFrequencyFilter] = {}
+_mapped: dict[str, np.ndarray] = {}
 
 
-def load_filter(path: str, n_buckets: int, n_bytes: int) -> LogFrequencyFilter:
-    """The whole filter of ``n_bytes`` from its table in the shared folder; a worker loads it once, file by file."""
-    if path not in _loaded:
-        _loaded.clear()
+def write_filter(segments: DataFrame, n_buckets: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """Streams all segments into one file of the shared folder: its path, and offsets and sizes in bits.
+
+    Only for a filter within its bound: this is the driver's half of a broadcast, and it
+    holds one partition of the table at a time.
+    """
+    path = fresh_path(segments.sparkSession, "filter")
+    store, inner = open_fs(path)
+    n_bits, offsets, at = np.zeros(ORDERS * n_buckets, np.int64), np.zeros(ORDERS * n_buckets, np.int64), 0
+    with store.open_output_stream(inner) as out:
+        for row in segments.toLocalIterator():
+            segment = row.kind * n_buckets + row.bucket
+            n_bits[segment], offsets[segment], at = len(row.bits) * 8, at * 8, at + len(row.bits)
+            out.write(bytes(row.bits))
+    return path, offsets, n_bits
+
+
+def mapped(path: str) -> np.ndarray:
+    """The bytes of the filter; a worker loads them once, and maps them where the folder is mounted."""
+    if path not in _mapped:
+        _mapped.clear()
         store, inner = open_fs(path)
-        data, at = np.zeros(n_bytes, np.uint8), 0
-        n_bits, offsets = np.zeros(ORDERS * n_buckets, np.int64), np.zeros(ORDERS * n_buckets, np.int64)
-        for info in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda f: f.path):
-            if info.base_name.endswith(".parquet"):
-                with store.open_input_file(info.path) as raw:
-                    for batch in pq.ParquetFile(raw).iter_batches(16, columns=["kind", "bucket", "bits"]):
-                        for kind, bucket, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                            segment = kind * n_buckets + bucket
-                            n_bits[segment], offsets[segment] = len(bits) * 8, at * 8
-                            data[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-                            at += len(bits)
-        _loaded[path] = LogFrequencyFilter(n_buckets, data, offsets, n_bits)
-    return _loaded[path]
+        if isinstance(store, fs.LocalFileSystem):
+            _mapped[path] = np.frombuffer(pa.memory_map(inner).read_buffer(), np.uint8)
+        else:
+            with store.open_input_stream(inner) as raw:
+                _mapped[path] = np.frombuffer(raw.read(), np.uint8)
+    return _mapped[path]
 
 
 @dataclass
@@ -230,9 +251,9 @@ class LanguageModel:
     vocabulary: int
     n_texts: int
     n_buckets: int
-    path: str  # of the table of segments
-    n_bytes: int  # of all segments
-    whole: bool  # whether workers load the filter whole
+    path: str | None  # of the filter's file; None if it stays in its table
+    offsets: np.ndarray
+    n_bits: np.ndarray
     head_keys: np.ndarray
     head_counts: np.ndarray
     back_off: np.ndarray = field(default_factory=lambda: np.ones((ORDERS, N_LEVELS)))  # by order - 1 and level of the context
@@ -243,9 +264,17 @@ class LanguageModel:
     def denominator(self) -> float:
         return self.train_tokens + 0.5 * (self.vocabulary + 1)
 
+    @property
+    def whole(self) -> bool:
+        """Whether workers load the whole filter."""
+        return self.path is not None
+
+    def filter(self) -> LogFrequencyFilter:
+        return LogFrequencyFilter(self.n_buckets, mapped(self.path), self.offsets, self.n_bits)
+
     def sent(self) -> LanguageModel:
         """The part that tasks need."""
-        return LanguageModel(self.train_tokens, self.vocabulary, self.n_texts, self.n_buckets, self.path, self.n_bytes, self.whole, self.head_keys, self.head_counts, self.back_off)
+        return LanguageModel(self.train_tokens, self.vocabulary, self.n_texts, self.n_buckets, self.path, self.offsets, self.n_bits, self.head_keys, self.head_counts, self.back_off)
 
 
 # --------------------------------------------------------------------- reading counts
@@ -285,7 +314,7 @@ def count_new(levels: Levels) -> np.ndarray:
     out = np.zeros((ORDERS, N_LEVELS, 2), dtype=np.int64)
     for k in (1, 2):
         seen = levels.grams[k] > 0
-        np.add.at(out[k], (levels.contexts[k][seen], (levels.grams[k][seen] == 1).astype(np.int64)), 1)
+        out[k] = np.bincount(levels.contexts[k][seen] * 2 + (levels.grams[k][seen] == 1), minlength=2 * N_LEVELS).reshape(-1, 2)
     return out
 
 
@@ -325,7 +354,7 @@ def read_levels(bloom: LogFrequencyFilter, tokens: np.ndarray, bounds: np.ndarra
 
 def score_tokens(model: LanguageModel, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 p of every token, by the whole filter."""
-    return log_probabilities(read_levels(load_filter(model.path, model.n_buckets, model.n_bytes), tokens, bounds, model.n_texts), model.back_off, model.denominator)
+    return log_probabilities(read_levels(model.filter(), tokens, bounds, model.n_texts), model.back_off, model.denominator)
 
 
 def _vocabulary_part(low: int, high: int, packed: bool):
@@ -372,8 +401,9 @@ def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 1_
     counts = np.frombuffer(b"".join(bytes(r.counts) for r in got), np.int64)
     order = np.argsort(keys)
     tail = unigrams.mapInArrow(_vocabulary_part(1, 1 << (head - 1), False), "token long, c long") if head > 1 else None
-    whole = (known[2] or 0) <= filter_bytes
-    model = LanguageModel(known[1] or 0, known[0] or 0, size[1], n_buckets, path, known[2] or 0, whole, keys[order], counts[order], tail=tail, segments=counted.select("kind", "bucket", "bits"))
+    segments = counted.select("kind", "bucket", "bits")
+    written = write_filter(segments, n_buckets) if 0 < (known[2] or 0) <= filter_bytes else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    model = LanguageModel(known[1] or 0, known[0] or 0, size[1], n_buckets, *written, keys[order], counts[order], tail=tail, segments=segments)
     model.back_off = _fit_back_off(texts, model)
     return model
 
@@ -391,7 +421,7 @@ def _fit_back_off(texts: DataFrame, model: LanguageModel) -> np.ndarray:
         total = np.zeros(ORDERS * N_LEVELS * 2, dtype=np.int64)
         for batch in batches:
             for _, _, tokens, bounds in tokens_of(batch.column("_text")):
-                total += count_new(read_levels(load_filter(sent.path, sent.n_buckets, sent.n_bytes), tokens, bounds, sent.n_texts)).ravel()
+                total += count_new(read_levels(sent.filter(), tokens, bounds, sent.n_texts)).ravel()
         yield cells(total)
 
     def run_block(answers: pa.Table, block: pa.Table) -> pa.Table:
