@@ -27,8 +27,8 @@ def brute_force(docs, items, width):
     return out
 
 
-@pytest.mark.parametrize("width", [10, 3])
-def test_against_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "part_bytes"), [(10, 1 << 20), (3, 1 << 20), (3, 40)])
+def test_against_brute_force(spark, width, part_bytes):
     draw = random.Random(width)
     vocabulary = ["a", "B", "né", "日本", "x1", "y"]
     run = lambda n: [draw.choice(vocabulary) for _ in range(n)]
@@ -39,7 +39,7 @@ def test_against_brute_force(spark, width):
         docs.append((k, draw.choice([" ", ", ", "\n", "--"]).join(parts)))
     bench = spark.createDataFrame([(i, t, "n_hit") for i, t in items], "item_id long, text string, extra string")
     frame = spark.createDataFrame([(i, t, 3) for i, t in docs], "doc_id long, text string, n_hit int")
-    got = find_contamination(frame, bench, width=width, carry=("n_hit",)).collect()
+    got = find_contamination(frame, bench, width=width, part_bytes=part_bytes, carry=("n_hit",)).collect()
     want = brute_force(docs, items, width)
     assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == want
     for r in got:  # spans lie on the text as it was
@@ -52,5 +52,21 @@ def test_limits(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in find_contamination(docs, none).collect()] == [0, 0]
     assert find_contamination(spark.createDataFrame([], docs.schema), none).count() == 0
-    with pytest.raises(ValueError):
-        find_contamination(docs, spark.createDataFrame([(1, "abc" * 100)], "item_id long, text string"), most_benchmark_bytes=100)
+
+
+def test_long_texts_repeated_rows_and_clashing_columns(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    long = "filler words " * 200_000 + passage + " end" * 1000
+    docs = spark.createDataFrame([(1, long, 0, 0), (1, long, 1, 1), (2, passage.upper(), 2, 2), (2, passage.upper(), 2, 2), (3, "clean", 3, 3)], "doc_id long, text string, _key int, spans int")
+    bench = spark.createDataFrame([("b", passage), ("b", passage), ("a", " ".join(["x", passage, "y"])), (None, "clean")], "item_id string, text string")
+    for part_bytes in (1 << 20, 30):
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in find_contamination(docs, bench, part_bytes=part_bytes).collect())
+        assert got == [(1, 401_012 , 12, ["a", "b"])] * 2 + [(2, 12, 12, ["a", "b"])] * 2 + [(3, 1, 0, [])]
+
+
+def test_an_item_longer_than_a_part(spark):
+    item = " ".join(f"w{k % 97}" for k in range(3000))
+    words_ = item.split()
+    docs = spark.createDataFrame([(k, " ".join(["zz", *words_[k : k + 10], "zz"])) for k in range(0, 2990, 13)], "doc_id long, text string")
+    got = find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), part_bytes=700).collect()
+    assert all((r.n_words, r.n_hit) == (12, 10) for r in got)
