@@ -1,19 +1,21 @@
 """Exact top-k inner-product search with a ball tree per shard.
 
-Candidates are cut by hash into shards of bounded size, and each shard's ball tree is
-built once. Blocks of queries then visit shards in waves; what a wave finds raises each
-query's k-th score, and the next wave prunes with it. In a shard a subtree is left out
-once its bound  q . centre + |q| * radius  is under the k-th score; leaves are visited
-from the highest bound down, for all queries of a block together.
+Candidates are dealt to cells of near vectors, by the nearest of a bounded number of
+centres, and a large cell is cut into shards of bounded size; each shard's ball tree is
+built once. Every query visits its own cell first and then the others, from the highest
+bound  q . centre + |q| * radius  down, in waves: what a wave finds raises the query's k-th
+score, cells whose bound is under it are never visited, and a tree is sent only to blocks
+of queries that visit it. Within a tree the same bound leaves out subtrees.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from .common import as_table, cut
 class BallTree:
     """A binary tree of balls over integer vectors; leaves are runs of the reordered rows."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = 64):
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: int = 64):
         order, nodes = np.arange(len(ids)), []
 
         def build(first: int, last: int, parent: int) -> None:
@@ -45,7 +47,7 @@ class BallTree:
 
         if len(ids):
             build(0, len(ids), -1)
-        self.ids, self.rows = ids[order], rows[order]
+        self.keys, self.ids, self.rows = keys[order], ids[order], rows[order]
         self.parent = np.array([n[0] for n in nodes], dtype=np.int64)
         self.first = np.array([n[1] for n in nodes], dtype=np.int64)
         self.last = np.array([n[2] for n in nodes], dtype=np.int64)
@@ -53,10 +55,11 @@ class BallTree:
         self.radius = np.array([n[4] for n in nodes])
         self.is_leaf = np.array([n[5] for n in nodes], dtype=bool)
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, keys: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, vec_id, score) of all that can be among the ``k`` best.
 
-        ``kth``: the k-th score that each query has from elsewhere. The smallest ids win ties.
+        ``kth``: the k-th score that each query has from elsewhere. The smallest ids win
+        ties; the row with a query's own key is left out.
         """
         exact = float(np.abs(self.rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53
         left, right = (self.rows.astype(np.float64), queries.astype(np.float64)) if exact else (self.rows, queries)
@@ -70,7 +73,7 @@ class BallTree:
         leaves = np.flatnonzero(self.is_leaf)
         turn = np.argsort(-bound[:, leaves], axis=1, kind="stable")
         best_q, best_id, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        active = np.arange(len(ids))
+        active = np.arange(len(keys))
         for step in range(len(leaves)):
             at = leaves[turn[active, step]]
             open_ = bound[active, at] >= kth[active]
@@ -83,7 +86,7 @@ class BallTree:
                 q, node = active[group], at[group[0]]
                 own = slice(self.first[node], self.last[node])
                 score = right[q] @ left[own].T
-                hit_q, hit_v = np.nonzero((score >= kth[q][:, None]) & (self.ids[own] != ids[q][:, None]))
+                hit_q, hit_v = np.nonzero((score >= kth[q][:, None]) & (self.keys[own] != keys[q][:, None]))
                 new.append((q[hit_q], self.ids[own][hit_v], score[hit_q, hit_v].astype(np.int64)))
             if len(new) == 1:
                 continue
@@ -104,21 +107,82 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _build_tree(table: pa.Table) -> pa.Table:
-    ids, rows = table.column("vec_id").to_numpy(), _vectors(table.column("vector"))
-    order = np.argsort(ids, kind="stable")
-    tree = BallTree(ids[order], rows[order])
-    return pa.table({"shard": table.column("shard")[:1], "dims": table.column("dims")[:1], "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
+    keys, ids, rows = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), _vectors(table.column("vector"))
+    order = np.lexsort((keys, ids))
+    tree = BallTree(keys[order], ids[order], rows[order])
+    return pa.table({**{c: table.column(c)[:1] for c in _SHARD}, "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
 
 
 def _search_cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 3
-        if trees.num_rows and queries.num_rows:
-            ids = queries.column("query_id").to_numpy()
-            kth = queries.column("kth").fill_null(-(1 << 63)).to_numpy()
-            q, v, s = pickle.loads(trees.column("tree")[0].as_py()).search(ids, _vectors(queries.column("vector")), kth, k)
-            out = [ids[q], v, s]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+        if not trees.num_rows:  # a shard that the hash left empty
+            queries = queries.slice(0, 0)
+            return pa.table({"query": queries.column("query"), "query_id": queries.column("query_id"), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        keys = queries.column("query").to_numpy()
+        kth = queries.column("kth").fill_null(-(1 << 63)).to_numpy()
+        q, v, s = pickle.loads(trees.column("tree")[0].as_py()).search(keys, _vectors(queries.column("vector")), kth, k)
+        return pa.table({"query": pa.array(keys[q], pa.int64()), "query_id": queries.column("query_id").take(pa.array(q)), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+
+    return run
+
+
+_SHARD = ("dims", "cell", "sub")
+
+
+def cell_centres(sample: np.ndarray, n: int, steps: int = 5) -> np.ndarray:
+    """Centres of ``n`` cells (fewer if rows repeat), by a few steps of k-means over ``sample``."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(np.int64)].astype(np.float64)
+    for _ in range(steps):
+        own = nearest(centres, sample)
+        centres = np.array([sample[own == c].mean(axis=0) for c in np.unique(own)])
+    return centres
+
+
+def nearest(centres: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * (rows.astype(np.float64) @ centres.T)).argmin(axis=1)
+
+
+def _into_cells(centres: dict[int, np.ndarray]):
+    """Each vector's cell and its distance from the centre; all is one cell where a length has no centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            cell, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                rows = _vectors(pa.chunked_array([batch.column("vector").take(pa.array(at))])).astype(np.float64)
+                own = centres.get(d, np.zeros((1, d)))
+                cell[at] = nearest(own, rows)
+                away[at] = np.sqrt(((rows - own[cell[at]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    return run
+
+
+def _visits(centres: dict[int, np.ndarray], radius: dict[tuple[int, int], float], done: int, upto: int):
+    """The cells that a query visits in turns ``done`` to ``upto``, its own first, then from the highest bound down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, own_cell = batch.column("dims").to_numpy(), batch.column("cell").to_numpy()
+            kth = batch.column("kth").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            picked, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                rows = _vectors(pa.chunked_array([batch.column("vector").take(pa.array(at))])).astype(np.float64)
+                held = np.array(sorted(c for e, c in radius if e == d))
+                middle = centres.get(d, np.zeros((1, d)))[held]
+                reach = np.sqrt((rows**2).sum(axis=1))[:, None] * np.array([radius[d, c] for c in held])
+                bound = rows @ middle.T + reach
+                bound += 1e-9 * (np.abs(bound) + reach) + 1e-6
+                order = np.argsort(np.where(held == own_cell[at][:, None], -np.inf, -bound), axis=1, kind="stable")[:, done:upto]
+                q, turn = np.nonzero(np.take_along_axis(bound, order, axis=1) >= kth[at][:, None])
+                picked.append(at[q])
+                cells.append(held[order[q, turn]])
+            rows = pa.array(np.concatenate(picked))
+            names = ["query", "query_id", "vector", "dims", "kth", "block"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in names), pa.array(np.concatenate(cells), pa.int32())], names=[*names, "cell"])
 
     return run
 
@@ -139,6 +203,7 @@ def exact_top_k(
     k: int = 5,
     shard_rows: int = 8192,
     query_block: int = 4096,
+    most_cells: int = 256,
 ) -> DataFrame:
     """The ``k`` best of all other vectors for each vector whose id ``query_every`` divides.
 
@@ -147,40 +212,52 @@ def exact_top_k(
     go to the smaller vec_id.
 
     Left out: rows whose id is null, and vectors that are null, empty, or hold a null or
-    non-finite component. An id names one vector: of rows that repeat it, the greatest
-    vector in array order counts. Vectors of different lengths have no inner product, so
-    a query meets those of its own length. Scores must fit 64 bits. Columns of other
-    names are ignored. An empty table gives an empty result.
+    non-finite component. Every other row is a candidate of its own, also those that
+    repeat an id; only a query's own row is none for it. A repeated query id has results
+    for each of its rows. Vectors of different lengths have no inner product, so a query
+    meets those of its own length. Scores must fit 64 bits. Columns of other names are
+    ignored. An empty table gives an empty result.
 
     A search task holds one tree of about ``shard_rows`` vectors and one block of about
-    ``query_block`` queries, however many there are of either.
+    ``query_block`` queries, however many there are of either. The driver gets at most 64
+    vectors for each of the ``most_cells`` cells, to place their centres, and one radius a cell.
     """
     known = cut(
         vectors.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("vector"))
         .where("vector IS NOT NULL AND size(vector) > 0")
-        .groupBy("vec_id")
-        .agg(F.max("vector").alias("vector"))
-        .withColumn("dims", F.size("vector"))
+        .withColumns({"dims": F.size("vector"), "row": F.monotonically_increasing_id()})
     )
     n = known.count()
-    n_queries = known.where(F.col("vec_id") % query_every == 0).count()
-    n_shards, n_blocks = -(-n // shard_rows) or 1, -(-n_queries // query_block) or 1
-    trees = as_table(known.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_shards)).cast("int")).groupBy("shard", "dims").applyInArrow(_build_tree, "shard int, dims int, tree binary"), "trees")
-    queries = cut(known.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "vector", "dims", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_blocks)).cast("int").alias("block")))
-    best, done = None, 0
-    while done < n_shards:
-        # The first wave is one shard, so that most shards are met with a k-th score in hand.
-        upto = min(n_shards, max(1, done * 8))
-        order = F.pmod(F.col("shard") + F.col("block"), F.lit(n_shards))
-        bounded = queries if best is None else queries.join(best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")), "query_id", "left")
-        bounded = bounded.withColumn("kth", F.lit(None).cast("long")) if best is None else bounded
-        visits = bounded.select("*", F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("_turn")).withColumn("shard", F.pmod(F.col("_turn") - F.col("block"), F.lit(n_shards)).cast("int"))
-        # A tree is sent to the blocks that visit its shard in this wave.
-        sent = trees.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).where((order >= done) & (order < upto))
-        keys = ("shard", "dims", "block")
-        found = sent.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_search_cell(k), "query_id long, vec_id long, score long")
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    n_cells = min(most_cells, -(-n // shard_rows)) or 1
+    centres = {}
+    sample = known.orderBy(F.xxhash64("vec_id", "vector")).limit(64 * n_cells).select("dims", "vector").toArrow() if n_cells > 1 else None
+    for d in sorted(set(sample.column("dims").to_pylist())) if n_cells > 1 else []:
+        own = _vectors(sample.filter(pc.equal(sample.column("dims"), d)).column("vector"))
+        centres[d] = cell_centres(own, n_cells)
+    celled = cut(known.mapInArrow(_into_cells(centres), "vec_id long, vector array<long>, dims int, row long, cell int, away double"))
+    cells = celled.groupBy("dims", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()
+    radius = {(r.dims, r.cell): r.radius for r in cells}
+    subs = F.broadcast(known.sparkSession.createDataFrame([(r.dims, r.cell, -(-r.n // shard_rows)) for r in cells], "dims int, cell int, subs int"))
+    sharded = celled.join(subs, ["dims", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int")).select(*_SHARD, "row", "vec_id", "vector")
+    trees = as_table(sharded.groupBy(*_SHARD).applyInArrow(_build_tree, "dims int, cell int, sub int, tree binary"), "trees")
+    asked = celled.where(F.col("vec_id") % query_every == 0)
+    n_blocks = -(-asked.count() // query_block) or 1
+    queries = cut(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vector", "dims", "cell", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(n_blocks)).cast("int").alias("block")))
+    best, done, most = None, 0, max([c + 1 for _, c in radius], default=1)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    while done < most:
+        # The first wave is the own cell, so that all others are met with a k-th score in hand.
+        upto = min(most, max(1, done * 8))
+        bounded = queries.withColumn("kth", F.lit(None).cast("long")) if best is None else queries.join(best.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")), "query", "left")
+        visits = cut(bounded.mapInArrow(_visits(centres, radius, done, upto), "query long, query_id long, vector array<long>, dims int, kth long, block int, cell int"))
+        if best is not None and visits.isEmpty():
+            break
+        visits = visits.join(subs, ["dims", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+        wanted = visits.select(*[F.col(c).alias(f"_{c}") for c in (*_SHARD, "block")]).distinct()
+        sent = trees.join(wanted, [F.col(c) == F.col(f"_{c}") for c in _SHARD]).select(*_SHARD, "tree", F.col("_block").alias("block"))
+        keys = (*_SHARD, "block")
+        found = sent.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_search_cell(k), "query long, query_id long, vec_id long, score long")
         best = cut((found if best is None else found.unionByName(best.drop("rank"))).withColumn("rank", place).where(F.col("rank") <= k))
         done = upto
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
