@@ -95,10 +95,10 @@ def learn_languages(
 ) -> LanguageModel:
     """Learns from rows with text, language and id outside ``held_out_fold`` of crc32(id) mod ``folds``.
 
-    Document frequencies count every such row. Centroids are clustered within each
-    language, a task each, over at most ``rows_per_lang`` of its rows (documented bound),
-    those with the smallest hash of the id. The driver gets the frequencies (DIMS rows)
-    and the centroids (``clusters`` a language).
+    Document frequencies and the distances for rejection count every such row. Centroids
+    are clustered within each language, a task each, over at most ``rows_per_lang`` of its
+    distinct rows (documented bound), chosen by hash. The driver gets the frequencies
+    (DIMS rows), the centroids (``clusters`` a language) and a histogram of cosines for each.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != held_out_fold))
     known = known.select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
@@ -116,20 +116,50 @@ def learn_languages(
     n_docs = held.get(-1, 0)
     idf = np.log((1 + n_docs) / (1 + np.array([held.get(d, 0) for d in range(DIMS)], dtype=np.float64))).astype(np.float32) + 0.05
 
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = known.select("_lang", "_id").withColumn("_place", place).where(F.col("_place") <= rows_per_lang).select("_lang", "_id").distinct()
+    # Rows under a hash threshold, about three times as many as are used, are all that a language gathers.
+    seed = F.xxhash64("_id", "_text")
+    shares = known.groupBy("_lang").agg(F.approx_count_distinct(seed).alias("_n")).select("_lang", (F.lit(3.0 * rows_per_lang) / F.greatest("_n", F.lit(1))).alias("_share"))
+    few = known.join(F.broadcast(shares), "_lang").where(F.pmod(seed, F.lit(1_000_000_007)) < F.col("_share") * 1_000_000_007).select("_lang", "_id", "_text").dropDuplicates()
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(seed, "_id", "_text"))
+    chosen = few.withColumn("_place", place).where(F.col("_place") <= rows_per_lang)
 
     def centroids(table: pa.Table) -> pa.Table:
         rows = weigh(count_ngrams(table.column("_text").combine_chunks()), idf)
         found = cluster(rows[np.lexsort(rows[:, :8].T)], clusters)
-        cosine = rows @ found.T
-        own = cosine.argmax(axis=1)
-        floors = [float(np.quantile(cosine[own == k, k], reject_share)) if (own == k).any() else 0.0 for k in range(len(found))]
-        return pa.table({"lang": pa.array([table.column("_lang")[0].as_py()] * len(found), pa.string()), "centroid": pa.array([c.astype(np.float32).tobytes() for c in found], pa.binary()), "floor": pa.array(floors, pa.float64())})
+        return pa.table({"lang": pa.array([table.column("_lang")[0].as_py()] * len(found), pa.string()), "centroid": pa.array([c.astype(np.float32).tobytes() for c in found], pa.binary())})
 
-    got = sorted(known.join(F.broadcast(chosen), ["_lang", "_id"]).groupBy("_lang").applyInArrow(centroids, "lang string, centroid binary, floor double").collect(), key=lambda r: (r.lang, bytes(r.centroid)))
+    got = sorted(chosen.select("_lang", "_text").groupBy("_lang").applyInArrow(centroids, "lang string, centroid binary").collect(), key=lambda r: (r.lang, bytes(r.centroid)))
     matrix = np.frombuffer(b"".join(bytes(r.centroid) for r in got), dtype=np.float32).reshape(-1, DIMS)
-    return LanguageModel(idf, [r.lang for r in got], matrix, np.array([r.floor for r in got]))
+    langs = [r.lang for r in got]
+    return LanguageModel(idf, langs, matrix, _floors(known, idf, langs, matrix, reject_share))
+
+
+def _floors(known: DataFrame, idf: np.ndarray, langs: list[str], matrix: np.ndarray, reject_share: float, bins: int = 2000) -> np.ndarray:
+    """The cosine that ``reject_share`` of a centroid's own training texts stay under, from all of them, to 1 / ``bins``."""
+    if not langs:
+        return np.zeros(0)
+    places = {lang: np.array([k for k, own in enumerate(langs) if own == lang]) for lang in set(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(langs) * bins, dtype=np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                cosine = weigh(count_ngrams(part.column("_text")), idf) @ matrix.T
+                of = np.array(part.column("_lang").to_pylist())
+                for lang in set(of) & set(places):
+                    own = cosine[of == lang][:, places[lang]]
+                    at = np.clip(own.max(axis=1) * bins, 0, bins - 1).astype(np.int64)
+                    total += np.bincount(places[lang][own.argmax(axis=1)] * bins + at, minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["cell", "n"])
+
+    counts = np.zeros(len(langs) * bins, dtype=np.int64)
+    for r in known.select("_lang", "_text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r.cell] = r.n
+    counts = counts.reshape(-1, bins)
+    under = np.cumsum(counts, axis=1) < np.maximum(counts.sum(axis=1, keepdims=True) * reject_share, 1e-9)
+    return np.where(counts.any(axis=1), under.sum(axis=1) / bins, 0.0)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ label 0, becomes the threshold, and scores are mapped to 0..1 so that it sits at
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +71,13 @@ class Ranker:
     cut: float
     prior: float
 
+    def margins(self, features: np.ndarray) -> np.ndarray:
+        return (features - self.mean) @ self.weights
+
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(features), self.prior)
-        margin = (features - self.mean) @ self.weights - self.threshold
+        margin = self.margins(features) - self.threshold
         return 1 / (1 + np.exp(-np.clip(margin + np.log(self.cut / (1 - self.cut)), -30, 30)))
 
 
@@ -113,17 +116,15 @@ def fit_ranker(features: np.ndarray, labels: np.ndarray, cut: float, pairs: int
 def learn_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out_fold: int = 2, cut: float = 0.7, max_rows: int = 20000) -> Ranker:
     """Fits on labelled rows outside ``held_out_fold`` of crc32(id) modulo ``folds``.
 
-    Documented bound: at most ``max_rows`` label rows, those with the smallest hash of the
-    id. Their texts are used whole. Rows with a null id, a label other than 0 and 1, or no
-    document are left out; several labels of one document all count.
+    Documented bound: the weights come from at most ``max_rows`` label rows, those with the
+    smallest hash of the id; the threshold is a quantile over all label rows, read from a
+    scoring pass. Texts are used whole. Rows with a null id, a label other than 0 and 1, or
+    no document are left out; several labels of one document all count.
     """
-    chosen = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold_of(F.col(id_col), folds) != held_out_fold))
-        .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id", "_label")
-        .limit(max_rows)
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold_of(F.col(id_col), folds) != held_out_fold)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = texts.join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +134,17 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     kind = rows.schema["_id"].dataType.simpleString()
     got = sorted(rows.mapInArrow(run, f"_id {kind}, _label int, _features binary").collect(), key=lambda r: (str(r[0]), r[1], bytes(r[2])))
     features = np.frombuffer(b"".join(bytes(r[2]) for r in got), dtype=np.float32).reshape(-1, N_FEATURES)
-    return fit_ranker(features, np.array([r[1] for r in got], dtype=np.int64), cut)
+    ranker = fit_ranker(features, np.array([r[1] for r in got], dtype=np.int64), cut)
+    if ranker.weights is None:
+        return ranker
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ranker.margins(text_features(batch.column("_text"))), pa.float64())], names=["_id", "_margin"])
+
+    scored = texts.where("_id IS NOT NULL").mapInArrow(margins, f"_id {kind}, _margin double").join(known, "_id")
+    share = scored.agg(F.avg(1 - F.col("_label")).alias("bad"), F.percentile_approx("_margin", F.array(*[F.lit(k / 1000) for k in range(1001)]), F.lit(100_000)).alias("at")).first()
+    return replace(ranker, threshold=float(np.interp(share.bad * 1000, np.arange(1001), share["at"])))
 
 
 def score_quality(docs: DataFrame, ranker: Ranker, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
