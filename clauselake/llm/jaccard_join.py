@@ -9,8 +9,8 @@ none of which emits the pairs of a group:
    hashes, of which partners must have l in common. Sets with too few lead shingles
    that any other set holds cannot have a partner. The rest are tied to others through
    their rarest lead shingles, and the ties' components are the shards of step 3.
-3. In a shard, each set's inverted lists are divided: short ones are merged and keep the
-   sets with T - L occurrences, the L longest are probed by binary search (DivideSkip).
+3. In a shard, each set's inverted lists are divided: short ones are merged by a heap and
+   keep the sets with T - L occurrences, the L longest are probed by binary search (DivideSkip).
    Sets already connected to the query are passed over, as only classes are asked for.
 
 A component above ``block`` sets is cut into blocks, and every pair of blocks is searched.
@@ -18,6 +18,7 @@ A component above ``block`` sets is cut into blocks, and every pair of blocks is
 
 from __future__ import annotations
 
+import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -101,10 +102,32 @@ def _set_rows(width: int):
     return run
 
 
+def heap_merge(lists: list[list[int]], needed: int) -> list[tuple[int, int]]:
+    """(element, lists that hold it) of the elements that ``needed`` or more of the sorted ``lists`` hold, by a heap of their heads."""
+    heap = [(own[0], k, 0) for k, own in enumerate(lists)]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        least, times = heap[0][0], 0
+        while heap and heap[0][0] == least:
+            _, k, at = heap[0]
+            times += 1
+            if at + 1 < len(lists[k]):
+                heapq.heapreplace(heap, (lists[k][at + 1], k, at + 1))
+            else:
+                heapq.heappop(heap)
+        if times >= needed:
+            out.append((least, times))
+    return out
+
+
 def search_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what links connect: a spanning forest over positions in ``sets``.
 
-    With two sides (0 and 1) only pairs across them are searched.
+    With two sides (0 and 1) only pairs across them are searched. Each set asks for
+    smaller ones, in the order of sizes. It first tries the last set of its shortest list;
+    if they link, that class is out of its lists before these are merged, so a large
+    class of near copies costs no merging of its own lists.
     """
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), k))
     sizes = np.array([len(sets[k]) for k in order])
@@ -117,29 +140,40 @@ def search_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int)
     lists = owner[np.argsort(token, kind="stable")]
     own = np.cumsum([0, *sizes])
     links = []
+
+    def link(x: int, y: int) -> None:
+        links.append((order[x], order[y]))
+        comp[comp == comp[x]] = comp[y]
+
     for x in range(len(order)):
         n = int(sizes[x])
         low = int(np.searchsorted(sizes, least_overlap(n, num, den)))
-        mine = token[own[x] : own[x + 1]]
-        mine = mine[held[mine] > 1]
+        whole = token[own[x] : own[x + 1]]
+        mine = whole[held[whole] > 1]
         needed = least_overlap(n, num, den)
         if low >= x or len(mine) < needed:
             continue
         mine = mine[np.argsort(held[mine], kind="stable")]
         long = min(needed - 1, max(int(needed / (0.01 * math.log2(max(2, int(held[mine[-1]]))) + 1)), needed - 8))
-        short = mine[: len(mine) - long]
-        near = np.concatenate([lists[bounds[t] : bounds[t + 1]] for t in short])
-        near = near[(near >= low) & (near < x)]
-        if across:
-            near = near[side[near] != side[x]]
-        found, times = np.unique(near[comp[near] != comp[x]], return_counts=True)
-        keep = times >= needed - long
-        found, times = found[keep], times[keep]
-        by_times = np.argsort(-times, kind="stable")
-        found, times = found[by_times], times[by_times]
-        probes = [lists[bounds[t] : bounds[t + 1]] for t in mine[len(mine) - long :][::-1]]
-        while len(found):
-            y, have = int(found[0]), int(times[0])
+        short = []
+        for t in mine[: len(mine) - long]:
+            near = lists[bounds[t] : bounds[t + 1]]
+            near = near[np.searchsorted(near, low) : np.searchsorted(near, x)]
+            near = near[side[near] != side[x]] if across else near
+            if len(near):
+                short.append(near)
+        if len(short) < needed - long:
+            continue
+        y = int(min(short, key=len)[-1])
+        if (num + den) * len(np.intersect1d(whole, token[own[y] : own[y + 1]], assume_unique=True)) >= num * (n + int(sizes[y])):
+            link(x, y)
+        short = [near[comp[near] != comp[x]] for near in short]
+        merged = heap_merge([near.tolist() for near in short if len(near)], needed - long)
+        merged.sort(key=lambda found: -found[1])
+        probes = [lists[bounds[t] : bounds[t + 1]] for t in mine[len(mine) - long :][::-1]] if merged else []
+        for y, have in merged:
+            if comp[y] == comp[x]:
+                continue
             want, left = -(-num * (n + int(sizes[y])) // (num + den)), long
             for probed in probes:
                 if have >= want or have + left < want:
@@ -147,12 +181,8 @@ def search_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int)
                 left -= 1
                 at = bisect_left(probed, y)
                 have += at < len(probed) and probed[at] == y
-            found, times = found[1:], times[1:]
             if have >= want:
-                links.append((order[x], order[y]))
-                comp[comp == comp[x]] = comp[y]
-                keep = comp[found] != comp[x]
-                found, times = found[keep], times[keep]
+                link(x, y)
     return links
 
 
