@@ -18,7 +18,7 @@ from clauselake.llm.sharding import shard_documents
 
 #: Marked ids are broadcast up to this number, and joined by a shuffle beyond it.
 MOST_BROADCAST = 1_000_000
-#: Keys of texts that share their id are below this; those of null ids are from here to -1.
+#: Keys of null ids, and of texts that share their id, are below this.
 OWN_KEYS = -(1 << 62)
 
 
@@ -29,10 +29,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _own_keys(docs: DataFrame) -> DataFrame:
-    """(_id, _hash, _own): a key below OWN_KEYS for each distinct text of the ids that carry several."""
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    several = texts.groupBy("_id").agg(F.min("_hash").alias("_low"), F.max("_hash").alias("_high")).where("_low <> _high").select("_id")
-    return cut(texts.join(several, "_id", "left_semi").distinct().withColumn("_own", F.lit(OWN_KEYS - 1) - F.monotonically_increasing_id()))
+    """(_id, _hash, _own): a key below OWN_KEYS for each distinct text of null ids, of ids that carry several texts, and of ids in that range."""
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    several = texts.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_hash").alias("_low"), F.max("_hash").alias("_high")).where("_low <> _high").select("_id")
+    found = texts.join(several, "_id", "left_semi").union(texts.where(F.col("_id").isNull() | (F.col("_id") < OWN_KEYS))).distinct()
+    return cut(found.withColumn("_own", F.lit(OWN_KEYS - 1) - F.monotonically_increasing_id()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     n_own = own.count()
     small = F.broadcast(own) if n_own <= MOST_BROADCAST else own
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    rows = rows.join(small, ["_id", "_hash"], "left") if n_own else rows.withColumn("_own", F.lit(None).cast("long"))
-    rows = rows.select(F.coalesce("_own", "_id", -1 - F.pmod(F.xxhash64("_row.text"), F.lit(-OWN_KEYS))).alias("_key"), "_row")
+    if n_own:
+        rows = rows.join(small.withColumnsRenamed({"_id": "_own_id", "_hash": "_own_hash"}), F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_hash") == F.col("_own_hash")), "left")
+    rows = rows.select((F.coalesce("_own", "_id") if n_own else F.col("_id")).alias("_key"), "_row")
     classes = similar_components(rows.select(F.col("_key").alias("doc_id"), "_row.text"), width=5, num=80, den=100)
     ids = cut(classes.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")))
     # Keys of one's own are below all others, so a class that holds one shows it as its least.
@@ -76,10 +78,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where("copies > 0").select("carried", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("carried.*")
 
 
+#: What sharding adds; columns of documents that have these names go on with ``doc_`` before them.
+SHARD_COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the corpus into 40 shards of near-equal bytes, texts included."""
-    others = [c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
-    return shard_documents(docs, n_shards=40, carry=others).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *[f"carried.{c}" for c in others])
+    """Puts the corpus into 40 shards of near-equal bytes, all columns of documents included."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    names = set(others) | set(SHARD_COLUMNS)
+    named = []
+    for c in others:
+        name = c
+        while name in SHARD_COLUMNS or (name != c and name in names):
+            name = f"doc_{name}"
+        names.add(name)
+        named.append(F.col(f"carried.`{c}`").alias(name))
+    return shard_documents(docs, n_shards=40, carry=others).select("doc_id", *SHARD_COLUMNS, *named)
 
 
 STAGES = [
