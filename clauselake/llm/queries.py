@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, langid, lm_bloom, mixing, quality, sharding, suffix_dedup, topk, warc
 from .common import fold_of
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +74,3 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_suffix, op4_langid, op5_lm, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
-
-ORACLE_SQL: dict[str, str] = {}
