@@ -311,7 +311,7 @@ def _cut_block(span: int, n_buckets: dict[int, int]):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 200, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, blocks_per_task: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 200, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, blocks_per_task: int = 4) -> DataFrame:
     """Removes every byte covered by a ``span``-byte string that also starts anywhere else.
 
     Returns one row per input row: doc_id, n_bytes, spans (removed byte ranges, maximal,
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     total, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     v = cover_for(span)
     share = len(COVERS[v]) / v
-    sized = lambda keys, stage: int(keys * KEY_BYTES[stage] / bucket_bytes) + 16
+    sized = lambda keys, stage: int(keys * KEY_BYTES[stage] / bucket_bytes) + 1
     further = lambda replies: replies.agg(F.coalesce(F.sum("n_further"), F.lit(0))).first()[0]
     # Answers are small beside the work that they start, so partitions are counted by blocks and buckets, not by bytes.
     sort = lambda sent, stage: sent.repartition(n_buckets[stage], "bucket").groupBy("bucket").applyInArrow(_sort_bucket(stage), _REPLY).withColumn("stage", F.lit(stage))
