@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
+# What a document calls itself, and words that point to its own parts.
+SELF_NAMES = ("办法", "规定", "细则", "指引", "制度", "通知", "条例", "规则")
+THIS_ARTICLE, THIS_CHAPTER, LAST_ARTICLE, PARAGRAPHS_ABOVE = "本条", "本章", "前条", "上述各款"
+
 _C = X.NUMERAL
+_CLAUSE = rf"第[{_C}\d]+条(?:之[{_C}\d]+)?"
 #: (type, kind, pattern) of what is looked for inside a document.
 INTERNAL = (
-    ("R3", "clause", rf"第[{_C}\d]+条(?:之[{_C}\d]+)?"),
-    ("R1", "document", "本(?:办法|规定|细则|指引|制度|通知|条例|规则)"),
-    ("R1", "article", "本条"),
-    ("R1", "chapter", "本章"),
-    ("R2", "previous", "前条"),
-    ("R2", "paragraph", rf"前(?:[{_C}]+)?款|上述各款"),
+    ("R3", "clause", _CLAUSE),
+    ("R1", "document", f"本(?:{'|'.join(SELF_NAMES)})"),
+    ("R1", "article", THIS_ARTICLE),
+    ("R1", "chapter", THIS_CHAPTER),
+    ("R2", "previous", LAST_ARTICLE),
+    ("R2", "paragraph", f"前(?:[{_C}]+)?款|{PARAGRAPHS_ABOVE}"),
 )
 _TITLE = r"《[^》《]+》"
 _NUMBER = r"(?:[（(][^）)]*[〔\[]\d{4}[〕\]][^）)]*[）)])?"
-CROSS = rf"{_TITLE}{_NUMBER}(?:第[{_C}\d]+条(?:之[{_C}\d]+)?)?"
+CROSS = f"{_TITLE}{_NUMBER}(?:{_CLAUSE})?"
 
 
 def spans(text: Column, pattern: str) -> Column:

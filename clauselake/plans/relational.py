@@ -33,42 +33,56 @@ SELECT {key} AS key, {value} AS value FROM cases JOIN versions USING (version_id
 WHERE pipeline_status = 'INDEXED' AND version_status = 'effective' AND {where} GROUP BY 1"""
 
 
-def _statistics(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
-    return statistics.compute(*case_tables(spark, sf_dir), statistics.specification(question))
+def _asked(spark: SparkSession, *questions: str) -> DataFrame:
+    return statistics.read_questions(spark.createDataFrame(list(enumerate(questions)), "query_id int, question string"))
+
+
+def _totals(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
+    return statistics.totals(*case_tables(spark, sf_dir), _asked(spark, question))
 
 
 @query(_stat_sql("violation_category", "count(*)", "year(penalty_date) >= 2000"))
 def stat_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir, "2000年以来哪些违规事由高发")
+    return _totals(spark, sf_dir, "2000年以来哪些违规事由高发").select("key", F.col("n").alias("value"))
 
 
 @query(_stat_sql("penalty_org", "round(sum(amount_wan), 3)"))
 def stat_org_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir, "按机构统计罚款总额").withColumn("value", F.round("value", 3))
+    return _totals(spark, sf_dir, "按机构统计罚款总额").select("key", F.round("value", 3).alias("value"))
 
 
 @query(_stat_sql("CAST(year(penalty_date) AS INT)", "count(*)"))
 def stat_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir, "逐年处罚数量")
+    return _totals(spark, sf_dir, "逐年处罚数量").select(F.col("key").cast("int").alias("key"), F.col("n").alias("value"))
 
 
 @query(_stat_sql("respondent_type", "count(*)"))
 def stat_respondent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir, "按对象类型统计处罚")
+    return _totals(spark, sf_dir, "按对象类型统计处罚").select("key", F.col("n").alias("value"))
 
 
 @query(f"""WITH {CASE_SQL}
 SELECT coalesce(violation_category, '(未分类)') AS key, count(*) AS value, bool_or(bool_or(violation_category IS NULL)) OVER () AS has_unlabelled
 FROM cases JOIN versions USING (version_id) WHERE pipeline_status = 'INDEXED' AND version_status = 'effective' GROUP BY violation_category""")
 def stat_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.labelled(_statistics(spark, sf_dir, "违规类型统计"))
+    return statistics.labelled(_totals(spark, sf_dir, "违规类型统计")).select("key", F.col("n").alias("value"), "has_unlabelled")
 
 
 @query(f"""WITH {CASE_SQL}
 SELECT version_id, title, penalty_org, penalty_date, respondent_type, penalty_type FROM cases JOIN versions USING (version_id)
 WHERE pipeline_status = 'INDEXED' AND version_status = 'effective' ORDER BY penalty_date DESC NULLS FIRST, version_id LIMIT 50""")
 def stat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir, "处罚有哪些")
+    return statistics.listings(*case_tables(spark, sf_dir), _asked(spark, "处罚有哪些")).drop("query_id")
+
+
+@query(f"""WITH {CASE_SQL},
+seen AS (SELECT * FROM cases JOIN versions USING (version_id) WHERE pipeline_status = 'INDEXED' AND version_status = 'effective')
+SELECT 0 AS query_id, CAST(year(penalty_date) AS VARCHAR) AS key, count(*) AS n, CAST(count(*) AS DOUBLE) AS value FROM seen GROUP BY ALL
+UNION ALL SELECT 1, penalty_org, count(*), round(sum(amount_wan), 3) FROM seen WHERE year(penalty_date) = 2004 GROUP BY ALL
+UNION ALL SELECT 2, respondent_type, count(*), CAST(count(*) AS DOUBLE) FROM seen WHERE year(penalty_date) >= 2010 GROUP BY ALL""")
+def stat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, "逐年处罚多少件", "2004年各局罚没总额", "2010年以来按对象统计", "2004年处罚有哪些")
+    return statistics.totals(*case_tables(spark, sf_dir), asked).select("query_id", "key", "n", F.when(F.col("query_id") == 1, F.round("value", 3)).otherwise(F.col("value")).alias("value"))
 
 
 # ------------------------------------------------------------------------------- registry
