@@ -76,16 +76,19 @@ def citations_in(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cited(files: DataFrame, titles: DataFrame, numbers: DataFrame, most: int = 100_000) -> DataFrame:
     """Files whose title holds, or is held by, a cited title, or holds a cited number.
 
-    Substring matches have no equality to join on, so citations are broadcast; above
-    ``most`` of them this raises.
+    Substring matches have no equality to join on, so citations are broadcast, in blocks
+    of at most ``most``; files that one block finds are not held against the next.
     """
     words = titles.select(F.col("title").alias("_w"), F.lit(True).alias("_both")).unionByName(numbers.select(F.col("doc_number").alias("_w"), F.lit(False).alias("_both")))
-    n = words.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} citations; pass them in parts")
+    blocks = -(-words.count() // most) or 1
     solid = F.regexp_replace("title", " ", "")
     hit = F.when(F.col("_both"), F.contains("title", "_w") | F.contains("_w", "title")).otherwise(F.contains(solid, F.col("_w")))
-    return files.join(F.broadcast(words), hit, "left_semi")
+    found, rest = None, files
+    for k in range(blocks):
+        block = F.broadcast(words.where(F.pmod(F.xxhash64("_w", "_both"), F.lit(blocks)) == k))
+        own = rest.join(block, hit, "left_semi")
+        found, rest = own if found is None else found.unionByName(own), rest.join(block, hit, "left_anti")
+    return found
 
 
 def file_hints(name: Column) -> Column:

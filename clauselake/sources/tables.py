@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,16 @@ DICTIONARIES = {
 KEYS = {"aliases": "alias", "scenario_terms": "oral_term"}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; only a local session may make one itself."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="clauselake-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, with or without a byte-order mark."""
     rows = spark.read.csv(path, header=True, encoding="UTF-8")
