@@ -63,7 +63,7 @@ def one_per_title(files: DataFrame) -> DataFrame:
 
 def stratified(rows: DataFrame, k: int, strata: tuple[str, ...], key: str, seed: int = 42) -> DataFrame:
     """``k`` rows, one from each stratum in turn; within a stratum by a seeded hash of ``key``."""
-    turn = F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    turn = F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key))
     return rows.withColumn("_turn", turn).where(F.col("_turn") <= k).orderBy("_turn", *strata).limit(k).drop("_turn")
 
 

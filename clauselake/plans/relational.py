@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.operators import conversations, curation, references, registry, report, statistics
 from clauselake.sources import tables
+from clauselake.streaming.events import LEGAL
 from clauselake.sources.corpus import CASE_SQL, STATES, case_tables, conversation_messages, event_log, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -377,13 +378,11 @@ def bridge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.bridge_index(_cited(spark, sf_dir))
 
 
-@query("""WITH k AS (SELECT row_number() OVER (ORDER BY p_partkey) AS ord, '[' || p_partkey || ']|' || (1 + p_partkey % 7) AS key FROM part WHERE p_partkey < 20)
+@query("""WITH k AS (SELECT p_partkey AS ord, '[' || p_partkey || ']|' || (1 + p_partkey % 7) AS key FROM part)
 SELECT l_orderkey AS case_id, min(ord) AS ord FROM lineitem JOIN k ON key = '[' || (l_partkey % 100) || ']|' || l_linenumber GROUP BY 1""")
 def bridge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    parts = table(spark, sf_dir, "part").where("p_partkey < 20")
-    keys = parts.select(F.row_number().over(Window.partitionBy().orderBy("p_partkey")).cast("long").alias("ord"), references.reference_key(F.concat(F.lit("〔"), F.col("p_partkey").cast("string"), F.lit("〕")), (F.col("p_partkey") % 7 + 1).cast("string")).alias("key"))
+    i = F.col("p_partkey")
+    keys = table(spark, sf_dir, "part").select(i.alias("ord"), references.reference_key(F.concat(F.lit("〔"), i.cast("string"), F.lit("〕")), (i % 7 + 1).cast("string")).alias("key"))
     return references.cases_for_clauses(references.bridge_index(_cited(spark, sf_dir)), keys)
 
 
@@ -451,7 +450,16 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("version_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+_LEGAL_SQL = ", ".join(f"('{step.split('>')[0]}', '{step.split('>')[1]}')" for step in LEGAL)
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, e AS (SELECT version_id, id, to_state, row_number() OVER (PARTITION BY version_id ORDER BY id) AS rn FROM log), ok(a, b) AS (VALUES {_LEGAL_SQL}),
+w AS (
+  SELECT version_id, rn, id, CAST(NULL AS VARCHAR) AS from_state, to_state, ('', to_state) IN (SELECT (a, b) FROM ok) AS legal FROM e WHERE rn = 1
+  UNION ALL
+  SELECT n.version_id, n.rn, n.id, n.now, n.to_state, (coalesce(n.now, ''), n.to_state) IN (SELECT (a, b) FROM ok)
+  FROM (SELECT e.version_id, e.rn, e.id, e.to_state, CASE WHEN w.legal THEN w.to_state ELSE w.from_state END AS now FROM w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn + 1) n)
+SELECT version_id, id, from_state, to_state, legal FROM w""")
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clauselake.streaming.events import lifecycle_table
 
@@ -474,11 +482,14 @@ _FILES_SQL = """f AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '/' ||
 
 
 @query(f"""WITH {_FILES_SQL}, o AS (SELECT *, CASE WHEN type = '案例' THEN list_position(['pdf', 'txt', 'docx', 'doc'], ext) ELSE list_position(['pdf', 'docx', 'doc', 'txt'], ext) END AS pref FROM f WHERE ext <> 'csv' AND length >= 64)
-SELECT title, min(type) AS type, arg_min(ext, (pref, path)) AS ext, arg_min(path, (pref, path)) AS path FROM o GROUP BY 1""")
+SELECT title, min(type) AS type, arg_min(ext, (pref, path)) AS ext, arg_min(path, (pref, path)) AS path, list_sort(list(DISTINCT ext)) AS formats FROM o GROUP BY 1""")
 def files_per_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.one_per_title(_files(spark, sf_dir)).drop("formats")
+    return curation.one_per_title(_files(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_FILES_SQL}, o AS (SELECT *, CASE WHEN type = '案例' THEN list_position(['pdf', 'txt', 'docx', 'doc'], ext) ELSE list_position(['pdf', 'docx', 'doc', 'txt'], ext) END AS pref FROM f WHERE ext <> 'csv' AND length >= 64),
+u AS (SELECT title, min(type) AS type, arg_min(ext, (pref, path)) AS ext, arg_min(path, (pref, path)) AS path, list_sort(list(DISTINCT ext)) AS formats FROM o GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY type, ext ORDER BY md5('42|' || path), path) AS turn FROM u)
+SELECT title, type, ext, path, formats FROM r ORDER BY turn, type, ext LIMIT 40""")
 def files_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.stratified(curation.one_per_title(_files(spark, sf_dir)), 40, ("type", "ext"), "path")

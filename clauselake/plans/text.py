@@ -244,12 +244,10 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("version_id"), text.alias("text"), F.lit("局").alias("issuer"))
 
 
-@query("""SELECT o_orderkey AS version_id, CASE WHEN o_orderkey % 4 > 0 THEN '中国证监会' ELSE '局' END AS penalty_org_any, '京证监[2024]' || o_orderkey || '号' AS doc_number, CAST(o_orderdate AS DATE) AS penalty_date, '某某' || o_orderkey || '公司' AS respondent, '警告/罚款' AS penalty_type,
+@query("""SELECT o_orderkey AS version_id, CASE WHEN o_orderkey % 4 > 0 THEN '中国证监会' ELSE '局' END AS penalty_org, '京证监[2024]' || o_orderkey || '号' AS doc_number, CAST(o_orderdate AS DATE) AS penalty_date, '某某' || o_orderkey || '公司' AS respondent, '警告/罚款' AS penalty_type,
   CASE WHEN o_orderkey % 3 = 0 THEN floor(o_totalprice) / 10000.0 ELSE o_orderkey % 90 + 1.5 END AS amount_wan, CASE WHEN o_orderkey % 5 = 0 THEN '个人' ELSE '机构' END AS respondent_type FROM orders""")
 def case_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cases.case_facts(_decisions(spark, sf_dir))
-    # Without a named office at the head, the shortest match is in a later line or the issuer's.
-    return found.withColumn("penalty_org_any", F.when(F.col("version_id") % 4 > 0, F.col("penalty_org")).otherwise("局")).drop("penalty_org").withColumn("amount_wan", F.col("amount_wan").cast("double"))
+    return cases.case_facts(_decisions(spark, sf_dir)).withColumn("amount_wan", F.col("amount_wan").cast("double"))
 
 
 @query()

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -67,15 +66,41 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("version_id").transformWithState(_Lifecycle(), "version_id long, id long, from_state string, to_state string, legal boolean", "Append", "None")
 
 
-def lifecycle_table(events: DataFrame) -> DataFrame:
-    """The same over a finished table, in one pass a document."""
+#: Steps that are legal, as ``from>to``; nothing comes before the > of a first step.
+LEGAL = sorted({f"{a}>{b}" for a, targets in TRANSITIONS.items() for b in targets} | {f"{a}>REGISTERED" for a in ("", *RESET_FROM)})
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        now, out = None, []
-        for row in group.sort_values("id").itertuples(index=False):
-            legal = _legal(now, row.to_state)
-            out.append((row.version_id, row.id, now, row.to_state, legal))
-            now = row.to_state if legal else now
-        return pd.DataFrame(out, columns=["version_id", "id", "from_state", "to_state", "legal"])
 
-    return events.select("version_id", "id", "to_state").groupBy("version_id").applyInPandas(walk, "version_id long, id long, from_state string, to_state string, legal boolean")
+def _step(now: Column, to_state: Column) -> Column:
+    """Whether the step is legal."""
+    return F.array_contains(F.array(*map(F.lit, LEGAL)), F.concat(F.coalesce(now, F.lit("")), F.lit(">"), F.coalesce(to_state, F.lit("?"))))
+
+
+def lifecycle_table(events: DataFrame, piece: int = 256) -> DataFrame:
+    """The same over a finished table, without gathering a document's events.
+
+    A document's events are cut into pieces of ``piece`` in the order of ids. Each piece of
+    a document with several is reduced to the states it leads to, one from every state;
+    these, one row a piece, give each piece its first state, and pieces are then replayed.
+    """
+    none = F.lit(None).cast("string")
+    order = F.row_number().over(Window.partitionBy("version_id").orderBy("id")) - 1
+    placed = events.select("version_id", "id", "to_state", F.floor(order / piece).alias("_piece"))
+    pieces = placed.groupBy("version_id", "_piece").agg(F.array_sort(F.collect_list(F.struct("id", "to_state"))).alias("_rows"))
+    after = lambda start: F.aggregate("_rows", start, lambda now, e: F.when(_step(now, e["to_state"]), e["to_state"]).otherwise(now))
+    names = ["", *sorted(TRANSITIONS)]
+    ends = F.transform(F.array(none, *map(F.lit, names[1:])), after)
+    maps = pieces.where(F.size("_rows") == piece).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("_piece", ends.alias("_ends")))).alias("_maps"))
+
+    def lead(acc: Column, m: Column) -> Column:
+        return F.array_append(acc, F.element_at(m["_ends"], F.array_position(F.array(*map(F.lit, names)), F.coalesce(F.element_at(acc, -1), F.lit(""))).cast("int")))
+
+    starts = maps.select("version_id", F.posexplode(F.aggregate("_maps", F.array(none), lead)).alias("_at", "_start"))
+    begun = pieces.join(starts.withColumnRenamed("_at", "_piece"), ["version_id", "_piece"], "left")
+    empty = F.struct(F.col("_start").alias("now"), F.array().cast("array<struct<id:bigint,from_state:string,to_state:string,legal:boolean>>").alias("steps"))
+
+    def walk(acc: Column, e: Column) -> Column:
+        legal = _step(acc["now"], e["to_state"])
+        step = F.struct(e["id"].cast("long").alias("id"), acc["now"].alias("from_state"), e["to_state"].alias("to_state"), legal.alias("legal"))
+        return F.struct(F.when(legal, e["to_state"]).otherwise(acc["now"]).alias("now"), F.array_append(acc["steps"], step).alias("steps"))
+
+    return begun.select("version_id", F.inline(F.aggregate("_rows", empty, walk)["steps"]))

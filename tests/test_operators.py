@@ -1,6 +1,7 @@
 """Operators on small literal inputs: structure, references, registry, quality, tables, alignment, streams."""
 
 import datetime
+import random
 import io
 import zipfile
 
@@ -218,6 +219,21 @@ def test_streams(spark, tmp_path):
     log.coalesce(1).write.parquet(str(tmp_path / "in"))
     steps = {r.id: (r.from_state, r.legal) for r in events.lifecycle_table(log).collect()}
     assert steps == {1: (None, True), 2: ("REGISTERED", True), 3: ("PARSING", False), 4: (None, False)}
+    want = sorted(map(tuple, events.lifecycle_table(log).collect()))
+    longer = spark.createDataFrame([(k, k % 3, draw, None, at(0)) for k, draw in enumerate(random.Random(5).choices(["REGISTERED", "PARSING", "QC_PENDING", "QC_FAILED", "STRUCTURING", "EMBEDDING", "INDEXING", "INDEXED", None], k=400))], events.SCHEMA)
+    whole = sorted(map(tuple, events.lifecycle_table(longer, piece=1000).collect()))
+    assert sorted(map(tuple, events.lifecycle_table(longer, piece=7).collect())) == whole and len(whole) == 400 and sum(r[4] for r in whole) > 40
+    stream = events.lifecycle(events.read(spark, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "steps")).option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True)
+    with_state = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if with_state is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", with_state)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "steps")).select("version_id", "id", "from_state", "to_state", "legal").collect())) == want
+    once = events.first_of_each(events.read(spark, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 4
     query = events.windowed_counts(events.read(spark, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3  # the last window is still open
