@@ -197,18 +197,18 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
-def connected_components(edges: DataFrame, task_edges: int = 1_000_000, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int = 1_000_000) -> DataFrame:
     """Labels the nodes of undirected ``edges`` (u, v) with the smallest node they reach.
 
     Each round first contracts the edges within partitions of about ``task_edges``, which
     bounds a task's memory. If one partition held them all, that is the answer; else a
     large-star and a small-star step move labels between partitions, until all edges
-    lead from leaves to centres. Rounds are cut by checkpoints. Returns (node,
+    lead from leaves to centres; alternating the two settles any graph. Rounds are cut by checkpoints. Returns (node,
     component), nodes with an edge only.
     """
     schema = "a long, b long"
     current = cut(edges.where("u <> v").select("u", "v").mapInArrow(_contract, schema))
-    for _ in range(max_rounds):
+    while True:
         parts = current.count() // task_edges + 1
         current = cut(current.repartition(parts).mapInArrow(_contract, schema))
         if parts > 1:
@@ -216,4 +216,3 @@ def connected_components(edges: DataFrame, task_edges: int = 1_000_000, max_roun
             loose = current.groupBy("a").count().where("count > 1").select("a").union(current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a"))
         if parts == 1 or loose.isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b"), F.col("b")).distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

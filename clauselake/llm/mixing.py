@@ -10,6 +10,7 @@ then rounded into whole copies so that a source's tokens meet its target.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,13 +47,14 @@ def _rate(cap: float, tilt: Column, x: Column) -> Column:
     return F.least(F.lit(float(cap)), F.exp(tilt * x))
 
 
-def newton_tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-7, max_steps: int = 60) -> DataFrame:
+def newton_tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-7) -> DataFrame:
     """Solves each source's dual: rows (_absent, _source, ..., tilt).
 
     Newton on log(tokens) - log(target), kept within a bracket that each step narrows;
-    a step that would leave the bracket halves it instead. Each step aggregates the
-    cells; the driver sees only the largest error. Sources at their cap, or without
-    words, need no search.
+    a step that would leave the bracket halves it instead, and so does every third step,
+    so the search ends: at the tolerance, or where the bracket holds no other number.
+    Each step aggregates the cells; the driver sees only whether any source is open.
+    Sources at their cap, or without words, need no search.
     """
     state = cut(
         sources.withColumns({
@@ -62,7 +64,7 @@ def newton_tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: fl
             "_open": (F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * cap * (1 - 1e-9)),
         })
     )
-    for _ in range(max_steps):
+    for turn in itertools.count():
         x = F.try_divide(F.col("_size") * F.col("source_docs"), F.col("source_size"))
         rate = F.exp(F.col("tilt") * x)
         sums = (
@@ -78,11 +80,11 @@ def newton_tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: fl
             .withColumns({"_error": F.when(F.col("_open"), F.abs(F.try_divide("_tokens", "target") - 1)).otherwise(0.0)})
             .withColumns({"_new_low": low_, "_new_high": high_, "_step": step})
             .withColumns({
-                "_open": F.col("_open") & (F.col("_error") > tolerance),
+                "_open": F.col("_open") & (F.col("_error") > tolerance) & (F.col("_new_high") - F.col("_new_low") > F.lit(1e-14) * F.greatest(F.lit(1.0), F.abs("tilt"))),
             })
             .select(
                 *[c for c in state.columns if c not in ("tilt", "_low", "_high", "_open")],
-                F.when(~F.col("_open"), F.col("tilt")).when((F.col("_step") > F.col("_new_low")) & (F.col("_step") < F.col("_new_high")), F.col("_step")).otherwise((F.col("_new_low") + F.col("_new_high")) / 2).alias("tilt"),
+                F.when(~F.col("_open"), F.col("tilt")).when(F.lit(turn % 3 < 2) & (F.col("_step") > F.col("_new_low")) & (F.col("_step") < F.col("_new_high")), F.col("_step")).otherwise((F.col("_new_low") + F.col("_new_high")) / 2).alias("tilt"),
                 F.when(F.col("_open"), F.col("_new_low")).otherwise(F.col("_low")).alias("_low"),
                 F.when(F.col("_open"), F.col("_new_high")).otherwise(F.col("_high")).alias("_high"),
                 "_open",

@@ -106,3 +106,13 @@ def test_run_against_brute_force(spark, tmp_path):
     got = Counter((r.doc_id, r.text) for r in P.run(spark, str(tmp_path)).collect())
     assert set(got) <= kept and abs(sum(got.values()) - sum(want.values())) <= 0.05 * sum(want.values())
     assert len(set(got) ^ set(want)) <= 0.05 * len(want)
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(-1, "a b c d e f", 5), (None, "a b c d e f g h i j k l m n o p", 6), (None, "other words are here", 7), (None, "other words are here", 8), (P.OWN_KEYS - 5, "one two three", 9), (-7, None, 1), (None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int").selectExpr("*", "size AS shard", "size AS doc_size", "'s' AS source")
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted((str(i), t or "") for i, t, n in rows if n != 8)
+    final = P.shard(spark, docs, SF)
+    assert {"size", "shard", "doc_size", "doc_doc_size", "doc_shard", "source", "text"} <= set(final.columns)
+    assert sorted(r.doc_doc_size for r in final.collect()) == sorted(n for _, _, n in rows)
