@@ -51,8 +51,8 @@ def newton_tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: fl
     """Solves each source's dual: rows (_absent, _source, ..., tilt).
 
     Newton on log(tokens) - log(target), kept within a bracket that each step narrows;
-    a step that would leave the bracket halves it instead, and so does every third step,
-    so the search ends: at the tolerance, or where the bracket holds no other number.
+    a step that would leave the bracket halves it instead, and from the 20th step on so
+    does every third, so the search ends: at the tolerance, or where the bracket holds no other number.
     Each step aggregates the cells; the driver sees only whether any source is open.
     Sources at their cap, or without words, need no search.
     """
@@ -84,7 +84,7 @@ def newton_tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: fl
             })
             .select(
                 *[c for c in state.columns if c not in ("tilt", "_low", "_high", "_open")],
-                F.when(~F.col("_open"), F.col("tilt")).when(F.lit(turn % 3 < 2) & (F.col("_step") > F.col("_new_low")) & (F.col("_step") < F.col("_new_high")), F.col("_step")).otherwise((F.col("_new_low") + F.col("_new_high")) / 2).alias("tilt"),
+                F.when(~F.col("_open"), F.col("tilt")).when(F.lit(turn < 20 or turn % 3 < 2) & (F.col("_step") > F.col("_new_low")) & (F.col("_step") < F.col("_new_high")), F.col("_step")).otherwise((F.col("_new_low") + F.col("_new_high")) / 2).alias("tilt"),
                 F.when(F.col("_open"), F.col("_new_low")).otherwise(F.col("_low")).alias("_low"),
                 F.when(F.col("_open"), F.col("_new_high")).otherwise(F.col("_high")).alias("_high"),
                 "_open",
