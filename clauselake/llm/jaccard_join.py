@@ -11,7 +11,8 @@ none of which emits the pairs of a group:
    their rarest lead shingles, and the ties' components are the shards of step 3.
 3. In a shard, each set's inverted lists are divided: short ones are merged by a heap and
    keep the sets with T - L occurrences, the L longest are probed by binary search (DivideSkip).
-   Sets already connected to the query are passed over, as only classes are asked for.
+   Where only classes are asked for, sets already connected to the query are passed over;
+   else every link is verified and counted where it is found, and no pair leaves the task.
 
 A component above ``block`` sets is cut into blocks, and every pair of blocks is searched.
 """
@@ -32,6 +33,8 @@ from .common import Hasher, LOWER, as_table, connected_components, cut, heavy_li
 
 #: Of the shingles beyond n - T, a lead holds n // LEAD (one at least).
 LEAD = 6
+#: The side of sets in a task that searches all its pairs; sides 0 and 1 are two blocks whose cross pairs are searched.
+WITHIN = -1
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -97,7 +100,7 @@ def _set_rows(width: int):
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 sets = [s.tobytes() for s in shingle_sets(part.column("_text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("task"), part.column("node"), part.column("side"), pa.array(sets, pa.binary())], names=["task", "node", "side", "shingles"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("task", "node", "side", "weight")), pa.array(sets, pa.binary())], names=["task", "node", "side", "weight", "shingles"])
 
     return run
 
@@ -121,61 +124,84 @@ def heap_merge(lists: list[list[int]], needed: int) -> list[tuple[int, int]]:
     return out
 
 
-def search_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what links connect: a spanning forest over positions in ``sets``.
+class InvertedLists:
+    """Inverted lists of ``sets`` taken in the order of sizes; each set asks for smaller ones.
 
-    With two sides (0 and 1) only pairs across them are searched. Each set asks for
-    smaller ones, in the order of sizes. It first tries the last set of its shortest list;
-    if they link, that class is out of its lists before these are merged, so a large
-    class of near copies costs no merging of its own lists.
+    With two sides (0 and 1) only pairs across them are searched.
     """
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), k))
-    sizes = np.array([len(sets[k]) for k in order])
-    side = np.asarray(sides)[order]
-    across = len(set(side.tolist())) > 1
-    comp = np.arange(len(order))
-    owner = np.repeat(np.arange(len(order)), sizes)
-    _, token, held = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
-    bounds = np.cumsum([0, *held])
-    lists = owner[np.argsort(token, kind="stable")]
-    own = np.cumsum([0, *sizes])
-    links = []
-
-    def link(x: int, y: int) -> None:
-        links.append((order[x], order[y]))
-        comp[comp == comp[x]] = comp[y]
 
-    for x in range(len(order)):
-        n = int(sizes[x])
-        low = int(np.searchsorted(sizes, least_overlap(n, num, den)))
-        whole = token[own[x] : own[x + 1]]
-        mine = whole[held[whole] > 1]
-        needed = least_overlap(n, num, den)
+    def __init__(self, sets: list[np.ndarray], sides: np.ndarray, num: int, den: int):
+        self.num, self.den = num, den
+        self.order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), k))
+        self.sizes = np.array([len(sets[k]) for k in self.order])
+        self.side = np.asarray(sides)[self.order]
+        self.across = len(set(self.side.tolist())) > 1
+        owner = np.repeat(np.arange(len(self.order)), self.sizes)
+        _, self.token, self.held = np.unique(np.concatenate([sets[k] for k in self.order]), return_inverse=True, return_counts=True)
+        self.bounds = np.cumsum([0, *self.held])
+        self.lists = owner[np.argsort(self.token, kind="stable")]
+        self.own = np.cumsum([0, *self.sizes])
+
+    def whole(self, x: int) -> np.ndarray:
+        return self.token[self.own[x] : self.own[x + 1]]
+
+    def divide(self, x: int) -> tuple[list[np.ndarray], list[np.ndarray], int] | None:
+        """The short lists of ``x``, cut to the sets it asks for; the long ones, shortest first; and T - L. None if no set can link."""
+        needed = least_overlap(int(self.sizes[x]), self.num, self.den)
+        low = int(np.searchsorted(self.sizes, needed))
+        mine = self.whole(x)
+        mine = mine[self.held[mine] > 1]
         if low >= x or len(mine) < needed:
-            continue
-        mine = mine[np.argsort(held[mine], kind="stable")]
-        long = min(needed - 1, max(int(needed / (0.01 * math.log2(max(2, int(held[mine[-1]]))) + 1)), needed - 8))
+            return None
+        mine = mine[np.argsort(self.held[mine], kind="stable")]
+        long = min(needed - 1, max(int(needed / (0.01 * math.log2(max(2, int(self.held[mine[-1]]))) + 1)), needed - 8))
         short = []
         for t in mine[: len(mine) - long]:
-            near = lists[bounds[t] : bounds[t + 1]]
+            near = self.lists[self.bounds[t] : self.bounds[t + 1]]
             near = near[np.searchsorted(near, low) : np.searchsorted(near, x)]
-            near = near[side[near] != side[x]] if across else near
+            near = near[self.side[near] != self.side[x]] if self.across else near
             if len(near):
                 short.append(near)
         if len(short) < needed - long:
+            return None
+        return short, [self.lists[self.bounds[t] : self.bounds[t + 1]] for t in mine[len(mine) - long :]], needed - long
+
+    def wanted(self, x: int, y: int | np.ndarray) -> int | np.ndarray:
+        """The overlap at which ``x`` and ``y`` link."""
+        return -(-self.num * (self.sizes[x] + self.sizes[y]) // (self.num + self.den))
+
+
+def search_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what links connect: a spanning forest over positions in ``sets``.
+
+    A set first tries the last set of its shortest list; if they link, that class is out
+    of its lists before these are merged, so a large class of near copies costs no
+    merging of its own lists.
+    """
+    held = InvertedLists(sets, sides, num, den)
+    comp = np.arange(len(held.order))
+    links = []
+
+    def link(x: int, y: int) -> None:
+        links.append((held.order[x], held.order[y]))
+        comp[comp == comp[x]] = comp[y]
+
+    for x in range(len(held.order)):
+        divided = held.divide(x)
+        if divided is None:
             continue
+        short, long, least = divided
         y = int(min(short, key=len)[-1])
-        if (num + den) * len(np.intersect1d(whole, token[own[y] : own[y + 1]], assume_unique=True)) >= num * (n + int(sizes[y])):
+        if len(np.intersect1d(held.whole(x), held.whole(y), assume_unique=True)) >= held.wanted(x, y):
             link(x, y)
         short = [near[comp[near] != comp[x]] for near in short]
-        merged = heap_merge([near.tolist() for near in short if len(near)], needed - long)
+        merged = heap_merge([near.tolist() for near in short if len(near)], least)
         merged.sort(key=lambda found: -found[1])
-        probes = [lists[bounds[t] : bounds[t + 1]] for t in mine[len(mine) - long :][::-1]] if merged else []
         for y, have in merged:
             if comp[y] == comp[x]:
                 continue
-            want, left = -(-num * (n + int(sizes[y])) // (num + den)), long
-            for probed in probes:
+            want, left = int(held.wanted(x, y)), len(long)
+            for probed in reversed(long):
                 if have >= want or have + left < want:
                     break
                 left -= 1
@@ -186,13 +212,70 @@ def search_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int)
     return links
 
 
-def _search_group(num: int, den: int):
+def search_all_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every link, as positions in ``sets``: (x, the smaller sets that link with it)."""
+    held = InvertedLists(sets, sides, num, den)
+    order = np.array(held.order)
+    for x in range(len(order)):
+        divided = held.divide(x)
+        if divided is None:
+            continue
+        short, long, least = divided
+        merged = heap_merge([near.tolist() for near in short], least)
+        if not merged:
+            continue
+        y, have = np.array(merged).T
+        want = held.wanted(x, y)
+        linked = []
+        for left in range(len(long), -1, -1):
+            linked.append(y[have >= want])
+            open_ = (have < want) & (have + left >= want)
+            y, have, want = y[open_], have[open_], want[open_]
+            if not len(y):
+                break
+            probed = long[left - 1]
+            at = np.minimum(np.searchsorted(probed, y), len(probed) - 1)
+            have = have + (probed[at] == y)
+        found = np.concatenate(linked)
+        if len(found):
+            yield int(order[x]), order[found]
+
+
+def _search_group(num: int, den: int, count_links: bool):
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         nodes = table.column("node").to_numpy()
         sides = table.column("side").to_numpy()
         sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in table.column("shingles")]
-        links = search_links(sets, sides, num, den)
-        return pa.table({"u": pa.array([nodes[a] for a, _ in links], pa.int64()), "v": pa.array([nodes[b] for _, b in links], pa.int64())})
+        n_links = np.zeros(len(nodes), dtype=np.int64)
+        if sides[0] != WITHIN and len(set(sides.tolist())) == 1:
+            links = []  # The other block of the pair is empty.
+        elif not count_links:
+            links = search_links(sets, sides, num, den)
+        else:
+            links, weights, comp = [], table.column("weight").to_numpy(), np.arange(len(nodes))
+            again = len(np.unique(nodes)) < len(nodes)
+            first = {int(node): k for k, node in reversed(list(enumerate(nodes)))} if again else {}
+            seen = set()
+            for x, ys in search_all_links(sets, sides, num, den):
+                if again:  # Rows that share a node are one document: a pair of nodes counts once.
+                    x, ys = first[int(nodes[x])], np.unique([first[int(nodes[y])] for y in ys])
+                    ys = np.array([y for y in ys.tolist() if y != x and (min(x, y), max(x, y)) not in seen], dtype=np.int64)
+                    seen.update((min(x, y), max(x, y)) for y in ys.tolist())
+                n_links[x] += weights[ys].sum()
+                n_links[ys] += weights[x]
+                fresh = ys[comp[ys] != comp[x]]
+                links += [(x, int(y)) for y in fresh[np.unique(comp[fresh], return_index=True)[1]]]
+                comp[np.isin(comp, comp[fresh])] = comp[x]
+        u, v = ([int(nodes[link[k]]) for link in links] for k in (0, 1))
+        some = np.flatnonzero(n_links)
+        return pa.table(
+            {
+                "u": pa.array(u + nodes[some].tolist(), pa.int64()),
+                "v": pa.array(v + nodes[some].tolist(), pa.int64()),
+                "n_links": pa.array([0] * len(u) + n_links[some].tolist(), pa.int64()),
+            }
+        )
 
     return run
 
@@ -208,17 +291,20 @@ def similar_components(
     block: int = 1024,
     shard_sets: int = 512,
     most_broadcast: int = 1_000_000,
+    count_links: bool = False,
 ) -> DataFrame:
     """Classes of documents under links: den * intersection >= num * union of shingle sets.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id
-    reachable by links, its own included). Links are exact but for collisions of 64-bit
-    shingle hashes.
+    reachable by links, its own included). With ``count_links`` also n_links, the number
+    of other rows that the row links with, those of equal sets included; links between
+    different sets are then all searched and not only as many as connect a class. Links
+    are exact but for collisions of 64-bit shingle hashes.
 
     A null or empty text, or one without words, has an empty set and stands alone. Rows
     with a null id share the class of an equal set and add no id to it; alone they have
-    a null component. Rows that repeat an id count as one document. Other columns are
-    ignored. An empty table gives an empty result. Whole texts are used.
+    a null component. Rows that repeat an id count as one document; where their sets
+    differ, they share the links to other sets. Other columns are ignored. An empty table gives an empty result. Whole texts are used.
 
     ``block`` bounds the sets in a search task, twice for a pair of blocks; the ids of
     candidates are broadcast only up to ``most_broadcast`` of them and joined beyond.
@@ -244,20 +330,27 @@ def similar_components(
     leaders = cut(rare.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("_held")))
     ties = heavy_light_join(rare, leaders, "token", "_held", rare.count()).select(F.col("node").alias("u"), F.col("leader").alias("v"))
     ties = connected_components(ties)
-    tasks = cut(_search_tasks(ties, block, shard_sets))
+    weights = equal.groupBy("node").agg(F.sum("_rows").alias("weight"))
+    tasks = _search_tasks(ties, block, shard_sets)
+    tasks = cut(tasks.join(weights, "node") if count_links else tasks.withColumn("weight", F.lit(1).cast("long")))
     n_tasks = tasks.count()
     candidates = tasks.join(rows.withColumnRenamed("doc_id", "node"), "node") if n_tasks > most_broadcast else rows.withColumnRenamed("doc_id", "node").join(F.broadcast(tasks), "node")
-    sets = candidates.select("task", "node", "side", "_text").mapInArrow(_set_rows(width), "task string, node long, side int, shingles binary")
-    links = sets.groupBy("task").applyInArrow(_search_group(num, den), "u long, v long")
+    sets = candidates.select("task", "node", "side", "weight", "_text").mapInArrow(_set_rows(width), "task string, node long, side int, weight long, shingles binary")
+    links = sets.groupBy("task").applyInArrow(_search_group(num, den, count_links), "u long, v long, n_links long")
+    links = as_table(links, "links") if count_links else links
     classes = connected_components(links).withColumnRenamed("node", "_node")
+    if count_links:
+        classes = classes.join(links.where("u = v").groupBy(F.col("u").alias("_node")).agg(F.sum("n_links").alias("_links")), "_node", "left")
+    others = [(F.coalesce("_links", F.lit(0)) + F.col("_rows") - 1).alias("n_links")] if count_links else []
     known = cut(
         equal.select("set_key", "node", "_rows")
         .join(classes, F.col("node") == F.col("_node"), "left")
-        .select("set_key", F.coalesce("component", "node").alias("component_id"), "_rows")
+        .select("set_key", F.coalesce("component", "node").alias("component_id"), *others, "_rows")
     )
     found = heavy_light_join(with_words.select("set_key", "doc_id", "n"), known, "set_key", "_rows", leads.count())
-    alone = leads.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    names = ["n_links"] if count_links else []
+    alone = leads.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(name) for name in names])
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *names).union(alone)
 
 
 def _search_tasks(ties: DataFrame, block: int, shard_sets: int) -> DataFrame:
@@ -266,12 +359,12 @@ def _search_tasks(ties: DataFrame, block: int, shard_sets: int) -> DataFrame:
     total = ties.count()
     sized = heavy_light_join(ties, sizes.withColumn("_size", F.col("_n")), "component", "_n", total)
     shards = max(1, total // shard_sets)
-    small = sized.where(F.col("_size") <= block).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shards))).alias("task"), "node", F.lit(0).alias("side"))
+    small = sized.where(F.col("_size") <= block).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shards))).alias("task"), "node", F.lit(WITHIN).alias("side"))
     blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
     large = (
         sized.where(F.col("_size") > block)
         .select("component", "node", blocks.alias("_blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("_own"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-        .select(F.concat_ws("-", F.lit("b"), "component", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("task"), "node", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+        .select(F.concat_ws("-", F.lit("b"), "component", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("task"), "node", F.when(F.col("_own") == F.col("_other"), WITHIN).otherwise((F.col("_own") > F.col("_other")).cast("int")).alias("side"))
     )
     return small.union(large)

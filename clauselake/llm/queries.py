@@ -43,7 +43,7 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100, count_links=True)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def shingles(text, width):
 def brute_force(rows, width, num, den):
     ids = [i for i, _ in rows]
     sets = [shingles(t, width) for _, t in rows]
-    root = {i: i for i in ids}
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
 
     def find(x):
         while root[x] != x:
@@ -28,7 +28,9 @@ def brute_force(rows, width, num, den):
             if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = find(ids[a]), find(ids[b])
                 root[max(x, y)] = min(x, y)
-    return sorted((i, len(s), find(i)) for i, s in zip(ids, sets, strict=True))
+                links[ids[a]] += 1
+                links[ids[b]] += 1
+    return sorted((i, len(s), find(i), links[i]) for i, s in zip(ids, sets, strict=True))
 
 
 def corpus(seed, n_words):
@@ -53,8 +55,10 @@ def test_against_brute_force(spark, seed, width, num, den, words):
     rows = corpus(seed, words)
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, node string").repartition(3)
     for block in (1024, 16):
-        got = sorted(map(tuple, jaccard_join.similar_components(frame, width=width, num=num, den=den, block=block, shard_sets=64).collect()))
-        assert got == brute_force(rows, width, num, den)
+        want = brute_force(rows, width, num, den)
+        ways = {"width": width, "num": num, "den": den, "block": block, "shard_sets": 64}
+        assert sorted(map(tuple, jaccard_join.similar_components(frame, **ways, count_links=True).collect())) == want
+        assert sorted(map(tuple, jaccard_join.similar_components(frame, **ways).collect())) == [row[:3] for row in want]
 
 
 def test_near_copy_chain(spark):
@@ -63,7 +67,7 @@ def test_near_copy_chain(spark):
     for k in range(12):  # each differs from the next in one more word
         rows.append((100 - k, " ".join(["x"] * 0 + [f"y{j}" if j < 6 * k else w for j, w in enumerate(base)])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard_join.similar_components(frame).collect())) == brute_force(rows, 3, 90, 100)
+    assert sorted(map(tuple, jaccard_join.similar_components(frame, count_links=True).collect())) == brute_force(rows, 3, 90, 100)
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -71,3 +75,11 @@ def test_nulls_repeats_and_empty(spark):
     assert jaccard_join.similar_components(spark.createDataFrame([], schema)).count() == 0
     got = jaccard_join.similar_components(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, None), (7, None)], schema)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 4), (4, 4), (4, 4), (7, 7)]
+
+
+def test_links_of_repeats_and_shared_ids(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, near), (4, near), (4, near), (9, near + " x"), (9, "p q r s"), (2, None), (3, "p q r s")]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()
+    # Row 9 stands twice: its first text links with the three rows of 4, its second with row 3.
+    assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == [(-1, 58, 3), (2, 0, 0), (3, 2, 1), (4, 58, 3), (4, 58, 3), (9, 2, 1), (9, 59, 3)]
