@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauselake.operators import answering
 from clauselake.operators import retrieval as R
 from clauselake.operators import routing
 from clauselake.sources.corpus import table, vector_corpus
@@ -135,6 +136,40 @@ def answer_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sufficiency(inputs[2], R.retrieve(*inputs).where("chunk_id % 4 = 0"), 2)
 
 
+_ASKED = ("这样做是否违规", "哪些规定要求备案", "什么是适当性", "信息披露规定", "今天天气如何", "呢", "有没有案例", "投顾办法修订了什么")
+_ASKED_SQL = """asked AS (SELECT query_id, CASE WHEN k % 8 = 5 AND k % 3 = 0 THEN 'evidence' ELSE (['judgmental', 'enumerate', 'evidence', 'evidence', 'refuse', 'clarify', 'case', 'change'])[1 + k % 8] END AS route,
+  k % 8 = 1 AS duties FROM (SELECT query_id, query_id // 20 AS k FROM queries))"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation for each vector that asks; every third one has said something before."""
+    k = F.floor(F.col("vec_id") / 20)
+    last = F.get(F.array(*map(F.lit, _ASKED)), (k % 8).cast("int"))
+    said = F.when(k % 3 == 0, F.array(F.lit(_ASKED[3]), last)).otherwise(F.array(last))
+    vectors = table(spark, sf_dir, "embeddings").where((F.col("vec_id") % ASK_EVERY == 0) & F.col("embedding").isNotNull())
+    return vectors.select(F.col("vec_id").alias("conversation_id"), F.posexplode(said).alias("seq", "content")).select("*", F.lit("user").alias("role"), F.lit(None).cast("string").alias("route"))
+
+
+@query(f"WITH {_CORPUS}, {_ASKED_SQL} SELECT query_id, route, duties FROM asked")
+def questions_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answering.routed(answering.asked(_messages(spark, sf_dir)))
+
+
+@query(f"""WITH {_CORPUS}, {_ASKED_SQL},
+c AS (SELECT query_id, chunk_id, place, route, route = 'enumerate' AND duties AND NOT bool_or(chunk_id % 3 = 0) OVER (PARTITION BY query_id) AS open_, duties FROM cands JOIN asked USING (query_id)),
+o AS (SELECT * FROM c WHERE CASE route WHEN 'evidence' THEN chunk_id % 10 <> 0 WHEN 'judgmental' THEN chunk_id % 10 <> 0 WHEN 'enumerate' THEN NOT duties OR open_ OR chunk_id % 3 = 0 ELSE false END),
+g AS (SELECT query_id, count(*) AS hits, bool_or(open_) AS open_, list(chunk_id ORDER BY place) AS ids, list('doc ' || version_id || ' ' || clause_path ORDER BY place) AS named FROM o JOIN chunks USING (chunk_id) GROUP BY 1)
+SELECT query_id, route, coalesce(hits, 0) AS hits,
+  CASE route WHEN 'evidence' THEN CASE WHEN hits >= 8 THEN 'answered' ELSE 'not_covered' END WHEN 'judgmental' THEN 'review' WHEN 'enumerate' THEN CASE WHEN open_ THEN 'listed_without_filter' ELSE 'listed' END
+    WHEN 'clarify' THEN 'clarify' WHEN 'refuse' THEN 'refused' ELSE 'forwarded' END AS outcome,
+  coalesce(CASE WHEN route = 'evidence' THEN ids[1:3] ELSE ids END, []) AS chunk_ids, coalesce(CASE WHEN route = 'evidence' THEN named[1:3] ELSE named END, []) AS clauses
+FROM asked LEFT JOIN g USING (query_id)""")
+def questions_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    tags = chunks.where("chunk_id % 3 = 0").select("chunk_id", F.lit("is_obligation").alias("tag_type"))
+    return answering.answers(answering.asked(_messages(spark, sf_dir)), _candidates(spark, sf_dir), chunks, _versions(spark, sf_dir), tags, min_hits=8)
+
+
 @query("""WITH b AS (SELECT o_custkey AS q, o_orderkey % 50 AS c, o_orderkey AS ord FROM orders WHERE o_orderkey % 2 = 0), s AS (SELECT o_custkey AS q, o_orderkey % 40 AS c, o_orderkey AS ord FROM orders WHERE o_orderkey % 2 = 1),
 f AS (SELECT q, c, min((k, ord)) AS p FROM (SELECT *, 0 AS k FROM b UNION ALL SELECT *, 1 FROM s) GROUP BY 1, 2)
 SELECT q AS query_id, c AS case_id, row_number() OVER (PARTITION BY q ORDER BY p, c) AS seq FROM f QUALIFY seq <= 3""")
