@@ -72,4 +72,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (r) LEFT JOIN o USING (r)
 """
 
-ORACLE_SQL = {"op1_warc": _WARC, "op2_topk": _TOPK, "op3_suffix": _REPEATS, "op6_jaccard": _JACCARD, "op8_decontaminate": _CONTAMINATED}
+_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+t AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score WHERE p.n <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM t WHERE rank <= 5
+"""
+
+_PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS s(k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+o AS (
+  SELECT lang, part, max(a) AS over_ FROM (SELECT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS part FROM c WHERE k > 2) GROUP BY lang, part),
+y AS (SELECT c.*, unnest(range(1, c.k)) AS cut FROM c LEFT JOIN o ON c.lang = o.lang AND c.phrase = o.part WHERE o.over_ IS NULL OR o.over_ < c.a),
+z AS (
+  SELECT y.lang, y.phrase, y.a, y.cut, l.f AS l, r.f AS r, n.n, CAST(1000 * CAST(y.a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM y JOIN f l ON l.lang = y.lang AND l.phrase = array_to_string(y.w[1:y.cut], ' ') JOIN f r ON r.lang = y.lang AND r.phrase = array_to_string(y.w[y.cut + 1:y.k], ' ') JOIN n ON n.lang = y.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS least FROM z) WHERE least = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_warc": _WARC, "op2_topk": _TOPK, "op3_suffix": _REPEATS, "op6_jaccard": _JACCARD, "op8_decontaminate": _CONTAMINATED, "op11_negatives": _NEGATIVES, "op13_phrases": _PHRASES}

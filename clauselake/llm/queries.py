@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, lm_bloom, mixing, quality, sharding, suffix_dedup, topk, warc
+from . import collocations, decontaminate, hard_negatives, jaccard_join, langid, lm_bloom, mixing, quality, sharding, simhash_ball, suffix_dedup, topk, warc
 from .common import fold_of
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -73,4 +73,18 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_suffix, op4_langid, op5_lm, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine_negatives(vectors, anchor_every=100, positives=5, negatives=5, num=80, den=100)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ball.near_duplicate_components(_table(spark, sf_dir, "documents"), width=3).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_table(spark, sf_dir, "documents"), least=100, longest=5, keep=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_suffix, op4_langid, op5_lm, op6_jaccard, op7_mix, op8_decontaminate, op9_quality, op10_shard, op11_negatives, op12_simhash, op13_phrases)}
