@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions import dates
+from clauselake.sources import tables
 
 # The manifest's columns, the formats taken in, states and their transitions.
 MANIFEST = ("filename", "title", "doc_number", "issuer", "perm_tag", "corpus_type", "sub_type", "biz_domain", "issue_date", "effective_date", "supersedes")
@@ -58,7 +61,7 @@ def parse_supersedes(cell: Column) -> Column:
     raw = F.trim(F.coalesce(cell, F.lit("")))
     abolish = r"^(?i:abolish|废止)\s*[:：]\s*(.*)$"
     target = F.trim(F.regexp_extract(raw, abolish, 1))
-    listed = F.filter(F.transform(F.split(raw, "[;,、]"), F.trim), lambda t: t != "")
+    listed = F.filter(F.transform(F.split(raw, "[;,、]"), lambda t: F.trim(t)), lambda t: t != "")
     form = lambda relation, targets: F.struct(relation.alias("relation"), targets.alias("targets"))
     none = F.array().cast("array<string>")
     return (
@@ -77,57 +80,131 @@ def version_relations(manifest: DataFrame) -> DataFrame:
     return joined.withColumn("relation", F.when((F.col("relation") == "revise_replace") & F.col("_claims").isNotNull(), "split_replace").otherwise(F.col("relation"))).drop("_target", "_claims")
 
 
-def register_batch(manifest: DataFrame, files: DataFrame, versions: DataFrame, batch_id: str) -> DataFrame:
-    """Decides every manifest row: REGISTERED, QUARANTINED, DUPLICATE or MISSING.
+def chain_roots(links: DataFrame) -> DataFrame:
+    """(node, root) for ``links`` (node, parent): where the chain of parents ends.
 
-    ``files``: (filename, content, format). ``versions``: the registry so far, with
-    version_id, logical_id, source_hash, source_filename, title, doc_number. Returns a row
-    per manifest row that names a file, with status, reason, error_code, source_hash,
-    version_id, logical_id, relation and supersedes_version_id.
+    Every node has one parent, and a root has none. Pointers are doubled, so a chain of n
+    links takes log2(n) rounds, each written to the shared folder. Links that run in a
+    circle raise.
+    """
+    current, rounds = tables.written(links.select("node", "parent", F.lit(True).alias("moved")), "chains"), 0
+    most = math.ceil(math.log2(current.count() + 2)) + 1
+    while not current.where("moved").isEmpty():
+        if rounds > most:
+            raise ValueError("the links run in a circle")
+        above = current.select(F.col("node").alias("parent"), F.col("parent").alias("_above"))
+        current = tables.written(current.drop("moved").join(above, "parent", "left").select("node", F.coalesce("_above", "parent").alias("parent"), F.col("_above").isNotNull().alias("moved")), "chains")
+        rounds += 1
+    return current.select("node", F.col("parent").alias("root"))
+
+
+def _predecessors(stored: DataFrame, versions: DataFrame) -> DataFrame:
+    """(_row, _prior, _inherited, _link) of stored rows whose target is known.
+
+    The file replaced is one of the registry, or else one that an earlier row of the
+    batch has stored; _link is set where a revision continues a document of the batch.
+    """
+    target = F.get("targets", F.lit(0))
+    claims = stored.where(F.col("relation").isin("revise_replace", "abolish_only")).select("_row", "_own", "relation", target.alias("_target"))
+    older = versions.groupBy(F.col("source_filename").alias("_target")).agg(F.min_by(F.struct("version_id", "logical_id"), "version_id").alias("_old"))
+    peers = stored.select(F.col("filename").alias("_target"), F.col("_row").alias("_peer_row"), F.col("_own").alias("_peer"))
+    found = claims.join(older, "_target", "left").join(peers, "_target", "left").withColumn("_peer", F.when(F.col("_peer_row") < F.col("_row"), F.col("_peer")))
+    revises = F.col("relation") == "revise_replace"
+    return found.select(
+        "_row",
+        "_own",
+        F.coalesce("_old.version_id", "_peer").alias("_prior"),
+        F.when(revises, F.col("_old.logical_id")).alias("_inherited"),
+        F.when(revises & F.col("_old").isNull(), F.col("_peer")).alias("_link"),
+    ).where("_prior IS NOT NULL")
+
+
+def register_batch(manifest: DataFrame, files: DataFrame, versions: DataFrame, batch_id: str, order: str | None = None) -> DataFrame:
+    """Decides every manifest row as if one were registered after the other: REGISTERED, QUARANTINED, DUPLICATE or MISSING.
 
-    Content that the registry or an earlier row of the batch has is a duplicate. Reasons
-    for quarantine, in order: format, no permission tag, title and number known from other
-    content. A revision inherits the logical id of the file it replaces.
+    ``files``: (filename, content, format). ``versions``: the registry so far, with
+    version_id, logical_id, source_hash, source_filename, title, doc_number. ``order``:
+    a column with each row's distinct place in the manifest; without it, rows count as they
+    are read. Returns a row per manifest row that names a file, with status, reason,
+    error_code, source_hash, version_id, logical_id, relation and supersedes_version_id.
+
+    Rows whose file is missing store nothing, nor do duplicates: content that the
+    registry or an earlier row has. Reasons for quarantine, in order: format, no
+    permission tag, title and number that the registry or an earlier stored row has with
+    other content. A revision of a file of the registry, or of one that an earlier row
+    stored, names it and inherits its logical id, so revisions of revisions within the
+    batch share one; a row that only abolishes names it and has a logical id of its own. A
+    target that comes later, or not at all, is none.
     """
-    check_manifest(manifest.columns)
-    rows = version_relations(manifest.na.fill("").where("filename <> ''")).join(files.select("filename", F.sha2("content", 256).alias("source_hash"), "format"), "filename", "left")
-    earlier = F.row_number().over(Window.partitionBy("source_hash").orderBy("filename"))
+    check_manifest([c for c in manifest.columns if c != order])
+    placed = manifest.select(*MANIFEST, (F.col(order) if order else F.monotonically_increasing_id()).alias("_row")).na.fill("", [*MANIFEST])
+    named = version_relations(placed).where("filename <> ''").join(files.select("filename", F.sha2("content", 256).alias("source_hash"), "format"), "filename", "left")
+    rows = tables.written(named.withColumn("_own", F.substring(F.sha1(F.concat_ws("|", F.lit(batch_id), "filename", "source_hash")), 1, 26)), "manifest")
     known = versions.groupBy("source_hash").agg(F.min("version_id").alias("_known"))
-    twins = versions.where("title <> '' AND doc_number <> ''").select("title", "doc_number").distinct().withColumn("_twin", F.lit(True))
-    batch_twin = F.row_number().over(Window.partitionBy("title", "doc_number").orderBy("filename")) > 1
-    prior = versions.groupBy(F.col("source_filename").alias("_target")).agg(F.min_by(F.struct("version_id", "logical_id"), "version_id").alias("_prior"))
-    version_id = F.substring(F.sha1(F.concat_ws("|", F.lit(batch_id), "filename", "source_hash")), 1, 26)
-    joined = (
-        rows.withColumn("_first", F.when(F.col("source_hash").isNotNull(), earlier))
-        .join(known, "source_hash", "left")
-        .join(twins, ["title", "doc_number"], "left")
-        .withColumn("_target", F.when(F.col("relation").isin("revise_replace", "abolish_only"), F.get("targets", F.lit(0))))
-        .join(prior, "_target", "left")
-    )
-    fresh = F.col("_known").isNull() & (F.col("_first") == 1)
-    twin = F.coalesce(F.col("_twin"), F.lit(False)) | ((F.col("title") != "") & (F.col("doc_number") != "") & batch_twin)
-    reason = F.when(~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False)), "format").when(F.col("perm_tag") == "", "no permission tag").when(twin, "suspected duplicate")
+    first = rows.where("source_hash IS NOT NULL").groupBy("source_hash").agg(F.min("_row").alias("_first"), F.min_by("_own", "_row").alias("_owner")).join(known, "source_hash", "left")
+    stored = tables.written(rows.join(first.where("_known IS NULL").select(F.col("_first").alias("_row")), "_row", "left_semi"), "stored")
+    titled = stored.where("title <> '' AND doc_number <> ''").select("title", "doc_number", "_row")
+    kept = versions.where("title <> '' AND doc_number <> ''").select("title", "doc_number").distinct().withColumn("_twin", F.lit(True))
+    earliest = titled.groupBy("title", "doc_number").agg(F.min("_row").alias("_earliest"))
+    twins = titled.join(earliest.join(kept, ["title", "doc_number"], "left"), ["title", "doc_number"]).where("_twin OR _row > _earliest").select("_row", F.lit(True).alias("_twin"))
+    prior = tables.written(_predecessors(stored, versions), "prior")
+    roots = chain_roots(prior.where("_link IS NOT NULL").select(F.col("_own").alias("node"), F.col("_link").alias("parent")))
+    inherited = prior.select(F.col("_own").alias("root"), F.col("_inherited").alias("_root_logical")).where("_root_logical IS NOT NULL")
+    continued = roots.join(inherited, "root", "left").select(F.col("node").alias("_own"), F.coalesce("_root_logical", F.concat(F.lit("L"), "root")).alias("_continued"))
+    logical = prior.join(continued, "_own", "left").select("_row", "_prior", F.coalesce("_inherited", "_continued").alias("_logical"))
+    is_stored = stored.select("_row", F.lit(True).alias("_stored"))
+    # Rows without a file have no hash, so they take no part in the join on it.
+    there = rows.where("source_hash IS NOT NULL").join(first.select("source_hash", "_known", "_owner"), "source_hash")
+    joined = there.unionByName(rows.where("source_hash IS NULL"), allowMissingColumns=True)
+    for side in (is_stored, twins, logical):
+        joined = joined.join(side, "_row", "left")
+    fresh = F.coalesce("_stored", F.lit(False))
+    reason = F.when(~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False)), "format").when(F.col("perm_tag") == "", "no permission tag").when(F.col("_twin"), "suspected duplicate")
     status = F.when(F.col("source_hash").isNull(), "MISSING").when(~fresh, "DUPLICATE").when(reason.isNotNull(), "QUARANTINED").otherwise("REGISTERED")
-    decided = joined.withColumns({"status": status, "_own": version_id, "reason": F.when(status == "QUARANTINED", reason).when(status == "DUPLICATE", "same content").when(status == "MISSING", "no such file")})
-    owner = F.first("_own").over(Window.partitionBy("source_hash").orderBy("filename"))
-    in_registry = F.col("status").isin("REGISTERED", "QUARANTINED")
-    return decided.select(
+    said = F.when(status == "QUARANTINED", reason).when(status == "DUPLICATE", "same content").when(status == "MISSING", "no such file")
+    return joined.select(
         "filename",
-        "status",
-        "reason",
-        F.when((F.col("reason") == "format") & in_registry, "E101").alias("error_code"),
+        status.alias("status"),
+        said.alias("reason"),
+        F.when((reason == "format") & fresh, "E101").alias("error_code"),
         "source_hash",
-        F.when(in_registry, F.col("_own")).when(F.col("status") == "DUPLICATE", F.coalesce("_known", owner)).alias("version_id"),
-        F.when(in_registry, F.when((F.col("relation") == "revise_replace") & F.col("_prior").isNotNull(), F.col("_prior.logical_id")).otherwise(F.concat(F.lit("L"), "_own"))).alias("logical_id"),
+        F.when(fresh, F.col("_own")).when(status == "DUPLICATE", F.coalesce("_known", "_owner")).alias("version_id"),
+        F.when(fresh, F.coalesce("_logical", F.concat(F.lit("L"), "_own"))).alias("logical_id"),
         "relation",
-        F.when(in_registry, F.col("_prior.version_id")).alias("supersedes_version_id"),
+        F.when(fresh, F.col("_prior")).alias("supersedes_version_id"),
         F.col("relation").isin("merge", "split_replace").alias("needs_review"),
         dates.iso_date(F.col("issue_date")).alias("issue_date"),
         dates.iso_date(F.col("effective_date")).alias("effective_date"),
         F.lit(batch_id).alias("batch_id"),
+        "title",
+        "doc_number",
+        F.col("_row").alias("row"),
     )
 
 
+def registered(decided: DataFrame) -> DataFrame:
+    """The rows that a decided batch adds to the registry; ``version_relation`` only where a predecessor was found."""
+    stored = decided.where(F.col("status").isin("REGISTERED", "QUARANTINED"))
+    relation = F.when(F.col("supersedes_version_id").isNotNull(), F.col("relation")).alias("version_relation")
+    return stored.select("version_id", "logical_id", "source_hash", F.col("filename").alias("source_filename"), "title", "doc_number", F.col("status").alias("pipeline_status"), relation, "supersedes_version_id", "batch_id")
+
+
+def registration_events(decided: DataFrame, versions: DataFrame) -> DataFrame:
+    """(version_id, from_state, to_state, error_code, filename, reason) of a decided batch; missing files leave none.
+
+    What is stored comes from no state. A duplicate leaves an event of the version that
+    has its content, from that version's state to the same, so the repeat can be traced.
+    """
+    known = versions.select("version_id", F.col("pipeline_status").alias("_known"))
+    fresh = decided.where(F.col("status").isin("REGISTERED", "QUARANTINED"))
+    repeats = decided.where("status = 'DUPLICATE'").select("version_id", "filename", "reason")
+    states = known.unionByName(fresh.select("version_id", F.col("status").alias("_known")))
+    none = F.lit(None).cast("string")
+    first = fresh.select("version_id", none.alias("from_state"), F.col("status").alias("to_state"), "error_code", "filename", "reason")
+    again = repeats.join(states, "version_id", "left").select("version_id", F.col("_known").alias("from_state"), F.col("_known").alias("to_state"), none.alias("error_code"), "filename", "reason")
+    return first.unionByName(again)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str, content: Column) -> DataFrame:
     """(source_hash, kept, copies) for each content that several rows have; the smallest id is kept."""
     return docs.groupBy(F.sha2(content, 256).alias("source_hash")).agg(F.min(id_col).alias("kept"), F.count("*").alias("copies")).where("copies > 1")

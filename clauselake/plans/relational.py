@@ -95,14 +95,29 @@ def registry_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(manifest, files, registry so far) of ``documents``; every seventh document is registered already."""
+    """(manifest, files, registry so far) of ``documents``; every seventh document is registered already.
+
+    Of 100 documents 40 in a row replace each the one before it. Ten more replace, abolish
+    or merge, some of them the same file, and one names a file that comes later. Titles
+    with numbers come again, also where a file is missing.
+    """
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     i, name = F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    cell = F.when(i % 10 == 0, F.concat(F.lit("d"), (i - 1).cast("string"))).when(i % 10 == 3, F.concat(F.lit("abolish: d"), (i - 3).cast("string"))).when(i % 10 == 6, F.lit("d1;d2")).when(i % 10 == 1, F.concat(F.lit("d"), (i - 2).cast("string"))).otherwise("")
+    file = lambda at: F.concat(F.lit("d"), at.cast("string"))
+    cell = (
+        F.when((i % 100).between(40, 79), file(i - 1))
+        .when(i % 100 == 85, file(i + 3))
+        .when(i % 10 == 0, file(i - 1))
+        .when(i % 10 == 3, F.concat(F.lit("abolish: "), file(i - 3)))
+        .when(i % 10 == 6, F.lit("d1;d2"))
+        .when(i % 10 == 1, file(i - 2))
+        .otherwise("")
+    )
+    title, number = F.concat(F.lit("t"), (i % 100).cast("string")), F.when(i % 6 == 0, F.concat(F.lit("n"), (i % 150).cast("string"))).otherwise("")
     manifest = docs.select(
         name.alias("filename"),
-        F.concat(F.lit("t"), (i % 400).cast("string")).alias("title"),
-        F.when(i % 2 == 0, F.concat(F.lit("n"), (i % 600).cast("string"))).otherwise("").alias("doc_number"),
+        title.alias("title"),
+        number.alias("doc_number"),
         F.lit("ISS01").alias("issuer"),
         F.when(i % 17 == 0, "").otherwise("public").alias("perm_tag"),
         F.lit("P-INT").alias("corpus_type"),
@@ -111,36 +126,73 @@ def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         F.when(i % 4 == 0, "2024-02-30").otherwise("2024-03-01").alias("issue_date"),
         F.lit("").alias("effective_date"),
         cell.alias("supersedes"),
+        i.alias("ord"),
     )
     files = docs.where("doc_id % 23 <> 0").select(name.alias("filename"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.when(i % 13 == 0, "unknown").otherwise("pdf").alias("format"))
-    known = docs.where("doc_id % 7 = 0").select(F.concat(F.lit("v"), F.lpad(i.cast("string"), 9, "0")).alias("version_id"), F.concat(F.lit("g"), (i - 1).cast("string")).alias("logical_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_hash"), F.concat(F.lit("d"), (i - 1).cast("string")).alias("source_filename"), F.concat(F.lit("t"), (i % 400).cast("string")).alias("title"), F.when(i % 2 == 0, F.concat(F.lit("n"), (i % 600).cast("string"))).otherwise("").alias("doc_number"))
+    known = docs.where("doc_id % 7 = 0").select(
+        F.concat(F.lit("v"), F.lpad(i.cast("string"), 9, "0")).alias("version_id"),
+        F.concat(F.lit("g"), (i - 1).cast("string")).alias("logical_id"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_hash"),
+        file(i - 1).alias("source_filename"),
+        title.alias("title"),
+        number.alias("doc_number"),
+        F.when(i % 2 == 0, "INDEXED").otherwise("REGISTERED").alias("pipeline_status"),
+    )
     return manifest, files, known
 
 
-@query("""WITH m AS (
-  SELECT 'd' || doc_id AS filename, doc_id, 't' || (doc_id % 400) AS title, CASE WHEN doc_id % 2 = 0 THEN 'n' || (doc_id % 600) ELSE '' END AS doc_number,
+_REGISTRY_SQL = """m AS (
+  SELECT 'd' || doc_id AS filename, doc_id, 't' || (doc_id % 100) AS title, CASE WHEN doc_id % 6 = 0 THEN 'n' || (doc_id % 150) ELSE '' END AS doc_number,
     sha256(coalesce(text, '')) AS h, doc_id % 23 <> 0 AS there,
-    CASE WHEN doc_id % 10 = 0 THEN 'd' || (doc_id - 1) WHEN doc_id % 10 = 3 THEN 'd' || (doc_id - 3) WHEN doc_id % 10 = 1 THEN 'd' || (doc_id - 2) END AS target,
-    CASE WHEN doc_id % 10 IN (0, 1) THEN 'revise_replace' WHEN doc_id % 10 = 3 THEN 'abolish_only' WHEN doc_id % 10 = 6 THEN 'merge' ELSE 'none' END AS rel
+    CASE WHEN doc_id % 100 BETWEEN 40 AND 79 THEN 'd' || (doc_id - 1) WHEN doc_id % 100 = 85 THEN 'd' || (doc_id + 3)
+      WHEN doc_id % 10 = 0 THEN 'd' || (doc_id - 1) WHEN doc_id % 10 = 3 THEN 'd' || (doc_id - 3) WHEN doc_id % 10 = 1 THEN 'd' || (doc_id - 2) END AS target,
+    CASE WHEN doc_id % 100 BETWEEN 40 AND 79 OR doc_id % 100 = 85 OR doc_id % 10 IN (0, 1) THEN 'revise_replace' WHEN doc_id % 10 = 3 THEN 'abolish_only' WHEN doc_id % 10 = 6 THEN 'merge' ELSE 'none' END AS rel
   FROM documents WHERE doc_id IS NOT NULL),
 split AS (SELECT target FROM m WHERE target IS NOT NULL GROUP BY target HAVING count(*) >= 2),
-known AS (SELECT * FROM m WHERE doc_id % 7 = 0),
-ranked AS (
+known AS (SELECT *, 'v' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS vid, 'd' || (doc_id - 1) AS source, 'g' || (doc_id - 1) AS lid, CASE WHEN doc_id % 2 = 0 THEN 'INDEXED' ELSE 'REGISTERED' END AS state FROM m WHERE doc_id % 7 = 0),
+held AS (SELECT h, min(vid) AS vid FROM known GROUP BY h),
+firsts AS (SELECT h, min(doc_id) AS doc_id FROM m WHERE there GROUP BY h),
+r AS (
   SELECT m.*, CASE WHEN rel = 'revise_replace' AND target IN (FROM split) THEN 'split_replace' ELSE rel END AS relation,
-    row_number() OVER (PARTITION BY CASE WHEN there THEN h END ORDER BY filename) AS nth, row_number() OVER (PARTITION BY title, doc_number ORDER BY filename) AS twin
-  FROM m),
+    there AND held.vid IS NULL AND firsts.doc_id = m.doc_id AS stored, substr(sha1('b1|' || filename || '|' || m.h), 1, 26) AS own,
+    coalesce(held.vid, substr(sha1('b1|d' || firsts.doc_id || '|' || m.h), 1, 26)) AS owner
+  FROM m LEFT JOIN held USING (h) LEFT JOIN firsts ON m.h = firsts.h),
+twins AS (SELECT title, doc_number, min(doc_id) AS doc_id FROM r WHERE stored AND doc_number <> '' GROUP BY ALL),
+p AS (
+  SELECT r.doc_id, r.own, r.relation, k.vid AS old, k.lid, CASE WHEN e.doc_id < r.doc_id THEN e.own END AS peer
+  FROM r LEFT JOIN (SELECT source, min(vid) AS vid, min_by(lid, vid) AS lid FROM known GROUP BY source) k ON k.source = r.target LEFT JOIN (FROM r WHERE stored) e ON e.filename = r.target
+  WHERE r.stored AND r.relation IN ('revise_replace', 'abolish_only')),
+roots AS (
+  SELECT r.own, coalesce(CASE WHEN p.relation = 'revise_replace' THEN p.lid END, 'L' || r.own) AS logical_id
+  FROM r LEFT JOIN p USING (own) WHERE r.stored AND (p.own IS NULL OR p.relation = 'abolish_only' OR p.old IS NOT NULL OR p.peer IS NULL)),
+chain(own, logical_id) AS (FROM roots UNION ALL SELECT p.own, chain.logical_id FROM chain JOIN p ON p.peer = chain.own AND p.relation = 'revise_replace' AND p.old IS NULL),
 decided AS (
-  SELECT *, CASE WHEN NOT there THEN 'MISSING' WHEN nth > 1 OR h IN (SELECT h FROM known) THEN 'DUPLICATE'
-      WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 OR (doc_number <> '' AND (twin > 1 OR EXISTS (FROM known k WHERE k.title = ranked.title AND k.doc_number = ranked.doc_number))) THEN 'QUARANTINED'
-      ELSE 'REGISTERED' END AS status
-  FROM ranked)
-SELECT filename, status, CASE status WHEN 'MISSING' THEN 'no such file' WHEN 'DUPLICATE' THEN 'same content' WHEN 'QUARANTINED' THEN CASE WHEN doc_id % 13 = 0 THEN 'format' WHEN doc_id % 17 = 0 THEN 'no permission tag' ELSE 'suspected duplicate' END END AS reason,
-  CASE WHEN status = 'QUARANTINED' AND doc_id % 13 = 0 THEN 'E101' END AS error_code, relation,
-  CASE WHEN status IN ('REGISTERED', 'QUARANTINED') AND relation IN ('revise_replace', 'abolish_only') THEN (SELECT min('v' || lpad(CAST(k.doc_id AS VARCHAR), 9, '0')) FROM known k WHERE 'd' || (k.doc_id - 1) = decided.target) END AS supersedes_version_id,
+  SELECT r.*, CASE WHEN NOT there THEN 'MISSING' WHEN NOT stored THEN 'DUPLICATE'
+      WHEN r.doc_id % 13 = 0 OR r.doc_id % 17 = 0 OR (r.doc_number <> '' AND (twins.doc_id < r.doc_id OR EXISTS (FROM known k WHERE k.title = r.title AND k.doc_number = r.doc_number))) THEN 'QUARANTINED'
+      ELSE 'REGISTERED' END AS status, coalesce(p.old, p.peer) AS prior
+  FROM r LEFT JOIN twins ON twins.title = r.title AND twins.doc_number = r.doc_number LEFT JOIN p ON p.own = r.own AND r.stored),
+told AS (
+  SELECT *, CASE status WHEN 'MISSING' THEN 'no such file' WHEN 'DUPLICATE' THEN 'same content' WHEN 'QUARANTINED' THEN CASE WHEN doc_id % 13 = 0 THEN 'format' WHEN doc_id % 17 = 0 THEN 'no permission tag' ELSE 'suspected duplicate' END END AS reason,
+    CASE WHEN status = 'QUARANTINED' AND doc_id % 13 = 0 THEN 'E101' END AS error_code, CASE WHEN stored THEN own WHEN there THEN owner END AS version_id
+  FROM decided)"""
+
+
+@query(f"""WITH RECURSIVE {_REGISTRY_SQL}
+SELECT filename, status, reason, error_code, relation, version_id, CASE WHEN stored THEN chain.logical_id END AS logical_id, CASE WHEN stored THEN prior END AS supersedes_version_id,
   relation IN ('merge', 'split_replace') AS needs_review, CASE WHEN doc_id % 4 <> 0 THEN DATE '2024-03-01' END AS issue_date
-FROM decided""")
+FROM told LEFT JOIN chain ON told.own = chain.own AND stored""")
 def registry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.register_batch(*_batch(spark, sf_dir), "b1").select("filename", "status", "reason", "error_code", "relation", "supersedes_version_id", "needs_review", "issue_date")
+    return registry.register_batch(*_batch(spark, sf_dir), "b1", order="ord").select("filename", "status", "reason", "error_code", "relation", "version_id", "logical_id", "supersedes_version_id", "needs_review", "issue_date")
+
+
+@query(f"""WITH RECURSIVE {_REGISTRY_SQL}
+SELECT version_id, CASE WHEN NOT stored THEN to_ END AS from_state, to_ AS to_state, error_code, filename, reason FROM (
+  SELECT told.*, CASE WHEN told.stored THEN told.status ELSE coalesce(k.state, o.status) END AS to_ FROM told LEFT JOIN known k ON k.vid = told.version_id LEFT JOIN (FROM told WHERE stored) o ON o.own = told.version_id
+  WHERE told.status <> 'MISSING')""")
+def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, files, known = _batch(spark, sf_dir)
+    decided = tables.written(registry.register_batch(manifest, files, known, "b1", order="ord"), "decided")
+    return registry.registration_events(decided, known)
 
 
 def _edges_sql() -> str:
@@ -453,19 +505,42 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEGAL_SQL = ", ".join(f"('{step.split('>')[0]}', '{step.split('>')[1]}')" for step in LEGAL)
 
 
-@query(f"""WITH RECURSIVE {EVENTS_SQL}, e AS (SELECT version_id, id, to_state, row_number() OVER (PARTITION BY version_id ORDER BY id) AS rn FROM log), ok(a, b) AS (VALUES {_LEGAL_SQL}),
+_LIFECYCLE_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, e AS (SELECT version_id, id, to_state, row_number() OVER (PARTITION BY version_id ORDER BY id) AS rn FROM log), ok(a, b) AS (VALUES {_LEGAL_SQL}),
 w AS (
   SELECT version_id, rn, id, CAST(NULL AS VARCHAR) AS from_state, to_state, ('', to_state) IN (SELECT (a, b) FROM ok) AS legal FROM e WHERE rn = 1
   UNION ALL
   SELECT n.version_id, n.rn, n.id, n.now, n.to_state, (coalesce(n.now, ''), n.to_state) IN (SELECT (a, b) FROM ok)
   FROM (SELECT e.version_id, e.rn, e.id, e.to_state, CASE WHEN w.legal THEN w.to_state ELSE w.from_state END AS now FROM w JOIN e ON e.version_id = w.version_id AND e.rn = w.rn + 1) n)
-SELECT version_id, id, from_state, to_state, legal FROM w""")
+SELECT version_id, id, from_state, to_state, legal FROM w"""
+
+
+@query(_LIFECYCLE_SQL)
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clauselake.streaming.events import lifecycle_table
 
     return lifecycle_table(event_log(spark, sf_dir))
 
 
+def _event_files(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+    """The event log as files that come one after the other, in the order of ids; returns their folder."""
+    log = event_log(spark, sf_dir).select("id", "version_id", "to_state", "error_code", "at")
+    path = tables.scratch(spark, "events")
+    least, most = log.agg(F.min("id"), F.max("id")).first()
+    part = F.lit(0) if least is None else F.least(F.lit(parts - 1), F.floor((F.col("id") - least) * parts / (most - least + 1)))
+    for k in range(parts):
+        log.where(part == k).write.mode("append").parquet(path)
+    return path
+
+
+@query(_LIFECYCLE_SQL)
+def stream_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.streaming import drive
+
+    steps = tables.scratch(spark, "steps")
+    drive.drive(spark, _event_files(spark, sf_dir), steps, tables.scratch(spark, "drive"), files_per_batch=16).awaitTermination()
+    return drive.steps_of(spark, steps)
+
+
 # ------------------------------------------------------------------------------------ files
 
 

@@ -31,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, and read from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, with or without a byte-order mark."""
     rows = spark.read.csv(path, header=True, encoding="UTF-8")
@@ -54,7 +61,7 @@ def scenario_terms(terms: DataFrame) -> DataFrame:
     """(ord, oral_term, legal_terms array) of the scenario dictionary."""
     from pyspark.sql import Window
 
-    listed = F.filter(F.transform(F.split("legal_terms", r"[|]"), F.trim), lambda t: t != "")
+    listed = F.filter(F.transform(F.split("legal_terms", r"[|]"), lambda t: F.trim(t)), lambda t: t != "")
     return terms.withColumn("legal_terms", listed).where("oral_term IS NOT NULL AND size(legal_terms) > 0").withColumn("ord", F.row_number().over(Window.orderBy("oral_term")))
 
 
