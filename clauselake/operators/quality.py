@@ -43,15 +43,16 @@ def _at_most(value: Column, threshold: float, edge: float | None) -> tuple[Colum
     return passed, passed & (value >= threshold - edge) if edge is not None else F.lit(False)
 
 
-def indicator_values(blocks: DataFrame) -> DataFrame:
+def indicator_values(blocks: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """One row a document with the value of every indicator, whatever its profile.
 
     ``blocks`` has version_id, idx, kind, text, page, page_end, ocr_conf and table_empty
     (true for a table without text in any cell). Garbled characters and blank pages are
     counted on text blocks. Documents without articles, tables or questions get the value
-    that the indicator takes for nothing: 1, 0 and 0.
+    that the indicator takes for nothing: 1, 0 and 0. ``tree``: the blocks' clause tree,
+    where it is there already.
     """
-    tree = clause_tree(blocks)
+    tree = clause_tree(blocks) if tree is None else tree
     article = F.col("level") == 3
     loose = X.normalise(F.col("text")).rlike(_LOOSE)
     is_text = F.col("kind") != "table"

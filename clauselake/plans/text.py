@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions import dates, text as X
-from clauselake.operators import cases, obligations, quality, references, registry, routing, structure
+from clauselake.operators import cases, ingest, obligations, quality, references, registry, routing, structure
 from clauselake.sources.corpus import REGULATION_SQL, chinese, regulation_lines, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -116,7 +116,7 @@ kept AS (SELECT version_id, idx, text, page, CASE WHEN NOT is_toc THEN level END
 opened AS (SELECT *, {", ".join(f"max(CASE WHEN level = {k} THEN idx END) OVER u AS i{k}" for k in range(1, 7))},
   {", ".join(f"last_value(CASE WHEN level = {k} THEN number END IGNORE NULLS) OVER u AS n{k}" for k in range(1, 7))}, {", ".join(f"last_value(CASE WHEN level = {k} THEN label END IGNORE NULLS) OVER u AS l{k}" for k in range(1, 7))}
   FROM kept WINDOW u AS (PARTITION BY version_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-tree AS (SELECT version_id, idx, text, page, level,
+tree AS (SELECT version_id, idx, text, page, level, number, CASE WHEN i2 > coalesce(i1, -1) THEN i2 END AS section_idx,
   concat_ws('/', {", ".join(f"CASE WHEN i{k} > greatest(-1, {', '.join(f'coalesce(i{j}, -1)' for j in range(1, k)) or '-1'}) THEN n{k} END" for k in range(1, 7))}) AS path_norm,
   concat_ws(' > ', {", ".join(f"CASE WHEN i{k} > greatest(-1, {', '.join(f'coalesce(i{j}, -1)' for j in range(1, k)) or '-1'}) THEN l{k} END" for k in range(1, 7))}) AS path,
   CASE WHEN i3 > greatest(coalesce(i1, -1), coalesce(i2, -1)) THEN i3 END AS article_idx FROM opened)"""
@@ -290,6 +290,133 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.next_states(quality.gate(quality.indicators(quality.indicator_values(blocks), profiles)))
 
 
+_GARBLED = f"len(regexp_extract_all({_SOLID}, '[\\x{{fffd}}\\x{{00}}-\\x{{1f}}]'))"
+
+
+def _indicator_sql(is_table: str = "FALSE", page: str = "page", ocr: str = "NULL", empty: str = "FALSE") -> str:
+    """CTE ``ind``: every indicator of the regulation view's documents, no questions among them."""
+    return f"""
+lined AS (SELECT version_id, idx, text, {page} AS page, level, number, path, {is_table} AS is_table, {empty} AS is_empty, {ocr} AS ocr FROM tree),
+kept_order AS (SELECT *, lag(CAST(number AS INTEGER)) OVER (PARTITION BY version_id, regexp_replace(path, '(^| > )[^>]*$', ''), level ORDER BY idx) AS before FROM lined WHERE level IN (1, 2, 3)),
+wrong AS (SELECT version_id, count(*) AS disorder FROM kept_order WHERE CAST(number AS INTEGER) <= before GROUP BY 1),
+base AS (
+  SELECT version_id, count(*) FILTER (level = 3) AS articles, count(*) FILTER (regexp_matches({_SOLID}, '^第[〇零一二两三四五六七八九十百千0-9A-Za-z.]+条')) AS loose,
+    coalesce(max(CAST(number AS INTEGER)) FILTER (level = 3) - min(CAST(number AS INTEGER)) FILTER (level = 3) + 1 - count(DISTINCT number) FILTER (level = 3), 0) AS gaps,
+    count(*) FILTER (NOT is_table) AS texts, count(*) FILTER (NOT is_table AND page IS NOT NULL) AS anchored, count(*) FILTER (is_table) AS tables, count(*) FILTER (is_table AND is_empty) AS empties,
+    sum({_GARBLED}) FILTER (NOT is_table) AS odd, sum(length({_SOLID})) FILTER (NOT is_table) AS chars, avg(ocr) FILTER (NOT is_table) AS ocr_mean
+  FROM lined GROUP BY 1),
+paged AS (SELECT version_id, page, sum(length({_SOLID})) AS n FROM lined WHERE page > 0 GROUP BY 1, 2),
+dense_ AS (SELECT version_id, least(1.0, sum(n) / max(page) / greatest(1, list_sort(list(n))[1 + count(*) // 2])) AS sufficiency FROM paged GROUP BY 1),
+ind AS (
+  SELECT version_id, CASE WHEN loose = 0 THEN 1.0 ELSE articles / loose END AS coverage, gaps, coalesce(disorder, 0) AS disorder, CASE WHEN texts = 0 THEN 1.0 ELSE anchored / texts END AS anchors,
+    CASE WHEN tables = 0 THEN 0.0 ELSE empties / tables END AS empty_tables, CASE WHEN coalesce(chars, 0) = 0 THEN 0.0 ELSE odd / chars END AS garbled, ocr_mean, coalesce(sufficiency, 0.0) AS sufficiency
+  FROM base LEFT JOIN dense_ USING (version_id) LEFT JOIN wrong USING (version_id)),
+checks AS (
+  SELECT *, garbled <= 0.01 AND coalesce(ocr_mean >= 0.85, TRUE) AS clean,
+    coverage >= 0.95 AND gaps <= 0 AND disorder <= 0 AND anchors >= 1 AND empty_tables <= 0.05 AND garbled <= 0.01 AND coalesce(ocr_mean >= 0.85, TRUE) AND sufficiency >= 0.7 AS clause_ok,
+    (coverage >= 0.95 AND coverage <= 0.97) OR (empty_tables <= 0.05 AND empty_tables >= 0.03) OR (sufficiency >= 0.7 AND sufficiency <= 0.72) AS near FROM ind)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regulation view with tables, blocks without a page, and confidences."""
+    i, v = F.col("idx"), F.col("version_id")
+    return _blocks(spark, sf_dir).withColumns({
+        "kind": F.when(i % 12 == 10, "table").otherwise("text"),
+        "page": F.when((v % 6 == 1) & (i % 5 == 4), F.lit(None)).otherwise(F.col("page")),
+        "ocr_conf": F.when(v % 4 == 2, F.lit(0.8) + (i % 10) / 100),
+        "table_empty": i % 240 == 10,
+    })
+
+
+@query(f"""WITH {_TREE},{_indicator_sql("idx % 12 = 10", "CASE WHEN version_id % 6 <> 1 OR idx % 5 <> 4 THEN page END", "CASE WHEN version_id % 4 = 2 THEN 0.8 + (idx % 10) / 100 END", "idx % 240 = 10")},
+told AS (SELECT *, version_id % 5 = 0 AS is_case, CASE WHEN version_id % 5 = 0 THEN clean AND anchors >= 1 ELSE clause_ok END AS passed FROM checks)
+SELECT version_id, round(coverage, 6) AS coverage, CAST(gaps AS DOUBLE) AS gaps, CAST(disorder AS DOUBLE) AS disorder, round(anchors, 6) AS anchors, round(empty_tables, 6) AS empty_tables, round(garbled, 6) AS garbled, round(ocr_mean, 6) AS ocr_mean, round(sufficiency, 6) AS sufficiency,
+  CASE WHEN passed THEN 'STRUCTURING' ELSE 'QC_FAILED' END AS to_state, CASE WHEN NOT passed THEN 'E301' END AS error_code, NOT is_case AND near AS qc_marginal,
+  array_to_string(list_filter([CASE WHEN NOT is_case AND coverage < 0.95 THEN 'clause_coverage' END, CASE WHEN NOT is_case AND gaps > 0 THEN 'clause_continuity' END, CASE WHEN NOT is_case AND sufficiency < 0.7 THEN 'extraction_sufficiency' END,
+    CASE WHEN NOT is_case AND disorder > 0 THEN 'hierarchy_legality' END, CASE WHEN anchors < 1 THEN 'page_anchor_complete' END, CASE WHEN NOT is_case AND empty_tables > 0.05 THEN 'table_consistency' END, CASE WHEN NOT clean THEN 'text_quality' END], lambda x: x IS NOT NULL), ',') AS failed
+FROM told""")
+def quality_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _scanned(spark, sf_dir)
+    profiles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), F.when(F.col("doc_id") % 5 == 0, "P-CASE").otherwise("P-INT").alias("corpus_type"))
+    values = quality.indicator_values(blocks)
+    verdicts = quality.gate(quality.indicators(values, profiles))
+    states = quality.next_states(verdicts).select("version_id", "to_state", "error_code", "qc_marginal").join(verdicts.select("version_id", F.array_join("failed", ",").alias("failed")), "version_id")
+    return values.select("version_id", *[F.round(c, 6).alias(c) for c in ("coverage", "gaps", "disorder", "anchors", "empty_tables", "garbled", "ocr_mean", "sufficiency")]).join(states, "version_id")
+
+
+_DAY = "DATE '2024-06-01'"
+_OPENS = (
+    r"regexp_matches(text, '^\s*(经查|违法事实|违规事实|存在以下)') OR regexp_matches(text, '^\s*(依据|根据.*《|违反了)') OR regexp_matches(text, '^\s*(现决定|我会决定|我局决定|决定|责令|处以)')"
+    r" OR regexp_matches(text, '^\s*(当事人|被处罚人|被检查)|^.{2,48}(公司|中心|银行|集团|协会|事务所|、|先生|女士).{0,12}[:：]\s*$')"
+)
+
+
+@query(f"""WITH {_TREE},
+v AS (SELECT doc_id AS version_id, CASE WHEN doc_id % 5 = 0 THEN 'P-CASE' WHEN doc_id % 7 = 0 THEN 'P-QA' ELSE 'P-INT' END AS kind, doc_id % 13 = 0 AS waits, doc_id % 17 <> 0 AS there FROM documents WHERE doc_id IS NOT NULL),
+{_indicator_sql()},
+gated AS (SELECT v.*, CASE kind WHEN 'P-QA' THEN FALSE WHEN 'P-CASE' THEN clean AND anchors >= 1 ELSE clause_ok END AS passed FROM v JOIN checks USING (version_id) WHERE there AND NOT waits),
+heads_ AS (SELECT DISTINCT version_id FROM tree WHERE idx < 8 AND contains(text, '责令')),
+met AS (SELECT g.*, version_id % 3 = 0 AND version_id IN (FROM heads_) AS conflict, version_id % 11 = 0 AS revises FROM gated g WHERE passed),
+opens AS (SELECT version_id, count(*) FILTER ({_OPENS}) AS n FROM tree GROUP BY 1),
+cut AS (
+  SELECT version_id, CASE WHEN kind = 'P-CASE' THEN greatest(n, 1) + 1 ELSE arts END AS searched, CASE WHEN kind = 'P-CASE' THEN 0 ELSE secs END AS parents, conflict, revises, kind
+  FROM met JOIN opens USING (version_id) JOIN (SELECT version_id, count(DISTINCT article_idx) AS arts, count(DISTINCT section_idx) AS secs FROM tree GROUP BY 1) USING (version_id)),
+ends AS (
+  SELECT v.version_id, CASE WHEN v.waits THEN 'META_REVIEW' WHEN NOT v.there THEN 'PARSE_FAILED' WHEN c.version_id IS NULL THEN 'QC_FAILED' WHEN c.conflict OR c.revises THEN 'META_REVIEW'
+      WHEN c.version_id % 19 = 0 AND c.searched > 0 THEN 'INDEXING' WHEN c.version_id % 9 = 0 THEN 'DEGRADED_INDEXED' ELSE 'INDEXED' END AS state, v.waits, c.searched, c.conflict, c.revises
+  FROM v LEFT JOIN cut c USING (version_id)),
+live AS (SELECT *, CASE WHEN state IN ('INDEXED', 'DEGRADED_INDEXED') THEN CASE WHEN version_id % 2 = 1 THEN 'upcoming' ELSE 'effective' END ELSE 'staging' END AS status FROM ends)
+SELECT 'state' AS kind, state || ' ' || status AS name, count(*) AS n FROM live GROUP BY ALL
+UNION ALL SELECT 'table', 'tree', count(*) FROM tree JOIN v USING (version_id) WHERE v.there AND NOT v.waits
+UNION ALL SELECT 'table', 'chunks', sum(searched + parents) FROM cut
+UNION ALL SELECT 'table', 'verdicts', count(*) FROM gated
+UNION ALL SELECT 'table', 'conflicts', count(*) FROM met WHERE conflict
+UNION ALL SELECT 'table', 'facts', count(*) FROM met WHERE kind = 'P-CASE'
+UNION ALL SELECT 'table', 'corpus', sum(searched) FROM live WHERE state IN ('INDEXED', 'DEGRADED_INDEXED')
+UNION ALL SELECT 'table', 'states', count(*) FROM live
+UNION ALL SELECT 'table', 'failures', count(*) FROM live WHERE state = 'INDEXING'
+UNION ALL SELECT 'queue', CASE WHEN state = 'PARSE_FAILED' THEN 'not parsed' WHEN state = 'QC_FAILED' THEN 'quality gate' WHEN conflict THEN 'metadata conflict' ELSE 'revision to be confirmed' END, count(*) FROM live WHERE NOT waits AND state IN ('PARSE_FAILED', 'QC_FAILED', 'META_REVIEW') GROUP BY ALL
+UNION ALL SELECT 'event', name, count(*) FROM (SELECT unnest(CASE state WHEN 'PARSE_FAILED' THEN ['PARSING', 'PARSE_FAILED'] WHEN 'QC_FAILED' THEN ['PARSING', 'QC_PENDING', 'QC_FAILED'] WHEN 'META_REVIEW' THEN ['PARSING', 'QC_PENDING', 'STRUCTURING', 'META_REVIEW']
+  WHEN 'INDEXING' THEN ['PARSING', 'QC_PENDING', 'STRUCTURING', 'EMBEDDING', 'INDEXING'] ELSE ['PARSING', 'QC_PENDING', 'STRUCTURING', 'EMBEDDING', 'INDEXING', state] END) AS name FROM live WHERE NOT waits) GROUP BY ALL""")
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    i = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    versions = docs.select(
+        i.alias("version_id"),
+        F.when(i % 5 == 0, "P-CASE").when(i % 7 == 0, "P-QA").otherwise("P-INT").alias("corpus_type"),
+        F.concat(F.lit("t"), i.cast("string")).alias("title"),
+        none.alias("doc_number"),
+        F.lit(None).cast("date").alias("issue_date"),
+        F.when(i % 2 == 1, F.lit("2030-01-01").cast("date")).alias("effective_date"),
+        F.when(i % 3 == 0, "甲署").otherwise("").alias("issuer"),
+        F.when(i % 11 == 0, i - 1).alias("supersedes_version_id"),
+        F.when(i % 13 == 0, "META_REVIEW").otherwise("REGISTERED").alias("pipeline_status"),
+        (i % 9 == 0).alias("degraded"),
+        none.alias("sub_type"),
+        F.lit("public").alias("perm_tag"),
+        F.lit("staging").alias("version_status"),
+        F.array().cast("array<string>").alias("biz_domains"),
+        none.alias("biz_domain"),
+    )
+    blocks = _blocks(spark, sf_dir).where("version_id % 17 <> 0").withColumns({"ocr_conf": F.lit(None).cast("double"), "table_empty": F.lit(False)})
+    # The second issuer is named by a word of duty, which many documents have at their head.
+    issuers = spark.createDataFrame([("I1", "甲署", "部级"), ("I2", "责令", "部级")], "code string, name string, issuer_level string")
+    known = versions.select("version_id", "doc_number", "title", F.lit("effective").alias("version_status"))
+    aliases = spark.createDataFrame([], "alias string, canonical_doc_number string, canonical_title string")
+    batch = ingest.ingest_batch(
+        versions, blocks, issuers, known, aliases,
+        today=F.lit("2024-06-01").cast("date"),
+        embed=lambda chunks: chunks.where("version_id % 19 <> 0").select("chunk_id"),
+        limits=structure.ChunkLimits(0, 1 << 30, 1 << 30),
+        confirm_plain=True,
+    )
+    counted = lambda frame, kind, name: frame.select(F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name")).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    out = counted(batch.states, "state", F.concat_ws(" ", "pipeline_status", "version_status")).unionByName(counted(batch.queue, "queue", F.col("reason"))).unionByName(counted(batch.events, "event", F.col("to_state")))
+    for name in ("tree", "chunks", "verdicts", "conflicts", "facts", "corpus", "states", "failures"):
+        out = out.unionByName(batch.tables()[name].agg(F.lit("table").alias("kind"), F.lit(name).alias("name"), F.count("*").alias("n")))
+    return out
+
 
 
 # ---------------------------------------------------------------------- pages and verifiers
