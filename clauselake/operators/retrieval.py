@@ -1,20 +1,21 @@
 """Hybrid retrieval as DataFrame plans: exact cosine, sparse inner product, rank fusion, quotas, tabs.
 
 Many questions are answered in one plan: ``queries`` is (query_id, dense, sparse). Scores
-are exact. Visibility filters and the corpus partition are applied before scoring, and
-dense scoring runs against a broadcast of the questions, in blocks of a checked number.
+are exact. Visibility filters and the corpus partition are applied before scoring. The
+best cosines come from ``vectors``, which leaves out cells that cannot hold any.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
+from . import vectors
+
 INTERNAL, EXTERNAL, CASE = "P-INT", "P-EXT", "P-CASE"
 PARTITIONS = (INTERNAL, EXTERNAL)
 
@@ -81,16 +82,12 @@ def best(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Data
 
 
 def dense_best(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, by: tuple[str, ...] = ("query_id",), block: int = MOST_QUERIES) -> DataFrame:
-    """``best`` of ``dense_scores`` for any number of questions, in blocks of about half of ``block`` by query_id.
+    """The ``k`` best cosines of each group of ``by``, which holds query_id, for any number of questions.
 
-    ``by`` holds query_id.
+    Cells of near vectors are left out where the triangle inequality allows; see
+    ``vectors``. A task has at most about a thousand questions, or ``block`` if that is less.
     """
-    if n_queries <= block:
-        return best(dense_scores(corpus, queries, n_queries), k, by)
-    n_blocks = -(-2 * n_queries // block)
-    own = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    parts = [best(dense_scores(corpus, queries.where(own == b), min(n_queries, block)), k, by) for b in range(n_blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    return vectors.best_cosines(corpus, queries, k, by, query_block=min(block, 1024))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, constant: int = 60) -> DataFrame:
@@ -234,7 +231,7 @@ def named_documents(question: Column) -> Column:
     """Document numbers, then titles, that a question names; each once."""
     half = X.to_halfwidth(question)
     found = F.concat(*[F.regexp_extract_all(half, F.lit(f"({p})"), F.lit(1)) for p in (_NUMBER, _TITLE)])
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def legal_terms(questions: DataFrame, terms: DataFrame) -> DataFrame:
