@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, LOWER, as_table, text_slices, word_ranges
+from .common import LOWER, hash_words, as_table, text_slices, word_ranges
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes between words: ASCII but digits and letters.
@@ -45,7 +45,7 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         start, end, owner = word_ranges(low, offsets, STOPS)
         at = np.searchsorted(owner, np.arange(last - first + 1))
         own = np.repeat(offsets[:-1], np.diff(at))
-        yield first, last, Hasher(low).ranges(start, end), start - own, end - own, at
+        yield first, last, hash_words(low, start, end), start - own, end - own, at
 
 
 class Automaton:
@@ -60,7 +60,7 @@ class Automaton:
         known = sorted({w for window in owners for w in window})
         joined = b" ".join(known)
         ends = np.cumsum([len(w) + 1 for w in known], dtype=np.int64) - 1
-        hashes = Hasher(np.frombuffer(joined, np.uint8)).ranges(ends - [len(w) for w in known], ends) if known else np.zeros(0, np.uint64)
+        hashes = hash_words(np.frombuffer(joined, np.uint8), ends - [len(w) for w in known], ends) if known else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order + 1
         self.base = math.isqrt(len(known)) + 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, LOWER, as_table, connected_components, cut, heavy_light_join, mix64, text_slices, word_ranges
+from .common import LOWER, as_table, connected_components, cut, hash_words, heavy_light_join, mix64, text_slices, word_ranges
 
 #: Of the shingles beyond n - T, a lead holds n // LEAD (one at least).
 LEAD = 6
@@ -42,7 +42,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for first, last, data, offsets in text_slices(column):
         low = LOWER[data]
         start, end, owner = word_ranges(low, offsets)
-        words = Hasher(low).ranges(start, end)
+        words = hash_words(low, start, end)
         at = np.searchsorted(owner, np.arange(last - first + 1))
         rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for k in range(width):

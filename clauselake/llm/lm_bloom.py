@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import Hasher, LOWER, as_table, fold_of, fresh_path, mix64, open_fs, text_slices, word_ranges
+from .common import LOWER, as_table, fold_of, fresh_path, hash_words, mix64, open_fs, text_slices, word_ranges
 
 ORDERS = 3
 BITS_PER_EVENT = 12
@@ -57,7 +57,7 @@ def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     for first, last, data, offsets in text_slices(column):
         low = LOWER[data]
         start, end, owner = word_ranges(low, offsets)
-        words = Hasher(low).ranges(start, end)
+        words = hash_words(low, start, end)
         bounds = np.searchsorted(owner, np.arange(last - first + 1))
         tokens = np.insert(words, bounds[1:], END)
         yield first, last, tokens, bounds + np.arange(last - first + 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, LOWER, fold_of, text_slices, word_ranges
+from .common import LOWER, fold_of, hash_words, text_slices, word_ranges
 
 #: Byte classes; the features count each pair of neighbours.
 _KINDS = [b" \t\r\x0b\x0c", b"\n", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",;:", b"!?", b"|", b"%", b"#", b"$", b"&", b"*", bytes(range(128, 256))]
@@ -33,7 +33,7 @@ def text_features(column: pa.Array) -> np.ndarray:
     for first, last, data, offsets in text_slices(column):
         kinds = _CLASS[data]
         start, end, owner = word_ranges(data, offsets)
-        hashes = Hasher(LOWER[data]).ranges(start, end)
+        hashes = hash_words(LOWER[data], start, end)
         words = np.searchsorted(owner, np.arange(last - first + 1))
         breaks = np.flatnonzero(data == 10)
         for k in range(last - first):

@@ -2,8 +2,15 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from clauselake.llm.common import Hasher, connected_components, heavy_light_join, text_slices, word_ranges
+from clauselake.llm.common import Hasher, connected_components, hash_words, heavy_light_join, text_slices, word_ranges
+
+
+def unlike_words():
+    """Two words of 1,024 letters that hash alike under every polynomial modulo 2^64."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
 
 
 def test_words_and_hashes():
@@ -15,6 +22,15 @@ def test_words_and_hashes():
         hashes = Hasher(data).ranges(start, end)
         again = [Hasher(np.frombuffer(w.encode(), np.uint8)).ranges(np.array([0]), np.array([len(w.encode())]))[0] for _, w in got]
         assert list(hashes) == again
+        assert list(hash_words(data, start, end)) == [xxhash.xxh64_intdigest(w) for _, w in got]
+    assert len(hash_words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+def test_words_that_polynomials_take_for_one():
+    one, other = unlike_words()
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    hashes = hash_words(data, np.array([0, 1025]), np.array([1024, 2049]))
+    assert hashes[0] != hashes[1]
 
 
 def test_components(spark):

@@ -70,3 +70,11 @@ def test_an_item_longer_than_a_part(spark):
     docs = spark.createDataFrame([(k, " ".join(["zz", *words_[k : k + 10], "zz"])) for k in range(0, 2990, 13)], "doc_id long, text string")
     got = find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), part_bytes=700).collect()
     assert all((r.n_words, r.n_hit) == (12, 10) for r in got)
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    from test_common import unlike_words
+
+    one, other = unlike_words()
+    found = find_contamination(spark.createDataFrame([(0, f"x {one}"), (1, f"x {other}")], "doc_id long, text string"), spark.createDataFrame([("i", one)], "item_id string, text string"), width=10)
+    assert sorted((r.doc_id, r.n_hit) for r in found.collect()) == [(0, 1), (1, 0)]

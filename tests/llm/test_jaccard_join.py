@@ -83,3 +83,11 @@ def test_links_of_repeats_and_shared_ids(spark):
     got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()
     # Row 9 stands twice: its first text links with the three rows of 4, its second with row 3.
     assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == [(-1, 58, 3), (2, 0, 0), (3, 2, 1), (4, 58, 3), (4, 58, 3), (9, 2, 1), (9, 59, 3)]
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    from test_common import unlike_words
+
+    rows = list(enumerate(unlike_words()))
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, den=100, count_links=True)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == [(0, 1, 0, 0), (1, 1, 1, 0)]

@@ -176,3 +176,12 @@ def test_repeated_rows_and_clashing_columns(spark):
         got = score_texts(rows, learn_model(rows, filter_bytes=filter_bytes)).collect()
         assert sorted((r.doc_id is None, r.n_tokens, r.n_known) for r in got) == [(False, 1, 1), (False, 4, 4), (False, 4, 4), (True, 4, 4)]
         assert len({r.score for r in got if r.n_tokens == 4}) == 1
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    from test_common import unlike_words
+
+    one, other = unlike_words()
+    model = learn_model(spark.createDataFrame([(0, one)], "doc_id long, text string"))
+    got = {r.doc_id: r.n_known for r in score_texts(spark.createDataFrame([(0, one), (1, other)], "doc_id long, text string"), model).collect()}
+    assert got == {0: 2, 1: 1}
