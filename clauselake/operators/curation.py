@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
+from . import containment
+
 # Patterns of file types in order, formats in order of preference.
 TYPES = (
     ("案例", r"(警示函|监管措施|行政处罚|纪律处分|处分(决定)?|监管谈话|责令改正|认定为不适当人选|采取.{0,8}措施.{0,4}决定)"),
@@ -73,22 +75,18 @@ def citations_in(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return harvest(_CITED_TITLE, "title"), harvest(_CITED_NUMBER, "doc_number")
 
 
-def cited(files: DataFrame, titles: DataFrame, numbers: DataFrame, most: int = 100_000) -> DataFrame:
-    """Files whose title holds, or is held by, a cited title, or holds a cited number.
+def cited(files: DataFrame, titles: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Files whose title holds, or is held by, a cited title, or holds a cited number; spaces don't count for numbers.
 
-    Substring matches have no equality to join on, so citations are broadcast, in blocks
-    of at most ``most``; files that one block finds are not held against the next.
+    Empty titles are cited by none.
     """
-    words = titles.select(F.col("title").alias("_w"), F.lit(True).alias("_both")).unionByName(numbers.select(F.col("doc_number").alias("_w"), F.lit(False).alias("_both")))
-    blocks = -(-words.count() // most) or 1
-    solid = F.regexp_replace("title", " ", "")
-    hit = F.when(F.col("_both"), F.contains("title", "_w") | F.contains("_w", "title")).otherwise(F.contains(solid, F.col("_w")))
-    found, rest = None, files
-    for k in range(blocks):
-        block = F.broadcast(words.where(F.pmod(F.xxhash64("_w", "_both"), F.lit(blocks)) == k))
-        own = rest.join(block, hit, "left_semi")
-        found, rest = own if found is None else found.unionByName(own), rest.join(block, hit, "left_anti")
-    return found
+    own = files.select("title").distinct()
+    words = titles.select(F.col("title").alias("_w")).distinct()
+    found = containment.holding(own, words, "title", "_w").select("title")
+    found = found.unionByName(containment.holding(words, own, "_w", "title").select("title"))
+    solid = own.withColumn("_solid", F.regexp_replace("title", " ", ""))
+    found = found.unionByName(containment.holding(solid, numbers.select(F.col("doc_number").alias("_w")).distinct(), "_solid", "_w").select("title"))
+    return files.join(found, "title", "left_semi").select(*files.columns)
 
 
 def file_hints(name: Column) -> Column:

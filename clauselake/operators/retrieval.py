@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
-from . import vectors
+from . import containment, postings as impact, vectors
 
 INTERNAL, EXTERNAL, CASE = "P-INT", "P-EXT", "P-CASE"
 PARTITIONS = (INTERNAL, EXTERNAL)
@@ -103,12 +103,18 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int, constant: int = 60) -> Dat
     return best(scored, k, ("query_id", "corpus_type"))
 
 
-def search(corpus: DataFrame, postings: DataFrame, queries: DataFrame, n_queries: int, k: int, *, include_superseded: bool = False, constant: int = 60) -> DataFrame:
-    """Hybrid hits: the ``k`` best per question and corpus partition."""
+def search(corpus: DataFrame, postings: DataFrame | impact.ImpactIndex, queries: DataFrame, n_queries: int, k: int, *, include_superseded: bool = False, constant: int = 60) -> DataFrame:
+    """Hybrid hits: the ``k`` best per question and corpus partition.
+
+    With an impact index in place of postings, lists are read no further than they matter.
+    """
     shown = visible(corpus, include_superseded=include_superseded)
-    own = postings.join(shown.select("chunk_id"), "chunk_id", "left_semi")
     by = ("query_id", "corpus_type")
-    return fuse(dense_best(shown, queries, n_queries, k, by), best(sparse_scores(own, queries), k, by), k, constant)
+    if isinstance(postings, impact.ImpactIndex):
+        sparse = impact.sparse_best(postings, queries, k, shown)
+    else:
+        sparse = best(sparse_scores(postings.join(shown.select("chunk_id"), "chunk_id", "left_semi"), queries), k, by)
+    return fuse(dense_best(shown, queries, n_queries, k, by), sparse, k, constant)
 
 
 def retrieve(corpus: DataFrame, postings: DataFrame, queries: DataFrame, n_queries: int, limits: Limits | None = None, **how) -> DataFrame:
@@ -236,7 +242,7 @@ def named_documents(question: Column) -> Column:
 
 def legal_terms(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, legal_terms) for questions that hold an oral term of the dictionary (ord, oral_term, legal_terms array)."""
-    hits = questions.join(F.broadcast(terms.where("oral_term <> ''")), F.expr("contains(question, oral_term)"))
+    hits = containment.holding(questions, terms, "question", "oral_term")
     return hits.groupBy("query_id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("legal_terms").alias("l")))), lambda x: x["l"]))).alias("legal_terms"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
+from . import containment
+
 # Words of each scene in order of precedence, and of other decisions.
 SCENES = (
     ("behavior", ("是否违规", "违不违规", "违规吗", "是否合规", "能不能", "能否", "可不可以", "可以吗", "需不需要", "算不算", "是否需要", "是否可以")),
@@ -49,7 +51,7 @@ def wants_duties(question: Column) -> Column:
 
 def terms_in(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, terms): the dictionary's terms (ord, term) that each question holds, in order."""
-    hits = questions.join(F.broadcast(terms.where("term <> ''")), F.expr("contains(question, term)"))
+    hits = containment.holding(questions, terms, "question", "term")
     return hits.groupBy("query_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"])).alias("terms"))
 
 

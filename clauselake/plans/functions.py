@@ -128,7 +128,7 @@ SELECT p_partkey FROM f WHERE contains(title, 'blue ring') OR contains(title, 's
 def files_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _parts(spark, sf_dir).select(K, F.concat("p_name", F.lit("〔"), (F.col(K) % 30 + 2000).cast("string"), F.lit("〕 "), (F.col(K) % 500).cast("string"), F.lit("号")).alias("title"))
     one = lambda column, *values: spark.createDataFrame([(v,) for v in values], f"{column} string")
-    return curation.cited(files, one("title", "blue ring", "small"), one("doc_number", "〔2007〕7号"), most=2).select(K)
+    return curation.cited(files, one("title", "blue ring", "small"), one("doc_number", "〔2007〕7号")).select(K)
 
 
 # ------------------------------------------------------------------------------- text

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.operators import answering
+from clauselake.operators import postings as impact
 from clauselake.operators import retrieval as R
 from clauselake.operators import routing
 from clauselake.sources.corpus import table, vector_corpus
@@ -77,6 +78,13 @@ def search_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sparse_scores(postings.join(R.visible(corpus).select("chunk_id"), "chunk_id", "left_semi"), queries)
 
 
+@query(f"WITH {_CORPUS} SELECT query_id, corpus_type, chunk_id, rank, CAST(score AS DOUBLE) AS score FROM sparse")
+def search_sparse_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, postings, queries, _ = _inputs(spark, sf_dir)
+    index = impact.build_index(postings, block_rows=16)
+    return impact.sparse_best(index, queries, 25, R.visible(corpus)).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"WITH {_CORPUS} SELECT query_id, corpus_type, chunk_id, mode, round(score, 6) AS score FROM hits")
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(*_inputs(spark, sf_dir), 25).withColumn("score", F.round("score", 6)).drop("rank")
