@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.functions import text as X
 
 from . import containment
+from .references import spans
 
 # Patterns of file types in order, formats in order of preference.
 TYPES = (
@@ -26,8 +27,10 @@ NUMBERED_KINDS = ("令", "公告", "发")
 
 #: A title of 4 to 40 characters between book marks.
 _CITED_TITLE = r"《([^》]{4,40})》"
-#: [who][kind] year, in brackets or not, and a serial number.
-_CITED_NUMBER = "(" + r"\s*".join((f"(?:{'|'.join(NUMBERED_BY)})?(?:{'|'.join(NUMBERED_KINDS)})?", r"[〔\[【(]?", r"\d{4}", r"[〕\]】)]?", "第?", r"\d{1,4}", "号")) + ")"
+#: Year and serial number, once all brackets are alike.
+_YEAR_AND_SERIAL = r"〔?\d{4}〕?第?\d{1,4}号"
+#: What may stand before the year, longest first.
+_BEFORE = sorted({who + kind for who in ("", *NUMBERED_BY) for kind in ("", *NUMBERED_KINDS)} - {""}, key=lambda p: (-len(p), p))
 
 
 def base_name(name: Column) -> Column:
@@ -35,9 +38,19 @@ def base_name(name: Column) -> Column:
 
 
 def title_of(name: Column) -> Column:
-    """A file name without extension, what precedes its title (a serial number, a date, a serial number), and bracketed years."""
-    ahead = r"^(?:\d{1,4}[_-])?(?:\d{4}(?:-\d{2}){2}[_-])?(?:\d{1,4}[_-])?"
-    return F.trim(F.regexp_replace(base_name(name), ahead + r"|[（(【][^年]*?年.*?[)）】]", ""))
+    """A file name without extension, the numbers that it begins with, and brackets that hold a year.
+
+    Of the parts between _ and - those in front that are numbers of at most four digits go:
+    serial numbers and a date, at most five, and never the last part.
+    """
+    stem = base_name(name)
+    parts = F.split(stem, "[_-]")
+    words = F.filter(F.transform(parts, lambda x, k: F.when(~x.rlike(r"^\d{1,4}$"), k)), lambda k: k.isNotNull())
+    ahead = F.least(F.coalesce(F.array_min(words), F.lit(5)), F.lit(5), F.size(parts) - 1)
+    skipped = F.aggregate(F.slice(parts, 1, ahead), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    rest = F.substr(stem, skipped + 1)
+    dated = F.filter(F.regexp_extract_all(rest, F.lit(r"([（(【][^（(【)）】]*[)）】])"), F.lit(1)), lambda x: x.contains("年"))
+    return F.trim(F.aggregate(dated, rest, lambda t, x: F.replace(t, x, F.lit(""))))
 
 
 def type_of(name: Column) -> Column:
@@ -69,10 +82,22 @@ def stratified(rows: DataFrame, k: int, strata: tuple[str, ...], key: str, seed:
     return rows.withColumn("_turn", turn).where(F.col("_turn") <= k).orderBy("_turn", *strata).limit(k).drop("_turn")
 
 
+def numbers_in(text: Column) -> Column:
+    """The document numbers in a text, without white space: year and serial, and before them who numbers and what kind.
+
+    Brackets are made alike for the search only; a number is given as it stands.
+    """
+    solid = F.regexp_replace(text, r"\s+", "")
+    alike = F.translate(solid, "[【(]】)", "〔〔〔〕〕〕")
+    before = lambda m: F.coalesce(*[F.when(F.endswith(F.left(solid, m["start"]), F.lit(p)), F.lit(len(p))) for p in _BEFORE], F.lit(0))
+    surface = lambda m: X.let(before(m), lambda n: F.substr(solid, m["start"] - n + 1, m["end"] - m["start"] + n))
+    return F.transform(spans(alike, _YEAR_AND_SERIAL), surface)
+
+
 def citations_in(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct titles and document numbers that texts cite."""
-    harvest = lambda pattern, name: texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias(name)).select(F.regexp_replace(name, r"\s+", "").alias(name)).distinct()
-    return harvest(_CITED_TITLE, "title"), harvest(_CITED_NUMBER, "doc_number")
+    titles = texts.select(F.explode(F.regexp_extract_all("text", F.lit(_CITED_TITLE), F.lit(1))).alias("title")).select(F.regexp_replace("title", r"\s+", "").alias("title")).distinct()
+    return titles, texts.select(F.explode(numbers_in(F.col("text"))).alias("doc_number")).distinct()
 
 
 def cited(files: DataFrame, titles: DataFrame, numbers: DataFrame) -> DataFrame:

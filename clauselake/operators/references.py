@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import text as X
 
-# What a document calls itself, and words that point to its own parts.
-SELF_NAMES = ("办法", "规定", "细则", "指引", "制度", "通知", "条例", "规则")
-THIS_ARTICLE, THIS_CHAPTER, LAST_ARTICLE, PARAGRAPHS_ABOVE = "本条", "本章", "前条", "上述各款"
-
 _C = X.NUMERAL
 _CLAUSE = rf"第[{_C}\d]+条(?:之[{_C}\d]+)?"
-#: (type, kind, pattern) of what is looked for inside a document.
+# Fixed values: (type, kind, surface) of what points inside a document; the first is a pattern.
 INTERNAL = (
     ("R3", "clause", _CLAUSE),
-    ("R1", "document", f"本(?:{'|'.join(SELF_NAMES)})"),
-    ("R1", "article", THIS_ARTICLE),
-    ("R1", "chapter", THIS_CHAPTER),
-    ("R2", "previous", LAST_ARTICLE),
-    ("R2", "paragraph", f"前(?:[{_C}]+)?款|{PARAGRAPHS_ABOVE}"),
+    ("R1", "document", "本办法"),
+    ("R1", "document", "本规定"),
+    ("R1", "document", "本细则"),
+    ("R1", "document", "本指引"),
+    ("R1", "document", "本制度"),
+    ("R1", "document", "本通知"),
+    ("R1", "document", "本条例"),
+    ("R1", "document", "本规则"),
+    ("R1", "article", "本条"),
+    ("R1", "chapter", "本章"),
+    ("R2", "previous", "前条"),
+    ("R2", "paragraph", "上述各款"),
 )
 _TITLE = r"《[^》《]+》"
-_NUMBER = r"(?:[（(][^）)]*[〔\[]\d{4}[〕\]][^）)]*[）)])?"
-CROSS = f"{_TITLE}{_NUMBER}(?:{_CLAUSE})?"
+_YEAR = r"[〔\[]\d{4}[〕\]]"
+#: Every surface in one pass, longer words first; a paragraph above has a number or none.
+_ANY = "|".join([_CLAUSE, *sorted((w for _, _, w in INTERNAL[1:]), key=len, reverse=True), f"前[{_C}]*款"])
+
+
+def _kinds(match: Column) -> Column:
+    """What a surface found by _ANY points to; a word that starts with a shorter one of the table is both."""
+    row = lambda ref_type, kind, end, surface: F.struct(F.lit(ref_type).alias("ref_type"), F.lit(kind).alias("kind"), match["start"].alias("start"), end.alias("end"), surface.alias("surface"))
+    surface = match["surface"]
+    words = [F.when(surface.startswith(w), row(t, kind, match["start"] + len(w), F.lit(w))) for t, kind, w in INTERNAL[1:]]
+    clause = F.when(surface.startswith("第"), row("R3", "clause", match["end"], surface))
+    above = F.when(surface.startswith("前") & surface.endswith("款"), row("R2", "paragraph", match["end"], surface))
+    return F.array_compact(F.array(clause, *words, above))
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -50,10 +64,10 @@ def _body_start() -> Column:
     return F.when(F.col("breadcrumb") != "", F.length("breadcrumb") + 1).otherwise(0)
 
 
-def _found(chunks: DataFrame, pattern: str) -> DataFrame:
+def _found(chunks: DataFrame, pattern: str, *more: str) -> DataFrame:
     """Matches behind the breadcrumb of each chunk."""
     rows = chunks.withColumn("_body", _body_start())
-    return rows.select("chunk_id", "version_id", "clause_path_norm", "_body", F.inline(spans(F.col("text"), pattern))).where("start >= _body").drop("_body")
+    return rows.select("chunk_id", "version_id", "clause_path_norm", *more, "_body", F.inline(spans(F.col("text"), pattern))).where("start >= _body").drop("_body")
 
 
 def _tail(path: Column) -> Column:
@@ -83,9 +97,8 @@ def internal_references(chunks: DataFrame) -> DataFrame:
     paths = clauses.where("clause_path_norm <> ''").groupBy("version_id", "clause_path_norm").agg(F.min("emit_ord").alias("_ord"))
     by_tail = paths.groupBy("version_id", _tail(F.col("clause_path_norm")).alias("_no")).agg(F.min("clause_path_norm").alias("_target"))
     previous = paths.withColumn("_before", F.lag("clause_path_norm").over(Window.partitionBy("version_id").orderBy("_ord"))).drop("_ord")
-    # All patterns in one pass over the text.
-    typed = lambda ref_type, kind, pattern: F.transform(spans(F.col("text"), pattern), lambda m: F.struct(F.lit(ref_type).alias("ref_type"), F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["surface"].alias("surface")))
-    found = clauses.select("chunk_id", "version_id", "clause_path_norm", _body_start().alias("_body"), F.inline(F.concat(*[typed(*p) for p in INTERNAL]))).where("start >= _body")
+    matches = F.flatten(F.transform(spans(F.col("text"), _ANY), _kinds))
+    found = clauses.select("chunk_id", "version_id", "clause_path_norm", _body_start().alias("_body"), F.inline(matches)).where("start >= _body")
     found = found.withColumn("_no", F.when(F.col("kind") == "clause", _clause_no(F.col("surface"))))
     own = F.col("_no").eqNullSafe(_tail(F.col("clause_path_norm")))
     joined = found.where((F.col("kind") != "clause") | (F.col("_no").isNotNull() & ~own)).join(by_tail, ["version_id", "_no"], "left").join(previous, ["version_id", "clause_path_norm"], "left")
@@ -101,19 +114,26 @@ def internal_references(chunks: DataFrame) -> DataFrame:
 
 
 def cross_mentions(chunks: DataFrame) -> DataFrame:
-    """Mentions of other documents: title, document number and clause number if given right behind."""
-    found = _found(_clauses(chunks), CROSS)
-    art = rf"第[{_C}\d]+条(?:之[{_C}\d]+)?$"
-    number = F.regexp_extract("surface", rf"^{_TITLE}[（(]([^）)]*[〔\[]\d{{4}}[〕\]][^）)]*)[）)]", 1)
-    return found.select(
+    """Mentions of other documents: title, document number and clause number if given right behind.
+
+    What follows a title is read in turn: brackets that hold a bracketed year, then a clause.
+    """
+    rest = lambda start: F.substr("text", start + 1)
+    titles = _found(_clauses(chunks), _TITLE, "text")
+    held = titles.withColumn("_in", F.regexp_extract(rest(F.col("end")), r"^[（(]([^）)]*)[）)]", 1))
+    numbered = held.withColumn("doc_number", F.when(F.col("_in").rlike(_YEAR), F.col("_in")))
+    behind = numbered.withColumn("_end", F.col("end") + F.when(F.col("doc_number").isNotNull(), F.length("doc_number") + 2).otherwise(0))
+    read = behind.withColumn("clause_raw", F.nullif(F.regexp_extract(rest(F.col("_end")), f"^({_CLAUSE})", 1), F.lit("")))
+    last = F.col("_end") + F.coalesce(F.length("clause_raw"), F.lit(0))
+    return read.select(
         "chunk_id",
         "version_id",
         F.col("start").alias("span_start"),
-        F.col("end").alias("span_end"),
-        "surface",
-        F.regexp_extract("surface", r"^《([^》]+)》", 1).alias("title"),
-        F.nullif(number, F.lit("")).alias("doc_number"),
-        F.nullif(F.regexp_extract("surface", f"({art})", 1), F.lit("")).alias("clause_raw"),
+        last.alias("span_end"),
+        F.substr("text", F.col("start") + 1, last - F.col("start")).alias("surface"),
+        F.expr("substr(surface, 2, length(surface) - 2)").alias("title"),
+        "doc_number",
+        "clause_raw",
     )
 
 
@@ -127,7 +147,9 @@ def resolve_documents(mentions: DataFrame, versions: DataFrame, aliases: DataFra
     """
     key = ["chunk_id", "span_start"]
     live = versions.where("version_status = 'effective'").select(F.col("version_id").alias("_hit"), F.col("doc_number").alias("_number"), F.col("title").alias("_title"))
-    named = mentions.select(*key, "version_id", "doc_number", "title").join(aliases.dropDuplicates(["alias"]), F.col("title") == F.col("alias"), "left")
+    # Of several entries of an alias the one of the smallest number, then title, counts.
+    first_alias = aliases.groupBy("alias").agg(F.min(F.struct("canonical_doc_number", "canonical_title")).alias("_a")).select("alias", "_a.*")
+    named = mentions.select(*key, "version_id", "doc_number", "title").join(first_alias, F.col("title") == F.col("alias"), "left")
     way = lambda by, column: F.struct(F.lit(by).alias("by"), F.nullif(F.col(column), F.lit("")).alias("value"))
     asked = F.array(way("number", "doc_number"), way("title", "title"), way("number", "canonical_doc_number"), way("title", "canonical_title"))
     ways = named.select(*key, "version_id", F.posexplode(asked).alias("way", "_ask")).select(*key, "version_id", "way", "_ask.by", "_ask.value").where("value IS NOT NULL")
