@@ -15,11 +15,13 @@ QUERIES, ORACLE_SQL = {}, {}
 K = "p_partkey"
 
 
-def query(sql: str):
-    """Registers a query under its function's name, with its SQL."""
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has one."""
 
     def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -248,3 +250,33 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir).select(F.concat(F.lit("d"), F.col(K).cast("string"), F.lit(".pdf")).alias("filename"), F.col("p_name").alias("title"), F.when(F.col(K) % 2 == 0, F.concat(F.lit("n"), F.col(K).cast("string"))).alias("doc_number"))
     rows.unionByName(spark.createDataFrame([(None, None, None)], rows.schema)).write.csv(path, header=True)
     return tables.manifest(spark, path)
+
+
+_TIDY = "regexp_replace(l, '[\\x{00}-\\x{08}\\x0b-\\x{1f}\\x{fffe}\\x{ffff}]', '', 'g')"
+_BLANK = "regexp_replace(t, '[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b]', '', 'g') = ''"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL)),
+t AS (SELECT doc_id, i, {_TIDY} AS t FROM l WHERE doc_id % 50 <> 0),
+k AS (SELECT doc_id, i, t, i % 7 = 3 AS tabled FROM t WHERE i % 7 = 3 OR NOT {_BLANK})
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, CASE WHEN tabled THEN 'table' WHEN i % 5 = 0 THEN 'heading' ELSE 'text' END AS kind, CASE WHEN tabled THEN 'k' || chr(9) || i || chr(10) || 'v' || chr(9) || length(t) ELSE t END AS text, CAST(NULL AS VARCHAR) AS error FROM k
+UNION ALL SELECT doc_id, 0, NULL, NULL, 'E101' FROM documents WHERE doc_id IS NOT NULL AND doc_id % 50 = 0""")
+def office_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are written as office files, one in fifty broken, and read back by the data source."""
+    from clauselake.sources import office
+
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    tidy = F.transform("lines", lambda x: F.regexp_replace(x, r"[\x00-\x08\x0b-\x1f\ufffe\uffff]", ""))
+    block = lambda x, i: F.struct(F.when(i % 7 == 3, "table").when(i % 5 == 0, "heading").otherwise("text").alias("kind"), F.when(i % 7 == 3, F.concat(F.lit("k\t"), i.cast("string"), F.lit("\nv\t"), F.length(x).cast("string"))).otherwise(x).alias("text"))
+    files = docs.select(F.concat("doc_id", F.lit(".docx")).alias("name"), F.when(F.col("doc_id") % 50 != 0, F.transform(tidy, block)).alias("blocks"))
+    path = tables.scratch(spark, "office")
+    office.write_docx(files, path).agg(F.sum("bytes")).collect()
+    read = office.read_office(spark, path, partition_bytes=1 << 20)
+    return read.select(F.regexp_extract("path", r"(-?\d+)\.docx$", 1).cast("long").alias("doc_id"), "idx", "kind", "text", "error")
+
+
+@query()
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauselake.sources import pages
+
+    return pages.page_blocks(table(spark, sf_dir, "pages").select("page_id", "html"))
