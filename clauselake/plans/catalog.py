@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import functions, relational, retrieval, text
+from . import functions, records, relational, retrieval, text
 
 FLAGSHIP = "stat_category"
-QUERIES = {**relational.QUERIES, **text.QUERIES, **retrieval.QUERIES, **functions.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **text.ORACLE_SQL, **retrieval.ORACLE_SQL, **functions.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **text.QUERIES, **retrieval.QUERIES, **functions.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **text.ORACLE_SQL, **retrieval.ORACLE_SQL, **functions.ORACLE_SQL, **records.ORACLE_SQL}
