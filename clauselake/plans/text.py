@@ -250,7 +250,14 @@ def case_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.case_facts(_decisions(spark, sf_dir)).withColumn("amount_wan", F.col("amount_wan").cast("double"))
 
 
-@query()
+@query("""WITH d AS (SELECT o_orderkey AS k, '当事人：某某' || o_orderkey || '公司，住所地某处。' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '性别男' ELSE '' END AS party,
+  '现决定给予警告，并处罚款' || CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '元' ELSE (o_orderkey % 90 + 1) || '.5万元' END || '。' || chr(10) || strftime(o_orderdate, '%Y年%-m月%-d日') AS fine FROM orders),
+s AS (
+  SELECT k, 1 AS n, '当事人' AS name, party AS body, 'case_section' AS kind FROM d UNION ALL SELECT k, 2, '处罚决定', fine, 'case_section' FROM d
+  UNION ALL SELECT k, 3, '摘要', left('决定书 ' || party, 150), 'case_summary' FROM d),
+t AS (SELECT *, '《决定书》 > ' || name AS crumb FROM s)
+SELECT sha1(k || '|case/' || n || '|0')[:24] AS chunk_id, k AS version_id, '案例/' || name AS clause_path, 'case/' || n AS clause_path_norm, 0 AS seq, crumb || chr(10) || body AS text, crumb AS breadcrumb, 1 AS page_start, 1 AS page_end,
+  CAST(length(regexp_replace(crumb || body, '\\s', '', 'g')) AS INTEGER) AS token_count, FALSE AS is_parent, FALSE AS is_table, FALSE AS oversize, kind AS chunk_type, CAST(NULL AS VARCHAR) AS parent_chunk_id, NULL AS internal_refs, CAST(n AS INTEGER) AS emit_ord FROM t""")
 def case_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _decisions(spark, sf_dir)
     lines = docs.select("version_id", F.posexplode(F.split("text", "\n")).alias("idx", "text")).select("version_id", "idx", F.lit("text").alias("kind"), "text", F.lit(1).alias("page"), F.lit(None).cast("int").alias("page_end"))
