@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions import codec, text as X
-from clauselake.operators import alignment, conversations, curation, references, report, retrieval
+from clauselake.operators import alignment, conversations, curation, references, report, retrieval, sketches
+from clauselake.sources import tables
 from clauselake.sources.corpus import conversation_messages, table
 
 from . import retrieval as questions
@@ -117,3 +118,25 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("n"))
     radicals = F.concat(F.lit("⼀⼆⼊"), F.col("p_partkey").cast("string"))
     return rows.select("p_partkey", curation.file_hints(F.col("n")).alias("h"), curation.safe_stem(F.col("n")).alias("stem"), X.unify_radicals(radicals).alias("unified")).select("p_partkey", F.col("h.issue_date").cast("timestamp_ntz").alias("issue_date"), "h.doc_number", "stem", "unified")
+
+
+# The exact form beside the merged sketches: a median is near if about half of the values lie on either side of it.
+@query("""SELECT l_returnflag AS by_flag, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS greatest, TRUE AS median_near, TRUE AS keys_near FROM lineitem GROUP BY 1""")
+def report_spread_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("by_flag"), (F.col("l_orderkey") % 16).alias("batch"), "l_orderkey", F.col("l_quantity").cast("double").alias("l_quantity"))
+    kept = tables.written(sketches.of_batches(lines, "l_quantity", "l_orderkey", "by_flag", "batch"), "sketches")
+    found = sketches.spread(kept, "by_flag").withColumnRenamed("median", "_m").withColumnRenamed("distinct_keys", "_k")
+    ranked = lines.join(F.broadcast(found.select("by_flag", "_m", "_k")), "by_flag").groupBy("by_flag").agg(F.avg((F.col("l_quantity") < F.col("_m")).cast("double")).alias("_under"), F.avg((F.col("l_quantity") <= F.col("_m")).cast("double")).alias("_upto"), F.countDistinct("l_orderkey").alias("_exact"))
+    near = (F.col("_under") <= 0.51) & (F.col("_upto") >= 0.49)
+    return found.join(ranked, "by_flag").select("by_flag", "n", "least", "greatest", near.alias("median_near"), (F.abs(F.col("_k") - F.col("_exact")) <= 0.08 * F.col("_exact")).alias("keys_near"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS version_id, 'q' || l_linenumber AS key, l_quantity AS value, l_quantity >= 5 AS passed FROM lineitem), l AS (SELECT o_orderkey AS version_id, o_orderstatus = 'F' AS good FROM orders)
+SELECT key, min(value) AS least, max(value) AS greatest, count(*) FILTER (NOT passed) AS fails, count(*) FILTER (good AND NOT passed) AS good_failed, count(*) FILTER (NOT good AND passed) AS bad_passed,
+  CASE WHEN count(*) FILTER (good AND NOT passed) >= 2 THEN 'loosen' WHEN count(*) FILTER (NOT good AND passed) >= 2 THEN 'tighten' END AS advice FROM i JOIN l USING (version_id) GROUP BY 1""")
+def report_thresholds_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), (F.col("o_orderstatus") == "F").alias("good"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.concat(F.lit("q"), "l_linenumber").alias("key"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_suppkey") % 8).alias("batch"))
+    flags = sketches.threshold_flags(F.col("good"), F.col("value") >= 5)
+    kept = tables.written(sketches.of_batches(lines.join(labels, "version_id"), "value", "version_id", "key", "batch", flags=flags), "sketches")
+    return sketches.threshold_advice(kept).drop("median")
