@@ -4,9 +4,14 @@ Texts of one language are gathered into shards of bounded bytes. In a shard ever
 has a bitmap of its positions, and a free position stands between two pieces of text.
 Only blocks of 16 positions that hold a word are kept for it. A phrase grows by a word
 when its bitmap, shifted by one, is ANDed with the word's; popcounts are summed over
-shards. Shards learn the words that are frequent everywhere before they form pairs, and
-the frequent pairs before they go deeper; from there on each extends its phrases
-depth-first, by such pairs alone.
+shards.
+
+A shard cannot know what is frequent everywhere. So words, pairs and triples are first
+counted by hash, and a filter of bounded size says of each whether it may be frequent: one
+bit for the hash of a frequent one. Hashes that meet only let more through. Then every
+shard extends its phrases depth-first, as far as the filters let it, and what it finds is
+summed by the words themselves. Shards stay where they are; only counts are shuffled,
+those of a task summed up before, one packed row for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_table, cut, text_slices, word_ranges
+from .common import LOWER, as_table, cut, mix64, text_slices, word_ranges
 
 #: Bytes that end a piece, and bytes that end a word.
 PIECE = np.zeros(256, dtype=bool)
@@ -104,23 +111,71 @@ def _shards(shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+# ------------------------------------------------------------- filters
+
+#: Bits of a filter at most; a larger number of frequent phrases only lets more through.
+MOST_BITS = 1 << 29
+_SLICE = 1 << 20
+_FIRST, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
+
+
+def longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase with one word more, from those of both."""
+    return mix64(phrase * _FIRST + word * _NEXT)
+
+
+class Filter:
+    """One bit for each hash value of its leading bits."""
+
+    def __init__(self, n_bits: int, data: np.ndarray):
+        self.shift, self.data = np.uint64(64 - n_bits), data
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> self.shift
+        return (self.data[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _as_bits(table: pa.Table) -> pa.Table:
+    """The bits of one slice."""
+    bits = np.zeros(_SLICE, dtype=np.uint8)
+    bits[table.column("place").to_numpy()] = 1
+    return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def make_filter(hashes: DataFrame, most_bits: int = MOST_BITS) -> Broadcast:
+    """A filter of the ``hash`` column, four to eight bits a value up to ``most_bits``; sent to all tasks."""
+    spark = hashes.sparkSession
+    n_bits = int(min(most_bits, max(_SLICE, 8 * hashes.count()))).bit_length() - 1
+    place = F.shiftrightunsigned("hash", 64 - n_bits)
+    slices = hashes.select(F.floor(place / _SLICE).alias("slice"), F.pmod(place, F.lit(_SLICE)).alias("place")).distinct()
+    data = np.zeros((1 << n_bits) // 8, dtype=np.uint8)
+    for at, bits in zip(*(c.to_pylist() for c in slices.groupBy("slice").applyInArrow(_as_bits, "slice long, bits binary").toArrow().columns), strict=True):
+        own = data[at * _SLICE // 8 : (at + 1) * _SLICE // 8]
+        own[:] = np.frombuffer(bits, dtype=np.uint8)[: len(own)]
+    return spark.sparkContext.broadcast(Filter(n_bits, data))
+
+
 # ------------------------------------------------------------- growing phrases
 
 
 class Bitmaps:
-    """The bitmaps of a shard's frequent words, by word and by block."""
+    """The bitmaps of a shard's words that may be frequent, by word and by block."""
 
-    def __init__(self, row: pa.Table, frequent: np.ndarray):
-        self.words = row.column("words").combine_chunks().flatten()
-        n = row.column("n_entries")[0].as_py()
-        first = _unpacked(row.column("first")[0].as_py(), np.int32, len(self.words))
+    def __init__(self, row: dict, words: Filter):
+        self.words = row["words"].values
+        self.hashes = word_hashes(row["lang"].as_py(), self.words.to_pylist())
+        n = row["n_entries"].as_py()
+        first = _unpacked(row["first"].as_py(), np.int32, len(self.words))
         word = np.repeat(np.arange(len(self.words)), np.diff(np.append(first, n)))
-        keep = np.zeros(len(self.words), dtype=bool)
-        keep[frequent] = True
-        keep = keep[word]
+        keep = words.passes(self.hashes)[word]
         self.word = word[keep]
-        self.block = np.cumsum(_unpacked(row.column("blocks")[0].as_py(), np.int32, n)).astype(np.int64)[keep]
-        self.bits = _unpacked(row.column("bits")[0].as_py(), np.uint16, n)[keep]
+        self.block = np.cumsum(_unpacked(row["blocks"].as_py(), np.int32, n)).astype(np.int64)[keep]
+        self.bits = _unpacked(row["bits"].as_py(), np.uint16, n)[keep]
         order = np.argsort(self.block, kind="stable")
         self._word, self._bits = self.word[order], self.bits[order]
         self._first = np.searchsorted(self.block[order], np.arange(self.block.max(initial=0) + 4))
@@ -138,11 +193,19 @@ class Bitmaps:
         hit = np.flatnonzero(both)
         return phrase[at[hit]], self._word[entry[hit]], block[at[hit]], both[hit]
 
-    def grow(self, phrases: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, longest: int, pairs: np.ndarray | None, batch: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def ends(self, phrases: np.ndarray, words: int) -> np.ndarray:
+        """The hashes of the last ``words`` words of phrases."""
+        out = self.hashes[phrases[:, -words]]
+        for k in range(words - 1, 0, -1):
+            out = longer_hash(out, self.hashes[phrases[:, -k]])
+        return out
+
+    def grow(self, phrases: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, longest: int, filters: list[Filter], batch: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(phrases as rows of word numbers, their popcounts), extended depth-first in batches of entries.
 
-        ``phrases``: those to extend; entries of their bitmaps are ordered by phrase.
-        ``pairs``: the pairs allowed (first * number of words + second, sorted), or all.
+        ``phrases``: those to extend; entries of their bitmaps are ordered by phrase. A
+        longer one goes on if its last two words pass the first of ``filters``, its last
+        three the second, and so on.
         """
         edges = np.append(np.flatnonzero(np.append(True, phrase[1:] != phrase[:-1])), len(phrase)) if len(phrase) else np.zeros(1, np.int64)
         at = 0
@@ -150,90 +213,162 @@ class Bitmaps:
             upto = max(at + 1, int(np.searchsorted(edges, edges[at] + batch, side="right")) - 1)
             own = slice(edges[at], edges[upto])
             of, word, where, both = self.extend(phrase[own], block[own], bits[own])
-            if pairs is not None:
-                pair = phrases[of, -1] * len(self.words) + word
-                near = np.searchsorted(pairs, pair)
-                allowed = np.flatnonzero(pairs[np.minimum(near, len(pairs) - 1)] == pair) if len(pairs) else np.zeros(0, np.int64)
-                of, word, where, both = of[allowed], word[allowed], where[allowed], both[allowed]
             keys, new = np.unique(of * len(self.words) + word, return_inverse=True)
-            if len(keys):
-                longer = np.concatenate([phrases[keys // len(self.words)], (keys % len(self.words))[:, None]], axis=1)
+            longer = np.concatenate([phrases[keys // len(self.words)], (keys % len(self.words))[:, None]], axis=1)
+            passing = np.ones(len(keys), dtype=bool)
+            for words, filter_ in enumerate(filters[: longer.shape[1] - 1], 2):
+                passing &= filter_.passes(self.ends(longer, words))
+            if not passing.all():
+                kept = np.flatnonzero(passing[new])
+                new, where, both = (np.cumsum(passing) - 1)[new[kept]], where[kept], both[kept]
+                longer = longer[passing]
+            if len(longer):
                 yield longer, np.bincount(new, weights=np.bitwise_count(both)).astype(np.int64)
                 if longer.shape[1] < longest:
                     order = np.argsort(new, kind="stable")
-                    yield from self.grow(longer, new[order], where[order], both[order], longest, pairs, batch)
+                    yield from self.grow(longer, new[order], where[order], both[order], longest, filters, batch)
             at = upto
 
+    def all(self, longest: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return self.grow(np.arange(len(self.words))[:, None], self.word, self.block, self.bits, longest, filters)
+
     def joined(self, phrases: np.ndarray) -> pa.Array:
         return pc.binary_join_element_wise(*[self.words.take(pa.array(phrases[:, k])) for k in range(phrases.shape[1])], " ")
 
-    def singles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.arange(len(self.words))[:, None], self.word, self.block, self.bits
 
+def _each_shard(batches: Iterator[pa.RecordBatch], words: Filter) -> Iterator[tuple[pa.Scalar, Bitmaps]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k] for c in batch.schema.names}
+            yield row["lang"], Bitmaps(row, words)
 
-def _one_shard(row: pa.Table, frequent: pa.Table) -> bool:
-    return row.num_rows == 1 and frequent.num_rows > 0
 
+#: Counts that a task sums up before it sends them on.
+_HELD = 1 << 20
+#: Hashes are sent as their leading 40 bits; a filter reads fewer.
+_CUT = np.uint64(24)
 
-def _pairs(row: pa.Table, frequent: pa.Table) -> pa.Table:
-    got = []
-    if _one_shard(row, frequent):
-        maps = Bitmaps(row, frequent.column("word_at").to_numpy())
-        for phrases, count in maps.grow(*maps.singles(), 2, None):
-            got.append(pa.table({"shard": pa.repeat(row.column("shard")[0], len(count)), "lang": pa.repeat(row.column("lang")[0], len(count)), "phrase": maps.joined(phrases), "f": pa.array(count), "a": pa.array(phrases[:, 0], pa.int32()), "b": pa.array(phrases[:, 1], pa.int32())}))
-    return pa.concat_tables(got) if got else pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "f": pa.array([], pa.int64()), "a": pa.array([], pa.int32()), "b": pa.array([], pa.int32())})
 
+def _pack_hashes(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: its hashes, as differences in their order, and their counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = [(b, keys[order[x:y]], counts[order[x:y]]) for b, x, y in zip(range(buckets), edges[:-1], edges[1:], strict=True) if y > x]
+    packed = [[_packed(np.diff(k, prepend=np.uint64(0))) for _, k, _ in rows], [_packed(c) for _, _, c in rows]]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([len(k) for _, k, _ in rows], pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "n", "keys", "counts"])
 
-def _longer(longest: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(row: pa.Table, frequent: pa.Table) -> pa.Table:
-        got = []
-        if _one_shard(row, frequent):
-            a, b = frequent.column("a").to_numpy().astype(np.int64), frequent.column("b").to_numpy().astype(np.int64)
-            maps = Bitmaps(row, np.unique(np.concatenate([a, b])))
-            for phrases, count in maps.grow(*maps.singles(), longest, np.sort(a * len(maps.words) + b)):
-                if phrases.shape[1] > 2:
-                    got.append(pa.table({"lang": pa.repeat(row.column("lang")[0], len(count)), "phrase": maps.joined(phrases), "f": pa.array(count)}))
-        return pa.concat_tables(got) if got else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "f": pa.array([], pa.int64())})
+
+def _hashed(length: int, filters: list[Broadcast], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts by hash of the phrases of ``length`` words, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
+        held, n = [], 0
+        for _, maps in _each_shard(batches, known[0]):
+            for phrases, count in maps.all(length, known[1:]):
+                if phrases.shape[1] == length:
+                    held.append((maps.ends(phrases, length) >> _CUT, count))
+                    n += len(count)
+            if n > _HELD:
+                yield _pack_hashes(held, buckets)
+                held, n = [], 0
+        if n:
+            yield _pack_hashes(held, buckets)
 
     return run
 
 
-# ------------------------------------------------------------- scores
+def _sum_hashes(least: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = rows.column("n").to_pylist()
+        keys = np.concatenate([np.cumsum(_unpacked(k.as_py(), np.uint64, n), dtype=np.uint64) for k, n in zip(rows.column("keys"), sizes, strict=True)])
+        counts = np.concatenate([_unpacked(c.as_py(), np.int64, n) for c, n in zip(rows.column("counts"), sizes, strict=True)])
+        keys, at = np.unique(keys, return_inverse=True)
+        frequent = keys[np.bincount(at, weights=counts) >= least]
+        return pa.table({"hash": pa.array((frequent << _CUT).view(np.int64))})
+
+    return run
+
+
+def _pack_phrases(held: list[pa.Table], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: lists of languages, phrases and counts."""
+    summed = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("f", "sum"), ("bucket", "min")])
+    summed = summed.take(pc.sort_indices(summed.column("bucket_min")))
+    bucket = summed.column("bucket_min").to_numpy()
+    edges = np.searchsorted(bucket, np.arange(buckets + 1)).astype(np.int32)
+    some = np.flatnonzero(np.diff(edges))
+    offsets = pa.array(np.append(edges[some], edges[-1]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, summed.column(c).combine_chunks()) for c in ("lang", "phrase", "f_sum")]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *lists], names=["bucket", "lang", "phrase", "f"])
+
+
+def _phrases(longest: int, filters: list[Broadcast], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the phrases of two words or more that pass the filters, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
+        held, n = [], 0
+        for lang, maps in _each_shard(batches, known[0]):
+            for phrases, count in maps.all(longest, known[1:]):
+                bucket = (maps.ends(phrases, phrases.shape[1]) % np.uint64(buckets)).astype(np.int64)
+                held.append(pa.table({"lang": pa.repeat(lang, len(count)), "phrase": maps.joined(phrases), "f": pa.array(count), "bucket": pa.array(bucket)}))
+                n += len(count)
+            if n > _HELD:
+                yield _pack_phrases(held, buckets)
+                held, n = [], 0
+        if n:
+            yield _pack_phrases(held, buckets)
+
+    return run
 
-#: Rows of a table of frequent phrases that may be broadcast; beyond, it is joined by a shuffle.
-MOST_BROADCAST = 500_000
 
+def _sum_phrases(least: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        flat = pa.table({c: rows.column(c).combine_chunks().flatten() for c in ("lang", "phrase", "f")})
+        summed = flat.group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+        return summed.filter(pc.greater_equal(summed.column("f"), least))
+
+    return run
 
-def _frequent(counted: DataFrame, least: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """The phrases counted ``least`` times over all shards, as written and as a side of a join."""
-    found = as_table(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), name)
-    keys = found.select("lang", "phrase")
-    return found, F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)
+        found = np.array([word_hashes(lang, [word])[0] for lang, word in pairs], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64())], names=["hash"])
+
+
+# ------------------------------------------------------------- scores
 
 
-def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, shard_bytes: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, shard_bytes: int = 1 << 22, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of up to ``longest`` words that occur ``least`` times, and (lang, n) of all words.
 
-    See :func:`mine_phrases`. A task holds one shard: about ``shard_bytes`` of text, or
-    one piece that is longer.
+    See :func:`mine_phrases`. A task holds one shard, about ``shard_bytes`` of text or one
+    piece that is longer, the filters, of at most ``most_bits`` / 8 bytes each, and some
+    million counts; after the shuffle, a partition's share of all counts, so
+    ``spark.sql.shuffle.partitions`` has to follow the input.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = as_table(texts.mapInArrow(_shards(shard_bytes), _SHARDS).withColumn("shard", F.monotonically_increasing_id()), "shards")
-    each = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("shard", "lang", F.col("col.words").alias("phrase"), F.col("col.counts").alias("f"), F.col("pos").alias("word_at"))
+    shards = as_table(texts.mapInArrow(_shards(shard_bytes), _SHARDS), "shards")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("f"))
     totals = cut(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-    words, keys = _frequent(each, least, "words")
-    own = shards.groupBy("shard")
-    pairs = as_table(own.cogroup(each.join(keys, ["lang", "phrase"]).select(F.col("shard").alias("of_shard"), "word_at").groupBy("of_shard")).applyInArrow(_pairs, "shard long, lang string, phrase string, f long, a int, b int"), "pairs")
-    twos, keys = _frequent(pairs, least, "twos")
-    found = words.unionByName(twos)
-    if longest > 2:
-        known = pairs.join(keys, ["lang", "phrase"]).select(F.col("shard").alias("of_shard"), "a", "b")
-        more = own.cogroup(known.groupBy("of_shard")).applyInArrow(_longer(longest), "lang string, phrase string, f long")
-        found = found.unionByName(_frequent(more, least, "longer")[0])
-    return found, totals
-
-
-def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, keep: int = 2000, shard_bytes: int = 1 << 22) -> DataFrame:
+    words = as_table(each.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "words")
+    filters = [make_filter(words.mapInArrow(_hash_words, "hash long"), most_bits)]
+    maps = shards.drop("counts")
+    for length in range(2, min(3, longest) + 1):
+        counted = maps.mapInArrow(_hashed(length, filters, buckets), "bucket int, n long, keys binary, counts binary")
+        filters.append(make_filter(cut(counted.groupBy("bucket").applyInArrow(_sum_hashes(least), "hash long")), most_bits))
+    found = maps.mapInArrow(_phrases(longest, filters, buckets), "bucket int, lang array<string>, phrase array<string>, f array<long>")
+    longer = as_table(found.groupBy("bucket").applyInArrow(_sum_phrases(least), "lang string, phrase string, f long"), "phrases")
+    return words.unionByName(longer), totals
+
+
+def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, keep: int = 2000, shard_bytes: int = 1 << 22, most_bits: int = MOST_BITS) -> DataFrame:
     """The ``keep`` best phrases of 2 to ``longest`` words of each language.
 
     Texts, lower-cased over A-Z, are split at any of .,;:!? and \\x0A-\\x0D into pieces and
@@ -250,7 +385,7 @@ def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     length are read whole, repeated rows count each time, columns of other names are
     ignored, and an empty table gives an empty result. Counts up to 10**17 are exact.
     """
-    counts, totals = phrase_counts(docs, text_col=text_col, lang_col=lang_col, least=least, longest=longest, shard_bytes=shard_bytes)
+    counts, totals = phrase_counts(docs, text_col=text_col, lang_col=lang_col, least=least, longest=longest, shard_bytes=shard_bytes, most_bits=most_bits)
     counts = counts.withColumn("words", F.split("phrase", " ", -1))
     candidates = counts.where(F.size("words") > 1)
     part = lambda first, n: F.array_join(F.slice("words", first, n), " ")

@@ -54,8 +54,8 @@ def test_against_brute_force(spark):
     rows.append(("en", "alpha beta gamma " * 20_000))
     rows.append(("en", "alpha beta, gamma! " * 20_000))
     frame = spark.createDataFrame([(n, t, lang, "clash", 1) for n, (lang, t) in enumerate(rows)], SCHEMA).repartition(3)
-    for least, longest, keep, size in ((3, 5, 2000, 1 << 22), (3, 5, 7, 2000), (10, 3, 2000, 100_000), (5, 2, 50, 1 << 22)):
-        assert result(frame, least=least, longest=longest, keep=keep, shard_bytes=size) == brute_force(rows, least, longest, keep)
+    for least, longest, keep, size, bits in ((3, 5, 2000, 1 << 22, 1 << 29), (3, 5, 7, 2000, 1 << 29), (10, 3, 2000, 100_000, 1 << 29), (5, 2, 50, 1 << 22, 1 << 29), (3, 5, 2000, 1 << 22, 1 << 6)):
+        assert result(frame, least=least, longest=longest, keep=keep, shard_bytes=size, most_bits=bits) == brute_force(rows, least, longest, keep)
 
 
 def test_ties_and_repeated_rows(spark):
