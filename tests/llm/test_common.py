@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 from clauselake.llm.common import Hasher, connected_components, hash_words, heavy_light_join, text_slices, word_ranges
 
@@ -22,10 +21,27 @@ def test_words_and_hashes():
         hashes = Hasher(data).ranges(start, end)
         again = [Hasher(np.frombuffer(w.encode(), np.uint8)).ranges(np.array([0]), np.array([len(w.encode())]))[0] for _, w in got]
         assert list(hashes) == again
-        assert list(hash_words(data, start, end)) == [xxhash.xxh64_intdigest(w) for _, w in got]
+        assert list(hash_words(data, start, end)) == [alone(w) for _, w in got]
     assert len(hash_words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
 
 
+def alone(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return hash_words(data, np.array([0]), np.array([len(data)]))[0]
+
+
+def test_words_of_all_lengths_hash_by_their_bytes_alone():
+    draw = random.Random(7)
+    words = {"".join(draw.choices("ab\0z", k=n)) for n in range(1, 140) for _ in range(20)} | {"a" * n for n in range(1, 140)} | {"\0" * n for n in range(1, 140)}
+    words = sorted(words)
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    got = hash_words(data, starts, ends)
+    assert len(set(got.tolist())) == len(words)
+    assert [alone(w) for w in words[::17]] == got[::17].tolist()
+
+
 def test_words_that_polynomials_take_for_one():
     one, other = unlike_words()
     data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
