@@ -1,15 +1,20 @@
-"""Placing blocks on pages. The position moves on with each block found, so a document is one group."""
+"""Placing blocks on pages: anchors by an equi-join, their longest chain, what stands between, and edits for the rest."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from clauselake.functions import text as X
+from clauselake.sources import tables
 
 
 def _best_window(needle: str, text: str) -> tuple[float, int]:
@@ -34,46 +39,146 @@ def partial_ratio(needles: pd.Series, texts: pd.Series) -> pd.Series:
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """(version_id, page_no, start, end) of each page in the document's normalised text."""
-    from pyspark.sql import Window
+    return _offsets(pages.select("version_id", "page_no", X.normalise(F.col("text")).alias("n")))
 
+
+def _offsets(pages: DataFrame) -> DataFrame:
     upto = Window.partitionBy("version_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.length(X.normalise(F.col("text")))
+    n = F.length("n")
     return pages.select("version_id", "page_no", (F.sum(n).over(upto) - n).alias("start"), F.sum(n).over(upto).alias("end"))
 
 
-def _align(threshold: float):
-    def place(blocks: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
-        pages = pages.sort_values("page_no")
-        full, ends = "".join(pages["_n"]), pages["_n"].str.len().cumsum().to_numpy()
-        at, rows = 0, []
-        for idx, needle, version in blocks.sort_values("idx")[["idx", "_n", "version_id"]].itertuples(index=False):
-            start = full.find(needle, at) if needle else -1
-            if needle and start < 0:
-                ratio, offset = _best_window(needle, full[at : at + max(4 * len(needle), 500)])
-                start = at + offset if ratio >= threshold and full else -1
-            if start >= 0:
-                page = lambda offset: int(pages["page_no"].iloc[min(int((ends <= offset).sum()), len(ends) - 1)])
-                rows.append((version, idx, page(start), page(start + len(needle) - 1)))
-                at = start + len(needle)
-        out = pd.DataFrame(rows, columns=["version_id", "idx", "_first", "_last"])
-        return out.astype({"_first": "Int32", "_last": "Int32"})
+#: Characters of a gram, and the share of grams that are anchors, chosen by their hash.
+GRAM, ONE_IN = 12, 8
+_ANCHOR = StructType([StructField("h", LongType()), StructField("at", IntegerType())])
+
+
+@F.arrow_udf(ArrayType(_ANCHOR))
+def _anchors(texts: pa.Array) -> pa.Array:
+    """(hash, position) of the grams of each text whose hash says so: the same ones wherever a gram stands."""
+    hashes, places, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
+    for text in texts.to_pylist():
+        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        n = max(0, len(codes) - GRAM + 1)
+        h = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        at = np.flatnonzero(h % np.uint64(ONE_IN) == 0)
+        hashes.append(h[at].view(np.int64))
+        places.append(at.astype(np.int32))
+        ends.append(ends[-1] + len(at))
+    found = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["h", "at"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+
+def _chain(placed: pa.Table) -> pa.Table:
+    """Of a document's (idx, start) in order of idx, the longest run of rising starts."""
+    placed = placed.take(pc.sort_indices(placed, [("idx", "ascending")]))
+    starts = placed.column("start").to_pylist()
+    tails, at, before = [], [], [-1] * len(starts)
+    for k, start in enumerate(starts):
+        place = bisect_left(tails, start)
+        before[k] = at[place - 1] if place else -1
+        tails[place : place + 1], at[place : place + 1] = [start], [k]
+    rows, k = [], at[-1] if at else -1
+    while k >= 0:
+        rows.append(k)
+        k = before[k]
+    return placed.take(pa.array(rows[::-1], pa.int64()))
+
+
+def _nearest_end(needle: str, text: str) -> tuple[int, int]:
+    """(edits, end): the end of the stretch of ``text`` with the fewest edits from ``needle``, by columns of bits."""
+    n = len(needle)
+    where: dict[str, int] = {}
+    for k, c in enumerate(needle):
+        where[c] = where.get(c, 0) | 1 << k
+    ones, top = (1 << n) - 1, 1 << n - 1
+    up, down, edits, best, at = ones, 0, n, n, 0
+    for k, c in enumerate(text):
+        eq = where.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(xh | up) & ones, up & xh
+        edits += (more & top != 0) - (less & top != 0)
+        more, less = more << 1 & ones, less << 1 & ones
+        up, down = less | ~(xv | more) & ones, more & xv
+        if edits < best:
+            best, at = edits, k + 1
+    return best, at
+
+
+@F.arrow_udf(StructType([StructField("edits", IntegerType()), StructField("end", IntegerType())]))
+def _nearest(needles: pa.Array, texts: pa.Array) -> pa.Array:
+    found = [_nearest_end(a, b) if a and b else (len(a or ""), 0) for a, b in zip(needles.to_pylist(), texts.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], names=["edits", "end"])
+
+
+def _in_gap(needles: Column, window: Column, first: Column) -> Column:
+    """array<struct(idx, start)> of the needles (idx, n) that stand in the window, each behind the one before."""
+    kind = "array<struct<idx:int,start:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
-    return place
+    def find(acc: Column, x: Column) -> Column:
+        place = F.call_function("locate", x["n"], window, acc["at"] + 1)
+        hit = place > 0
+        row = F.struct(x["idx"].alias("idx"), (first + place - 1).cast("int").alias("start"))
+        return F.struct(F.when(hit, place - 1 + F.length(x["n"])).otherwise(acc["at"]).alias("at"), F.when(hit, F.array_append(acc["found"], row)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(needles, begin, find)["found"]
+
+
+def _located(blocks: DataFrame, pages: DataFrame, threshold: float) -> DataFrame:
+    """(version_id, idx, start, size) of the blocks (version_id, idx, n) in the text of their pages (version_id, page_no, n)."""
+    offsets = _offsets(pages)
+    grams = lambda rows, *keep: rows.select("version_id", *keep, F.inline(_anchors(F.col("n"))))
+    theirs = grams(pages, "page_no").join(offsets.select("version_id", "page_no", F.col("start").alias("_s")), ["version_id", "page_no"])
+    theirs = theirs.groupBy("version_id", "h").agg(F.min(F.col("_s") + F.col("at")).alias("_there"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    ours = grams(blocks, "idx").groupBy("version_id", "h").agg(F.min(F.struct("idx", "at")).alias("_b"), F.count("*").alias("_n")).where("_n = 1").select("version_id", "h", "_b.idx", "_b.at")
+    met = ours.join(theirs, ["version_id", "h"]).select("version_id", "idx", (F.col("_there") - F.col("at")).cast("int").alias("start")).groupBy("version_id", "idx", "start").agg(F.count("*").alias("_n"))
+    one = met.groupBy("version_id", "idx").agg(F.max_by("start", F.struct("_n", -F.col("start"))).alias("start")).where("start >= 0")
+    kind = blocks.schema["version_id"].dataType.simpleString()
+    chained = one.groupBy("version_id").applyInArrow(_chain, f"version_id {kind}, idx int, start int")
+    sized = blocks.join(chained, ["version_id", "idx"], "left").select("version_id", "idx", "n", F.length("n").alias("size"), "start")
+    order = Window.partitionBy("version_id").orderBy("idx")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    ends = lambda rows: rows.withColumns({"_low": F.coalesce(F.max(F.col("start") + F.col("size")).over(upto), F.lit(0)), "_high": F.min("start").over(after)})
+    placed = tables.written(ends(sized), "placed")
+    texts = tables.written(pages.groupBy("version_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "n"))), lambda p: p["n"]), "").alias("_full")), "texts")
+    open_ = placed.where("start IS NULL AND size > 0").groupBy("version_id", "_low", "_high").agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("_needles"))
+    span = F.when(F.col("_high").isNotNull(), F.greatest(F.lit(0), F.col("_high") - F.col("_low"))).otherwise(F.length("_full"))
+    gaps = open_.join(texts, "version_id").select("version_id", "_low", "_needles", F.substr("_full", F.col("_low") + 1, span).alias("_window"))
+    exact = gaps.select("version_id", F.inline(_in_gap(F.col("_needles"), F.col("_window"), F.col("_low"))))
+    again = placed.select("version_id", "idx", "n", "size", "start").join(exact.withColumnRenamed("start", "_exact"), ["version_id", "idx"], "left").withColumn("start", F.coalesce("start", "_exact")).drop("_exact")
+    known = tables.written(ends(again), "known")
+    # Only what neither way has found is compared by edits, in the text up to the next block that was.
+    reach = F.least(F.coalesce(F.col("_high") - F.col("_low"), F.length("_full")), F.greatest(4 * F.col("size"), F.lit(500)))
+    misses = known.where("start IS NULL AND size > 0").join(texts, "version_id").select("version_id", "idx", "size", "_low", "n", F.substr("_full", F.col("_low") + 1, F.greatest(F.lit(0), reach)).alias("_window"))
+    near = misses.select("version_id", "idx", "size", "_low", _nearest(F.col("n"), F.col("_window")).alias("_r")).where((1 - F.col("_r.edits") / F.col("size")) * 100 >= threshold)
+    close = near.select("version_id", "idx", F.greatest(F.lit(0), F.col("_low") + F.col("_r.end") - F.col("size")).alias("start"), "size")
+    return known.where("start IS NOT NULL AND size > 0").select("version_id", "idx", "start", "size").unionByName(close)
 
 
 def align_pages(blocks: DataFrame, pages: DataFrame, threshold: float = 90.0) -> DataFrame:
     """``blocks`` with page and page_end found by their text; page_end only where it differs.
 
-    Blocks are looked for from where the one before ended: as they are, white space aside,
-    else by likeness in the text that follows. What is not found has no page. Blocks without text
-    keep what they have.
+    Rare runs of characters that a block and its document's pages share are met by an
+    equi-join, and of the places that they give the longest chain in the order of blocks
+    counts. Blocks between two of the chain are looked for between them, as they are, white
+    space aside, each behind the one before; what is left is placed where it takes the
+    fewest edits, if these leave ``threshold`` percent. What is not found has no page. Blocks
+    without text keep what they have.
     """
-    kind = blocks.schema["version_id"].dataType.simpleString()
-    norm = lambda df, *columns: df.select("version_id", *columns, X.normalise(F.col("text")).alias("_n"))
-    found = norm(blocks, "idx").groupBy("version_id").cogroup(norm(pages, "page_no").groupBy("version_id")).applyInPandas(_align(threshold), f"version_id {kind}, idx int, _first int, _last int")
+    own = tables.written(blocks.select("version_id", F.col("idx").cast("int").alias("idx"), X.normalise(F.col("text")).alias("n")), "blocks")
+    theirs = tables.written(pages.select("version_id", "page_no", X.normalise(F.col("text")).alias("n")), "pages")
+    found = _located(own, theirs, threshold)
+    numbers = _offsets(theirs).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("end", "page_no"))).alias("_pages"))
+    page = lambda at: F.get(F.col("_pages"), F.least(F.size(F.filter("_pages", lambda p: p["end"] <= at)), F.size("_pages") - 1))["page_no"]
+    paged = found.join(numbers, "version_id").select("version_id", "idx", page(F.col("start")).alias("_first"), page(F.col("start") + F.col("size") - 1).alias("_last"))
     blank = X.normalise(F.col("text")) == ""
     keep = [c for c in blocks.columns if c not in ("page", "page_end")]
-    return blocks.join(found, ["version_id", "idx"], "left").select(*keep, F.when(blank, F.col("page")).otherwise(F.col("_first")).alias("page"), F.when(blank, F.col("page_end")).when(F.col("_last") != F.col("_first"), F.col("_last")).alias("page_end"))
+    return blocks.join(paged, ["version_id", "idx"], "left").select(*keep, F.when(blank, F.col("page")).otherwise(F.col("_first")).alias("page"), F.when(blank, F.col("page_end")).when(F.col("_last") != F.col("_first"), F.col("_last")).alias("page_end"))
 
 
 def pages_at(offsets: DataFrame, positions: DataFrame) -> DataFrame:

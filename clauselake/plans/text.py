@@ -443,6 +443,20 @@ def pages_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_pages(blank, _pages(spark, sf_dir)).select("version_id", "idx", "page")
 
 
+@query(f"WITH {REGULATION_SQL} SELECT version_id, idx, CASE WHEN {_SOLID} <> '' THEN page END AS page FROM blocks")
+def pages_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth block of 80 characters or more stands on its page with a character put in, changed or left out."""
+    from clauselake.operators.alignment import align_pages
+
+    blocks = _blocks(spark, sf_dir)
+    k, at = F.col("idx") % 3, F.lit(20) + F.col("idx") % 40
+    edited = F.concat(F.left("text", at), F.when(k == 0, "").when(k == 1, "¤").otherwise("¤¤"), F.substr("text", at + 2))
+    spoilt = blocks.withColumn("text", F.when((F.col("idx") % 5 == 2) & (F.length("text") >= 80), edited).otherwise(F.col("text")))
+    lines = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    pages = spoilt.groupBy("version_id", F.col("page").alias("page_no")).agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+    return align_pages(blocks.withColumn("page", F.lit(None).cast("int")), pages).select("version_id", "idx", "page")
+
+
 @query(f"""WITH {REGULATION_SQL}, p AS (SELECT version_id, page, sum(length({_SOLID})) AS n FROM blocks GROUP BY 1, 2)
 SELECT version_id, CAST(page AS INT) AS page_no, CAST(sum(n) OVER w - n AS BIGINT) AS start, CAST(sum(n) OVER w AS BIGINT) AS "end" FROM p WINDOW w AS (PARTITION BY version_id ORDER BY page)""")
 def pages_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

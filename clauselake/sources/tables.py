@@ -54,7 +54,9 @@ def dictionary(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A dictionary as CSV in the columns that it must have; empty cells are null. Later lines of a key are dropped."""
     columns = DICTIONARIES[name]
     key = KEYS.get(name, "code")
-    return _csv(spark, path).select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns]).where(F.col(key).isNotNull()).dropDuplicates([key])
+    # Ids rise with the lines of a file.
+    rows = _csv(spark, path).select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns], F.monotonically_increasing_id().alias("_line")).where(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), "_line").alias("_r")).select("_r.*")
 
 
 def scenario_terms(terms: DataFrame) -> DataFrame:
