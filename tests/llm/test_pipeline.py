@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_do_their_work(spark):
