@@ -1,7 +1,9 @@
 """What holds for larger tables than those of the tests: ids that meet, joins that must not broadcast."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from clauselake.operators import references
 from clauselake.plans import catalog
 
 
@@ -16,3 +18,14 @@ def test_added_rows_meet_ids_of_parts(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{path}/*.parquet'")
     found = catalog.QUERIES["table_upsert"](spark, str(tmp_path)).select("id", "name").collect()
     assert sorted(map(tuple, found)) == sorted(con.execute(catalog.ORACLE_SQL["table_upsert"]).fetchall())
+
+
+def test_citations_are_aligned_without_broadcasts(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    spark.createDataFrame([(1, "n1", "t1"), (2, None, "t2"), (3, "n1", "t3")], "version_id long, doc_number string, title string").write.parquet(path)
+    versions = spark.read.parquet(path).select("*", F.lit("effective").alias("version_status"), F.lit("P-EXT").alias("corpus_type"))
+    chunks = versions.select("version_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).select("version_id", F.concat(F.lit("1/"), F.col("n").cast("string")).alias("clause_path_norm"))
+    rows = [(1, 1, "t1", "n1", "第2条"), (1, 2, "t2", None, "第9条"), (1, 3, "t3", "n9", None), (2, 1, "n1", None, "第1条"), (2, 2, None, None, None)]
+    found = references.align_citations(spark.createDataFrame(rows, "case_id long, ord int, title string, doc_number string, clause string"), versions, chunks)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "n1", "t1", "1/2", True), (1, 2, None, "t2", None, False), (1, 3, "n1", "t3", None, True), (2, 1, None, "n1", None, False), (2, 2, None, None, None, False)]
+    assert "Broadcast" not in plan(found)
