@@ -29,3 +29,15 @@ def test_citations_are_aligned_without_broadcasts(spark, tmp_path):
     found = references.align_citations(spark.createDataFrame(rows, "case_id long, ord int, title string, doc_number string, clause string"), versions, chunks)
     assert sorted(map(tuple, found.collect())) == [(1, 1, "n1", "t1", "1/2", True), (1, 2, None, "t2", None, False), (1, 3, "n1", "t3", None, True), (2, 1, None, "n1", None, False), (2, 2, None, None, None, False)]
     assert "Broadcast" not in plan(found)
+
+
+def test_cited_clauses_are_found_without_broadcasts(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    spark.createDataFrame([(1, "n1"), (2, "n2"), (3, "n1")], "version_id long, doc_number string").write.parquet(path)
+    versions = spark.read.parquet(path).withColumn("version_status", F.lit("effective"))
+    chunks = versions.select("version_id", F.explode(F.array(*map(F.lit, "123"))).alias("clause_path_norm")).select("*", F.concat_ws("/", "version_id", "clause_path_norm").alias("chunk_id"), F.lit(0).alias("seq"), F.lit(False).alias("is_parent"), F.lit(False).alias("degraded"))
+    entry = "array<struct<doc_no:string,clause_path_norm:string>>"
+    cases = spark.createDataFrame([(1, [("n1", "2"), ("n1", "2"), ("n9", "1")]), (2, [("n2", "3"), ("n2", "4"), ("n2", None)])], f"case_id long, cited_regulations {entry}")
+    found = references.cited_clauses(cases, versions, chunks)
+    assert sorted(map(tuple, found.collect())) == [(1, "n1|2", "1/2"), (2, "n2|3", "2/3")]
+    assert "Broadcast" not in plan(found)
