@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from clauselake.operators import references
+from clauselake.operators import products, references, retrieval
 from clauselake.plans import catalog
 
 
@@ -41,3 +41,27 @@ def test_cited_clauses_are_found_without_broadcasts(spark, tmp_path):
     found = references.cited_clauses(cases, versions, chunks)
     assert sorted(map(tuple, found.collect())) == [(1, "n1|2", "1/2"), (2, "n2|3", "2/3")]
     assert "Broadcast" not in plan(found)
+
+
+def test_sparse_sums_are_made_in_bounded_blocks(spark, monkeypatch):
+    rows = [(f"t{t}", c, "ab"[c % 2], float((t * c) % 5) if (t + c) % 11 else None) for c in range(60) for t in range(9) if (t * 7 + c) % 3 == 0]
+    told = [(q, {f"t{t}": float(1 + (q + t) % 3) for t in range(q % 4, 9, 2)}) for q in (1, 2, 3, 4, 5, 5)]
+    postings = spark.createDataFrame([*rows, rows[0]], "token string, chunk_id long, corpus_type string, weight double")
+    queries = spark.createDataFrame(told, "query_id long, sparse map<string,double>")
+    want = {}
+    for q, sparse in told:
+        for token, c, kind, weight in [*rows, rows[0]]:
+            if token in sparse:
+                old = want.setdefault((q, c, kind), None)
+                want[q, c, kind] = old if weight is None else (old or 0.0) + weight * sparse[token]
+    monkeypatch.setattr(products, "PAIRS", 40)
+    got = lambda df: {tuple(r)[:3]: r.score for r in df.collect()}
+    for how in ({}, {"chunk_block": 20, "query_block": 8}):
+        assert got(products.sums(postings, queries, **how)) == want
+    best = retrieval.best(products.sums(postings, queries, 4, chunk_block=20, query_block=8), 4, ("query_id", "corpus_type"))
+    told_best = {}
+    for (q, c, kind), score in want.items():
+        told_best.setdefault((q, kind), []).append((score is None, -(score or 0), c))
+    assert {tuple(r)[:3] for r in best.select("query_id", "chunk_id", "corpus_type").collect()} == {(q, c, kind) for (q, kind), all_ in told_best.items() for _, _, c in sorted(all_)[:4]}
+    assert products.sums(postings.limit(0), queries, 4).count() == 0
+    assert "HashAggregate" not in plan(retrieval.sparse_scores(postings, queries))
