@@ -1,4 +1,4 @@
-"""Placing blocks on pages: anchors by an equi-join, their longest chain, what stands between, and edits for the rest."""
+"""Placing blocks on pages: anchors, their longest chain, what stands between, and edits for the rest."""
 
 from __future__ import annotations
 
@@ -8,13 +8,11 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from clauselake.functions import text as X
-from clauselake.sources import tables
 
 
 def _best_window(needle: str, text: str) -> tuple[float, int]:
@@ -50,32 +48,26 @@ def _offsets(pages: DataFrame) -> DataFrame:
 
 #: Characters of a gram, and the share of grams that are anchors, chosen by their hash.
 GRAM, ONE_IN = 12, 8
-_ANCHOR = StructType([StructField("h", LongType()), StructField("at", IntegerType())])
-
-
-@F.arrow_udf(ArrayType(_ANCHOR))
-def _anchors(texts: pa.Array) -> pa.Array:
-    """(hash, position) of the grams of each text whose hash says so: the same ones wherever a gram stands."""
-    hashes, places, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
-    for text in texts.to_pylist():
-        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        n = max(0, len(codes) - GRAM + 1)
-        h = np.zeros(n, np.uint64)
-        for k in range(GRAM):
-            h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        at = np.flatnonzero(h % np.uint64(ONE_IN) == 0)
-        hashes.append(h[at].view(np.int64))
-        places.append(at.astype(np.int32))
-        ends.append(ends[-1] + len(at))
-    found = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["h", "at"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
-
-
-def _chain(placed: pa.Table) -> pa.Table:
-    """Of a document's (idx, start) in order of idx, the longest run of rising starts."""
-    placed = placed.take(pc.sort_indices(placed, [("idx", "ascending")]))
-    starts = placed.column("start").to_pylist()
+#: Characters by which a block may lie off the place that the blocks before it leave for it, beside an eighth of what was not found.
+OFF = 64
+
+
+def _anchors(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the grams whose hash says so and that occur once; none crosses one of ``ends``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    n = max(0, len(codes) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    at = np.flatnonzero(h % np.uint64(ONE_IN) == 0)
+    at = at[at + GRAM <= ends[np.searchsorted(ends, at, "right")]] if len(at) else at
+    told, first, count = np.unique(h[at], return_index=True, return_counts=True)
+    return told[count == 1], at[first[count == 1]]
+
+
+def _chain(starts: list[int]) -> list[int]:
+    """Which of ``starts`` make the longest run of rising ones."""
     tails, at, before = [], [], [-1] * len(starts)
     for k, start in enumerate(starts):
         place = bisect_left(tails, start)
@@ -85,7 +77,81 @@ def _chain(placed: pa.Table) -> pa.Table:
     while k >= 0:
         rows.append(k)
         k = before[k]
-    return placed.take(pa.array(rows[::-1], pa.int64()))
+    return rows[::-1]
+
+
+def _anchored(needles: list[str], text: str) -> list[int]:
+    """The start of each needle that anchors place in ``text``, -1 for the others."""
+    starts = [-1] * len(needles)
+    ends = np.cumsum([len(n) for n in needles])
+    (own, at), (theirs, there) = _anchors("".join(needles), ends), _anchors(text, np.array([len(text)]))
+    _, i, j = np.intersect1d(own, theirs, assume_unique=True, return_indices=True)
+    which = np.searchsorted(ends, at[i], "right")
+    votes: dict[int, dict[int, int]] = {}
+    for k, start in zip(which.tolist(), (there[j] - (at[i] - np.append(0, ends)[which])).tolist(), strict=True):
+        own_votes = votes.setdefault(k, {})
+        own_votes[start] = own_votes.get(start, 0) + 1
+    best = [(k, max(v, key=lambda x: (v[x], -x))) for k, v in sorted(votes.items())]
+    best = [(k, start) for k, start in best if start >= 0]
+    for n in _chain([start for _, start in best]):
+        starts[best[n][0]] = best[n][1]
+    return starts
+
+
+def _bounds(needles: list[str], starts: list[int]) -> tuple[list[int], list[int | None]]:
+    """For each needle the end of those placed before it, and the start of the next one placed."""
+    low, high, upto = [], [], 0
+    for n, start in zip(needles, starts, strict=True):
+        low.append(upto)
+        upto = max(upto, start + len(n)) if start >= 0 else upto
+    after = None
+    for start in reversed(starts):
+        high.append(after)
+        after = min(start, after if after is not None else start) if start >= 0 else after
+    return low, high[::-1]
+
+
+def _between(needles: list[str], text: str, starts: list[int], near: bool) -> list[int]:
+    """``starts`` with the needles that stand between the placed ones as they are, each behind the one before.
+
+    With ``near`` a needle counts only about where those before it leave off, so that one
+    that was changed is not taken for its copy further on, past all that follows it.
+    """
+    low, high = _bounds(needles, starts)
+    found, at, expected = list(starts), 0, 0
+    for k, n in enumerate(needles):
+        if starts[k] >= 0 or not n:
+            continue
+        if k == 0 or starts[k - 1] >= 0 or low[k] > at:
+            at, expected = max(at, low[k]), max(at, low[k])
+        end = len(text) if high[k] is None else high[k]
+        if near:
+            off = OFF + (expected - at) // 8
+            place = expected if text.startswith(n, expected, end) else text.find(n, max(at, expected - off), min(end, expected + off + len(n)))
+        else:
+            place = text.find(n, at, end)
+        found[k] = place
+        at, expected = (place + len(n),) * 2 if place >= 0 else (at, expected + len(n))
+    return found
+
+
+_PLACE = StructType([StructField("idx", IntegerType()), StructField("n", StringType()), StructField("start", IntegerType()), StructField("low", IntegerType()), StructField("window", StringType())])
+
+
+@F.arrow_udf(ArrayType(_PLACE))
+def _placed(blocks: pa.Array, texts: pa.Array) -> pa.Array:
+    """Each block of a document with its start in the document's text, or else the text in which it may stand changed."""
+    rows = []
+    for own, text in zip(blocks.to_pylist(), texts.to_pylist(), strict=True):
+        needles = [b["n"] for b in own]
+        starts = _between(needles, text, _between(needles, text, _anchored(needles, text), True), False)
+        low, high = _bounds(needles, starts)
+        rows.append([])
+        for b, start, a, z in zip(own, starts, low, high, strict=True):
+            if b["n"]:
+                reach = min(len(text) if z is None else max(0, z - a), max(4 * len(b["n"]), 500))
+                rows[-1].append((b["idx"], b["n"], start if start >= 0 else None, a, None if start >= 0 else text[a : a + reach]))
+    return pa.array([[dict(zip(("idx", "n", "start", "low", "window"), r, strict=True)) for r in own] for own in rows], pa.list_(pa.struct([("idx", pa.int32()), ("n", pa.string()), ("start", pa.int32()), ("low", pa.int32()), ("window", pa.string())])))
 
 
 def _nearest_end(needle: str, text: str) -> tuple[int, int]:
@@ -115,70 +181,44 @@ def _nearest(needles: pa.Array, texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], names=["edits", "end"])
 
 
-def _in_gap(needles: Column, window: Column, first: Column) -> Column:
-    """array<struct(idx, start)> of the needles (idx, n) that stand in the window, each behind the one before."""
-    kind = "array<struct<idx:int,start:int>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-
-    def find(acc: Column, x: Column) -> Column:
-        place = F.call_function("locate", x["n"], window, acc["at"] + 1)
-        hit = place > 0
-        row = F.struct(x["idx"].alias("idx"), (first + place - 1).cast("int").alias("start"))
-        return F.struct(F.when(hit, place - 1 + F.length(x["n"])).otherwise(acc["at"]).alias("at"), F.when(hit, F.array_append(acc["found"], row)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(needles, begin, find)["found"]
-
-
 def _located(blocks: DataFrame, pages: DataFrame, threshold: float) -> DataFrame:
-    """(version_id, idx, start, size) of the blocks (version_id, idx, n) in the text of their pages (version_id, page_no, n)."""
-    offsets = _offsets(pages)
-    grams = lambda rows, *keep: rows.select("version_id", *keep, F.inline(_anchors(F.col("n"))))
-    theirs = grams(pages, "page_no").join(offsets.select("version_id", "page_no", F.col("start").alias("_s")), ["version_id", "page_no"])
-    theirs = theirs.groupBy("version_id", "h").agg(F.min(F.col("_s") + F.col("at")).alias("_there"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    ours = grams(blocks, "idx").groupBy("version_id", "h").agg(F.min(F.struct("idx", "at")).alias("_b"), F.count("*").alias("_n")).where("_n = 1").select("version_id", "h", "_b.idx", "_b.at")
-    met = ours.join(theirs, ["version_id", "h"]).select("version_id", "idx", (F.col("_there") - F.col("at")).cast("int").alias("start")).groupBy("version_id", "idx", "start").agg(F.count("*").alias("_n"))
-    one = met.groupBy("version_id", "idx").agg(F.max_by("start", F.struct("_n", -F.col("start"))).alias("start")).where("start >= 0")
-    kind = blocks.schema["version_id"].dataType.simpleString()
-    chained = one.groupBy("version_id").applyInArrow(_chain, f"version_id {kind}, idx int, start int")
-    sized = blocks.join(chained, ["version_id", "idx"], "left").select("version_id", "idx", "n", F.length("n").alias("size"), "start")
-    order = Window.partitionBy("version_id").orderBy("idx")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    ends = lambda rows: rows.withColumns({"_low": F.coalesce(F.max(F.col("start") + F.col("size")).over(upto), F.lit(0)), "_high": F.min("start").over(after)})
-    placed = tables.written(ends(sized), "placed")
-    texts = tables.written(pages.groupBy("version_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "n"))), lambda p: p["n"]), "").alias("_full")), "texts")
-    open_ = placed.where("start IS NULL AND size > 0").groupBy("version_id", "_low", "_high").agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("_needles"))
-    span = F.when(F.col("_high").isNotNull(), F.greatest(F.lit(0), F.col("_high") - F.col("_low"))).otherwise(F.length("_full"))
-    gaps = open_.join(texts, "version_id").select("version_id", "_low", "_needles", F.substr("_full", F.col("_low") + 1, span).alias("_window"))
-    exact = gaps.select("version_id", F.inline(_in_gap(F.col("_needles"), F.col("_window"), F.col("_low"))))
-    again = placed.select("version_id", "idx", "n", "size", "start").join(exact.withColumnRenamed("start", "_exact"), ["version_id", "idx"], "left").withColumn("start", F.coalesce("start", "_exact")).drop("_exact")
-    known = tables.written(ends(again), "known")
+    """(version_id, idx, start, size, _pages) of the blocks (version_id, idx, n) in the text of their pages (version_id, page_no, n).
+
+    Texts are dealt by document once; what follows goes on within its row. ``_pages``: the
+    end and number of each page of the document.
+    """
+    own = blocks.where("n IS NOT NULL").groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("_blocks"))
+    sorted_ = pages.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("n", F.lit("")).alias("n")))).alias("_p"))
+    kind = pages.schema["page_no"].dataType.simpleString()
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<end:int,page_no:{kind}>>").alias("ends"))
+    add = lambda acc, p: F.struct((acc["at"] + F.length(p["n"])).alias("at"), F.array_append(acc["ends"], F.struct((acc["at"] + F.length(p["n"])).alias("end"), p["page_no"].alias("page_no"))).alias("ends"))
+    texts = sorted_.select("version_id", F.array_join(F.transform("_p", lambda p: p["n"]), "").alias("_full"), F.aggregate("_p", begin, add)["ends"].alias("_pages"))
+    rows = own.join(texts, "version_id").select("version_id", "_pages", _placed(F.col("_blocks"), F.col("_full")).alias("_b")).select("version_id", "_pages", F.inline("_b")).withColumn("size", F.length("n"))
     # Only what neither way has found is compared by edits, in the text up to the next block that was.
-    reach = F.least(F.coalesce(F.col("_high") - F.col("_low"), F.length("_full")), F.greatest(4 * F.col("size"), F.lit(500)))
-    misses = known.where("start IS NULL AND size > 0").join(texts, "version_id").select("version_id", "idx", "size", "_low", "n", F.substr("_full", F.col("_low") + 1, F.greatest(F.lit(0), reach)).alias("_window"))
-    near = misses.select("version_id", "idx", "size", "_low", _nearest(F.col("n"), F.col("_window")).alias("_r")).where((1 - F.col("_r.edits") / F.col("size")) * 100 >= threshold)
-    close = near.select("version_id", "idx", F.greatest(F.lit(0), F.col("_low") + F.col("_r.end") - F.col("size")).alias("start"), "size")
-    return known.where("start IS NOT NULL AND size > 0").select("version_id", "idx", "start", "size").unionByName(close)
+    near = rows.select("version_id", "idx", "size", "_pages", "start", "low", _nearest(F.col("n"), F.col("window")).alias("_r"))
+    close = F.when((1 - F.col("_r.edits") / F.col("size")) * 100 >= threshold, F.greatest(F.lit(0), F.col("low") + F.col("_r.end") - F.col("size")))
+    return near.select("version_id", "idx", F.coalesce("start", close).alias("start"), "size", "_pages").where("start IS NOT NULL")
 
 
 def align_pages(blocks: DataFrame, pages: DataFrame, threshold: float = 90.0) -> DataFrame:
     """``blocks`` with page and page_end found by their text; page_end only where it differs.
 
-    Rare runs of characters that a block and its document's pages share are met by an
-    equi-join, and of the places that they give the longest chain in the order of blocks
-    counts. Blocks between two of the chain are looked for between them, as they are, white
-    space aside, each behind the one before; what is left is placed where it takes the
-    fewest edits, if these leave ``threshold`` percent. What is not found has no page. Blocks
+    Texts and blocks of a document meet in one row. Runs of characters that both have once
+    give places, of which the longest chain in the order of blocks counts. Blocks between
+    two of the chain are looked for between them, as they are, white space aside, each
+    behind the one before: first about where those before it leave off, then anywhere. What
+    is left is placed where it takes the fewest edits, if these leave ``threshold`` percent. What is not found has no page. Blocks
     without text keep what they have.
     """
-    own = tables.written(blocks.select("version_id", F.col("idx").cast("int").alias("idx"), X.normalise(F.col("text")).alias("n")), "blocks")
-    theirs = tables.written(pages.select("version_id", "page_no", X.normalise(F.col("text")).alias("n")), "pages")
-    found = _located(own, theirs, threshold)
-    numbers = _offsets(theirs).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("end", "page_no"))).alias("_pages"))
+    own = blocks.select("version_id", F.col("idx").cast("int").alias("idx"), X.normalise(F.col("text")).alias("n"))
+    theirs = pages.select("version_id", "page_no", X.normalise(F.col("text")).alias("n"))
     page = lambda at: F.get(F.col("_pages"), F.least(F.size(F.filter("_pages", lambda p: p["end"] <= at)), F.size("_pages") - 1))["page_no"]
-    paged = found.join(numbers, "version_id").select("version_id", "idx", page(F.col("start")).alias("_first"), page(F.col("start") + F.col("size") - 1).alias("_last"))
-    blank = X.normalise(F.col("text")) == ""
+    paged = _located(own, theirs, threshold).select("version_id", "idx", page(F.col("start")).alias("_first"), page(F.col("start") + F.col("size") - 1).alias("_last"))
+    blank = F.col("_blank")
     keep = [c for c in blocks.columns if c not in ("page", "page_end")]
-    return blocks.join(paged, ["version_id", "idx"], "left").select(*keep, F.when(blank, F.col("page")).otherwise(F.col("_first")).alias("page"), F.when(blank, F.col("page_end")).when(F.col("_last") != F.col("_first"), F.col("_last")).alias("page_end"))
+    # Told before the join, so that texts that nobody asks for are not dealt again.
+    told = blocks.withColumn("_blank", X.normalise(F.col("text")) == "")
+    return told.join(paged, ["version_id", "idx"], "left").select(*keep, F.when(blank, F.col("page")).otherwise(F.col("_first")).alias("page"), F.when(blank, F.col("page_end")).when(F.col("_last") != F.col("_first"), F.col("_last")).alias("page_end"))
 
 
 def pages_at(offsets: DataFrame, positions: DataFrame) -> DataFrame:

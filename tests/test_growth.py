@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from clauselake.operators import products, references, retrieval
+from clauselake.operators import alignment, products, references, retrieval
 from clauselake.plans import catalog
 
 
@@ -65,3 +65,12 @@ def test_sparse_sums_are_made_in_bounded_blocks(spark, monkeypatch):
     assert {tuple(r)[:3] for r in best.select("query_id", "chunk_id", "corpus_type").collect()} == {(q, c, kind) for (q, kind), all_ in told_best.items() for _, _, c in sorted(all_)[:4]}
     assert products.sums(postings.limit(0), queries, 4).count() == 0
     assert "HashAggregate" not in plan(retrieval.sparse_scores(postings, queries))
+
+
+def test_a_changed_block_is_not_taken_for_its_copy_far_behind(spark):
+    lines = [f"{'甲乙丙丁戊己庚辛壬癸'[k % 10]}{'春夏秋'[k % 3]} the very same words stand on every single line of this text, again and again" for k in range(100)]
+    text = [t[:30] + "¤" + t[31:] if k % 5 == 2 else t for k, t in enumerate(lines)]
+    pages = [(1, n + 1, "\n".join(text[n * 5 : n * 5 + 5])) for n in range(20)]
+    blocks = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "version_id long, idx int, text string").withColumns({"page": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+    found = alignment.align_pages(blocks, spark.createDataFrame(pages, "version_id long, page_no int, text string"))
+    assert {r.idx: (r.page, r.page_end) for r in found.collect()} == {k: (k // 5 + 1, None) for k in range(100)}
