@@ -1,5 +1,7 @@
 """What holds for larger tables than those of the tests: ids that meet, joins that must not broadcast."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -69,8 +71,17 @@ def test_sparse_sums_are_made_in_bounded_blocks(spark, monkeypatch):
 
 def test_a_changed_block_is_not_taken_for_its_copy_far_behind(spark):
     lines = [f"{'甲乙丙丁戊己庚辛壬癸'[k % 10]}{'春夏秋'[k % 3]} the very same words stand on every single line of this text, again and again" for k in range(100)]
-    text = [t[:30] + "¤" + t[31:] if k % 5 == 2 else t for k, t in enumerate(lines)]
+    text = [t[:30] + "¤" + t[31:] if k in (2, 17, 41) else t for k, t in enumerate(lines)]
     pages = [(1, n + 1, "\n".join(text[n * 5 : n * 5 + 5])) for n in range(20)]
     blocks = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "version_id long, idx int, text string").withColumns({"page": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
     found = alignment.align_pages(blocks, spark.createDataFrame(pages, "version_id long, page_no int, text string"))
     assert {r.idx: (r.page, r.page_end) for r in found.collect()} == {k: (k // 5 + 1, None) for k in range(100)}
+
+
+def test_spans_run_the_pattern_once(spark):
+    texts = ["见第三条和前条", "第三条第三条之一本办法本条", "", None, "前条前前条 本条", "《甲》《甲乙》第一条", "𠀀前款𠀀前二款"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", references.spans(F.col("t"), references._ANY).alias("s"))
+    for r in found.collect():
+        assert [tuple(x) for x in r.s] == [(m.start(), m.end(), m.group()) for m in re.finditer(references._ANY, r.t or "")]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all") == 1 and "split(" not in text
