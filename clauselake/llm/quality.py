@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import LOWER, fold_of, hash_words, text_slices, word_ranges
 
@@ -25,12 +26,21 @@ _CLASS = np.full(256, 15, dtype=np.int64)
 for _k, _chars in enumerate(_KINDS):
     _CLASS[list(_chars)] = _k
 N_FEATURES = 256 + 8
+#: Rows of a batch that are read and sent on at a time, and bytes of text whose words are held at once.
+ROWS, BYTES = 1024, 1 << 18
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that neither side of a worker holds the features or results of a whole batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
 
 
 def text_features(column: pa.Array) -> np.ndarray:
     """One row of features per text; a null or empty text has zeros throughout."""
     out = np.zeros((len(column), N_FEATURES), dtype=np.float32)
-    for first, last, data, offsets in text_slices(column):
+    for first, last, data, offsets in text_slices(column, BYTES):
         kinds = _CLASS[data]
         start, end, owner = word_ranges(data, offsets)
         hashes = hash_words(LOWER[data], start, end)
@@ -127,7 +137,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     rows = texts.join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = text_features(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array([r.tobytes() for r in found], pa.binary())], names=["_id", "_label", "_features"])
 
@@ -139,7 +149,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return ranker
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ranker.margins(text_features(batch.column("_text"))), pa.float64())], names=["_id", "_margin"])
 
     scored = texts.where("_id IS NOT NULL").mapInArrow(margins, f"_id {kind}, _margin double").join(known, "_id")
@@ -155,11 +165,14 @@ def score_quality(docs: DataFrame, ranker: Ranker, *, id_col: str = "doc_id", te
     ignored. Texts are read whole; nothing is shuffled.
     """
     kept = F.struct(F.col(id_col).alias("doc_id"), *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else [])).alias("_row")
-    rows = docs.select(kept, F.col(text_col).cast("string").alias("_text"))
+    # A text that is carried goes to the workers once.
+    inside = list(carry).index(text_col) if text_col in carry and docs.schema[text_col].dataType == StringType() else None
+    rows = docs.select(kept, *([F.col(text_col).cast("string").alias("_text")] if inside is None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = ranker.scores(text_features(batch.column("_text")))
+        for batch in _parts(batches):
+            texts = batch.column("_text") if inside is None else batch.column("_row").field("carried").field(inside)
+            score = ranker.scores(text_features(texts))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(score, pa.float64())], names=["_row", "score"])
 
     found = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, score double")

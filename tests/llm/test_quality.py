@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clauselake.llm.common import fold_of
+from clauselake.llm import quality
 from clauselake.llm.quality import fit_ranker, learn_quality, score_quality
 
 SF = "/root/testdata/sf0.01"
@@ -36,3 +38,16 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, None, 0), (None, 1, 0), (5, 7, 0)], "doc_id long, quality int, toxic int")
     assert score_quality(docs, learn_quality(docs, one, folds=1, held_out_fold=9)).count() == 5
     assert score_quality(spark.createDataFrame([], docs.schema), ranker).count() == 0
+
+
+def test_carried_texts_go_to_the_workers_once(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.union(spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "x", 0)], docs.schema))
+    ranker = learn_quality(docs, labels)
+    got = score_quality(docs, ranker, carry=docs.columns)
+    assert "_text" not in got._jdf.queryExecution().optimizedPlan().toString()
+    told = lambda df: sorted((str(r[0]), round(r[1], 9), r[2]) for r in df.collect())
+    assert told(got.select("carried.doc_id", "score", "predicted")) == told(score_quality(docs, ranker))
+    assert got.where("NOT doc_id <=> carried.doc_id").count() == 0
+    batch = pa.RecordBatch.from_pydict({"_text": [str(k) for k in range(2 * quality.ROWS + 1)]})
+    assert [p.num_rows for p in quality._parts(iter([batch]))] == [quality.ROWS, quality.ROWS, 1]
