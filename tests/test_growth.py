@@ -85,3 +85,9 @@ def test_spans_run_the_pattern_once(spark):
         assert [tuple(x) for x in r.s] == [(m.start(), m.end(), m.group()) for m in re.finditer(references._ANY, r.t or "")]
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("regexp_extract_all") == 1 and "split(" not in text
+
+
+def test_candidates_are_scored_by_blocks(spark):
+    for name in ("search_candidates", "verify_smoke"):
+        text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "FlatMapCoGroupsInArrow" in text and not re.search(r"sum\(\(?weight", text)
