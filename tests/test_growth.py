@@ -5,7 +5,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from clauselake.operators import alignment, products, references, retrieval
+from clauselake.operators import alignment, products, references, retrieval, structure
 from clauselake.plans import catalog
 
 
@@ -91,3 +91,11 @@ def test_candidates_are_scored_by_blocks(spark):
     for name in ("search_candidates", "verify_smoke"):
         text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "FlatMapCoGroupsInArrow" in text and not re.search(r"sum\(\(?weight", text)
+
+
+def test_tasks_of_the_clause_tree_follow_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(structure, "TASK_BLOCKS", 10)
+    rows = [(v, k, "text", f"第{k + 1}条 甲", 1, None) for v in range(20) for k in range(5)]
+    blocks = spark.createDataFrame(rows, "version_id long, idx int, kind string, text string, page int, page_end int")
+    tree = structure.clause_tree(blocks)
+    assert tree.rdd.getNumPartitions() == 11 and tree.where("level = 3").count() == 100
