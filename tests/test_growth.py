@@ -99,3 +99,8 @@ def test_tasks_of_the_clause_tree_follow_the_blocks(spark, monkeypatch):
     blocks = spark.createDataFrame(rows, "version_id long, idx int, kind string, text string, page int, page_end int")
     tree = structure.clause_tree(blocks)
     assert tree.rdd.getNumPartitions() == 11 and tree.where("level = 3").count() == 100
+
+
+def test_indicators_are_made_once_for_a_decision(spark):
+    found = catalog.QUERIES["quality_decisions"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan(found)
