@@ -5,7 +5,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from clauselake.operators import alignment, products, references, retrieval, structure
+from clauselake.operators import alignment, containment, products, references, retrieval, structure
 from clauselake.plans import catalog
 
 
@@ -104,3 +104,14 @@ def test_tasks_of_the_clause_tree_follow_the_blocks(spark, monkeypatch):
 def test_indicators_are_made_once_for_a_decision(spark):
     found = catalog.QUERIES["quality_decisions"](spark, "/root/testdata/sf0.001")
     assert "Window" not in plan(found)
+
+
+def test_runs_are_made_in_one_pass_and_go_without_their_text(spark):
+    texts = spark.createDataFrame([(1, "a𠀀b 甲乙丙"), (2, "a𠀀b 甲乙丙"), (3, "乙\n丙"), (4, ""), (5, None)], "i int, body string")
+    terms = spark.createDataFrame([(1, "𠀀b"), (2, "乙丙"), (3, "\n"), (4, "丁"), (5, "乙丙")], "j int, term string")
+    found = containment.holding(texts, terms, "body", "term")
+    assert found.columns == ["i", "body", "j", "term"]
+    assert sorted((r.i, r.j) for r in found.collect()) == [(1, 1), (1, 2), (1, 5), (2, 1), (2, 2), (2, 5), (3, 3)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" not in text and not re.search(r"Generate explode\(array_distinct.*\[body", text)
+    assert all("body" not in line.split("[")[-1] for line in text.splitlines() if "Generate explode" in line)
