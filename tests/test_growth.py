@@ -5,7 +5,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from clauselake.operators import alignment, containment, products, references, retrieval, structure
+from clauselake.operators import alignment, containment, products, references, retrieval, structure, vectors
 from clauselake.plans import catalog
 
 
@@ -93,6 +93,22 @@ def test_candidates_are_scored_by_blocks(spark):
         assert "FlatMapCoGroupsInArrow" in text and not re.search(r"sum\(\(?weight", text)
 
 
+def test_partitions_of_a_search_follow_what_meets(spark, monkeypatch):
+    rows = [(k, "ab"[k % 2], [float(k % 7), float(k % 11), 1.0 + k % 3]) for k in range(300)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, corpus_type string, dense array<double>")
+    queries = corpus.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "dense")
+    found, written = [], vectors.tables.written
+    monkeypatch.setattr(vectors.tables, "written", lambda df, name: found.append((name, plan(df))) or written(df, name))
+    vectors.best_cosines(corpus, queries, 3, ("query_id", "corpus_type"), cell_rows=1000, task_rows=50, query_block=10)
+    # Two parts of three packs, and six blocks of ten questions for each.
+    assert [set(re.findall(r"hashpartitioning\(pack#\d+, block#\d+, (\d+)\)", text)) for name, text in found if name == "best"] == [{"72"}]
+    postings = spark.createDataFrame([(f"t{c % 5}", c, "a", 1.0) for c in range(200)], "token string, chunk_id long, corpus_type string, weight double")
+    asked = spark.createDataFrame([(q, {f"t{q % 5}": 1.0}) for q in range(40)], "query_id long, sparse map<string,double>")
+    monkeypatch.setattr(products, "TASK_ROWS", 100)
+    sums = products.sums(postings, asked, 3, chunk_block=50, query_block=10)
+    assert set(re.findall(r"hashpartitioning\(_c#\d+, _q#\d+, (\d+)\)", plan(sums))) == {"10"} and sums.count() > 0
+
+
 def test_tasks_of_the_clause_tree_follow_the_blocks(spark, monkeypatch):
     monkeypatch.setattr(structure, "TASK_BLOCKS", 10)
     rows = [(v, k, "text", f"第{k + 1}条 甲", 1, None) for v in range(20) for k in range(5)]

@@ -2,9 +2,14 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
+from clauselake.operators import vectors
 from clauselake.operators.vectors import VectorIndex, best_cosines
 
 SCHEMA = "chunk_id long, corpus_type string, status string, dense array<double>"
@@ -58,6 +63,35 @@ def test_few_pairs_are_scored_in_clusters(spark):
     assert 0 < counter.value < 4000 * 200 / 4
 
 
+def test_visits_are_made_in_pieces_and_packs():
+    draw = np.random.default_rng(3)
+    n, d = 3000, 64
+    middle = draw.normal(size=(400, d)) / 16
+    stats = [Row(dims=d, part=p, cell=c, low=0.0, high=1.0, n=900 if c == 5 else 90) for p in "ab" for c in range(400)]
+    cells, placed = vectors._packed(stats, 400)
+    sizes = {}
+    for _, part, c, first, subs in placed:
+        assert subs == (3 if c == 5 else 1)
+        for pack in range(first, first + subs):
+            sizes.setdefault(pack, []).append((part, 900 / subs if c == 5 else 90))
+    assert sorted(sizes) == list(range(len(sizes))) and all(len({p for p, _ in own}) == 1 and sum(m for _, m in own) <= 400 for own in sizes.values())
+    batch = pa.RecordBatch.from_pydict({"query_id": range(n), "vector": pa.array(list(draw.normal(size=(n, d)))), "dims": pa.array([d] * n, pa.int32()), "kth": pa.array([None] * n, pa.map_(pa.string(), pa.float64()))})
+    tracemalloc.start()
+    told, largest = {}, 0
+    for part in vectors._visits(dict([(d, middle)]), cells, 3, 8)(iter([batch])):
+        largest = max(largest, part.num_rows)
+        for r in part.select(["query_id", "pack", "cells"]).to_pylist():
+            told.setdefault(r["query_id"], []).extend((r["pack"], c) for c in r["cells"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and largest < n
+    own = {(c, part): range(first, first + subs) for _, part, c, first, subs in placed}
+    assert len(told) == n
+    for seen in told.values():
+        assert len(seen) == len(set(seen)) and len({(c, p) for (c, p), packs in own.items() for pack, v in seen if v == c and pack in packs}) == 10
+        assert all((pack, c) in seen for (c, p), packs in own.items() if any((k, c) in seen for k in packs) for pack in packs)
+
+
 def test_index_takes_rows_in_and_out(spark, tmp_path):
     rows = clustered(300)
     path = str(tmp_path / "index")
