@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -80,78 +81,118 @@ def _chain(starts: list[int]) -> list[int]:
     return rows[::-1]
 
 
-def _anchored(needles: list[str], text: str) -> list[int]:
-    """The start of each needle that anchors place in ``text``, -1 for the others."""
-    starts = [-1] * len(needles)
+class Span(NamedTuple):
+    """Where a needle stands: ``start`` to ``stop``, of which ``sure`` to ``upto`` is told by what both have alike."""
+
+    start: int
+    sure: int
+    upto: int
+    stop: int
+
+
+def _exact(start: int, needle: str) -> Span:
+    return Span(start, start, start + len(needle), start + len(needle))
+
+
+def _anchored(needles: list[str], text: str) -> list[Span | None]:
+    """The span of each needle that anchors place in ``text``, None for the others.
+
+    A needle that was changed starts by its first anchor and stops by its last one; the
+    characters before and behind these may be more or fewer than its own, so its
+    neighbours are kept off only what the anchors span.
+    """
+    spans: list[Span | None] = [None] * len(needles)
     ends = np.cumsum([len(n) for n in needles])
     (own, at), (theirs, there) = _anchors("".join(needles), ends), _anchors(text, np.array([len(text)]))
     _, i, j = np.intersect1d(own, theirs, assume_unique=True, return_indices=True)
-    which = np.searchsorted(ends, at[i], "right")
+    order = np.argsort(at[i])
+    at, there = at[i][order], there[j][order]
+    which = np.searchsorted(ends, at, "right")
+    told = there - (at - np.append(0, ends)[which])
     votes: dict[int, dict[int, int]] = {}
-    for k, start in zip(which.tolist(), (there[j] - (at[i] - np.append(0, ends)[which])).tolist(), strict=True):
+    for k, start in zip(which.tolist(), told.tolist(), strict=True):
         own_votes = votes.setdefault(k, {})
         own_votes[start] = own_votes.get(start, 0) + 1
     best = [(k, max(v, key=lambda x: (v[x], -x))) for k, v in sorted(votes.items())]
     best = [(k, start) for k, start in best if start >= 0]
     for n in _chain([start for _, start in best]):
-        starts[best[n][0]] = best[n][1]
-    return starts
-
-
-def _bounds(needles: list[str], starts: list[int]) -> tuple[list[int], list[int | None]]:
-    """For each needle the end of those placed before it, and the start of the next one placed."""
-    low, high, upto = [], [], 0
-    for n, start in zip(needles, starts, strict=True):
+        k, start = best[n]
+        if text.startswith(needles[k], start):
+            spans[k] = _exact(start, needles[k])
+        else:
+            own_anchors = slice(*np.searchsorted(which, [k, k + 1]))
+            close = np.abs(told[own_anchors] - start) <= OFF
+            starts, places = told[own_anchors][close].tolist(), there[own_anchors][close]
+            sure, upto = int(places.min()), int(places.max()) + GRAM
+            spans[k] = Span(max(0, min(starts[0], sure)), sure, upto, min(len(text), max(starts[-1] + len(needles[k]), upto)))
+    return spans
+
+
+def _bounds(spans: list[Span | None]) -> tuple[list[int], list[int], list[int | None]]:
+    """For each needle where those placed before it surely end, where they stop, and where the next one placed surely begins."""
+    low, behind, high, upto, stop = [], [], [], 0, 0
+    for span in spans:
         low.append(upto)
-        upto = max(upto, start + len(n)) if start >= 0 else upto
+        behind.append(stop)
+        if span:
+            upto, stop = max(upto, span.upto), max(stop, span.stop)
     after = None
-    for start in reversed(starts):
+    for span in reversed(spans):
         high.append(after)
-        after = min(start, after if after is not None else start) if start >= 0 else after
-    return low, high[::-1]
+        if span:
+            after = span.sure if after is None else min(span.sure, after)
+    return low, behind, high[::-1]
 
 
-def _between(needles: list[str], text: str, starts: list[int], near: bool) -> list[int]:
-    """``starts`` with the needles that stand between the placed ones as they are, each behind the one before.
+def _between(needles: list[str], text: str, spans: list[Span | None], near: bool) -> list[Span | None]:
+    """``spans`` with the needles that stand between the placed ones as they are, each behind the one before.
 
-    With ``near`` a needle counts only about where those before it leave off, so that one
-    that was changed is not taken for its copy further on, past all that follows it.
+    With ``near`` a needle counts only about where those before it leave off, and nearest
+    to that, so that one that was changed is not taken for its copy further on, past all
+    that follows it.
     """
-    low, high = _bounds(needles, starts)
-    found, at, expected = list(starts), 0, 0
+    low, behind, high = _bounds(spans)
+    found, at, expected = list(spans), 0, 0
     for k, n in enumerate(needles):
-        if starts[k] >= 0 or not n:
+        if spans[k] or not n:
             continue
-        if k == 0 or starts[k - 1] >= 0 or low[k] > at:
-            at, expected = max(at, low[k]), max(at, low[k])
+        if k == 0 or spans[k - 1] or low[k] > at:
+            at, expected = max(at, low[k]), max(at, behind[k])
         end = len(text) if high[k] is None else high[k]
         if near:
             off = OFF + (expected - at) // 8
-            place = expected if text.startswith(n, expected, end) else text.find(n, max(at, expected - off), min(end, expected + off + len(n)))
+            after = text.find(n, expected, min(end, expected + off + len(n)))
+            before = -1 if after == expected else text.rfind(n, max(at, expected - off), min(end, expected + len(n) - 1))
+            place = before if before >= 0 and (after < 0 or expected - before <= after - expected) else after
         else:
             place = text.find(n, at, end)
-        found[k] = place
-        at, expected = (place + len(n),) * 2 if place >= 0 else (at, expected + len(n))
+        if place >= 0:
+            found[k], at, expected = _exact(place, n), place + len(n), place + len(n)
+        else:
+            expected += len(n)
     return found
 
 
-_PLACE = StructType([StructField("idx", IntegerType()), StructField("n", StringType()), StructField("start", IntegerType()), StructField("low", IntegerType()), StructField("window", StringType())])
+_PLACE = StructType([StructField("idx", IntegerType()), StructField("n", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("low", IntegerType()), StructField("window", StringType())])
 
 
 @F.arrow_udf(ArrayType(_PLACE))
 def _placed(blocks: pa.Array, texts: pa.Array) -> pa.Array:
-    """Each block of a document with its start in the document's text, or else the text in which it may stand changed."""
-    rows = []
+    """Each block of a document with its span in the document's text, or else the text in which it may stand changed."""
+    names, rows = ("idx", "n", "start", "stop", "low", "window"), []
     for own, text in zip(blocks.to_pylist(), texts.to_pylist(), strict=True):
         needles = [b["n"] for b in own]
-        starts = _between(needles, text, _between(needles, text, _anchored(needles, text), True), False)
-        low, high = _bounds(needles, starts)
+        spans = _between(needles, text, _between(needles, text, _anchored(needles, text), True), False)
+        low, _, high = _bounds(spans)
         rows.append([])
-        for b, start, a, z in zip(own, starts, low, high, strict=True):
-            if b["n"]:
+        for b, span, a, z in zip(own, spans, low, high, strict=True):
+            if b["n"] and span:
+                # A changed block keeps off those placed ahead of it and behind it.
+                rows[-1].append((b["idx"], b["n"], min(max(span.start, a), span.sure), max(span.stop if z is None else min(span.stop, z), span.upto), a, None))
+            elif b["n"]:
                 reach = min(len(text) if z is None else max(0, z - a), max(4 * len(b["n"]), 500))
-                rows[-1].append((b["idx"], b["n"], start if start >= 0 else None, a, None if start >= 0 else text[a : a + reach]))
-    return pa.array([[dict(zip(("idx", "n", "start", "low", "window"), r, strict=True)) for r in own] for own in rows], pa.list_(pa.struct([("idx", pa.int32()), ("n", pa.string()), ("start", pa.int32()), ("low", pa.int32()), ("window", pa.string())])))
+                rows[-1].append((b["idx"], b["n"], None, None, a, text[a : a + reach]))
+    return pa.array([[dict(zip(names, r, strict=True)) for r in own] for own in rows], pa.list_(pa.struct([("idx", pa.int32()), ("n", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("low", pa.int32()), ("window", pa.string())])))
 
 
 def _nearest_end(needle: str, text: str) -> tuple[int, int]:
@@ -182,7 +223,7 @@ def _nearest(needles: pa.Array, texts: pa.Array) -> pa.Array:
 
 
 def _located(blocks: DataFrame, pages: DataFrame, threshold: float) -> DataFrame:
-    """(version_id, idx, start, size, _pages) of the blocks (version_id, idx, n) in the text of their pages (version_id, page_no, n).
+    """(version_id, idx, start, stop, _pages) of the blocks (version_id, idx, n) in the text of their pages (version_id, page_no, n).
 
     Texts are dealt by document once; what follows goes on within its row. ``_pages``: the
     end and number of each page of the document.
@@ -195,9 +236,10 @@ def _located(blocks: DataFrame, pages: DataFrame, threshold: float) -> DataFrame
     texts = sorted_.select("version_id", F.array_join(F.transform("_p", lambda p: p["n"]), "").alias("_full"), F.aggregate("_p", begin, add)["ends"].alias("_pages"))
     rows = own.join(texts, "version_id").select("version_id", "_pages", _placed(F.col("_blocks"), F.col("_full")).alias("_b")).select("version_id", "_pages", F.inline("_b")).withColumn("size", F.length("n"))
     # Only what neither way has found is compared by edits, in the text up to the next block that was.
-    near = rows.select("version_id", "idx", "size", "_pages", "start", "low", _nearest(F.col("n"), F.col("window")).alias("_r"))
-    close = F.when((1 - F.col("_r.edits") / F.col("size")) * 100 >= threshold, F.greatest(F.lit(0), F.col("low") + F.col("_r.end") - F.col("size")))
-    return near.select("version_id", "idx", F.coalesce("start", close).alias("start"), "size", "_pages").where("start IS NOT NULL")
+    near = rows.select("version_id", "idx", "size", "_pages", "start", "stop", "low", _nearest(F.col("n"), F.col("window")).alias("_r"))
+    close = (1 - F.col("_r.edits") / F.col("size")) * 100 >= threshold
+    stop = F.col("low") + F.col("_r.end")
+    return near.select("version_id", "idx", F.coalesce("start", F.when(close, F.greatest(F.col("low"), stop - F.col("size")))).alias("start"), F.coalesce("stop", F.when(close, stop)).alias("stop"), "_pages").where("start IS NOT NULL")
 
 
 def align_pages(blocks: DataFrame, pages: DataFrame, threshold: float = 90.0) -> DataFrame:
@@ -213,7 +255,7 @@ def align_pages(blocks: DataFrame, pages: DataFrame, threshold: float = 90.0) ->
     own = blocks.select("version_id", F.col("idx").cast("int").alias("idx"), X.normalise(F.col("text")).alias("n"))
     theirs = pages.select("version_id", "page_no", X.normalise(F.col("text")).alias("n"))
     page = lambda at: F.get(F.col("_pages"), F.least(F.size(F.filter("_pages", lambda p: p["end"] <= at)), F.size("_pages") - 1))["page_no"]
-    paged = _located(own, theirs, threshold).select("version_id", "idx", page(F.col("start")).alias("_first"), page(F.col("start") + F.col("size") - 1).alias("_last"))
+    paged = _located(own, theirs, threshold).select("version_id", "idx", page(F.col("start")).alias("_first"), page(F.col("stop") - 1).alias("_last"))
     blank = F.col("_blank")
     keep = [c for c in blocks.columns if c not in ("page", "page_end")]
     # Told before the join, so that texts that nobody asks for are not dealt again.

@@ -56,6 +56,24 @@ def test_planted_edits(spark):
     assert not any(k in wrong for k in want if want[k] is None)
 
 
+def test_short_lines_beside_changed_ones(spark):
+    draw = random.Random(7)
+    line = lambda n: "".join(draw.choices("abcdefghijklmnop", k=n))
+    blocks, pages, want = [], [], {}
+    for doc in range(40):
+        # On the page the third line lacks a character near its head, near its end, or in its middle.
+        lines = [line(150), "责令 Du.", line(240), "应 Ea.", line(150)]
+        at = (25, 215, 120)[doc % 3]
+        text = [*lines[:2], lines[2][:at] + lines[2][at + 1 :], *lines[3:]]
+        first = 1 + doc // 3 % 3  # the changed line is in the middle, first or last on its page
+        blocks += [(doc, k, x) for k, x in enumerate(lines)]
+        pages += [(doc, 1, "\n".join(text[:first])), (doc, 2, "\n".join(text[first:]))]
+        want |= {(doc, k): (1 if k < first else 2, None) for k in range(5)}
+    rows = spark.createDataFrame(blocks, "version_id long, idx int, text string").withColumns({"page": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+    got = {(r.version_id, r.idx): (r.page, r.page_end) for r in alignment.align_pages(rows, spark.createDataFrame(pages, "version_id long, page_no int, text string")).collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+
+
 def test_a_document_without_pages_or_blocks(spark):
     none = spark.createDataFrame([], "version_id long, page_no int, text string")
     rows = spark.createDataFrame([(1, 0, "text", 7, None), (1, 1, " ", 7, None), (1, 2, None, 5, 6)], "version_id long, idx int, text string, page int, page_end int")
