@@ -152,7 +152,7 @@ class Hasher:
 
 
 def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of whole texts of about ``max_bytes``.
+    """Cuts a column of strings (or of bytes without nulls) into runs of whole texts of about ``max_bytes``.
 
     Yields (first row, row after the last, bytes, offsets); null counts as empty.
     A text longer than ``max_bytes`` makes a run of its own.
@@ -160,7 +160,7 @@ def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[in
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if column.null_count else column
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, dtype=np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if len(column) and column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
     first = 0

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -37,6 +37,8 @@ PROBES = 5
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 _LOW = np.uint64(0xFFFFFFFF)
+#: Bytes of text whose distinct n-grams are looked up at once.
+LOOKED_UP_BYTES = 2 << 20
 #: The least count of each level from 1, by powers of 1.5: 1, 2, 3, 4, 6, 8, 12 ...
 LEAST = np.ceil(1.5 ** np.arange(100) - 1e-9)
 #: What a level reads back as: the middle of its range; 0 for level 0.
@@ -49,12 +51,12 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEAST, counts, side="right")
 
 
-def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def tokens_of(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of texts: (first row, row after the last, token hashes, first token of each text and the end).
 
     Every text, a null one too, ends with the END token.
     """
-    for first, last, data, offsets in text_slices(column):
+    for first, last, data, offsets in text_slices(column, max_bytes):
         low = LOWER[data]
         start, end, owner = word_ranges(low, offsets)
         words = hash_words(low, start, end)
@@ -193,20 +195,30 @@ class LogFrequencyFilter:
     offsets: np.ndarray  # of each segment's first bit, by kind * n_buckets + bucket
     n_bits: np.ndarray
 
+    def _holds(self, hashes: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The filter's bits at ``hashes``, as the lowest bit of a byte."""
+        bit = base + _place(hashes, size)
+        return self.data[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)
+
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """The last level found of each key, 0 if none is."""
         segment = kind * self.n_buckets + _bucket(keys, self.n_buckets).astype(np.int64)
         level_of = np.zeros(len(keys), dtype=np.int64)
         at = np.flatnonzero(self.n_bits[segment] > 0)
-        key, size, base, level = _own_keys(keys, kind)[at], self.n_bits[segment[at]].astype(np.uint64), self.offsets[segment[at]], 1
+        key, size, base, level = _own_keys(keys, kind)[at], self.n_bits[segment[at]].astype(np.uint64), self.offsets[segment[at]].astype(np.uint64), 1
         while len(at) and level < N_LEVELS:
             hashes, step = _event_hashes(key, level)
-            for _ in range(PROBES):
-                bit = base + _place(hashes, size).astype(np.int64)
-                found = np.flatnonzero((self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                if len(found) < len(at):
-                    at, key, size, base, hashes, step = at[found], key[found], size[found], base[found], hashes[found], step[found]
-                hashes = hashes + step
+            # About half of the missing ones go at the first probe; the others are few enough to be probed to the end.
+            found = np.flatnonzero(self._holds(hashes, base, size) & 1)
+            if len(found) < len(at):
+                at, key, size, base, hashes, step = at[found], key[found], size[found], base[found], hashes[found], step[found]
+            hit = np.ones(len(at), dtype=np.uint8)
+            for _ in range(PROBES - 1):
+                hashes += step
+                hit &= self._holds(hashes, base, size)
+            found = np.flatnonzero(hit)
+            if len(found) < len(at):
+                at, key, size, base = at[found], key[found], size[found], base[found]
             level_of[at] = level
             level += 1
         return level_of
@@ -352,9 +364,16 @@ def read_levels(bloom: LogFrequencyFilter, tokens: np.ndarray, bounds: np.ndarra
     return clipped(l1, l2, _distinct_levels(bloom, three, 2, (l2 > 0) & (before > 0)), bounds, n_texts)
 
 
-def score_tokens(model: LanguageModel, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 p of every token, by the whole filter."""
-    return log_probabilities(read_levels(model.filter(), tokens, bounds, model.n_texts), model.back_off, model.denominator)
+def _packed_levels(levels: Levels, bounds: np.ndarray) -> pa.Array:
+    """The levels of each text as bytes, three a token; contexts are told by the tokens before."""
+    data = np.stack(levels.grams, axis=1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((3 * bounds).astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
+def _unpacked_levels(column: pa.Array, n_texts: int) -> Iterator[tuple[Levels, np.ndarray]]:
+    """Levels of runs of texts, and the first token of each text and the end."""
+    for _, _, data, offsets in text_slices(column):
+        yield clipped(*data.reshape(-1, 3).T.astype(np.int64), offsets // 3, n_texts), offsets // 3
 
 
 def _vocabulary_part(low: int, high: int, packed: bool):
@@ -373,8 +392,8 @@ def _vocabulary_part(low: int, high: int, packed: bool):
     return run
 
 
-def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 1_000_000, filter_bytes: int = 256 << 20, bucket_bytes: int = 8 << 20, bits_per_event: int = BITS_PER_EVENT) -> LanguageModel:
-    """Counts n-grams of all rows of ``docs``, builds the filter and fits the back-off weights.
+def count_ngrams(docs: DataFrame, *, text_col: str = "text", head_words: int = 1_000_000, filter_bytes: int = 256 << 20, bucket_bytes: int = 8 << 20, bits_per_event: int = BITS_PER_EVENT) -> LanguageModel:
+    """Counts n-grams of all rows of ``docs`` and builds the filter; back-off weights are yet to be fitted.
 
     Two bounds hold what every worker gets: ``head_words`` exact word counts (those of at
     least the smallest power of two that fits), the rest staying in a table to be joined;
@@ -403,38 +422,43 @@ def learn_model(docs: DataFrame, *, text_col: str = "text", head_words: int = 1_
     tail = unigrams.mapInArrow(_vocabulary_part(1, 1 << (head - 1), False), "token long, c long") if head > 1 else None
     segments = counted.select("kind", "bucket", "bits")
     written = write_filter(segments, n_buckets) if 0 < (known[2] or 0) <= filter_bytes else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    model = LanguageModel(known[1] or 0, known[0] or 0, size[1], n_buckets, *written, keys[order], counts[order], tail=tail, segments=segments)
-    model.back_off = _fit_back_off(texts, model)
+    return LanguageModel(known[1] or 0, known[0] or 0, size[1], n_buckets, *written, keys[order], counts[order], tail=tail, segments=segments)
+
+
+def learn_model(docs: DataFrame, *, text_col: str = "text", **bounds: int) -> LanguageModel:
+    """A model of all rows of ``docs``; ``bounds``: those of count_ngrams()."""
+    model = count_ngrams(docs, text_col=text_col, **bounds)
+    model.back_off = _fit_back_off(_looked_up(docs.select(F.lit(None).alias("_row"), F.col(text_col).cast("string").alias("_text")), model), model)
     return model
 
 
-def _fit_back_off(texts: DataFrame, model: LanguageModel) -> np.ndarray:
-    """Back-off weights from one pass over all training texts."""
-    sent = model.sent()
-    names = ["cell", "n"]
+def learn_and_score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, **bounds: int) -> DataFrame:
+    """score_texts() of all rows of ``docs`` by the model of those where ``training`` holds.
 
-    def cells(total: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=names)
+    Every n-gram is looked up once: the levels of all rows are written, the back-off
+    weights are fitted to those of the training rows, and all are scored by them.
+    """
+    model = count_ngrams(docs.where(training), text_col=text_col, **bounds)
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), F.col(text_col).cast("string").alias("_text"), training.alias("_train"))
+    looked_up = as_table(_looked_up(rows, model, block_bytes), "levels")
+    model.back_off = _fit_back_off(looked_up.where("_train"), model)
+    return _scored(looked_up, model)
+
+
+def _fit_back_off(looked_up: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Back-off weights from one pass over the levels of all training texts."""
+    n_texts = model.n_texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDERS * N_LEVELS * 2, dtype=np.int64)
         for batch in batches:
-            for _, _, tokens, bounds in tokens_of(batch.column("_text")):
-                total += count_new(read_levels(sent.filter(), tokens, bounds, sent.n_texts)).ravel()
-        yield cells(total)
-
-    def run_block(answers: pa.Table, block: pa.Table) -> pa.Table:
-        tokens, bounds = _block_tokens(block.column("_text"))
-        return pa.Table.from_batches([cells(count_new(_block_levels(sent, answers, tokens, bounds)).ravel())])
+            for levels, _ in _unpacked_levels(batch.column("levels"), n_texts):
+                total += count_new(levels).ravel()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
-    if model.whole:
-        found = texts.mapInArrow(run, "cell int, n long")
-    else:
-        rows = _dealt(texts, "_text")
-        found = _answers(rows, model).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, "cell int, n long")
     counts = np.zeros(ORDERS * N_LEVELS * 2, dtype=np.int64)
-    for r in found.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in looked_up.select("levels").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r.cell] = r.n
     return back_off_weights(counts.reshape(ORDERS, N_LEVELS, 2))
 
@@ -518,22 +542,16 @@ def _answers(rows: DataFrame, model: LanguageModel) -> DataFrame:
     return probes.groupBy(*by).cogroup(model.segments.groupBy(*by)).applyInArrow(_probe_bucket, "block long, kind int, bucket int, levels binary")
 
 
-def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """Scores every row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-
-    ``base_score`` is exact: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the words and
-    the end token; frequent words are looked up in the head, the others joined to the tail
-    of the vocabulary. ``score`` is the model's log10 probability; it is the same whether
-    workers load the filter or probe it in its table. For the latter, texts are dealt by
-    hash into blocks of about ``block_bytes``.
+def _looked_up(rows: DataFrame, model: LanguageModel, block_bytes: int = 8 << 20) -> DataFrame:
+    """``rows`` (_row, _text and others) without their texts, and with all of their scores but for the back-off weights.
 
-    A null or empty text has the end token alone. A null id and repeated rows are kept.
-    Columns of other names are ignored. A model of no text is allowed (N = V = 0).
+    Adds serial, n_tokens, n_head and head_score of the words in the head, ``others``, the
+    remaining tokens, and levels as _packed_levels() makes them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.sent())
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    shared = rows.sparkSession.sparkContext.broadcast(model.sent())
+    kept = [c for c in rows.columns if c != "_text"]
 
-    def measured(own: LanguageModel, held: pa.Array, serial: int, tokens: np.ndarray, bounds: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    def measured(own: LanguageModel, held: list[pa.Array], serial: int, tokens: np.ndarray, bounds: np.ndarray, levels: Levels) -> pa.RecordBatch:
         n = len(bounds) - 1
         at = np.minimum(np.searchsorted(own.head_keys, tokens), max(0, len(own.head_keys) - 1))
         found = own.head_keys[at] == tokens if len(own.head_keys) else np.zeros(len(tokens), dtype=bool)
@@ -542,42 +560,54 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id"
         missing = np.concatenate(([0], np.cumsum(~found)))[bounds]
         return pa.RecordBatch.from_arrays(
             [
-                held,
+                *held,
                 pa.array(serial + np.arange(n), pa.int64()),
                 pa.array(np.diff(bounds), pa.int64()),
                 pa.array(np.add.reduceat(found.astype(np.int64), bounds[:-1]), pa.int64()),
                 pa.array(np.add.reduceat(value, bounds[:-1]), pa.float64()),
-                pa.array(np.add.reduceat(logs, bounds[:-1]), pa.float64()),
                 pa.ListArray.from_arrays(pa.array(missing, pa.int32()), pa.array(tokens[~found].view(np.int64), pa.int64())),
+                _packed_levels(levels, bounds),
             ],
-            names=["_row", "serial", "n_tokens", "n_head", "head_score", "score", "others"],
+            names=[*kept, "serial", "n_tokens", "n_head", "head_score", "others", "levels"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, serial = shared.value, TaskContext.get().partitionId() << 40
+        bloom = own.filter()
         for batch in batches:
-            for first, last, tokens, bounds in tokens_of(batch.column("_text")):
-                yield measured(own, batch.column("_row").slice(first, last - first), serial, tokens, bounds, score_tokens(own, tokens, bounds))
+            for first, last, tokens, bounds in tokens_of(batch.column("_text"), LOOKED_UP_BYTES):
+                yield measured(own, [batch.column(c).slice(first, last - first) for c in kept], serial, tokens, bounds, read_levels(bloom, tokens, bounds, own.n_texts))
                 serial += last - first
 
     def run_block(answers: pa.Table, texts: pa.Table) -> pa.Table:
         own = shared.value
         tokens, bounds = _block_tokens(texts.column("_text"))
-        logs = log_probabilities(_block_levels(own, answers, tokens, bounds), own.back_off, own.denominator)
-        return pa.Table.from_batches([measured(own, texts.column("_row").combine_chunks(), texts.column("block")[0].as_py() << 32, tokens, bounds, logs)])
+        return pa.Table.from_batches([measured(own, [texts.column(c).combine_chunks() for c in kept], texts.column("block")[0].as_py() << 32, tokens, bounds, _block_levels(own, answers, tokens, bounds))])
 
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, serial long, n_tokens long, n_head long, head_score double, score double, others array<long>"
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "serial long, n_tokens long, n_head long, head_score double, others array<long>, levels binary"])
     if model.whole:
-        scored = rows.mapInArrow(run, schema)
-    else:
-        rows = _dealt(rows, "_text", "_row", block_bytes=block_bytes)
-        scored = _answers(rows, model).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, schema)
+        return rows.mapInArrow(run, schema)
+    rows = _dealt(rows, "_text", "_row", block_bytes=block_bytes)
+    return _answers(rows, model).groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run_block, schema)
+
+
+def _scored(looked_up: DataFrame, model: LanguageModel) -> DataFrame:
+    """The result of score_texts() from _looked_up()."""
+    back_off, denominator, n_texts = model.back_off, model.denominator, model.n_texts
+    names = ["_row", "serial", "n_tokens", "n_head", "head_score", "n_others"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [np.add.reduceat(log_probabilities(levels, back_off, denominator), bounds[:-1]) for levels, bounds in _unpacked_levels(batch.column("levels"), n_texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*names, "score"])
+
+    schema = f"_row {looked_up.schema['_row'].dataType.simpleString()}, serial long, n_tokens long, n_head long, head_score double, n_others int, score double"
+    scored = looked_up.withColumn("n_others", F.size("others")).select(*names, "levels").mapInArrow(run, schema)
     unseen = float(np.log10(0.5 / model.denominator))
     if model.tail is None:
         scored = scored.withColumns({"n_tail": F.lit(0), "tail_score": F.lit(0.0)})
     else:
-        scored = as_table(scored, "scored")
-        hits = scored.select("serial", F.explode("others").alias("token")).join(model.tail, "token")
+        hits = looked_up.select("serial", F.explode("others").alias("token")).join(model.tail, "token")
         sums = hits.groupBy("serial").agg(F.count("*").alias("n_tail"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(model.denominator))).alias("tail_score"))
         scored = scored.join(sums, "serial", "left").fillna({"n_tail": 0, "tail_score": 0.0})
     return scored.select(
@@ -585,11 +615,33 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id"
         "n_tokens",
         (F.col("n_head") + F.col("n_tail")).cast("long").alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.col("tail_score") + (F.size("others") - F.col("n_tail")) * F.lit(unseen)).alias("base_score"),
+        (F.col("head_score") + F.col("tail_score") + (F.col("n_others") - F.col("n_tail")) * F.lit(unseen)).alias("base_score"),
         "score",
     )
 
 
+def score_texts(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """Scores every row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``base_score`` is exact: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the words and
+    the end token; frequent words are looked up in the head, the others joined to the tail
+    of the vocabulary. ``score`` is the model's log10 probability; it is the same whether
+    workers load the filter or probe it in its table. For the latter, texts are dealt by
+    hash into blocks of about ``block_bytes``.
+
+    A null or empty text has the end token alone. A null id and repeated rows are kept.
+    Columns of other names are ignored. A model of no text is allowed (N = V = 0).
+    """
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    looked_up = _looked_up(rows, model, block_bytes)
+    return _scored(looked_up if model.tail is None else as_table(looked_up, "levels"), model)
+
+
+def in_training(id_col: Column, folds: int = 5, held_out_fold: int = 1) -> Column:
+    """Whether a row is not in ``held_out_fold`` of crc32(id as text) modulo ``folds``; null ids are in fold 0."""
+    return fold_of(id_col, folds) != held_out_fold
+
+
 def training_rows(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 5, held_out_fold: int = 1) -> DataFrame:
-    """The rows of ``docs`` that are not in ``held_out_fold`` of crc32(id as text) modulo ``folds``; null ids are in fold 0."""
-    return docs.where(fold_of(F.col(id_col), folds) != held_out_fold)
+    """The rows of ``docs`` that are in_training()."""
+    return docs.where(in_training(F.col(id_col), folds, held_out_fold))

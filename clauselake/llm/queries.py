@@ -37,8 +37,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = lm_bloom.learn_model(lm_bloom.training_rows(docs, folds=5, held_out_fold=1))
-    scored = lm_bloom.score_texts(docs, model)
+    scored = lm_bloom.learn_and_score(docs, lm_bloom.in_training(F.col("doc_id"), folds=5, held_out_fold=1))
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

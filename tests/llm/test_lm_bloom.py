@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clauselake.llm.lm_bloom import LEAST, VALUES, LogFrequencyFilter, build_segment, learn_model, score_texts, training_rows
 
@@ -170,6 +171,18 @@ def test_the_bound_does_not_change_the_model(spark):
         assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-12) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9)
 
 
+@pytest.mark.parametrize("filter_bytes", [256 << 20, 64])
+def test_ngrams_are_looked_up_once(spark, monkeypatch, filter_bytes):
+    from clauselake.llm import lm_bloom
+
+    draw, calls, look_up = random.Random(9), [], lm_bloom._looked_up
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(draw.randrange(60)))) for k in range(120)] + [(None, None), (7, "w1")], "doc_id long, text string")
+    want = sorted(map(tuple, score_texts(docs, learn_model(training_rows(docs), head_words=20, filter_bytes=filter_bytes)).collect()), key=str)
+    monkeypatch.setattr(lm_bloom, "_looked_up", lambda *args: calls.append(1) or look_up(*args))
+    got = lm_bloom.learn_and_score(docs, lm_bloom.in_training(F.col("doc_id")), head_words=20, filter_bytes=filter_bytes)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(calls) == 1
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a b c", 1, 2), (1, "a b c", 3, 4), (None, "a b c", 5, 6), (1, None, 7, 8)], "doc_id long, text string, block long, _text long")
     for filter_bytes in (1 << 20, 8):
