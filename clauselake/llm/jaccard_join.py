@@ -15,12 +15,15 @@ none of which emits the pairs of a group:
    else every link is verified and counted where it is found, and no pair leaves the task.
 
 A component above ``block`` sets is cut into blocks, and every pair of blocks is searched.
+A block is written once to the shared folder, and the tasks of its pairs read it there:
+sent to each of them, the sets of a component would be copied once for every block it has.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_table, connected_components, cut, hash_words, heavy_light_join, mix64, text_slices, word_ranges
+from .common import LOWER, as_table, connected_components, cut, fresh_path, hash_words, heavy_light_join, mix64, open_fs, text_slices, word_ranges
 
 #: Of the shingles beyond n - T, a lead holds n // LEAD (one at least).
 LEAD = 6
 #: The side of sets in a task that searches all its pairs; sides 0 and 1 are two blocks whose cross pairs are searched.
 WITHIN = -1
+#: Pairs of blocks are dealt to at most so many tasks, each of which reads one pair at a time.
+MOST_TASKS = 10_000
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -100,7 +105,7 @@ def _set_rows(width: int):
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 sets = [s.tobytes() for s in shingle_sets(part.column("_text"), width)]
-                yield pa.RecordBatch.from_arrays([*map(part.column, ("task", "node", "side", "weight")), pa.array(sets, pa.binary())], names=["task", "node", "side", "weight", "shingles"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("task", "component", "own", "node", "weight")), pa.array(sets, pa.binary())], names=["task", "component", "own", "node", "weight", "shingles"])
 
     return run
 
@@ -241,19 +246,15 @@ def search_all_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: i
             yield int(order[x]), order[found]
 
 
-def _search_group(num: int, den: int, count_links: bool):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        nodes = table.column("node").to_numpy()
-        sides = table.column("side").to_numpy()
-        sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in table.column("shingles")]
+def _links_of(num: int, den: int, count_links: bool):
+    """Links (u, v, n_links) among ``nodes`` or, with two ``sides``, across them; with ``count_links`` also rows u = v with the links of a node."""
+
+    def run(nodes: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
         n_links = np.zeros(len(nodes), dtype=np.int64)
-        if sides[0] != WITHIN and len(set(sides.tolist())) == 1:
-            links = []  # The other block of the pair is empty.
-        elif not count_links:
+        if not count_links:
             links = search_links(sets, sides, num, den)
         else:
-            links, weights, comp = [], table.column("weight").to_numpy(), np.arange(len(nodes))
+            links, comp = [], np.arange(len(nodes))
             again = len(np.unique(nodes)) < len(nodes)
             first = {int(node): k for k, node in reversed(list(enumerate(nodes)))} if again else {}
             seen = set()
@@ -269,13 +270,61 @@ def _search_group(num: int, den: int, count_links: bool):
                 comp[np.isin(comp, comp[fresh])] = comp[x]
         u, v = ([int(nodes[link[k]]) for link in links] for k in (0, 1))
         some = np.flatnonzero(n_links)
-        return pa.table(
-            {
-                "u": pa.array(u + nodes[some].tolist(), pa.int64()),
-                "v": pa.array(v + nodes[some].tolist(), pa.int64()),
-                "n_links": pa.array([0] * len(u) + n_links[some].tolist(), pa.int64()),
-            }
-        )
+        return u + nodes[some].tolist(), v + nodes[some].tolist(), [0] * len(u) + n_links[some].tolist()
+
+    return run
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    table = table.combine_chunks()
+    return table.column("node").to_numpy(), table.column("weight").to_numpy(), [np.frombuffer(s.as_py(), dtype=np.uint64) for s in table.column("shingles")]
+
+
+def _search_shard(num: int, den: int, count_links: bool, folder: str):
+    """The links of whole small components; of a block of a large one, the file in ``folder`` to which it is written."""
+    links_of = _links_of(num, den, count_links)
+
+    def run(table: pa.Table) -> pa.Table:
+        component, own = table.column("component")[0].as_py(), table.column("own")[0].as_py()
+        u, v, n_links, path = [], [], [], None
+        if component is None:
+            nodes, weights, sets = _columns(table)
+            u, v, n_links = links_of(nodes, np.full(len(nodes), WITHIN), weights, sets)
+        else:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            store, inner = open_fs(path)
+            store.create_dir(inner.rpartition("/")[0], recursive=True)
+            kept = table.select(["node", "weight", "shingles"])
+            with store.open_output_stream(inner) as out, pa.ipc.new_stream(out, kept.schema) as writer:
+                writer.write_table(kept)
+            u, v, n_links = [None], [None], [None]
+        n = len(u)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n_links": pa.array(n_links, pa.int64()), "component": pa.array([component] * n, pa.int64()), "own": pa.array([own] * n, pa.int32()), "path": pa.array([path] * n, pa.string())})
+
+    return run
+
+
+def _read_block(path: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    store, inner = open_fs(path)
+    with store.open_input_stream(inner) as raw:
+        return _columns(pa.ipc.open_stream(raw).read_all())
+
+
+def _search_pairs(num: int, den: int, count_links: bool):
+    """The links within a block (a pair of it and itself) or across two blocks, from their files."""
+    links_of = _links_of(num, den, count_links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                nodes, weights, sets = _read_block(one)
+                sides = np.full(len(nodes), WITHIN)
+                if other != one:
+                    more, theirs, their_sets = _read_block(other)
+                    sides = np.repeat([0, 1], [len(nodes), len(more)])
+                    nodes, weights, sets = np.append(nodes, more), np.append(weights, theirs), sets + their_sets
+                found = links_of(nodes, sides, weights, sets)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["u", "v", "n_links"])
 
     return run
 
@@ -335,9 +384,15 @@ def similar_components(
     tasks = cut(tasks.join(weights, "node") if count_links else tasks.withColumn("weight", F.lit(1).cast("long")))
     n_tasks = tasks.count()
     candidates = tasks.join(rows.withColumnRenamed("doc_id", "node"), "node") if n_tasks > most_broadcast else rows.withColumnRenamed("doc_id", "node").join(F.broadcast(tasks), "node")
-    sets = candidates.select("task", "node", "side", "weight", "_text").mapInArrow(_set_rows(width), "task string, node long, side int, weight long, shingles binary")
-    links = sets.groupBy("task").applyInArrow(_search_group(num, den, count_links), "u long, v long, n_links long")
-    links = as_table(links, "links") if count_links else links
+    sets = candidates.select("task", "component", "own", "node", "weight", "_text").mapInArrow(_set_rows(width), "task string, component long, own int, node long, weight long, shingles binary")
+    search = _search_shard(num, den, count_links, fresh_path(docs.sparkSession, "blocks"))
+    searched = as_table(sets.groupBy("task").applyInArrow(search, "u long, v long, n_links long, component long, own int, path string"), "searched")
+    links, blocks = searched.where("path IS NULL").select("u", "v", "n_links"), searched.where("path IS NOT NULL")
+    pairs = cut(blocks.select("component", "own", F.col("path").alias("one")).join(blocks.select("component", F.col("own").alias("_other"), F.col("path").alias("other")), "component").where("own <= _other").select("one", "other"))
+    n_pairs = pairs.count()
+    if n_pairs:
+        across = pairs.repartition(min(n_pairs, MOST_TASKS)).mapInArrow(_search_pairs(num, den, count_links), "u long, v long, n_links long")
+        links = links.union(as_table(across, "links") if count_links else across)
     classes = connected_components(links).withColumnRenamed("node", "_node")
     if count_links:
         classes = classes.join(links.where("u = v").groupBy(F.col("u").alias("_node")).agg(F.sum("n_links").alias("_links")), "_node", "left")
@@ -354,17 +409,13 @@ def similar_components(
 
 
 def _search_tasks(ties: DataFrame, block: int, shard_sets: int) -> DataFrame:
-    """Search tasks (task, node, side): whole small components, and pairs of blocks of large ones."""
+    """The search task of each node (task, node, component, own): whole small components share shards; ``component`` and ``own`` say the block of a large one."""
     sizes = cut(ties.groupBy("component").agg(F.count("*").alias("_n")))
     total = ties.count()
     sized = heavy_light_join(ties, sizes.withColumn("_size", F.col("_n")), "component", "_n", total)
     shards = max(1, total // shard_sets)
-    small = sized.where(F.col("_size") <= block).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shards))).alias("task"), "node", F.lit(WITHIN).alias("side"))
-    blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
-    large = (
-        sized.where(F.col("_size") > block)
-        .select("component", "node", blocks.alias("_blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("_own"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-        .select(F.concat_ws("-", F.lit("b"), "component", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("task"), "node", F.when(F.col("_own") == F.col("_other"), WITHIN).otherwise((F.col("_own") > F.col("_other")).cast("int")).alias("side"))
+    large = F.col("_size") > block
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("_size") / F.lit(block)).cast("int")).cast("int")
+    return sized.select("node", F.when(large, F.col("component")).alias("component"), F.when(large, own).alias("own"), F.pmod(F.xxhash64("component"), F.lit(shards)).alias("_shard")).select(
+        F.when(F.col("component").isNull(), F.concat(F.lit("s"), "_shard")).otherwise(F.concat_ws("-", F.lit("b"), "component", "own")).alias("task"), "node", "component", "own"
     )
-    return small.union(large)

@@ -91,3 +91,17 @@ def test_words_that_polynomials_take_for_one(spark):
     rows = list(enumerate(unlike_words()))
     got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, den=100, count_links=True)
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == [(0, 1, 0, 0), (1, 1, 1, 0)]
+
+
+def test_sets_of_large_classes_are_sent_once(spark, monkeypatch):
+    draw, tasks, deal = random.Random(3), [], jaccard_join._search_tasks
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        words[draw.randrange(80)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(jaccard_join, "_search_tasks", lambda *args: tasks.append(deal(*args)) or tasks[-1])
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), num=80, den=100, block=8, count_links=True)
+    assert sorted(map(tuple, got.collect())) == brute_force(rows, 3, 80, 100)
+    assert tasks[0].count() == tasks[0].select("node").distinct().count() == 60
